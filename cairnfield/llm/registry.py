@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import language, quality_rules, secrets
+from cairnfield.llm import decontaminate, language, mixture, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.query,
     "op3_language_id": language.query,
     "op5_secret_scan": secrets.query,
+    "op7_mix_sources": mixture.query,
     "op9_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+}
