@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import decontaminate, language, mixture, quality_rules, secrets
+from cairnfield.llm import decontaminate, language, mixture, quality_model, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
     "op3_language_id": language.query,
     "op5_secret_scan": secrets.query,
     "op7_mix_sources": mixture.query,
+    "op8_quality_model": quality_model.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_token_counts": token_counts.query,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
