@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import decontaminate, language, mixture, quality_model, quality_rules, secrets, token_counts
+from cairnfield.llm import decontaminate, language, mixture, quality_model, quality_rules, secrets, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
+    "op2_substring_dedup": substrings.query,
     "op3_language_id": language.query,
     "op5_secret_scan": secrets.query,
     "op7_mix_sources": mixture.query,
@@ -19,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_substring_dedup": substrings.ORACLE,
 }
