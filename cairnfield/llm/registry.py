@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import decontaminate, language, mixture, quality_model, quality_rules, secrets, substrings, token_counts
+from cairnfield.llm import decontaminate, language, mixture, perplexity, quality_model, quality_rules, secrets, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
     "op2_substring_dedup": substrings.query,
     "op3_language_id": language.query,
     "op5_secret_scan": secrets.query,
+    "op6_lm_score": perplexity.query,
     "op7_mix_sources": mixture.query,
     "op8_quality_model": quality_model.query,
     "op9_quality_rules": quality_rules.query,
