@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import decontaminate, language, mixture, perplexity, quality_model, quality_rules, secrets, substrings, token_counts
+from cairnfield.llm import decontaminate, language, mixture, near_dups, perplexity, quality_model, quality_rules, secrets, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
     "op2_substring_dedup": substrings.query,
     "op3_language_id": language.query,
+    "op4_near_dups": near_dups.query,
     "op5_secret_scan": secrets.query,
     "op6_lm_score": perplexity.query,
     "op7_mix_sources": mixture.query,
@@ -22,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_substring_dedup": substrings.ORACLE,
+    "op4_near_dups": near_dups.ORACLE,
 }
