@@ -27,17 +27,19 @@ from pyspark.sql import functions as F
 from cairnfield.llm import rows, vec
 from cairnfield.session import cut
 
-WEIGHTS, TOTAL, CAP, GROUP = (3.0, 1.0, 2.0), 1.5, 2.0, 4096
+WEIGHTS, TOTAL, CAP, GROUP = (3.0, 1.0, 2.0), 1.5, 2.0, 1024
 STEPS, NEAR, UNIT, SMALL = 60, 1e-6, 10**9, 100_000
 
 
 def sized(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     """doc_id, source, carried columns (under a prefix) and mix_size of every row."""
     carry = [c for c in carry if c not in ("doc_id", "source")]
-    plain = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"in_{c}") for c in carry])
-    kept = [c for c in plain.columns if c != "text"]
-    schema = plain.drop("text").schema.add("mix_size", "long")
-    return rows.map_texts(plain, lambda texts, _: {"mix_size": vec.Words(texts, hashed=False).count.astype(np.int64)}, kept, schema)
+    others = [F.col(c).alias(f"in_{c}") for c in carry if c != "text"]
+    plain = docs.select("doc_id", "source", F.col("text").alias("in_text"), *others)
+    dropped = [] if "text" in carry else ["in_text"]
+    kept = [c for c in plain.columns if c not in dropped]
+    schema = plain.drop(*dropped).schema.add("mix_size", "long")
+    return rows.map_texts(plain, lambda texts, _: {"mix_size": vec.Words(texts, hashed=False).count.astype(np.int64)}, kept, schema, text="in_text")
 
 
 def targets(sizes: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnfield.llm import rows, vec
 
@@ -118,7 +119,7 @@ def clean(docs: DataFrame) -> DataFrame:
         return {"text": made["cleaned"], "_kept": made["kept"]}
 
     plain = docs.select(*names)
-    schema = plain.schema.add("_kept", "boolean")
+    schema = StructType(list(plain.schema.fields)).add("_kept", "boolean")
     out = rows.map_texts(plain, cleaned, names, schema).filter("_kept").select(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
