@@ -8,7 +8,7 @@ standard deviations beyond what similarity 0.85 gives) is dropped, the others ar
 Groups are never expanded into all pairs at once:
 1. each node meets one pivot a band, and is confirmed with the one whose sketch is nearest;
 2. the other (node, pivot) pairs that are still in different components are confirmed;
-3. bands that still hold nodes of different components are searched exhaustively, in blocks of at most 2 * BLOCK nodes.
+3. bands that still hold nodes of different components are searched exhaustively, in blocks of about BLOCK nodes, with full sets.
 So every pair that shares a band is either confirmed, refuted, or inside one component; a pair at the threshold shares no
 band with probability 4e-7.
 
@@ -30,7 +30,7 @@ from cairnfield.session import cut, ship
 
 SHINGLE, PERCENT = 5, 85
 SAMPLES, BANDS, ROWS, SKETCH, MOST_BITS = 128, 20, 4, 256, 64
-BLOCK, SMALL = 1000, 500_000
+BLOCK, SMALL = 400, 500_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FLIP = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -138,33 +138,68 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of different labels and near sketches between the two sides of a block pair, or within its one side."""
-    side = table["block"].to_numpy()
-    left = np.flatnonzero(side == table["i"][0].as_py())
-    right = np.flatnonzero(side == table["j"][0].as_py())
-    node, label = table["node"].to_pylist(), np.unique(np.array(table["label"].to_pylist(), "S16"), return_inverse=True)[1]
+    """Links between a block of strangers and another block: for each stranger one to every other component that it reaches.
+
+    Sketches say where to look; the shared shingles of a stranger and the whole other block are counted in an inverted index.
+    """
+    side = np.array(table["side"].to_pylist())
+    label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)[1]
+    node = table["node"].to_pylist()
     sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint64)
+    texts = vec.flat(table["text"])
+    ofs, keys = [], []
+    for lo, hi in vec.slices(texts):
+        of, hashes = shingles(texts.slice(lo, hi - lo))
+        ofs.append(of + lo)
+        keys.append(hashes)
+    of, hashes = np.concatenate(ofs), np.concatenate(keys)
+    size = np.bincount(of, minlength=len(node))
+    cut_ = np.concatenate([[0], np.cumsum(size)])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(right):  # a block of strangers with itself
+        right = left
+    among = np.isin(of, right)
+    order = np.argsort(hashes[among], kind="stable")
+    ranked, owner = hashes[among][order], of[among][order]
     a, b = [], []
     for x in left:
         bits = np.bitwise_count(sketch[right] ^ sketch[x]).sum(1)
         near = right[(bits <= MOST_BITS) & (label[right] != label[x])]
-        if side[x] == table["j"][0].as_py():
-            near = near[near > x]
-        a += [node[x]] * len(near)
-        b += [node[y] for y in near]
+        if not len(near):
+            continue
+        own = hashes[cut_[x] : cut_[x + 1]]
+        lo, hi = np.searchsorted(ranked, own, "left"), np.searchsorted(ranked, own, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        shared = np.bincount(owner[at], minlength=len(node))[near]
+        good = near[100 * shared >= PERCENT * (size[x] + size[near] - shared)]
+        _, one = np.unique(label[good], return_index=True)
+        a += [node[x]] * len(one)
+        b += [node[y] for y in good[one]]
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs a, b that share a band, are in different components and have near sketches."""
+def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b between nodes that share a band and are in different components: at least one for every two components linked so.
+
+    Bands whose nodes are not all in one component are put together by the component that most of their nodes are in. Nodes of
+    other components in such a group, its strangers, are compared with all its nodes, block by block.
+    """
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = at.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.join(nodes.select("node", "sketch"), "node")
-    paired = dealt.select("key", "node", "label", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = paired.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = paired.groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    counted = at.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("hub")).filter("labels > 1").select("key", "hub")
+    group = cut(at.join(mixed, "key").select("hub", "node", "label").distinct())
+    stranger = F.col("label") != F.col("hub")
+    sizes = group.groupBy("hub").agg(F.ceil(F.count(F.when(~stranger, 1)) / BLOCK).cast("int").alias("home"), F.ceil(F.count(F.when(stranger, 1)) / BLOCK).cast("int").alias("away"))
+    dealt = group.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(stranger, F.col("away")).otherwise(F.col("home"))).cast("int"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    own = F.col("block")
+    # strangers with each block of the others; two blocks of strangers, or one with itself
+    out = F.concat(F.transform(upto("home"), lambda m: task(0, own, m, 0)), F.transform(upto("away"), lambda o: F.when(own <= o, task(1, own, o, 0)).otherwise(task(1, o, own, 1))))
+    tasks = dealt.select("hub", "node", "label", F.explode(F.when(stranger, out).otherwise(F.transform(upto("away"), lambda o: task(0, o, own, 1)))).alias("task"))
+    rows_ = tasks.select("hub", "node", "label", "task.*").join(nodes.select("node", "sketch"), "node").join(texts, "node")
+    return rows_.groupBy("hub", "kind", "i", "j").applyInArrow(lambda t: _across(t), "a binary, b binary")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -191,9 +226,9 @@ def linked(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = _merge(labels, cut(confirm(more, texts)))
     # 3: all that is left
-    rest = cut(_rest(members.select("node", "key"), nodes, labels))
+    rest = cut(_rest(members.select("node", "key"), nodes, labels, texts))
     if not rest.isEmpty():
-        labels = _merge(labels, cut(confirm(rest, texts)))
+        labels = _merge(labels, rest)
     labelled = nodes.select("node", F.col("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = labelled.groupBy("label").agg(F.min("first").alias("component"))
     component = labelled.join(named, "label").select(F.col("node").alias("of"), "component")
