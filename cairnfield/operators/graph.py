@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import geo
+from cairnfield.operators import components as stars
 from cairnfield.session import cut
 
 #: Fixed value: decimal places of a node's coordinates.
@@ -40,18 +41,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node reachable. Least labels spread to neighbours and then jump along labels, so rounds are
-    about the logarithm of the longest path."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-    while True:
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("best"))
-        spread = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("best", "component")).alias("component"), F.col("component").alias("was"))
-        jump = spread.select(F.col("node").alias("at"), F.col("component").alias("beyond"))
-        moved = cut(spread.join(jump, F.col("component") == F.col("at"), "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component"), "was"))
-        label = moved.select("node", "component")
-        if moved.filter("component <> was").isEmpty():
-            return label
+    """node, component: the least node reachable, also of nodes that only have loops."""
+    joined = stars.components(edges, "a", "b")
+    alone = edges.filter("a = b").select(F.col("a").alias("node")).distinct().join(joined.select("node"), "node", "left_anti")
+    return joined.select("node", F.col("label").alias("component")).unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def stats(edges: DataFrame) -> DataFrame:

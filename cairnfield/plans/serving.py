@@ -89,7 +89,7 @@ def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
     return classify_tags(spark, sf).groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_area"), 1)).alias("n_areas")).orderBy(F.desc("n"), "bucket")
 
 
-CONDITIONS = [{"field": "p_size", "op": "<", "value": 20}, {"field": "p_retailprice", "op": ">=", "value": 1000}, {"field": "p_name", "op": "contains", "value": "e"}, {"field": "p_brand", "op": "exists"}]
+CONDITIONS = [{"field": "p_size", "op": "<", "value": 20}, {"field": "p_retailprice", "op": ">=", "value": 500}, {"field": "p_name", "op": "contains", "value": "e"}, {"field": "p_brand", "op": "exists"}]
 
 
 def saved_filter_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,8 +159,8 @@ ORACLES = {
     "availability_rollup": "SELECT site, CASE WHEN len(list_filter(s, lambda x: x IN ('available', 'first-come-first-serve'))) = 3 THEN 'available' WHEN len(list_filter(s, lambda x: x IN ('available', 'first-come-first-serve'))) > 0 THEN 'partial' WHEN len(list_filter(s, lambda x: x NOT IN ('unknown', 'not-yet-released'))) > 0 THEN 'unavailable' ELSE 'unknown' END AS status " + _STATUS,
     "classify_tags": f"SELECT id, {_BUCKET} AS bucket, {_AREA} AS is_area FROM {v.TAGS}",
     "bucket_counts": f"SELECT bucket, count(*) AS n, count(*) FILTER (is_area) AS n_areas FROM (SELECT {_BUCKET} AS bucket, {_AREA} AS is_area FROM {v.TAGS}) GROUP BY bucket",
-    "saved_filter_all": "SELECT p_partkey FROM part WHERE p_size < 20 AND p_retailprice >= 1000 AND contains(p_name, 'e') AND p_brand IS NOT NULL",
-    "saved_filter_any": "SELECT p_partkey FROM part WHERE p_size < 20 OR p_retailprice >= 1000 OR contains(p_name, 'e')",
+    "saved_filter_all": "SELECT p_partkey FROM part WHERE p_size < 20 AND p_retailprice >= 500 AND contains(p_name, 'e') AND p_brand IS NOT NULL",
+    "saved_filter_any": "SELECT p_partkey FROM part WHERE p_size < 20 OR p_retailprice >= 500 OR contains(p_name, 'e')",
     "style_filter": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 OR c_nationkey IN (3, 5, 7)",
     "in_box": f"SELECT id FROM {v.CAMPGROUNDS} WHERE x BETWEEN -89.85 AND -89.65 AND y BETWEEN 43.35 AND 43.45",
     "popup_text": "SELECT p_partkey, p_name || CASE WHEN p_size > 10 THEN ' from $' || p_size || CASE WHEN p_size > 40 THEN ' (big)' ELSE '' END ELSE '' END || '.' AS html FROM part",

@@ -183,7 +183,7 @@ _REACH = f"reach(node, other) AS (SELECT a, a FROM both_ UNION SELECT node, b FR
 _DEGREE = f"(SELECT node, count(*) AS degree FROM (SELECT a AS node FROM {v.EDGES} UNION ALL SELECT b FROM {v.EDGES}) GROUP BY node)"
 _CORE = "CASE WHEN key IS NULL THEN '#' || id ELSE lower(key) END"
 ORACLES = {
-    "trail_lengths": f"SELECT id, count(*)::INTEGER AS n, round(coalesce(sum({_LEN} ORDER BY pos), 0), 1) AS metres FROM {_STEP} GROUP BY id",
+    "trail_lengths": f"SELECT id, count(*)::INTEGER AS n, round(coalesce(sum({_LEN} ORDER BY pos) FILTER (px IS NOT NULL), 0), 1) AS metres FROM {_STEP} GROUP BY id",
     "trail_endpoints": f"SELECT id, 'start' AS side, round(x0, 6) AS x, round(y0, 6) AS y FROM {_FIRST} UNION ALL SELECT id, 'end', round(x1, 6), round(y1, 6) FROM {_FIRST}",
     "trail_near": f"SELECT DISTINCT id FROM {v.VERTICES} JOIN orders ON o_orderkey = id WHERE o_orderpriority NOT LIKE '1-%' AND {v.sql_haversine('x', 'y', '-89.73::DOUBLE', '43.42::DOUBLE', geo.EARTH_MILES)} <= 0.5",
     "trail_translate": f"SELECT id, round_even(x + 0.1::DOUBLE, 4) AS x, round_even(y + (-0.2)::DOUBLE, 4) AS y FROM {v.VERTICES} WHERE pos = 1",

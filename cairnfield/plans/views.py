@@ -124,13 +124,13 @@ SITE_NIGHTS = """(SELECT site, night, CASE kind WHEN 'view' THEN 'available' WHE
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """eid, a, b, len, name, road: a sparse graph over customers, an edge an order that is neither open nor filled."""
-    o = table(spark, sf, "orders").filter("o_orderstatus not in ('F', 'O')")
+    """eid, a, b, len, name, road: a sparse graph over customers, an edge an urgent order that is neither open nor filled."""
+    o = table(spark, sf, "orders").filter("o_orderstatus not in ('F', 'O') and o_orderpriority like '1%'")
     b = (F.col("o_orderkey") * 7919) % 1499 + 1
-    return o.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), b.cast("string")).alias("b"), F.round(F.col("o_totalprice") / 1000, 2).alias("len"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") % 5 == 0).alias("road"))
+    return o.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), b.cast("string")).alias("b"), F.round(F.col("o_totalprice") / 1000, 2).alias("len"), F.concat(F.lit("Way "), (F.col("o_orderkey") % 9).cast("string")).alias("name"), (F.col("o_orderkey") % 5 == 0).alias("road"))
 
 
-EDGES = "(SELECT o_orderkey AS eid, 'c' || o_custkey AS a, 'c' || (o_orderkey * 7919 % 1499 + 1) AS b, round(o_totalprice / 1000, 2) AS len, o_orderpriority AS name, o_orderkey % 5 = 0 AS road FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))"
+EDGES = "(SELECT o_orderkey AS eid, 'c' || o_custkey AS a, 'c' || (o_orderkey * 7919 % 1499 + 1) AS b, round(o_totalprice / 1000, 2) AS len, 'Way ' || o_orderkey % 9 AS name, o_orderkey % 5 = 0 AS road FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderpriority LIKE '1%')"
 
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
