@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.llm import rows, vec
-from cairnfield.llm.components import components
+from cairnfield.operators.components import components
 from cairnfield.session import cut, ship
 
 SHINGLE, PERCENT = 5, 85
