@@ -70,6 +70,11 @@ def utm(lon: Column, lat: Column, meridian: float = -87.0) -> Column:
 # Lines: arrays of points.
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: higher-order functions evaluate an expression wherever it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def start(line: Column) -> Column:
     return F.get(line, F.lit(0))
 
@@ -80,7 +85,7 @@ def end(line: Column) -> Column:
 
 def segments(line: Column) -> Column:
     """array<struct<a, b>> of consecutive points."""
-    return F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: F.struct(F.get(line, i).alias("a"), p.alias("b")))
+    return let(line, lambda l: F.transform(F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), lambda p, i: F.struct(F.get(l, i).alias("a"), p.alias("b"))))
 
 
 def total(values: Column) -> Column:
@@ -96,18 +101,19 @@ def planar_length(line: Column) -> Column:
     return total(F.transform(segments(line), lambda s: F.sqrt(planar2(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))))
 
 
-def closest_on(line: Column, x: Column, y: Column) -> Column:
-    """struct<d2, x, y>: the planar closest point of a line, the first of several; of one point, that."""
+def on_segment(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """struct<d2, x, y>: the planar closest point of a segment."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / size))).otherwise(0.0)
+    px, py = a["x"] + t * dx, a["y"] + t * dy
+    return F.struct(planar2(px, py, x, y).alias("d2"), px.alias("x"), py.alias("y"))
 
-    def on(s: Column) -> Column:
-        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
-        size = dx * dx + dy * dy
-        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["a"]["x"]) * dx + (y - s["a"]["y"]) * dy) / size))).otherwise(0.0)
-        px, py = s["a"]["x"] + t * dx, s["a"]["y"] + t * dy
-        return F.struct(planar2(px, py, x, y).alias("d2"), px.alias("x"), py.alias("y"))
 
+def closest_on(line: Column, x: Column, y: Column) -> Column:
+    """struct<d2, x, y>: the planar closest point of a line, the first of several; of one point, that."""
     some = F.when(F.size(line) == 1, F.array(F.struct(line[0].alias("a"), line[0].alias("b")))).otherwise(segments(line))
-    return F.array_min(F.transform(some, on))
+    return F.array_min(F.transform(some, lambda s: on_segment(s["a"], s["b"], x, y)))
 
 
 def shoelace(ring: Column) -> Column:
@@ -136,20 +142,25 @@ def rounded(line: Column, digits: int) -> Column:
 
 def densify(line: Column, step: float) -> Column:
     """Points every `step` metres along a line given in metres, its end last; a line of no length is its start."""
+
+    def along(s: Column) -> Column:
+        whole = F.element_at(s["upto"], -1)
+        marks = F.array_append(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(whole / step) - 1, F.lit(0)).cast("int")), lambda k: k * F.lit(step)), whole)
+
+        def at(d: Column) -> Column:
+            k = F.least(F.greatest(F.size(F.filter(s["upto"], lambda u: u <= d)) - 1, F.lit(0)), F.size(s["segs"]) - 1)
+            return let(F.struct(F.get(s["segs"], k).alias("s"), F.get(s["upto"], k).alias("lo"), F.get(s["upto"], k + 1).alias("hi")), lambda e: on(e, d))
+
+        def on(e: Column, d: Column) -> Column:
+            t = F.when(e["hi"] > e["lo"], (d - e["lo"]) / (e["hi"] - e["lo"])).otherwise(0.0)
+            a, b = e["s"]["a"], e["s"]["b"]
+            return F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+
+        return F.when(whole == 0, F.slice(line, 1, 1)).otherwise(F.transform(marks, at))
+
     segs = segments(line)
     upto = F.aggregate(segs, F.array(F.lit(0.0)), lambda a, s: F.array_append(a, F.element_at(a, -1) + F.sqrt(planar2(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))))
-    whole = F.element_at(upto, -1)
-    marks = F.array_append(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(whole / step) - 1, F.lit(0)).cast("int")), lambda k: k * F.lit(step)), whole)
-
-    def at(d: Column) -> Column:
-        k = F.greatest(F.size(F.filter(upto, lambda u: u <= d)) - 1, F.lit(0))
-        k = F.least(k, F.size(segs) - 1)
-        s, base = F.get(segs, k), F.get(upto, k)
-        size = F.get(upto, k + 1) - base
-        t = F.when(size > 0, (d - base) / size).otherwise(0.0)
-        return F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y"))
-
-    return F.when(F.size(line) < 2, line).when(whole == 0, F.slice(line, 1, 1)).otherwise(F.transform(marks, at))
+    return F.when(F.size(line) < 2, line).otherwise(let(F.struct(segs.alias("segs"), upto.alias("upto")), along))
 
 
 # Geometries.
