@@ -34,7 +34,9 @@ def elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def rejected(spark: SparkSession, paths: str | list[str], schema: str = ELEMENTS) -> DataFrame:
     """path, record of files that did not parse."""
-    return _json(spark, paths, schema).select(F.input_file_name().alias("path"), F.col("_bad").alias("record")).filter("record is not null")
+    text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return text.filter(parsed["_bad"].isNotNull()).select("path", F.col("value").alias("record"))
 
 
 def assemble(segments: Column) -> Column:
