@@ -185,8 +185,8 @@ def _finish(chunk: Chunk, some: np.ndarray, keys: np.ndarray, known: np.ndarray,
     return pa.table(out | ({"kept_text": pa.array(kept_texts, pa.string())} if with_text else {}))
 
 
-def scan(docs: DataFrame, carry: Iterable[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The carried columns, n_words, n_removed, n_factors, kept_sha256 and, if asked, kept_text of every row."""
+def parsed(docs: DataFrame, carry: Iterable[str], with_text: bool = False) -> DataFrame:
+    """The carried columns (under in_<name>), n_words, n_removed, n_factors, kept_sha256 and, if asked, kept_text of every row."""
     carry = list(carry)
     inputs = [F.col(c).alias(f"in_{c}") for c in carry]
     named = docs.select("doc_id", "text", *inputs)
@@ -219,14 +219,18 @@ def scan(docs: DataFrame, carry: Iterable[str] = ("doc_id",), with_text: bool =
     schema = docs.select(*inputs).schema.add("n_words", "long").add("n_removed", "long").add("n_factors", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept_text", "string")
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
-    return out.withColumnsRenamed({f"in_{c}": c for c in carry})
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, n_factors, kept_sha256 of every row."""
+    return parsed(docs, ["doc_id"]).withColumnRenamed("in_doc_id", "doc_id")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The rows with their duplicate spans removed (words joined by one space), n_chars counted anew."""
-    others = [c for c in docs.columns if c != "text"]
-    out = scan(docs, others, with_text=True).withColumnRenamed("kept_text", "text").select(*docs.columns)
+    out = parsed(docs, [c for c in docs.columns if c != "text"], with_text=True)
+    out = out.select(*[F.col("kept_text" if c == "text" else f"in_{c}").alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

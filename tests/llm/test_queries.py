@@ -1,0 +1,48 @@
+"""Registered queries of the subpackage: against DuckDB where SQL can say them, and the pipeline's stages."""
+
+import pytest
+from compare import same
+
+from cairnfield.llm.registry import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, sf, name):
+    same(QUERIES[name](spark, sf), ORACLES[name], sf)
+
+
+def test_rows(spark, sf):
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for name in ("op3_language_id", "op5_secret_scan", "op6_lm_score", "op7_mix_sources", "op8_quality_model", "op9_quality_rules"):
+        assert QUERIES[name](spark, sf).count() == n
+    assert QUERIES["op10_token_counts"](spark, sf).agg({"n_docs": "sum"}).first()[0] == n
+
+
+def test_pipeline(spark, sf):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    import brute
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    assert [k for k, _ in p.STAGES] == ["quality_rules", "near_dups", "decontamination", "secrets", "source_mix"]
+    quality, near, leaks, secrets, mix = (f for _, f in p.STAGES)
+    rows = lambda df: [tuple(r) for r in df.select("doc_id", "text").collect()]
+    from cairnfield.session import cut
+
+    one = cut(quality(spark, docs, sf))
+    assert one.columns == columns and not any(brute.quality(t)[5] for _, t in rows(docs) if (_, t) in set(rows(one)))
+    two = cut(near(spark, one, sf))
+    assert two.columns == columns and sorted(d for d, _ in rows(two)) == sorted(x[0] for x in brute.near(rows(one)) if x[3])
+    three = cut(leaks(spark, two, sf))
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    assert three.columns == columns and sorted(d for d, _ in rows(three)) == sorted(x[0] for x in brute.decontaminate(rows(two), items) if not x[5])
+    four = cut(secrets(spark, three, sf))
+    assert four.columns == columns and four.count() == three.count() and not any(brute.secrets_base(t)[0] for _, t in rows(four))
+    five = mix(spark, four, sf)
+    assert five.filter("taken > 2 * size or taken <> copies * size").count() == 0
+    whole = p.run(spark, sf)
+    assert sorted(map(tuple, whole.select("doc_id", "copies").collect())) == sorted(map(tuple, five.select("doc_id", "copies").collect()))
