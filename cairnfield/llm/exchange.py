@@ -58,6 +58,32 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the first one and the gaps after it, in as many bytes each as the widest gap needs."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    width = packed[0]
+    narrow = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    gaps = np.zeros((len(narrow) + 1, 8), np.uint8)
+    gaps[1:, :width] = narrow
+    gaps[0] = np.frombuffer(packed, np.uint8, count=8, offset=1)
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def keys_of(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' keys as one array, and each row's number of them."""
+    parts = [unpack_keys(p) for p in table[name].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64)
+
+
 def joined(table: pa.Table, name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A packed column's values of `size` bytes as one array, and each row's number of them."""
     parts = table[name].to_pylist()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.llm import exchange, rows, vec
 
-HELD_OUT, EVERY, CHUNK_BYTES = (7, 2), 8, 6 << 20
+HELD_OUT, EVERY, CHUNK_BYTES = (7, 2), 8, 8 << 20
 #: Context-frequency buckets; cells of the log of an estimate over the uniform one, 0 for an estimate of 0.
 BUCKETS, CELLS, STEP, SHIFT, ROUNDS = 42, 256, 0.25, 64, 60
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -69,7 +69,7 @@ def ask(table: pa.Table, blocks: int) -> pa.Table:
     for name, keys, of in (("uni", chunk.uni, chunk.uni_of), ("bi", chunk.bi, chunk.bi_of)):
         n, cut = chunk.counts(of, keys), exchange.borders(keys, blocks)
         for b in range(blocks):
-            columns[name].append(keys[cut[b] : cut[b + 1]].tobytes())
+            columns[name].append(exchange.pack_keys(keys[cut[b] : cut[b + 1]]))
             columns[f"{name}_n"].append(exchange.pack(n[cut[b] : cut[b + 1]]))
     # every block is asked, if about nothing, as each adds its part to the totals
     return pa.table({"block": pa.array(range(blocks), pa.int64()), "chunk": pa.array([number] * blocks, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
@@ -81,7 +81,7 @@ def answer(table: pa.Table) -> pa.Table:
     held = chunks % EVERY == 0
     out: dict[str, list] = {}
     for name in ("uni", "bi"):
-        keys, sizes = exchange.joined(table, name, 8)
+        keys, sizes = exchange.keys_of(table, name)
         n = np.concatenate([exchange.unpack(x) for x in table[f"{name}_n"].to_pylist()])
         distinct, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, n, len(distinct)).astype(np.int64)

@@ -70,7 +70,7 @@ class Chunk:
 def _rows(chunk: int, blocks: int, keys: np.ndarray, places: np.ndarray | None) -> pa.Table:
     cut = exchange.borders(keys, blocks)
     some = np.flatnonzero(cut[1:] > cut[:-1])
-    data = [keys[cut[b] : cut[b + 1]].tobytes() for b in some]
+    data = [exchange.pack_keys(keys[cut[b] : cut[b + 1]]) for b in some]
     spot = [b"" if places is None else places[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in some]
     return pa.table({"block": pa.array(some, pa.int64()), "chunk": pa.array([chunk] * len(some), pa.int64()), "keys": pa.array(data, pa.binary()), "places": pa.array(spot, pa.binary())})
 
@@ -79,7 +79,7 @@ def _answers(table: pa.Table) -> pa.Table:
     """For every key of every chunk, whether another chunk has it, and where: its first place there."""
     table = table.sort_by("chunk")
     chunks = table["chunk"].to_numpy()
-    keys, sizes = exchange.joined(table, "keys", 8)
+    keys, sizes = exchange.keys_of(table, "keys")
     places, given = exchange.joined(table, "places", 4)
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(keys, kind="stable")

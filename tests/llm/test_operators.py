@@ -90,6 +90,18 @@ def test_substrings(docs, rows, bytes_, monkeypatch):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def test_keys_are_packed_without_loss():
+    import numpy as np
+
+    exchange = substrings.exchange
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        for bits in (64, 40, 8):
+            keys = np.unique(rng.integers(0, 2**bits - 1, n, dtype=np.uint64, endpoint=True))
+            assert (exchange.unpack_keys(exchange.pack_keys(keys)) == keys).all()
+    assert (exchange.unpack(exchange.pack(np.array([1, 70000]))) == [1, 70000]).all()
+
+
 def test_parse_is_greedy():
     import numpy as np
 
