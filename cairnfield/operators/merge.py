@@ -162,3 +162,29 @@ def set_fields(table: DataFrame, values: DataFrame, key: str, document: str = "p
     """Shallow-merges a JSON patch (column `patch`) into a document column, by key."""
     joined = table.join(values.select(F.col(key).alias("_key"), F.col("patch").alias("_patch")), F.col(key) == F.col("_key"), "left")
     return joined.withColumn(document, F.when(F.col("_patch").isNotNull(), docs.text(docs.merge(docs.doc(document), docs.doc("_patch")))).otherwise(F.col(document))).select(*table.columns)
+
+
+def apply_enrichment(table: DataFrame, values: DataFrame, as_of: Column, block: str = "google") -> DataFrame:
+    """Enrichments (id, props JSON, fresh photos or null, place_id) merged in: fields into properties, photos behind those of other
+    sources (null leaves the gallery as it was), and the fetch's facts into custom_data under `block`."""
+    joined = table.join(values.select(F.col("id").alias("_id"), F.col("props").alias("_props"), F.col("fresh").alias("_fresh"), F.col("place_id").alias("_place")), F.col("id") == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    facts = docs.build(place_id=F.col("_place"), fetched_at=F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'"), status=F.lit("ok"))
+    merged = merge_photos(F.col("photo_meta"), F.col("_fresh"), block)
+    out = joined.withColumns(
+        {
+            "properties": F.when(hit, docs.text(docs.merge(docs.doc("properties"), docs.doc("_props")))).otherwise(F.col("properties")),
+            "custom_data": F.when(hit, docs.text(docs.put(docs.doc("custom_data"), block, facts))).otherwise(F.col("custom_data")),
+            "photo_meta": F.when(hit, merged).otherwise(F.col("photo_meta")),
+            "photos": F.when(hit & F.col("_fresh").isNotNull(), F.transform(merged, lambda m: m["url"])).otherwise(F.col("photos")),
+        }
+    )
+    return out.select(*table.columns)
+
+
+def submit_pending(pending: DataFrame, images: DataFrame) -> DataFrame:
+    """New images (feature_source, feature_key, url, caption, submitter_email) as pending rows; ids follow from their content, so a
+    repeated submission is there once; images without a URL are refused."""
+    ident = F.xxhash64("feature_source", "feature_key", "url")
+    new = images.filter(F.coalesce(F.trim("url"), F.lit("")) != "").withColumns({"id": ident, "status": F.lit("pending"), "caption": F.nullif(F.trim("caption"), F.lit("")), "url": F.trim("url")}).dropDuplicates(["id"])
+    return append(pending, new.join(pending.select("id"), "id", "left_anti"))

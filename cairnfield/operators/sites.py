@@ -107,6 +107,11 @@ def merge_inventory(inventory: DataFrame, found: DataFrame) -> DataFrame:
     return best.select("name", "campground", F.coalesce("b.ox", "px").alias("x"), F.coalesce("b.oy", "py").alias("y"), F.when(F.col("b").isNotNull(), "ocr").otherwise("vision").alias("origin"))
 
 
+def number_collisions(found: DataFrame) -> DataFrame:
+    """n, places: numbers that are left at two places or more, for a reviewer."""
+    return found.groupBy(number(F.col("label")).alias("n")).agg(F.count("*").alias("places")).filter("places > 1")
+
+
 def nearest_duplicate(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (id, px, py, ref_x, ref_y) with kept and far: of each key's rows the one nearest to its reference place is kept; survivors
     over FAR_PX away are marked."""

@@ -75,6 +75,20 @@ def photo_merge(spark: SparkSession, sf: str) -> DataFrame:
     return meta.select("user_id", F.array_join(F.transform(merged, lambda m: m["url"]), ",").alias("urls"))
 
 
+def enrichment_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as campgrounds, enriched from suppliers of the same key."""
+    c = v.table(spark, sf, "customer")
+    table = c.select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit('{"rating":1,"name":"'), "c_name", F.lit('"}')).alias("properties"), F.lit('{"note":1}').alias("custom_data"), F.array(F.lit("old"), F.lit("ours")).alias("photos"),
+        F.array(F.struct(F.lit("old").alias("url"), F.lit("").alias("caption"), F.lit("google").alias("source")), F.struct(F.lit("ours").alias("url"), F.lit("").alias("caption"), F.lit("community").alias("source"))).alias("photo_meta"),
+    )
+    k = F.col("s_suppkey")
+    fresh = F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("g"), k.cast("string")).alias("url"), F.lit("").alias("caption"), F.lit("google").alias("source"))))
+    values = v.table(spark, sf, "supplier").select(k.alias("id"), F.concat(F.lit('{"rating":'), (k % 5).cast("string"), F.lit("}")).alias("props"), fresh.alias("fresh"), F.concat(F.lit("p"), k.cast("string")).alias("place_id"))
+    out = merge.apply_enrichment(table, values, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return out.select("id", docs.field(docs.doc("properties"), "rating", "long").alias("rating"), F.array_join("photos", ",").alias("photos"), F.get_json_object("custom_data", "$.google.place_id").alias("place_id"), F.get_json_object("custom_data", "$.note").alias("note"))
+
+
 def top_photos(spark: SparkSession, sf: str) -> DataFrame:
     e = v.table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
     return e.select("user_id", F.array_join(F.transform(F.slice("s", 1, 5), lambda x: x["event_id"].cast("string")), ",").alias("first_five"))
@@ -112,7 +126,7 @@ def geojson_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    doc_merge, doc_patch, doc_set_key, doc_strip_nulls, doc_rename_key, doc_promote, json_sum, array_contains_object, array_register, photo_merge, top_photos, route_labels, climb_kinds, travel_minutes, stay_nights, geojson_round_trip,
+    doc_merge, doc_patch, doc_set_key, doc_strip_nulls, doc_rename_key, doc_promote, json_sum, array_contains_object, array_register, photo_merge, enrichment_applied, top_photos, route_labels, climb_kinds, travel_minutes, stay_nights, geojson_round_trip,
 )}
 
 _B = "CASE WHEN event_id % 3 = 0 THEN user_id ELSE (props::JSON->>'k')::BIGINT END"
@@ -127,6 +141,7 @@ ORACLES = {
     "array_contains_object": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 2 = 0",
     "array_register": "SELECT l_orderkey, (count(*) FILTER (l_linenumber <> 3) + 1)::INTEGER AS n, -1::BIGINT AS last_part FROM lineitem GROUP BY l_orderkey",
     "photo_merge": "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN concat_ws(',', string_agg('u' || event_id, ',' ORDER BY event_id) FILTER (event_type <> 'view'), 'new') ELSE string_agg('u' || event_id, ',' ORDER BY event_id) END AS urls FROM events GROUP BY user_id",
+    "enrichment_applied": "SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 1 ELSE s_suppkey % 5 END::BIGINT AS rating, CASE WHEN s_suppkey % 2 = 0 THEN 'ours,g' || s_suppkey ELSE 'old,ours' END AS photos, 'p' || s_suppkey AS place_id, '1' AS note FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
     "top_photos": "SELECT user_id, array_to_string(list_slice(list(event_id ORDER BY ts, event_id), 1, 5), ',') AS first_five FROM events GROUP BY user_id",
     "route_labels": "SELECT user_id, CASE WHEN contains(lower(s), 'loop') THEN s ELSE s || ' Loop' END AS label FROM (SELECT user_id, array_to_string(list_transform(list_slice(list(name ORDER BY name), 1, 3), lambda n: replace(n, ' Trail', '')), ' + ') AS s FROM (SELECT DISTINCT user_id, upper(event_type[1]) || event_type[2:] || CASE WHEN event_type = 'view' THEN ' Loop' ELSE ' Trail' END AS name FROM events WHERE value > 250) GROUP BY user_id)",
     "climb_kinds": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'boulder' ELSE coalesce(nullif(concat_ws('/', CASE WHEN p_partkey % 2 = 0 THEN 'trad' END, CASE WHEN p_partkey % 3 = 0 THEN 'sport' END, CASE WHEN p_partkey % 7 = 0 THEN 'alpine' END), ''), 'unknown') END AS kind FROM part",

@@ -98,8 +98,12 @@ def nearest_duplicate_kept(spark: SparkSession, sf: str) -> DataFrame:
     return sites.nearest_duplicate(rows, ["ref"]).select("id", "kept", "far")
 
 
+def site_number_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    return sites.number_collisions(sites.plausible(_parts(spark, sf)))
+
+
 QUERIES = {f.__name__: f for f in (
-    site_key_match, unmatched_sites, fuzzy_name_match, name_tokens, map_id_match, inside_first, token_clusters, misreads_dropped, fragment_suppression, merged_inventory, nearest_duplicate_kept,
+    site_key_match, unmatched_sites, fuzzy_name_match, name_tokens, map_id_match, inside_first, token_clusters, misreads_dropped, fragment_suppression, merged_inventory, nearest_duplicate_kept, site_number_collisions,
 )}
 
 _OURS = "(SELECT s_suppkey AS id, s_suppkey % 2 AS grp, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE '' END AS prefix, CASE s_suppkey % 3 WHEN 1 THEN (s_suppkey % 40)::VARCHAR ELSE s_suppkey::VARCHAR END AS number FROM supplier)"
@@ -121,6 +125,7 @@ ORACLES = {
     "map_id_match": "SELECT p.page_id AS id, first(s_suppkey ORDER BY s_suppkey * 17 % 101, s_suppkey) AS their_id FROM pages AS p JOIN supplier AS s ON p.page_id % 90 = s_suppkey % 60 AND p.page_id % 90 > 0 GROUP BY p.page_id",
     "inside_first": "SELECT o_custkey AS id, first(o_orderkey ORDER BY o_totalprice <= 300000, o_orderdate, o_orderkey) AS hit_id FROM orders GROUP BY o_custkey",
     "misreads_dropped": f"SELECT label, round(px, 1) AS px, round(py, 2) AS py FROM {_PARTS} WHERE NOT (label::INTEGER <= 100 AND px > 490 OR label::INTEGER >= 104 AND px < 440) AND label::INTEGER <= 250",
+    "site_number_collisions": f"SELECT label::INTEGER AS n, count(*) AS places FROM {_PARTS} WHERE NOT (label::INTEGER <= 100 AND px > 490 OR label::INTEGER >= 104 AND px < 440) AND label::INTEGER <= 250 GROUP BY 1 HAVING count(*) > 1",
     "fragment_suppression": f"SELECT label, round(px, 1) AS px, round(py, 2) AS py FROM {_PARTS} AS a WHERE NOT EXISTS (SELECT 1 FROM {_PARTS} AS b WHERE len(b.label) > len(a.label) AND starts_with(b.label, a.label) AND abs(a.px - b.px) <= 32 AND abs(a.py - b.py) <= 32)",
     "merged_inventory": f"""SELECT name, round(coalesce(struct_extract(m, 2), px), 1) AS x, round(coalesce(struct_extract(m, 3), py), 2) AS y, CASE WHEN m IS NULL THEN 'vision' ELSE 'ocr' END AS origin FROM (SELECT name, i.px, i.py, min(CASE WHEN d.px IS NOT NULL THEN ((d.px - i.px) * (d.px - i.px) + (d.py - i.py) * (d.py - i.py), d.px, d.py) END) AS m
       FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN '0' ELSE '' END || s_suppkey * 4 || CASE WHEN s_suppkey % 3 = 0 THEN 'E' ELSE '' END AS name, s_suppkey * 4 AS n, (s_suppkey * 53 % 1000)::DOUBLE AS px, (s_suppkey * 71 % 800)::DOUBLE AS py FROM supplier) AS i LEFT JOIN {_PARTS} AS d ON d.label = i.n::VARCHAR GROUP BY ALL)""",

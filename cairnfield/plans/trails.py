@@ -167,9 +167,26 @@ def loop_parking_links(spark: SparkSession, sf: str) -> DataFrame:
     return loops.link_parking(routes, lots.select(F.col("source").alias("lot"), "kind"), reached)
 
 
+def lots_snapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Lots at the nearest end of a trail, within 300 m."""
+    lines = v.trails(spark, sf).select(F.col("id").alias("eid"), "line")
+    s = loops.snap_lots(v.lots(spark, sf).select(F.col("id").alias("lot"), "x", "y"), lines)
+    return s.select("source", "node", F.round("dist0", 1).alias("dist0"))
+
+
+def loop_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Town loops with their lines closed, and how round they are."""
+    town = _loop_graph(spark)
+    at = lambda c: geo.point(F.split(c, ",")[0].cast("double"), F.split(c, ",")[1].cast("double"))
+    lines = town.select("eid", F.array(at(F.col("a")), at(F.col("b"))).alias("line"))
+    found = loops.distinct_loops(loops.enumerate_loops(town, 2.0, 4.0, legs=8)).withColumnRenamed("rank", "id")
+    out = loops.coordinates(found, lines)
+    return out.select("id", F.size("line").alias("n"), (geo.start(F.col("line")) == geo.end(F.col("line"))).alias("closed"), F.round(geo.compactness(F.col("line")), 4).alias("compactness"))
+
+
 QUERIES = {f.__name__: f for f in (
     trail_lengths, trail_endpoints, trail_near, trail_translate, ring_compactness, elevation_gain_loss, smooth_series, profile_resample, gap_fill, trail_stamp, dem_profile, stitched_profiles, graph_degrees, graph_components, graph_stats,
-    graph_two_core, graph_shortest_paths, trail_graph, route_legs, loops_bounded, loops_distinct, loops_atoms, loops_composed, loop_parking_links,
+    graph_two_core, graph_shortest_paths, trail_graph, route_legs, loops_bounded, loops_distinct, loops_atoms, loops_composed, loop_parking_links, lots_snapped, loop_lines,
 )}
 
 _STEP = f"(SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))"

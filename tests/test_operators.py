@@ -86,6 +86,9 @@ def test_drawn_and_photos(spark):
     assert row["photos"] == ["p", "u"] and [m["source"] for m in row["photo_meta"]] == ["google", "community"] and after.first()["status"] == "approved"
     again, _ = merge.approve(out, after, 7)
     assert again.filter("id = 1").first()["photos"] == ["p", "u"]
+    images = spark.createDataFrame([("s", "d1", " u2 ", " ", "m"), ("s", "d1", "", "x", "m"), ("s", "d1", "u2", "again", "m")], "feature_source string, feature_key string, url string, caption string, submitter_email string")
+    more = merge.submit_pending(merge.submit_pending(after, images.limit(1)), images.limit(1))
+    assert sorted((r["url"], r["caption"], r["status"]) for r in more.collect()) == [("u", "cap", "approved"), ("u2", None, "pending")]
     assert merge.set_photos(t, "s", "d1", ["x"]).filter("id = 1").first()["photos"] == ["x"]
     set_ = merge.set_fields(t, spark.createDataFrame([(1, '{"sv":"ok"}')], "id long, patch string"), "id")
     assert json.loads(set_.filter("id = 1").first()["properties"]) == {"_draw_id": "d1", "sv": "ok"}
