@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.llm import rows
+from cairnfield.session import cut
 
-WINDOW, BLOCK = 10, 100_000
+WINDOW, BLOCK, SMALL = 10, 100_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,22 +59,28 @@ def hits(docs: DataFrame, block: DataFrame) -> DataFrame:
     rarest = places.join(seen, "token", "left").groupBy("item", "win", "n").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "at")).alias("first"))
     # a token that no document has rules its window out
     prefix = rarest.filter("first.seen > 0").select("item", "win", "n", F.col("first.token").alias("token"), F.col("first.at").alias("at"))
-    occurrences = parsed.select("doc", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    placed = parsed.select("doc", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
     fits = (F.col("n") <= F.col("n_words")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win")
-    found = occurrences.join(F.broadcast(prefix), (F.col("word") == F.col("token")) & fits & same)
+    found = placed.join(F.broadcast(prefix), (F.col("word") == F.col("token")) & fits & same)
     return found.select("doc", "text_hash", "item", start.alias("start"), "n")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row, and text_hash."""
+def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """hits() over all blocks of the benchmark."""
     every = windows(benchmark)
     blocks = max(1, math.ceil(every.count() / BLOCK))
     dealt = every.withColumn("block", F.pmod(F.xxhash64("item", "win"), F.lit(blocks)))
     found = hits(docs, dealt.filter(F.col("block") == 0).drop("block"))
     for k in range(1, blocks):
         found = found.unionByName(hits(docs, dealt.filter(F.col("block") == k).drop("block")))
+    return found
+
+
+def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row, and text_hash."""
+    found = occurrences(docs, benchmark)
     spans = found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     union = F.aggregate(
         "spans",
@@ -90,9 +97,10 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without any hit, as they were."""
-    bad = scan(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    """The rows without any hit, as they were. The ids of the others are broadcast up to SMALL rows, counted before."""
+    bad = cut(occurrences(docs, benchmark).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= SMALL else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
