@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -23,8 +25,11 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once an application, for their Python workers to import."""
+    """Sends this package to the executors once an application, for their Python workers to import, and bounds Arrow batches."""
     context = spark.sparkContext
+    # rows are long here: fewer of them a batch than Spark's default keep batches to some MB on both sides
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     if context.applicationId in _shipped:
         return
     package = Path(__file__).parent
