@@ -102,7 +102,7 @@ def graph_two_core(spark: SparkSession, sf: str) -> DataFrame:
 def graph_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """From three sources, within a cap."""
     sources = spark.createDataFrame([("s1", "c1", 0.0), ("s2", "c2", 0.0), ("s3", "c10", 1.5)], "source string, node string, dist0 double")
-    return graph.shortest(v.edges(spark, sf), sources, cap=400.0).select("source", "node", F.round("dist", 2).alias("dist"))
+    return graph.shortest(v.edges(spark, sf), sources, cap=1500.0).select("source", "node", F.round("dist", 2).alias("dist"))
 
 
 def trail_graph(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,6 +219,9 @@ ORACLES = {
     "graph_components": f"WITH RECURSIVE both_ AS {_BOTH}, {_REACH} SELECT node, min(other) AS component FROM reach GROUP BY node",
     "graph_stats": f"""WITH RECURSIVE both_ AS {_BOTH}, {_REACH}, c AS (SELECT component, count(*) AS n FROM (SELECT node, min(other) AS component FROM reach GROUP BY node) GROUP BY component)
       SELECT (SELECT count(*) FROM {_DEGREE}) AS nodes, (SELECT count(*) FROM {_DEGREE} WHERE degree = 1) AS dead_ends, (SELECT count(*) FROM {_DEGREE} WHERE degree >= 3) AS junctions, count(*) AS edges, round(sum(len), 2) AS length, count(DISTINCT name) AS names, (SELECT count(*) FROM c) AS components, (SELECT max(n) FROM c) AS largest FROM {v.EDGES}""",
+    "graph_shortest_paths": f"""WITH RECURSIVE e AS (SELECT a, b, min(len) AS len FROM (SELECT a, b, len FROM {v.EDGES} UNION ALL SELECT b, a, len FROM {v.EDGES}) GROUP BY a, b), p(source, node, dist, hops) AS (SELECT * FROM (VALUES ('s1', 'c1', 0.0::DOUBLE, 0), ('s2', 'c2', 0.0::DOUBLE, 0), ('s3', 'c10', 1.5::DOUBLE, 0))
+      UNION ALL (SELECT source, node, min(dist), hops FROM (SELECT source, b AS node, dist + len AS dist, hops + 1 AS hops FROM p JOIN e ON node = a WHERE dist + len <= 1500 AND hops < 60) GROUP BY source, node, hops))
+      SELECT source, node, round(min(dist), 2) AS dist FROM p GROUP BY source, node""",
     "trail_graph": f"""WITH e AS (SELECT {_NODE.format('x0', 'y0')} AS a, {_NODE.format('x1', 'y1')} AS b FROM {_FIRST} WHERE n > 1) SELECT degree, count(*) AS n FROM (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY node) GROUP BY degree""",
     "route_legs": "SELECT route, leg::INTEGER AS leg, any_value(event_type) AS name, round(sum(value ORDER BY ts, event_id) / 1609.344, 4) AS miles FROM (SELECT *, sum(fresh) OVER (PARTITION BY route ORDER BY ts, event_id) AS leg FROM (SELECT user_id AS route, ts, event_id, event_type, value, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY route, leg",
 }
