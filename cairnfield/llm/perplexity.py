@@ -65,18 +65,18 @@ class Chunk:
 def ask(table: pa.Table, blocks: int) -> pa.Table:
     chunk = Chunk(table)
     number = table["chunk"][0].as_py()
-    columns: dict[str, list] = {k: [] for k in ("uni", "uni_n", "bi", "bi_n")}
-    for name, keys, of in (("uni", chunk.uni, chunk.uni_of), ("bi", chunk.bi, chunk.bi_of)):
-        n, cut = chunk.counts(of, keys), exchange.borders(keys, blocks)
-        for b in range(blocks):
-            columns[name].append(exchange.pack_keys(keys[cut[b] : cut[b + 1]]))
-            columns[f"{name}_n"].append(exchange.pack(n[cut[b] : cut[b + 1]]))
-    # every block is asked, if about nothing, as each adds its part to the totals
-    return pa.table({"block": pa.array(range(blocks), pa.int64()), "chunk": pa.array([number] * blocks, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+    parts = [(keys, chunk.counts(of, keys), exchange.borders(keys, blocks)) for keys, of in ((chunk.uni, chunk.uni_of), (chunk.bi, chunk.bi_of))]
+    asked = np.flatnonzero(sum(np.diff(cut) for _, _, cut in parts))  # blocks without a question get no row
+    out: dict[str, pa.Array] = {"block": pa.array(asked, pa.int64()), "chunk": pa.array([number] * len(asked), pa.int64())}
+    for name, (keys, n, cut) in zip(("uni", "bi"), parts, strict=True):
+        out[name] = pa.array([exchange.pack_keys(keys[cut[b] : cut[b + 1]]) for b in asked], pa.binary())
+        out[f"{name}_n"] = pa.array([exchange.pack(n[cut[b] : cut[b + 1]]) for b in asked], pa.binary())
+    return pa.table(out)
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Training counts of every key of every chunk; those of the held-out chunks too, for these."""
+    """Training counts of every key of every chunk; those of the held-out chunks too, for these; and, as chunk -1, the
+    block's training tokens and types."""
     chunks = table["chunk"].to_numpy()
     held = chunks % EVERY == 0
     out: dict[str, list] = {}
@@ -92,8 +92,15 @@ def answer(table: pa.Table) -> pa.Table:
         out[f"{name}_n"] = [exchange.pack(total[of[hi - k : hi]]) for hi, k in zip(ends, sizes, strict=True)]
         out[f"{name}_held"] = [exchange.pack(apart[of[hi - k : hi]]) if h else b"" for hi, k, h in zip(ends, sizes, held, strict=True)]
     k = len(chunks)
-    columns = {"chunk": table["chunk"], "block": table["block"], "tokens": pa.array([tokens] * k, pa.int64()), "types": pa.array([types] * k, pa.int64())}
-    return pa.table(columns | {name: pa.array(v, pa.binary()) for name, v in out.items()}).select(["chunk", "block", "tokens", "types", "uni_n", "uni_held", "bi_n", "bi_held"])
+    columns = {"chunk": pa.array([*chunks, -1], pa.int64()), "block": pa.array([table["block"][0].as_py()] * (k + 1), pa.int64())}
+    columns |= {"tokens": pa.array([0] * k + [tokens], pa.int64()), "types": pa.array([0] * k + [types], pa.int64())}
+    return pa.table(columns | {name: pa.array([*out[name], b""], pa.binary()) for name in ("uni_n", "uni_held", "bi_n", "bi_held")})
+
+
+def totals(table: pa.Table) -> pa.Table:
+    """Training tokens and types of all blocks, which are the rows of chunk -1."""
+    mine = [table["chunk"][0].as_py()] * (table["chunk"][0].as_py() < 0)
+    return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist()) for _ in mine], pa.int64()), "types": pa.array([sum(table["types"].to_pylist()) for _ in mine], pa.int64())})
 
 
 def _counts(answers: pa.Table, name: str) -> np.ndarray:
@@ -119,7 +126,7 @@ def held_out_histogram(left: pa.Table, right: pa.Table) -> pa.Table:
     chunk, answers = Chunk(left), right.sort_by("block")
     uni_held, bi_held = _counts(answers, "uni_held"), _counts(answers, "bi_held")
     uni, bi = _counts(answers, "uni_n") - uni_held, _counts(answers, "bi_n") - bi_held
-    tokens, types = sum(answers["tokens"].to_pylist()), sum(answers["types"].to_pylist())
+    tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
     some = chunk.train
     context = uni[chunk.context_of[some]]
     uniform = 1 / (types + 1)
@@ -163,9 +170,10 @@ def _weights(table: pa.Table) -> pa.Table:
 
 
 def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The rows of one chunk; every chunk has asked about the end token, and so has answers."""
     chunk, answers = Chunk(left), right.sort_by("block")
     uni, bi = _counts(answers, "uni_n"), _counts(answers, "bi_n")
-    tokens, types = sum(answers["tokens"].to_pylist()), sum(answers["types"].to_pylist())
+    tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
     weights = np.frombuffer(answers["weights"][0].as_py()).reshape(BUCKETS, 3)
     c = uni[chunk.uni_of]
     base = np.log10(uni + 1) - np.log10(tokens + (types + 1))
@@ -191,11 +199,13 @@ def scan(docs: DataFrame) -> DataFrame:
     n, by_chunk = exchange.partitions(spark), dealt.groupBy("chunk")
     asked = by_chunk.applyInArrow(lambda t: ask(t, chunks), ASKED).repartition(n, "block")
     answers = asked.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk")
-    histogram = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(held_out_histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = answers.groupBy("chunk").applyInArrow(totals, "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("all_types")).withColumn("one", F.when(F.col("all_types") >= 0, 1).otherwise(0))
+    informed = answers.withColumn("one", F.when(F.col("chunk") >= 0, 1).otherwise(0)).join(F.broadcast(sums), "one")
+    histogram = by_chunk.cogroup(informed.groupBy("chunk")).applyInArrow(held_out_histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     # a row of its own, for a histogram without any
     always = spark.range(1).select(F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("n"))
     weights = histogram.unionByName(always).groupBy(F.lit(1).alias("one")).applyInArrow(_weights, "one int, weights binary")
-    informed = answers.withColumn("one", F.when(F.col("chunk") >= 0, 1).otherwise(0)).join(F.broadcast(weights), "one").drop("one")
+    informed = informed.join(F.broadcast(weights), "one").drop("one")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_chunk.cogroup(informed.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
