@@ -1,16 +1,17 @@
 """Operator 4, MinHash near-dedup: odd sketches for banded candidates, exact confirmation, connected components.
 
-Texts with the same set of shingles are one node. A node has SAMPLES MinHash samples; the first BANDS * ROWS of them make its bands, and all
+Texts are linked from a similarity of `percent` on, PERCENT if not given.
+Texts with the same set of shingles are one node. A node has SAMPLES MinHash samples; the first n_bands() * ROWS of them make its bands, and all
 are folded into a parity bitmap of SKETCH bits (the odd sketch): bits that differ between two sketches estimate how far the
-sets are apart. Nodes that share a band are candidates; a candidate pair whose sketches differ in over MOST_BITS bits (six
-standard deviations beyond what similarity 0.85 gives) is dropped, the others are confirmed on full sets.
+sets are apart. Nodes that share a band are candidates; a candidate pair whose sketches differ in over most_bits() bits (six
+standard deviations beyond what the similarity gives) is dropped, the others are confirmed on full sets.
 
 Groups are never expanded into all pairs at once:
 1. each node meets one pivot a band, and is confirmed with the one whose sketch is nearest;
 2. the other (node, pivot) pairs that are still in different components are confirmed;
 3. bands that still hold nodes of different components are searched exhaustively, in blocks of about BLOCK nodes, with full sets.
 So every pair that shares a band is either confirmed, refuted, or inside one component; a pair at the threshold shares no
-band with probability 4e-7.
+band with probability MISSED.
 
 Null and empty texts have no shingles and are linked with nothing; null ids are never a component's name, unless all
 of its are null; repeated rows are one node, and all rows with the component's doc_id are kept by scan() (clean() keeps one); an empty table gives
@@ -19,6 +20,8 @@ no rows; further columns are ignored by scan() and kept by clean().
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +32,7 @@ from cairnfield.operators.components import components
 from cairnfield.session import cut, ship
 
 SHINGLE, PERCENT = 5, 85
-SAMPLES, BANDS, ROWS, SKETCH, MOST_BITS = 128, 20, 4, 256, 64
+SAMPLES, ROWS, SKETCH, MISSED, DEVIATIONS = 128, 4, 256, 4e-7, 6
 BLOCK, SMALL = 400, 500_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -38,6 +41,23 @@ _SCALE = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.u
 _SALT = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
 
+def n_bands(percent: int) -> int:
+    """As few bands as let a pair at the threshold share none with probability MISSED at most."""
+    n = math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+    if n * ROWS > SAMPLES:
+        raise ValueError(f"{SAMPLES} samples are too few for a similarity of {percent} percent")
+    return n
+
+
+def most_bits(percent: int) -> int:
+    """Bits that sketches at the threshold differ in: their mean and DEVIATIONS standard deviations. Samples differ
+    independently; each that does flips two bits."""
+    apart = 1 - percent / 100
+    one, two = ((1 - apart + apart * (1 - k / SKETCH) ** 2) ** SAMPLES for k in (2, 4))
+    mean, variance = SKETCH / 2 * (1 - one), SKETCH / 4 * (1 + (SKETCH - 1) * two - SKETCH * one**2)
+    return math.ceil(mean + DEVIATIONS * math.sqrt(variance))
+
+
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text: text numbers, rising, and hashes. Shorter texts are one shingle."""
     w = vec.Words(texts, lower=True)
@@ -53,7 +73,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return of[first], hashes[first]
 
 
-def _signed(texts: pa.Array, _: pa.RecordBatch) -> dict:
+def _signed(texts: pa.Array, n_band: int) -> dict:
     of, hashes = shingles(texts)
     n = len(texts)
     size = np.bincount(of, minlength=n)
@@ -65,9 +85,9 @@ def _signed(texts: pa.Array, _: pa.RecordBatch) -> dict:
         one, two = np.add.reduceat(vec.mix(hashes), head), np.add.reduceat(vec.mix(hashes ^ np.uint64(0xC0FFEE)), head)
         small = (hashes >> np.uint64(32)).astype(np.uint32)
         sample = np.stack([np.minimum.reduceat((small ^ _FLIP[k]) * _SCALE[k], head) for k in range(SAMPLES)], 1).astype(np.uint64)
-        key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(some), 0)
+        key = np.repeat(np.arange(n_band, dtype=np.uint64)[None], len(some), 0)
         for r in range(ROWS):
-            key = vec.mix(key * np.uint64(0x9E3779B97F4A7C15) + sample[:, r : BANDS * ROWS : ROWS])
+            key = vec.mix(key * np.uint64(0x9E3779B97F4A7C15) + sample[:, r : n_band * ROWS : ROWS])
         place = (vec.mix(sample ^ _SALT) >> np.uint64(32)).astype(np.int64) % SKETCH
         bits = np.bincount((np.arange(len(some))[:, None] * SKETCH + place).ravel(), minlength=len(some) * SKETCH).reshape(-1, SKETCH) & 1
         longs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
@@ -77,11 +97,12 @@ def _signed(texts: pa.Array, _: pa.RecordBatch) -> dict:
     return out | {"node": pa.array(node, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.list_(pa.int64()))}
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, and of texts with shingles node, bands, sketch."""
     plain = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.map_texts(plain, _signed, ["doc_id", "text_hash"], f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    n_band = n_bands(percent)
+    return rows.map_texts(plain, lambda texts, _: _signed(texts, n_band), ["doc_id", "text_hash"], f"doc_id {kind}, text_hash long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -93,7 +114,7 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _confirmed(batches):
+def _confirmed(batches, percent: int):
     for batch in batches:
         left, right = vec.flat(batch.column("text_a")), vec.flat(batch.column("text_b"))
         lo = 0
@@ -109,16 +130,16 @@ def _confirmed(batches):
             n = hi - lo
             inter = np.bincount(of_a[shared], minlength=n)
             union = np.bincount(of_a, minlength=n) + np.bincount(of_b, minlength=n) - inter
-            linked = (100 * inter >= PERCENT * union) & (union > 0)
+            linked = (100 * inter >= percent * union) & (union > 0)
             yield batch.slice(lo, n).select(["a", "b"]).filter(pa.array(linked))
             lo = hi
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar enough."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a binary, b binary")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirmed(batches, percent), "a binary, b binary")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,7 +158,7 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(known.unionByName(new))
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(table: pa.Table, percent: int, most: int) -> pa.Table:
     """Links between a block of strangers and another block: for each stranger one to every other component that it reaches.
 
     Sketches say where to look; the shared shingles of a stranger and the whole other block are counted in an inverted index.
@@ -164,7 +185,7 @@ def _across(table: pa.Table) -> pa.Table:
     a, b = [], []
     for x in left:
         bits = np.bitwise_count(sketch[right] ^ sketch[x]).sum(1)
-        near = right[(bits <= MOST_BITS) & (label[right] != label[x])]
+        near = right[(bits <= most) & (label[right] != label[x])]
         if not len(near):
             continue
         own = hashes[cut_[x] : cut_[x + 1]]
@@ -172,14 +193,14 @@ def _across(table: pa.Table) -> pa.Table:
         n = hi - lo
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         shared = np.bincount(owner[at], minlength=len(node))[near]
-        good = near[100 * shared >= PERCENT * (size[x] + size[near] - shared)]
+        good = near[100 * shared >= percent * (size[x] + size[near] - shared)]
         _, one = np.unique(label[good], return_index=True)
         a += [node[x]] * len(one)
         b += [node[y] for y in good[one]]
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links a, b between nodes that share a band and are in different components: at least one for every two components linked so.
 
     Bands whose nodes are not all in one component are put together by the component that most of their nodes are in. Nodes of
@@ -199,13 +220,14 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
     out = F.concat(F.transform(upto("home"), lambda m: task(0, own, m, 0)), F.transform(upto("away"), lambda o: F.when(own <= o, task(1, own, o, 0)).otherwise(task(1, o, own, 1))))
     tasks = dealt.select("hub", "node", "label", F.explode(F.when(stranger, out).otherwise(F.transform(upto("away"), lambda o: task(0, o, own, 1)))).alias("task"))
     rows_ = tasks.select("hub", "node", "label", "task.*").join(nodes.select("node", "sketch"), "node").join(texts, "node")
-    return rows_.groupBy("hub", "kind", "i", "j").applyInArrow(lambda t: _across(t), "a binary, b binary")
+    most = most_bits(percent)
+    return rows_.groupBy("hub", "kind", "i", "j").applyInArrow(lambda t: _across(t, percent, most), "a binary, b binary")
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, component_id, kept of every row."""
     ship(docs.sparkSession)
-    every = cut(signed(docs))
+    every = cut(signed(docs, percent))
     kind = docs.schema["doc_id"].dataType
     nodes = cut(every.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("doc_id", "text_hash"), F.coalesce(F.hash("doc_id", "text_hash"), F.lit(0))).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     banded = nodes.select("node", F.explode("bands").alias("key"))
@@ -213,20 +235,20 @@ def linked(docs: DataFrame) -> DataFrame:
     members = cut(banded.join(pivots, "key"))
     pairs = members.filter(F.col("node") != F.col("pivot")).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
     sketches = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    near = cut(pairs.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("bits", _apart("sketch_a", "sketch_b")).filter(F.col("bits") <= MOST_BITS).select("a", "b", "node", "bits"))
+    near = cut(pairs.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("bits", _apart("sketch_a", "sketch_b")).filter(F.col("bits") <= most_bits(percent)).select("a", "b", "node", "bits"))
     # the texts of all nodes that share a band
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("row.doc_id").alias("of"), F.col("row.text_hash").alias("hash"))
     wanted = sized(cut(wanted))
     texts = cut(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash"))).select("node", "text").dropDuplicates(["node"]))
     # 1: the nearest pivot of each node
     nearest = near.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("pair")).select("pair.*").distinct()
-    labels = cut(components(confirm(nearest, texts), "a", "b"))
+    labels = cut(components(confirm(nearest, texts, percent), "a", "b"))
     # 2: the other pivots in other components
     more = cut(_labelled(near.select("a", "b").distinct(), labels).select("a", "b"))
     if not more.isEmpty():
-        labels = _merge(labels, cut(confirm(more, texts)))
+        labels = _merge(labels, cut(confirm(more, texts, percent)))
     # 3: all that is left
-    rest = cut(_rest(members.select("node", "key"), nodes, labels, texts))
+    rest = cut(_rest(members.select("node", "key"), nodes, labels, texts, percent))
     if not rest.isEmpty():
         labels = _merge(labels, rest)
     labelled = nodes.select("node", F.col("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -237,14 +259,14 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", "node", name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    return linked(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return linked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, as it was, and all rows without shingles."""
-    found = cut(linked(docs))
+    found = cut(linked(docs, percent))
     gone = sized(cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()))
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
     again = found.filter(F.col("kept") & F.col("node").isNotNull()).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_doc"))
@@ -260,7 +282,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(rows.documents(spark, sf_dir))
+    return scan(rows.documents(spark, sf_dir), PERCENT)
 
 
 ORACLE = r"""

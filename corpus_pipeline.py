@@ -1,7 +1,7 @@
 """From documents to a training mix: five stages, each over all rows that the one before kept.
 
 quality rules     rejects documents and removes failing lines
-near-dedup        keeps one document of each group of near copies
+near-dedup        keeps one document of each group of near copies (five words, similarity 0.85 or more)
 decontamination   drops documents that hold benchmark windows
 secret scan       masks secrets in the texts
 source mix        gives every document its copies, for the sources' target weights
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.clean(docs.select(*rows.DOCUMENT))
 
 
-def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.clean(docs).select(*rows.DOCUMENT)
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = near_dups.PERCENT) -> DataFrame:
+    return near_dups.clean(docs, percent).select(*rows.DOCUMENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
