@@ -1,7 +1,7 @@
 """Operator 9, quality rules: line-first cleaning.
 
-Each line with a word is judged by itself: navigation (many `|` words), symbol soup, shouting, boilerplate
-phrases, short lines without closing punctuation, and copies of an earlier line. Lines that fail are removed; a text that loses more
+Each line with a word is judged by itself: navigation (many `|` words), symbol soup, shouting, lines of which boilerplate
+phrases are a good part (MENTION of the words, or anything if the line is of under MIN_WORDS words; a mention in prose is none), short lines without closing punctuation, and copies of an earlier line. Lines that fail are removed; a text that loses more
 than MAX_LOST of its word characters is rejected. Before that, whole-text base rules reject texts of under
 MIN_WORDS words and those in which over MAX_REPEAT percent of the words lie in repeated 5-word windows.
 
@@ -28,7 +28,9 @@ MIN_WORDS, MAX_REPEAT, WINDOW, MAX_LOST = 10, 20, 5, 0.5
 NAVIGATION, SYMBOLS, SHOUTING = 0.25, 0.5, 0.7
 #: A line of at most so many words needs closing punctuation.
 SHORT = 3
-BOILERPLATE = re.compile(rb"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe (?:now|to our)|licensed under|sign (?:in|up) |javascript", re.I)
+#: Share of a line's words in boilerplate phrases from which it fails.
+MENTION = 0.25
+BOILERPLATE = re.compile(rb"(?<![\w\x80-\xff])(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe (?:now|to our)|licensed under|sign (?:in|up)|javascript)(?![\w\x80-\xff])", re.I)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -36,6 +38,10 @@ _UPPER, _LETTER, _CLOSING = np.zeros(256, bool), np.zeros(256, bool), np.zeros(2
 _UPPER[0x41:0x5B] = True
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _CLOSING[list(b".!?:;\"')]}")] = True
+#: Closing marks beyond ASCII: full stops, question and exclamation marks, colons, ellipses, quotes and brackets of other scripts.
+CLOSING = "。．｡！？：；…‥」』】）］｝〉》〕〗〙〛｣”’»›‹«“‘؟۔؛।॥։።፧‽⁇⁈⁉·;᠃။។៕༎།"
+
+_MARKS = sorted({x.encode() for x in CLOSING})
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lost_chars long, kept boolean"
 
@@ -83,11 +89,22 @@ def measure(texts: pa.Array, cleaned: bool = False) -> dict:
     symbols = _between(_SYMBOL[data], lo, hi)
     letters, upper = _between(_LETTER[data], lo, hi), _between(_UPPER[data], lo, hi)
     closing = np.zeros(len(of), bool)
-    closing[some] = _CLOSING[data[w.end[first_word[some] + words[some] - 1] - 1]]
+    last_byte = np.zeros(len(of), np.int64)
+    last_byte[some] = w.end[first_word[some] + words[some] - 1] - 1
+    closing[some] = _CLOSING[data[last_byte[some]]]
+    far = some[data[last_byte[some]] >= 0x80]
+    for mark in _MARKS if len(far) else ():  # their last bytes also end letters: all bytes are compared
+        at = last_byte[far] - (len(mark) - 1)
+        hit = at >= lo[far]
+        for i, byte in enumerate(mark):
+            hit &= data[np.maximum(at + i, 0)] == byte
+        closing[far] |= hit
     fails = (bars > NAVIGATION * words) & (words > 1) | (symbols > SYMBOLS * words) & (symbols > 2) | (upper > SHOUTING * letters) & (words > 3)
     fails |= ~closing & (words <= SHORT) | copy
+    phrases = np.zeros(len(of), np.int64)
     for m in BOILERPLATE.finditer(data.tobytes()):
-        fails[np.searchsorted(lo, m.start(), "right") - 1] = True
+        phrases[np.searchsorted(lo, m.start(), "right") - 1] += m[0].count(b" ") + 1
+    fails |= (phrases > 0) & ((phrases >= MENTION * words) | (words < MIN_WORDS))
     fails &= full
     word_chars = np.bincount(of, line_chars, n).astype(np.int64)
     lost = np.bincount(of[fails], line_chars[fails], n).astype(np.int64)

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from cairnfield.llm import near_dups  # noqa: E402
+from cairnfield.llm import near_dups, quality_rules  # noqa: E402
 
 
 def near_at(rows, percent):
@@ -69,3 +69,34 @@ def test_near_bounds_follow_the_similarity():
         assert near_dups.most_bits(percent) == pytest.approx(mean + 6 * sd, rel=0.06)
     with pytest.raises(ValueError):
         near_dups.n_bands(70)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdeiourst") for _ in range(6)) for _ in range(n))
+
+
+CLEAN = [
+    f"{prose(1, 40)} design in steel, assign up to two, javascriptish {prose(2, 20)}.",
+    f"{prose(3, 60)} he wrote it in JavaScript {prose(4, 60)}, and one may click here to sign in to it {prose(5, 60)}.",
+    "\n".join(f"{x}今天的天气很好我们去山上看日出{x}。" for x in "一二三四五六七八九十百千"),
+    "\n".join(f"これは{x}番目の静かな文です{mark}" for x, mark in zip("一二三四五六七八九十百千", "。！？」』）…”’»。．")),
+    "\n".join(f"यह {x} है।" for x in "कखगघचछजझटठडढ"),
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_texts_are_kept_whole(text):
+    import pyarrow as pa
+
+    out = quality_rules.measure(pa.array([text], pa.large_string()), cleaned=True)
+    assert (out["cleaned"][0].as_py(), bool(out["kept"][0]), int(out["lost_chars"][0])) == (text, True, 0)
+
+
+def test_boilerplate_lines_still_fail():
+    import pyarrow as pa
+
+    body = "\n".join(prose(k, 20) + "." for k in range(5))
+    lines = ["Please enable JavaScript to go on.", "Copyright 2020, all rights reserved.", "Sign in | or (sign up)", "Read our privacy policy and our terms of use, and subscribe to our letters.", "更多新闻", "naïveté"]
+    out = quality_rules.measure(pa.array(["\n".join([*lines, body])], pa.large_string()), cleaned=True)
+    assert out["cleaned"][0].as_py() == body
