@@ -2,7 +2,7 @@
 
 Three base patterns are matched leftmost and non-overlapping over whole texts. Beyond them, the texts that
 name anything sensitive are lexed as source or configuration: `name = literal`, `name: literal`,
-`"name" => literal` and the like become name-literal pairs, `name = other` propagates the constant last
+`"name" => literal` and the like become name-literal pairs (quoted, or bare values of .env, INI and YAML text), `name = other` propagates the constant last
 bound to `other`, and a literal is scored by what its target names say. A literal that reaches MIN_SCORE is
 added as a span of kind `bound`, unless a base span covers it.
 
@@ -31,11 +31,25 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Parts of a target name and what they add to its literal's score.
-SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 2, "credentials": 2, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 2, "signing": 1, "bearer": 2}
+SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 1, "private": 1, "access": 1, "api": 1, "key": 2, "signing": 1, "bearer": 3}
+#: Parts that add one less in the name of something about a secret.
+ABLE = {"pass", "token", "credential", "credentials", "bearer"}
+ABOUT = {"count", "dir", "endpoint", "expires", "expiry", "file", "id", "index", "len", "length", "limit", "max", "min", "name", "path", "rate", "size", "ttl", "type", "uri", "url"}
 HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential|auth|bearer")
-PAIR = re.compile(r"""(?a)(?<![\w.$-])["']?([A-Za-z_$][\w.$-]{0,63})["']?[ \t]*(?::=|=>|[=:])[ \t]*(?:(["'`])((?:\\.|(?!\2)[^\\\n]){8,512})\2|([A-Za-z_$][\w.$]{0,63})(?![\w.$(]))""")
+#: A name and the separator after it; names and literals are of any length, and every pattern reads its characters a bounded number of times.
+_NAME = r"""["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
+NAME = re.compile(r"(?a)(?<![\w.$-])" + _NAME)
+QUOTED = {q: re.compile(rf"{q}((?:\\.|[^\\\n{q}])*+){q}") for q in "\"'`"}
+OTHER = re.compile(r"(?a)([A-Za-z_$][\w.$]*+)(?!\()")
+#: A line of .env, INI or YAML text: its value is the whole word, up to a comment. Elsewhere a bare value ends at the next delimiter.
+LINE = re.compile(rf"(?am)^[ \t]*+(?:(?:export|set|-)[ \t]++)?{_NAME}([^\s\"'`]\S*+)[ \t\r]*+(?:[#;][^\n]*+)?$")
+BARE = re.compile(r"[^\s\"'`,;&=:(){}\[\]<>|]++={0,2}")
+#: Bare values that say where a value is: calls, variables, templates, addresses, paths.
+ELSEWHERE = re.compile(r"(?a)[A-Za-z_$][\w.$]*[(\[]|\$\{?[A-Za-z_]\w*\}?$|\$?\{\{|[<\[{=:(]|[A-Za-z][\w+.-]*://[^@]*$|[~.]?(?:/[\w.-]+){2,}/?$")
+DOTTED = re.compile(r"(?a)[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+")
+WORDY = re.compile(r"[a-z_]+[0-9]*|[A-Z_]+[0-9]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-MIN_SCORE, MIN_ENTROPY = 3.0, 2.5
+MIN_SCORE, MIN_ENTROPY, MIN_LENGTH = 3.0, 2.5, 8
 
 
 def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, int]]:
@@ -51,7 +65,11 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, in
 
 
 def name_score(names: set[str]) -> float:
-    return max((sum(SENSITIVE.get(p.lower(), 0) for p in set(PARTS.findall(n))) for n in names), default=0)
+    return max((_score({p.lower() for p in PARTS.findall(n)}) for n in names), default=0)
+
+
+def _score(parts: set[str]) -> float:
+    return sum(SENSITIVE.get(p, 0) - (p in ABLE and not parts.isdisjoint(ABOUT)) for p in parts)
 
 
 def entropy(literal: str) -> float:
@@ -59,20 +77,47 @@ def entropy(literal: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (literal.count(x) for x in set(literal)))
 
 
+def bare(text: str, lo: int, line: tuple[int, bool] | None) -> tuple[int, int] | None:
+    """The literal of a value without quotes, if it is one. line: where the value of a configuration line ends, and whether it stands close to its name."""
+    end = line[0] if line else m.end() if (m := BARE.match(text, lo)) else lo
+    word = text[lo:end]
+    if line:
+        word = word.rstrip(",;")
+    if ELSEWHERE.match(word) or not re.search("[A-Za-z]", word):
+        return None
+    mixed = lambda x: len(x) >= 8 and all(re.search(c, x) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    if DOTTED.fullmatch(word) and not any(map(mixed, word.split("."))):
+        return None
+    if WORDY.fullmatch(word) and not (line and line[1] and lo + len(word) == end):
+        return None
+    if not re.search("[0-9]", word) and not (line and re.search(r"[!@#%^&*+?~]", word)):
+        return None
+    return lo, lo + len(word)
+
+
 def bound_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that reach a sensitive name, straight or through other names."""
     value: dict[str, tuple[int, int]] = {}  # name -> literal now bound to it
     names: dict[tuple[int, int], set[str]] = {}
-    for m in PAIR.finditer(text):
-        name, other = m[1], m[4]
-        literal = (m.start(3), m.end(3)) if m[3] is not None else value.get(other)
-        if literal is None:
-            value.pop(name, None)
-            continue
+    lines = {m.start(2): (m.end(2), text[m.end(1)] in "=:\"'") for m in LINE.finditer(text)}
+    at = 0
+    while m := NAME.search(text, at):
+        name, at = m[1], m.end()
+        if quoted := at < len(text) and text[at] in QUOTED and QUOTED[text[at]].match(text, at):
+            literal, at = quoted.span(1), quoted.end()
+        else:
+            other = OTHER.match(text, at)
+            literal = other and value.get(other[1]) or bare(text, at, lines.get(at))
+            if literal is None:
+                if other:
+                    value.pop(name, None)
+                continue
         value[name] = literal
         names.setdefault(literal, set()).add(name)
     out = []
     for (lo, hi), targets in names.items():
+        if hi - lo < MIN_LENGTH:
+            continue
         literal = text[lo:hi]
         score = name_score(targets) - (2 if " " in literal else 0)
         if score >= MIN_SCORE and entropy(literal) >= MIN_ENTROPY and re.search(r"[0-9A-Z_\W]", literal):

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from cairnfield.llm import near_dups, quality_rules  # noqa: E402
+from cairnfield.llm import near_dups, quality_rules, secrets  # noqa: E402
 
 
 def near_at(rows, percent):
@@ -100,3 +100,34 @@ def test_boilerplate_lines_still_fail():
     lines = ["Please enable JavaScript to go on.", "Copyright 2020, all rights reserved.", "Sign in | or (sign up)", "Read our privacy policy and our terms of use, and subscribe to our letters.", "更多新闻", "naïveté"]
     out = quality_rules.measure(pa.array(["\n".join([*lines, body])], pa.large_string()), cleaned=True)
     assert out["cleaned"][0].as_py() == body
+
+
+LONG = "".join(random.Random(9).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ123456789+/", k=5000))
+FOUND = [
+    ('private_key = "{}"', LONG[:700]), ("private_key: '{}'", LONG), ("x" * 300 + '_signing_key = "{}"', LONG[:40]), ("pwd: {}", "Zx9qP3rT7vW1"), ("user: bob\nSIGNING_KEY={}\nx=1", "Zx9qP3rT7vW1"), ("[db]\n  pwd = {}  # theirs\n", "Zx9qP3rT7vW1"),
+    ("export SIGNING_KEY={}\r\n", "Zx9qP3rT7vW1"), ("k: https://x.org/?signing_key={}&a=b", "Zx9qP3rT7vW1"), ("pwd: {}", "a:b=c,D9!xyz"), ("pwd: {}", "sunshine2024"), ("SIGNING_KEY=a\npwd: {}", "eyJhbGci1x.eyJzdWIi2yZ.sIg9nAtUre"),
+    ('k = "{}"; token = k', "Zx9_qP3rT7vW1yB5"), ('k = "{}"\ncredentials = k', "Zx9_qP3rT7vW1yB5"), ('k = "{}"\nbearer = k', "Zx9_qP3rT7vW1yB5"), ('DB_PASS = "{}"', "Zx9_qP3rT7vW1yB5"), ("K={}\nsigning_key = K", "Zx9qP3rT7vW1"),
+]
+
+
+@pytest.mark.parametrize("form,secret", FOUND)
+def test_secrets_of_every_form(form, secret):
+    text = form.format(secret)
+    assert [text[lo:hi] for lo, k, hi in secrets.spans(text)[1] if k == 3] == [secret]
+
+
+@pytest.mark.parametrize("text", ["pwd = get_pwd1(x)", "pwd: ${DB_PWD1}", "pwd = cfg1.pwd2", "pwd = user_pwd2", 'token_url = "https://a.org/b1C"', "pwd: string", "if pwd == Zx9qP3rT7vW1: x", "signing_key: /etc/keys/a1.pem", 'k = "Zx9_qP3rT7vW1yB5"\nk = "none"\ntoken = k'])
+def test_no_secrets_in_references(text):
+    assert not secrets.spans(text)[1]
+
+
+def test_lexing_is_linear():
+    import time
+
+    for unit in ('a="a=', "a=", "pwd:", "a='\\", "a" * 50, "pwd: Zx9qP3rT7vW1=", "/a"):
+        took = []
+        for n in (20_000, 200_000):
+            begun = time.process_time()
+            secrets.bound_spans(f"signing_key = {unit * (n // len(unit))}")
+            took.append(time.process_time() - begun)
+        assert took[1] < 30 * took[0] + 0.5
