@@ -3,9 +3,10 @@
 Among all document rates, those closest (in relative entropy) to one copy each that give every source its
 target number of words are exponentially tilted: rate = min(CAP, exp(multiplier * size / mean size)), with one multiplier a
 source. The multipliers solve the convex dual; distributed Newton iterations, safeguarded by brackets, find them
-over a histogram of sizes by source. Rates are rounded to copies by carrying the error from document to document,
-largest first, inside hashed groups of about GROUP documents of one source, so hot sources are split and each
-source's total ends within a fraction of its small documents.
+over a histogram of sizes by source. Rates are rounded to copies on the same histogram, by carrying the error of a whole source
+from size to size, largest first: it never exceeds half the largest document, and ends within a fraction of the small documents
+where they have room. A size's extra copies are spread evenly over its documents in the order of hashed groups of about GROUP
+documents, so hot sizes are split and no task holds a source's documents.
 
 All sums that steer the iterations are exact integers, and ties are ordered by hash and id, so reruns agree.
 Targets: sources ordered by code point (null last) weigh WEIGHTS in turn and share TOTAL times all words; no target
@@ -86,43 +87,53 @@ def solve(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.drop("lo", "hi", "done")
 
 
-def rounded(size: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Copies for rates in the given order: each is the rate rounded up or down, by what is missing so far."""
-    copies, missing = np.zeros(len(size), np.int64), 0.0
-    for k, (s, r) in enumerate(zip(size.tolist(), rates.tolist(), strict=True)):
-        low = int(r)
+def allotted(size: np.ndarray, rates: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of n documents of each size, in the given order: the rate rounded down for all, and one more for so many of them, by what is missing so far."""
+    low, extra, missing = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0.0
+    for k, (s, r, m) in enumerate(zip(size.tolist(), rates.tolist(), n.tolist(), strict=True)):
         if not s:
-            copies[k] = 1
+            low[k] = 1
             continue
-        missing += r * s
-        c = min(max(round(missing / s), low), low + (r > low))
-        missing -= c * s
-        copies[k] = c
-    return copies
+        low[k] = int(r)
+        missing += (r - int(r)) * s * m
+        extra[k] = min(max(round(missing / s), 0), m if r > int(r) else 0)
+        missing -= int(extra[k]) * s
+    return low, extra
+
+
+def rounded(size: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Copies for rates in the given order: each is the rate rounded up or down, by what is missing so far."""
+    return sum(allotted(size, rates, np.ones(len(size), np.int64)))
 
 
-def _copies(table: pa.Table) -> pa.Table:
-    order = table.select(["mix_size", "_tie", "doc_id"]).append_column("row", pa.array(np.arange(table.num_rows))).sort_by([("mix_size", "descending"), ("_tie", "ascending"), ("doc_id", "ascending")])["row"]
-    table = table.take(order)
-    c = rounded(table["mix_size"].to_numpy(), table["rate"].to_numpy())
-    table = table.append_column("copies", pa.array(c)).append_column("taken", pa.array(c * table["mix_size"].to_numpy()))
-    return table.drop_columns(["_tie", "_group"])
+def _allot(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("mix_size", "descending")])
+    low, extra = allotted(table["mix_size"].to_numpy(), table["rate"].to_numpy(), table["n"].to_numpy())
+    return table.append_column("low", pa.array(low)).append_column("extra", pa.array(extra))
 
 
 def mix(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     """doc_id, source, carried columns, size, source_size, target, rate, copies, taken of every row."""
     carry = [c for c in carry if c not in ("doc_id", "source")]
-    base = sized(docs, carry)
-    sizes = cut(base.groupBy("source", "mix_size").agg(F.count("*").alias("n")))
+    base = sized(docs, carry).withColumn("_tie", F.xxhash64("doc_id", "mix_size"))
+    light = cut(base.select("source", "mix_size", "_tie"))
+    sizes = cut(light.groupBy("source", "mix_size").agg(F.count("*").alias("n")))
     solved = solve(sizes, targets(sizes))
-    few = solved.count() <= SMALL
-    facts = solved.withColumnRenamed("source", "of")
-    joined = base.join(F.broadcast(facts) if few else facts, F.col("of").eqNullSafe(F.col("source")))
-    tie = F.xxhash64("doc_id", "mix_size")
-    groups = F.ceil(F.col("n_docs") / GROUP)
-    placed = joined.select(*base.columns, "source_size", "target", rate().alias("rate"), tie.alias("_tie"), F.pmod(F.xxhash64(tie), groups).cast("long").alias("_group"))
-    schema = placed.drop("_tie", "_group").schema.add("copies", "long").add("taken", "long")
-    out = placed.groupBy("source", "_group").applyInArrow(_copies, schema)
+    sent = lambda df: F.broadcast(df) if df.count() <= SMALL else df
+    rated = sizes.join(sent(solved.withColumnRenamed("source", "of")), F.col("of").eqNullSafe(F.col("source"))).select("source", "mix_size", "n", "source_size", "target", rate().alias("rate"))
+    allot = cut(rated.groupBy("source").applyInArrow(_allot, rated.select("*").schema.add("low", "long").add("extra", "long")))
+    of = lambda df, *names: df.select(F.col("source").alias("of"), F.col("mix_size").alias("of_size"), *names)
+    same = F.col("of").eqNullSafe(F.col("source")) & (F.col("of_size") == F.col("mix_size"))
+    group = F.pmod(F.xxhash64("_tie"), F.ceil(F.col("n") / GROUP)).cast("long").alias("_group")
+    # documents of a size that come in the groups before
+    counted = light.join(sent(of(allot.filter(F.col("n") > GROUP), "n")), same).select("source", "mix_size", group).groupBy("source", "mix_size", "_group").agg(F.count("*").alias("here"))
+    before = Window.partitionBy("source", "mix_size").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counted.withColumn("start", F.coalesce(F.sum("here").over(before), F.lit(0))))
+    joined = base.join(sent(of(allot, "n", "source_size", "target", "rate", "low", "extra")), same).select(*base.columns, "n", "source_size", "target", "rate", "low", "extra", group)
+    placed = joined.join(sent(of(starts, F.col("_group").alias("of_group"), "start")), same & (F.col("of_group") == F.col("_group")), "left")
+    number = F.row_number().over(Window.partitionBy("source", "mix_size", "_group").orderBy("_tie", "doc_id"))
+    numbered = placed.withColumn("_at", number + F.coalesce("start", F.lit(0)))
+    out = numbered.withColumn("copies", F.expr("low + (_at * extra) div n - ((_at - 1) * extra) div n").cast("long")).withColumn("taken", F.col("copies") * F.col("mix_size"))
     return out.select("doc_id", "source", *[F.col(f"in_{c}").alias(c) for c in carry], F.col("mix_size").alias("size"), "source_size", "target", "rate", "copies", "taken")
 
 

@@ -5,11 +5,12 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from cairnfield.llm import near_dups, quality_rules, secrets  # noqa: E402
+from cairnfield.llm import mixture, near_dups, quality_rules, secrets  # noqa: E402
 
 
 def near_at(rows, percent):
@@ -131,3 +132,28 @@ def test_lexing_is_linear():
             secrets.bound_spans(f"signing_key = {unit * (n // len(unit))}")
             took.append(time.process_time() - begun)
         assert took[1] < 30 * took[0] + 0.5
+
+
+def test_mix_carries_the_error_over_a_whole_source(spark):
+    """A few long documents among many short ones in one source, and many documents of one size in another: totals end at the targets."""
+    rows = [(i, " ".join(["w"] * (2000 if i % 500 == 0 else 2)), "b") for i in range(6000)] + [(10_000 + i, "w w w", "a") for i in range(5000)] + [(20_000, "w " * 50_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixture.mix(df).cache()
+    assert out.count() == len(rows) and out.filter("copies < floor(rate) or copies > ceil(rate) or taken <> copies * size").count() == 0
+    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest"), F.sum(F.col("rate") * F.col("size")).alias("wanted")).collect():
+        assert r["wanted"] == pytest.approx(r["target"], rel=1e-5)
+        assert abs(r["taken"] - r["target"]) <= r["largest"] / 2 + 1e-5 * r["target"]
+
+
+def test_allotments_stay_within_half_the_largest():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for groups in (1, 50, 5000):
+        size, n, rates = np.array([100_000, 100]), np.array([groups, 1000 * groups]), np.array([0.4, 0.99])
+        low, extra = mixture.allotted(size, rates, n)
+        assert abs(((low * n + extra) * size).sum() - (rates * n * size).sum()) <= 50_000
+        size = np.unique(rng.integers(1, 10_000, 300))[::-1]
+        n, rates = rng.integers(1, 10 * groups, len(size)), rng.uniform(0, 2, len(size))
+        low, extra = mixture.allotted(size, rates, n)
+        assert (extra <= n).all() and abs(((low * n + extra) * size).sum() - (rates * n * size).sum()) <= size[0] / 2
