@@ -1,7 +1,8 @@
 """Operator 8, quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are hashed n-grams of character classes (which letters there are says little, how they are
-cased, repeated, spaced and punctuated says much) and marks of how often its words repeat. Terms are log-weighted; a truncated
+A text's terms are hashed n-grams of character classes (how letters are cased, repeated, spaced and punctuated), marks of
+how often its words repeat, and its words themselves, lower-cased, hashed to WORDS cells and weighted by how rare they are in the
+labelled sample. Terms are log-weighted; a truncated
 singular value decomposition of the labelled sample spans the latent space. The labelled vectors (at most SAMPLE, a
 documented bound, chosen by hash from rows that may teach) are broadcast; every text's cosines with all of them are computed exactly,
 a block of texts at a time, and its K nearest neighbours vote with weights of their similarity.
@@ -27,14 +28,17 @@ SAMPLE, GRAMS, RANK, K, POWER = 4096, 1024, 64, 15, 8
 HELD_OUT = (3, 1)
 #: Marks of word statistics, each spread over LEVELS terms.
 LEVELS, MARKS = 16, 4
-TERMS = GRAMS + LEVELS * MARKS
+#: Cells of hashed words, and what the words count beside the shape.
+WORDS, VOCABULARY = 2048, 0.7
+SHAPE = GRAMS + LEVELS * MARKS
+TERMS = SHAPE + WORDS
 
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 0x61, 0x41, 0x30, 0x61
 
 
 def terms(texts: pa.Array) -> np.ndarray:
-    """Log-weighted term vectors, a row a text, of length 1 (or 0 for empty texts)."""
+    """Log-weighted terms, a row a text: shape of length 1 (or 0 for empty texts), marks, and words, which weighed() scales."""
     w = vec.Words(texts, lower=False)
     n, size = len(texts), np.diff(w.offsets)
     code = _CLASS[w.data] * np.uint64(0x9E3779B97F4A7C15)
@@ -68,9 +72,19 @@ def terms(texts: pa.Array) -> np.ndarray:
     for k in range(MARKS):  # between two levels, both count
         out[some, GRAMS + LEVELS * k + low[some, k]] += 0.3 * (1 - (level - low)[some, k])
         out[some, np.minimum(GRAMS + LEVELS * k + low[some, k] + 1, GRAMS + LEVELS * (k + 1) - 1)] += 0.3 * (level - low)[some, k]
+    low_ = vec.Words(texts, lower=True)
+    cell = (vec.mix(low_.hash) >> np.uint64(40)).astype(np.int64) % WORDS
+    out[:, SHAPE:] = np.log1p(np.bincount(low_.text() * WORDS + cell, minlength=n * WORDS).reshape(n, WORDS))
     return out
 
 
+def weighed(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Terms with their words by idf, at a length of VOCABULARY."""
+    words = found[:, SHAPE:] * idf
+    words *= VOCABULARY / np.maximum(np.sqrt((words**2).sum(1, keepdims=True)), 1e-9)
+    return np.hstack([found[:, :SHAPE], words])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The latent space, the labelled vectors in it and their labels."""
     spark = docs.sparkSession
@@ -91,18 +105,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     got = sample.mapInArrow(run, f"doc_id {kind}, label int, terms binary").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     label = got["label"].to_numpy().astype(np.float64)
     if not len(label):
-        return {"share": 0.5, "space": np.zeros((TERMS, 1), np.float32), "mean": np.zeros(TERMS, np.float32), "vectors": np.zeros((0, 1), np.float32), "label": label}
+        return {"share": 0.5, "space": np.zeros((TERMS, 1), np.float32), "mean": np.zeros(TERMS, np.float32), "idf": np.zeros(WORDS, np.float32), "vectors": np.zeros((0, 1), np.float32), "label": label}
     matrix = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(len(label), TERMS)
-    mean = matrix.mean(0)
-    gram = (matrix - mean).T @ (matrix - mean)
+    idf = np.log((1 + len(label)) / (1 + (matrix[:, SHAPE:] > 0).sum(0))).astype(np.float32)
+    scaled = weighed(matrix, idf)
+    mean = scaled.mean(0)
+    gram = (scaled - mean).T @ (scaled - mean)
     _, basis = np.linalg.eigh(gram.astype(np.float64))
     space = np.ascontiguousarray(basis[:, ::-1][:, :RANK], np.float32)
-    model = {"share": float(label.mean()), "space": space, "mean": mean, "label": label}
+    model = {"share": float(label.mean()), "space": space, "mean": mean, "idf": idf, "label": label}
     return model | {"vectors": latent(matrix, model)}
 
 
 def latent(found: np.ndarray, model: dict) -> np.ndarray:
-    v = (found - model["mean"]) @ model["space"]
+    v = (weighed(found, model["idf"]) - model["mean"]) @ model["space"]
     return v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-9)
 
 

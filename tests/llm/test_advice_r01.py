@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from cairnfield.llm import mixture, near_dups, quality_rules, secrets  # noqa: E402
+from cairnfield.llm import mixture, near_dups, quality_model, quality_rules, secrets  # noqa: E402
 
 
 def near_at(rows, percent):
@@ -157,3 +157,20 @@ def test_allotments_stay_within_half_the_largest():
         n, rates = rng.integers(1, 10 * groups, len(size)), rng.uniform(0, 2, len(size))
         low, extra = mixture.allotted(size, rates, n)
         assert (extra <= n).all() and abs(((low * n + extra) * size).sum() - (rates * n * size).sum()) <= size[0] / 2
+
+
+def test_quality_is_learned_from_words(spark):
+    """Texts of one shape, whose labels only their words tell."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common, good, bad = ([word() for _ in range(n)] for n in (300, 40, 40))
+    rows = []
+    for i in range(900):
+        w = [rng.choice(common) for _ in range(40)]
+        for k in rng.sample(range(40), 8):
+            w[k] = rng.choice(good if i % 2 else bad)
+        rows.append((i, " ".join(w) + ".", i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    model = quality_model.fit(df, df.select("doc_id", "quality"))
+    out = quality_model.predict(df, model).join(df.select("doc_id", "quality"), "doc_id").filter(quality_model.rows.held_out("doc_id", *quality_model.HELD_OUT))
+    assert out.filter("predicted = quality").count() / out.count() > 0.9
