@@ -174,3 +174,11 @@ def test_quality_is_learned_from_words(spark):
     model = quality_model.fit(df, df.select("doc_id", "quality"))
     out = quality_model.predict(df, model).join(df.select("doc_id", "quality"), "doc_id").filter(quality_model.rows.held_out("doc_id", *quality_model.HELD_OUT))
     assert out.filter("predicted = quality").count() / out.count() > 0.9
+
+
+def test_mix_of_long_documents_spread_over_groups(spark):
+    """About one long document of rate under 0.5 a group, and short ones that have no room to make up for it."""
+    rows = [(i, "w", "b") for i in range(16_000)] + [(20_000 + i, "w " * 818, "b") for i in range(16)] + [(30_000, "w " * 21_817, "a"), (30_001, "w " * 21_817, "c")]
+    out = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).filter("source = 'b'")
+    r = out.agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).first()
+    assert abs(r["taken"] - r["target"]) <= 818 / 2
