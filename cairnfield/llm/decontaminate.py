@@ -6,8 +6,10 @@ rarity in the documents, is its rarest token. Documents' words are joined with t
 positional bounds leave the candidates whose window fits between the document's ends at that place; the
 candidate's words are then compared one by one with the window, over a slice as long as the item's window.
 
-The benchmark is joined in blocks of at most BLOCK windows: each block is broadcast (its size is bounded by
-that, not by the benchmark), and the documents are read once for its rarities and once for its join. Nothing but hits is shuffled.
+Windows are told apart by their words, not by item: a window that many items share is looked up once, and its set of items is put in
+at the end. The documents are read once for the rarities of all windows and once for the join, however large the benchmark is: up to BLOCK
+windows are broadcast; with more, their prefix tokens alone are (in rounds of SMALL tokens), and the places where documents have one are
+shuffled, with the words around them, to the windows. Ties in rarity go to the lesser token, then the earlier place. Very long texts are one array of words.
 
 Null and empty texts have no words and no hits; an item without words has no window; an item with a null id counts as
 the id ''. Rows are told apart by doc_id (nulls are one id) and text, so repeated rows get equal results. Empty tables
@@ -17,6 +19,7 @@ give no rows, or no hits. Further columns are ignored by scan() and kept by clea
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ WINDOW, BLOCK, SMALL = 10, 100_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before that.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered(text: Column) -> Column:
@@ -40,56 +45,75 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
-    """item, win (its words), n (their number), once each."""
+    """win (its words), n (their number), items (the sorted ids that have it), each window once."""
     item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    cut = item.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1)))).alias("at"))
-    return cut.select("item", F.slice("w", F.col("at"), F.lit(WINDOW)).alias("win")).distinct().withColumn("n", F.size("win"))
+    cut_ = item.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1)))).alias("at"))
+    return cut_.select("item", F.slice("w", F.col("at"), F.lit(WINDOW)).alias("win")).groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("n", F.size("win"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
 
 
-def hits(docs: DataFrame, block: DataFrame) -> DataFrame:
-    """doc, text_hash, item, start (0-based word), n of every occurrence of the block's windows."""
-    parsed = _identified(docs)
-    token = block.select(F.explode("win").alias("token")).distinct()
-    seen = parsed.select(F.explode("w").alias("token")).join(F.broadcast(token), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
-    places = block.select("item", "win", "n", F.posexplode("win").alias("at", "token"))
-    rarest = places.join(seen, "token", "left").groupBy("item", "win", "n").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "at")).alias("first"))
+def _sent(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= SMALL else df
+
+
+def prefixed(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """win, n, set, token (its rarest word), at (its place in the window) of the windows whose words documents have."""
+    tokens = cut(wins.select(F.explode("win").alias("token")).distinct())
+    many = tokens.count()
+    seen = cut(_identified(docs).select(F.explode("w").alias("token")).join(_sent(tokens, many), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen")))
+    places = wins.select("win", "n", "set", F.posexplode("win").alias("at", "token"))
+    rarest = places.join(_sent(seen, many), "token", "left").groupBy("win", "n", "set").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "at")).alias("first"))
     # a token that no document has rules its window out
-    prefix = rarest.filter("first.seen > 0").select("item", "win", "n", F.col("first.token").alias("token"), F.col("first.at").alias("at"))
-    placed = parsed.select("doc", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
-    start = F.col("pos") - F.col("at")
-    fits = (F.col("n") <= F.col("n_words")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win")
-    found = placed.join(F.broadcast(prefix), (F.col("word") == F.col("token")) & fits & same)
-    return found.select("doc", "text_hash", "item", start.alias("start"), "n")
+    return rarest.filter("first.seen > 0").select("win", "n", "set", F.col("first.token").alias("token"), F.col("first.at").alias("at"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """hits() over all blocks of the benchmark."""
-    every = windows(benchmark)
-    blocks = max(1, math.ceil(every.count() / BLOCK))
-    dealt = every.withColumn("block", F.pmod(F.xxhash64("item", "win"), F.lit(blocks)))
-    found = hits(docs, dealt.filter(F.col("block") == 0).drop("block"))
-    for k in range(1, blocks):
-        found = found.unionByName(hits(docs, dealt.filter(F.col("block") == k).drop("block")))
-    return found
+def hits(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """doc, text_hash, set, start (0-based word), n of every occurrence of the windows."""
+    placed = _identified(docs).select("doc", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("at")
+    fits = (F.col("n") <= F.col("n_words")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    if prefix.count() <= BLOCK:
+        same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win")
+        found = placed.join(F.broadcast(prefix), (F.col("word") == F.col("token")) & fits & same)
+        return found.select("doc", "text_hash", "set", start.alias("start"), "n")
+    tokens = cut(prefix.select("token").distinct())
+    rounds = math.ceil(tokens.count() / SMALL)
+    dealt = tokens.select(F.col("token").alias("word"), F.pmod(F.xxhash64("token"), F.lit(rounds)).alias("round"))
+    # the words around a place: as many before and after it as a window may need
+    low = F.greatest(F.col("pos") - WINDOW + 1, F.lit(0))
+    around = F.slice("w", low + 1, F.lit(2 * WINDOW - 1)).alias("around")
+    asked = [placed.join(F.broadcast(dealt.filter(F.col("round") == k)), "word", "left_semi").select("doc", "text_hash", "n_words", "pos", "word", low.alias("low"), around) for k in range(rounds)]
+    same = F.slice("around", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("n")) == F.col("win")
+    found = reduce(DataFrame.unionByName, asked).join(prefix, (F.col("word") == F.col("token")) & fits & same)
+    return found.select("doc", "text_hash", "set", start.alias("start"), "n")
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """hits() of the benchmark's windows, and the sets of items in them: set, items."""
+    every = cut(windows(benchmark))
+    sets = cut(every.select("items").distinct().withColumn("set", F.monotonically_increasing_id()))
+    wins = every.join(sets, "items").select("win", "n", "set")
+    return hits(docs, cut(prefixed(docs, cut(wins)))), sets
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row, and text_hash."""
-    found = occurrences(docs, benchmark)
-    spans = found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    found, sets = occurrences(docs, benchmark)
+    spans = cut(found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.collect_set("set").alias("sets")))
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["total"] + F.greatest(x["end"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("total"), F.greatest(x["end"], a["end"]).alias("end")),
     )
-    by_doc = spans.select(F.col("doc").alias("hit_doc"), F.col("text_hash").alias("hit_hash"), union["total"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
-    counted = _identified(docs).select("doc", "text_hash", F.size("w").cast("long").alias("n_words"))
-    joined = counted.join(by_doc, counted["doc"].eqNullSafe(by_doc["hit_doc"]) & (counted["text_hash"] == by_doc["hit_hash"]), "left")
+    row = [F.col("doc").alias("hit_doc"), F.col("text_hash").alias("hit_hash")]
+    items = spans.select(*row, F.explode("sets").alias("set")).join(_sent(sets, sets.count()), "set").groupBy("hit_doc", "hit_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    named = items.select(F.col("hit_doc").alias("item_doc"), F.col("hit_hash").alias("item_hash"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+    by_doc = spans.select(*row, union["total"].cast("long").alias("n_hit")).join(named, F.col("hit_doc").eqNullSafe(F.col("item_doc")) & (F.col("hit_hash") == F.col("item_hash")))
+    counted = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    joined = counted.join(_sent(by_doc, spans.count()), F.col("doc").eqNullSafe(F.col("hit_doc")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     return joined.select(
         F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "text_hash",
@@ -98,7 +122,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without any hit, as they were. The ids of the others are broadcast up to SMALL rows, counted before."""
-    bad = cut(occurrences(docs, benchmark).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    bad = cut(occurrences(docs, benchmark)[0].select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
     bad = F.broadcast(bad) if bad.count() <= SMALL else bad
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 

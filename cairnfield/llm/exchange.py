@@ -3,7 +3,8 @@
 Documents are dealt to chunks of a few MB by hash. A chunk asks about its distinct 64-bit keys: they are
 sorted, cut at the blocks' borders (a block is a range of keys) and sent as packed arrays, a row a block. A block
 meets the keys of all chunks and answers each chunk in the order it asked. So a key that millions of documents
-share is sent once a chunk, rows are few and large, and every task's size follows from CHUNK_BYTES, not from the data.
+share is sent once a chunk, and a task's text follows from the size of chunks and AT_ONCE, not from the data. What a block meets of one key is a row a
+chunk: at 100 TB chunks of some 100 MB (a parameter of the operators) keep that to a million short rows, and rows to a few dozen keys.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.llm import vec
 from cairnfield.session import ship
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, AT_ONCE = 4 << 20, 32
 
 
 def chunked(docs: DataFrame, columns: Iterable[str], chunk_bytes: int = CHUNK_BYTES, least: int = 1) -> tuple[DataFrame, int]:
@@ -28,12 +29,14 @@ def chunked(docs: DataFrame, columns: Iterable[str], chunk_bytes: int = CHUNK_BY
     ship(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     chunks = max(least, math.ceil(total / chunk_bytes))
-    chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)).cast("long")
-    return docs.select(*columns).withColumn("chunk", chunk).repartition(partitions(spark), "chunk"), chunks
+    columns = list(columns)
+    chunk = F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("long")
+    return docs.select(*columns).withColumn("chunk", chunk).repartition(partitions(spark, chunks), "chunk"), chunks
 
 
-def partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, chunks: int) -> int:
+    """As many as the session says, and more where a task would get over AT_ONCE chunks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chunks / AT_ONCE))
 
 
 def ordered(table: pa.Table) -> tuple[pa.Table, pa.Array]:
@@ -42,32 +45,38 @@ def ordered(table: pa.Table) -> tuple[pa.Table, pa.Array]:
     return table, vec.flat(table["text"])
 
 
-def borders(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """Where sorted keys pass from block to block: blocks + 1 positions."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32), np.arange(blocks + 1))
+def blocks_of(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that sorted keys lie in, and where each one's keys begin (and the last one's end)."""
+    of = (keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+    begin = np.flatnonzero(np.diff(of, prepend=np.uint64(2**64 - 1))) if len(of) else np.zeros(0, np.int64)
+    return of[begin].astype(np.int64), np.append(begin, len(keys))
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Counts in the narrowest type that holds them."""
+    """Counts in the narrowest type that holds them, byte by byte (upper bytes are mostly zeros, which shuffles compress)."""
     most = int(values.max(initial=0))
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+    size = np.dtype(kind).itemsize
+    return bytes([size]) + values.astype(kind).view(np.uint8).reshape(-1, size).T.tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
+    size = packed[0]
+    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(np.int64)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as the first one and the gaps after it, in as many bytes each as the widest gap needs."""
+def pack_keys(keys: np.ndarray, shift: int = 0) -> bytes:
+    """Sorted keys, without their `shift` lowest bits, as the first one and the gaps after it, in as many bytes each as the widest gap needs."""
     if not len(keys):
         return b""
+    keys = keys >> np.uint64(shift)
     gaps = np.diff(keys)
     width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
     return bytes([width]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack_keys(packed: bytes) -> np.ndarray:
+def unpack_keys(packed: bytes, shift: int = 0) -> np.ndarray:
     if not packed:
         return np.zeros(0, np.uint64)
     width = packed[0]
@@ -75,12 +84,12 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     gaps = np.zeros((len(narrow) + 1, 8), np.uint8)
     gaps[1:, :width] = narrow
     gaps[0] = np.frombuffer(packed, np.uint8, count=8, offset=1)
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(shift)
 
 
-def keys_of(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(table: pa.Table, name: str, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """All rows' keys as one array, and each row's number of them."""
-    parts = [unpack_keys(p) for p in table[name].to_pylist()]
+    parts = [unpack_keys(p, shift) for p in table[name].to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64)
 
 

@@ -8,6 +8,7 @@ from size to size, largest first: it never exceeds half the largest document, an
 where they have room. A size's extra copies are spread evenly over its documents in the order of hashed groups of about GROUP
 documents, so hot sizes are split and no task holds a source's documents.
 
+Newton steps halve their bracket where they would leave it; sources still open after STEPS of them raise an error.
 All sums that steer the iterations are exact integers, and ties are ordered by hash and id, so reruns agree.
 Targets: sources ordered by code point (null last) weigh WEIGHTS in turn and share TOTAL times all words; no target
 exceeds CAP times its source, and the excess goes to the others by weight: the water level solves that at once.
@@ -84,6 +85,9 @@ def solve(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         done = F.col("done") | F.col("value").isNull() | (F.abs(over) <= NEAR * F.col("target")) | F.coalesce(hi - lo <= 1e-12, F.lit(False))
         moved = F.when(done, F.col("multiplier")).when(inside, newton).otherwise(middle)
         state = cut(joined.select("source", "source_size", "n_docs", "target", "mean_size", "full", moved.alias("multiplier"), lo.alias("lo"), hi.alias("hi"), done.alias("done")))
+    else:
+        if not (late := state.filter(~F.col("done"))).isEmpty():
+            raise RuntimeError(f"no multipliers after {STEPS} steps for sources such as {late.first()['source']!r}")
     return state.drop("lo", "hi", "done")
 
 

@@ -1,7 +1,7 @@
 """Operator 4, MinHash near-dedup: odd sketches for banded candidates, exact confirmation, connected components.
 
 Texts are linked from a similarity of `percent` on, PERCENT if not given.
-Texts with the same set of shingles are one node. A node has SAMPLES MinHash samples; the first n_bands() * ROWS of them make its bands, and all
+Texts with the same lower-cased words are one node, by a 128-bit digest of them. A node has SAMPLES MinHash samples; the first n_bands() * ROWS of them make its bands, and all
 are folded into a parity bitmap of SKETCH bits (the odd sketch): bits that differ between two sketches estimate how far the
 sets are apart. Nodes that share a band are candidates; a candidate pair whose sketches differ in over most_bits() bits (six
 standard deviations beyond what the similarity gives) is dropped, the others are confirmed on full sets.
@@ -13,6 +13,8 @@ Groups are never expanded into all pairs at once:
 So every pair that shares a band is either confirmed, refuted, or inside one component; a pair at the threshold shares no
 band with probability MISSED.
 
+Shingles are compared by 64-bit hashes within a pair of texts; texts of a single shingle, where one hash would decide, by their words.
+Ties: of equally near pivots the one of least node is first; a component is named by its least doc_id. Very long texts are taken whole, each in memory once.
 Null and empty texts have no shingles and are linked with nothing; null ids are never a component's name, unless all
 of its are null; repeated rows are one node, and all rows with the component's doc_id are kept by scan() (clean() keeps one); an empty table gives
 no rows; further columns are ignored by scan() and kept by clean().
@@ -20,7 +22,9 @@ no rows; further columns are ignored by scan() and kept by clean().
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ SHINGLE, PERCENT = 5, 85
 SAMPLES, ROWS, SKETCH, MISSED, DEVIATIONS = 128, 4, 256, 4e-7, 6
 BLOCK, SMALL = 400, 500_000
 
+_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _rng = np.random.Generator(np.random.PCG64(7))
 _FLIP = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _SCALE = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -82,7 +87,6 @@ def _signed(texts: pa.Array, n_band: int) -> dict:
     out = {"n_shingles": size.astype(np.int64)}
     node, bands, sketch = [None] * n, [None] * n, [None] * n
     if len(some):
-        one, two = np.add.reduceat(vec.mix(hashes), head), np.add.reduceat(vec.mix(hashes ^ np.uint64(0xC0FFEE)), head)
         small = (hashes >> np.uint64(32)).astype(np.uint32)
         sample = np.stack([np.minimum.reduceat((small ^ _FLIP[k]) * _SCALE[k], head) for k in range(SAMPLES)], 1).astype(np.uint64)
         key = np.repeat(np.arange(n_band, dtype=np.uint64)[None], len(some), 0)
@@ -91,9 +95,10 @@ def _signed(texts: pa.Array, n_band: int) -> dict:
         place = (vec.mix(sample ^ _SALT) >> np.uint64(32)).astype(np.int64) % SKETCH
         bits = np.bincount((np.arange(len(some))[:, None] * SKETCH + place).ravel(), minlength=len(some) * SKETCH).reshape(-1, SKETCH) & 1
         longs = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-        ids = np.stack([one, two], 1)
+        raw, offsets = vec.buffers(texts)
         for k, row in enumerate(some):
-            node[row], bands[row], sketch[row] = ids[k].tobytes(), key[k].view(np.int64), longs[k]
+            whole = b" ".join(raw[offsets[row] : offsets[row + 1]].tobytes().lower().split())
+            node[row], bands[row], sketch[row] = hashlib.blake2b(whole, digest_size=16).digest(), key[k].view(np.int64), longs[k]
     return out | {"node": pa.array(node, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.list_(pa.int64()))}
 
 
@@ -114,6 +119,11 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _only(text: str) -> list[str]:
+    """The words of a text's first shingle."""
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(_LOW))[:SHINGLE]
+
+
 def _confirmed(batches, percent: int):
     for batch in batches:
         left, right = vec.flat(batch.column("text_a")), vec.flat(batch.column("text_b"))
@@ -131,6 +141,8 @@ def _confirmed(batches, percent: int):
             inter = np.bincount(of_a[shared], minlength=n)
             union = np.bincount(of_a, minlength=n) + np.bincount(of_b, minlength=n) - inter
             linked = (100 * inter >= percent * union) & (union > 0)
+            for k in np.flatnonzero(linked & (union == 1)):
+                linked[k] = _only(left[lo + k].as_py()) == _only(right[lo + k].as_py())
             yield batch.slice(lo, n).select(["a", "b"]).filter(pa.array(linked))
             lo = hi
 
@@ -194,6 +206,8 @@ def _across(table: pa.Table, percent: int, most: int) -> pa.Table:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         shared = np.bincount(owner[at], minlength=len(node))[near]
         good = near[100 * shared >= percent * (size[x] + size[near] - shared)]
+        if size[x] == 1:
+            good = np.array([y for y in good if size[y] > 1 or _only(texts[x].as_py()) == _only(texts[y].as_py())], np.int64)
         _, one = np.unique(label[good], return_index=True)
         a += [node[x]] * len(one)
         b += [node[y] for y in good[one]]
@@ -209,10 +223,10 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = at.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("hub")).filter("labels > 1").select("key", "hub")
-    group = cut(at.join(mixed, "key").select("hub", "node", "label").distinct())
+    group = cut(at.join(sized(cut(mixed)), "key").select("hub", "node", "label").distinct())
     stranger = F.col("label") != F.col("hub")
     sizes = group.groupBy("hub").agg(F.ceil(F.count(F.when(~stranger, 1)) / BLOCK).cast("int").alias("home"), F.ceil(F.count(F.when(stranger, 1)) / BLOCK).cast("int").alias("away"))
-    dealt = group.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(stranger, F.col("away")).otherwise(F.col("home"))).cast("int"))
+    dealt = group.join(sized(cut(sizes)), "hub").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(stranger, F.col("away")).otherwise(F.col("home"))).cast("int"))
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     own = F.col("block")
@@ -232,7 +246,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = cut(every.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("doc_id", "text_hash"), F.coalesce(F.hash("doc_id", "text_hash"), F.lit(0))).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     banded = nodes.select("node", F.explode("bands").alias("key"))
     pivots = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("rank"), "node")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("pivot.node").alias("pivot"))
-    members = cut(banded.join(pivots, "key"))
+    # broadcast where few bands are shared: a band of a third of all nodes is then no task of its own
+    members = cut(banded.join(sized(cut(pivots)), "key"))
     pairs = members.filter(F.col("node") != F.col("pivot")).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
     sketches = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     near = cut(pairs.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("bits", _apart("sketch_a", "sketch_b")).filter(F.col("bits") <= most_bits(percent)).select("a", "b", "node", "bits"))

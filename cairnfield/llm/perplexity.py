@@ -1,16 +1,19 @@
 """Operator 6, language-model scoring: deleted interpolation of n-gram estimates.
 
-The model mixes three estimates of a token's probability after the one before it: the bigram's maximum likelihood, the unigram's, and
-the uniform 1 / (V + 1). The mixture depends on how often the context was seen, in buckets of powers of two. The weights are learned by
+The model mixes four estimates of a token's probability after the two before it: the maximum likelihood of the trigram, of the bigram and of the unigram, and
+the uniform 1 / (V + 1). The mixture depends on how often the context was seen, in buckets of powers of two: that of two words or, where
+it was never seen, that of one word. The weights are learned by
 expectation-maximisation on held-out counts: the training documents of every EVERY-th chunk are deleted from the counts
 (count - their own count), and their tokens' likelihood under what is left is maximised. Scores use all training counts.
 
-Counts cover the whole corpus and are never collected: chunks ask blocks of a hashed index about their distinct unigrams and bigrams
+Counts cover the whole corpus and are never collected: chunks ask blocks of a hashed index about their distinct n-grams
 (see exchange.py) and score their own documents with the answers. Only a histogram of held-out estimates (at most
-BUCKETS x CELLS x CELLS rows, whatever the input) is gathered for the expectation-maximisation.
+BUCKETS x CELLS^3 cells of their logarithms, whatever the input, each with the sums of the estimates in it) is gathered for the expectation-maximisation.
 
+Words are told apart by 64-bit hashes (one of 1e9 different words shares one with probability 5e-11), n-grams of more words by KEPT bits.
 Null and empty texts are one end token. Null ids train. Repeated rows count each. An empty table gives no rows; with no training
-tokens every token has probability 1 in the base and under the model. Further columns are ignored.
+tokens every token has probability 1 in the base and under the model. Further columns are ignored. There are no ties to break. Very long texts are scored whole, in
+a chunk of their own if need be.
 """
 
 from __future__ import annotations
@@ -23,13 +26,17 @@ from pyspark.sql import functions as F
 from cairnfield.llm import exchange, rows, vec
 
 HELD_OUT, EVERY, CHUNK_BYTES = (7, 2), 8, 8 << 20
-#: Context-frequency buckets; cells of the log of an estimate over the uniform one, 0 for an estimate of 0.
-BUCKETS, CELLS, STEP, SHIFT, ROUNDS = 42, 256, 0.25, 64, 60
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-DEFAULT = np.array([0.4, 0.4, 0.2])
+#: Context-frequency buckets, for contexts of two words and of one; cells of the log of an estimate, 0 for an estimate of 0.
+LEVELS, CELLS, STEP, ROUNDS = 42, 64, 0.5, 60
+BUCKETS, PARTS = 2 * LEVELS, 256
+END, START, STARTS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+DEFAULT = np.array([0.3, 0.3, 0.2, 0.2])
+#: N-grams by name, and the lowest bits of their keys that are left out.
+KEPT = 48
+SHIFT = {"uni": 0, "bi": 64 - KEPT, "tri": 64 - KEPT}
 
-ASKED = "block long, chunk long, uni binary, uni_n binary, bi binary, bi_n binary"
-ANSWERED = "chunk long, block long, tokens long, types long, uni_n binary, uni_held binary, bi_n binary, bi_held binary"
+ASKED = "block long, chunk long, " + ", ".join(f"{n} binary, {n}_n binary" for n in SHIFT)
+ANSWERED = "chunk long, block long, tokens long, types long, " + ", ".join(f"{n}_n binary, {n}_held binary" for n in SHIFT)
 
 
 class Chunk:
@@ -47,165 +54,177 @@ class Chunk:
         ends = np.zeros(len(self.token), bool)
         ends[self.first[1:] - 1] = True
         self.token[~ends] = hashes
-        before = np.roll(self.token, 1)
-        before[self.first[:-1]] = START
-        pair = vec.mix(before * np.uint64(0xD6E8FEB86659FD93) + self.token)
-        self.uni, self.uni_of = np.unique(self.token, return_inverse=True)
-        self.bi, self.bi_of = np.unique(pair, return_inverse=True)
+        follows = lambda before, token: vec.mix(before * np.uint64(0xD6E8FEB86659FD93) + token)
+        pair = follows(self._before(self.token, START), self.token)
+        three = follows(self._before(pair, STARTS) ^ STARTS, self.token)
+        self.keys, self.of = {}, {}
+        for name, values in {"uni": self.token, "bi": pair, "tri": three}.items():
+            shift = np.uint64(SHIFT[name])
+            self.keys[name], self.of[name] = np.unique(values >> shift << shift, return_inverse=True)
         # the start of a text was seen as often as its end
         at = np.arange(len(self.token)) - 1
         at[self.first[:-1]] = self.first[1:] - 1
-        self.context_of = self.uni_of[at]
+        self.context_of = self.of["uni"][at]
+        self.begins = self.first[:-1]
         self.train = np.repeat(self.table["train"].to_numpy(zero_copy_only=False), self.count)
 
-    def counts(self, of: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return np.bincount(of, self.train, len(keys)).astype(np.int64)
+    def _before(self, values: np.ndarray, start: np.uint64) -> np.ndarray:
+        out = np.roll(values, 1)
+        out[self.first[:-1]] = start
+        return out
+
+    def counts(self, name: str) -> np.ndarray:
+        return np.bincount(self.of[name], self.train, len(self.keys[name])).astype(np.int64)
+
+    def estimates(self, n: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's bucket, its trigram and bigram estimates and its own count, from the counts of the distinct n-grams."""
+        one = n["uni"][self.context_of]
+        two = np.roll(n["bi"][self.of["bi"]], 1)
+        two[self.begins] = one[self.begins]
+        three, pair = n["tri"][self.of["tri"]], n["bi"][self.of["bi"]]
+        bucket = np.where(two > 0, level(two), LEVELS + level(one))
+        return bucket, three / np.maximum(two, 1) * (two > 0), pair / np.maximum(one, 1) * (one > 0), n["uni"][self.of["uni"]]
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """0 for an unseen context, else 1 + log2 of its count."""
+    return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64).clip(0, LEVELS - 1)
 
 
 def ask(table: pa.Table, blocks: int) -> pa.Table:
     chunk = Chunk(table)
-    number = table["chunk"][0].as_py()
-    parts = [(keys, chunk.counts(of, keys), exchange.borders(keys, blocks)) for keys, of in ((chunk.uni, chunk.uni_of), (chunk.bi, chunk.bi_of))]
-    asked = np.flatnonzero(sum(np.diff(cut) for _, _, cut in parts))  # blocks without a question get no row
-    out: dict[str, pa.Array] = {"block": pa.array(asked, pa.int64()), "chunk": pa.array([number] * len(asked), pa.int64())}
-    for name, (keys, n, cut) in zip(("uni", "bi"), parts, strict=True):
-        out[name] = pa.array([exchange.pack_keys(keys[cut[b] : cut[b + 1]]) for b in asked], pa.binary())
-        out[f"{name}_n"] = pa.array([exchange.pack(n[cut[b] : cut[b + 1]]) for b in asked], pa.binary())
-    return pa.table(out)
+    rows_: dict[int, dict[str, bytes]] = {}
+    for name, shift in SHIFT.items():
+        keys, n = chunk.keys[name], chunk.counts(name)
+        found, cut = exchange.blocks_of(keys, blocks)
+        for k, b in enumerate(found.tolist()):
+            row = rows_.setdefault(b, dict.fromkeys([*SHIFT, *(f"{x}_n" for x in SHIFT)], b""))
+            row[name], row[f"{name}_n"] = exchange.pack_keys(keys[cut[k] : cut[k + 1]], shift), exchange.pack(n[cut[k] : cut[k + 1]])
+    out = {"block": pa.array(list(rows_), pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows_), pa.int64())}
+    return pa.table(out | {c: pa.array([r[c] for r in rows_.values()], pa.binary()) for name in SHIFT for c in (name, f"{name}_n")})
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([exchange.unpack(x) for x in column.to_pylist() if x] or [np.zeros(0, np.int64)])
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Training counts of every key of every chunk; those of the held-out chunks too, for these; and, as chunk -1, the
-    block's training tokens and types."""
+    """Training counts of every key of every chunk; those of the held-out chunks too, for these; and, in one of the PARTS
+    chunks below 0, the block's training tokens and types."""
     chunks = table["chunk"].to_numpy()
     held = chunks % EVERY == 0
     out: dict[str, list] = {}
-    for name in ("uni", "bi"):
-        keys, sizes = exchange.keys_of(table, name)
-        n = np.concatenate([exchange.unpack(x) for x in table[f"{name}_n"].to_pylist()])
+    for name, shift in SHIFT.items():
+        keys, sizes = exchange.keys_of(table, name, shift)
+        n = _unpacked(table[f"{name}_n"])
         distinct, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, n, len(distinct)).astype(np.int64)
         apart = np.bincount(of, n * np.repeat(held, sizes), len(distinct)).astype(np.int64)
         if name == "uni":
             tokens, types = int(total.sum()), int((total > 0).sum())
         ends = np.cumsum(sizes)
-        out[f"{name}_n"] = [exchange.pack(total[of[hi - k : hi]]) for hi, k in zip(ends, sizes, strict=True)]
-        out[f"{name}_held"] = [exchange.pack(apart[of[hi - k : hi]]) if h else b"" for hi, k, h in zip(ends, sizes, held, strict=True)]
+        some = lambda values, hi, k: exchange.pack(values[of[hi - k : hi]]) if k else b""  # noqa: E731, B023
+        out[f"{name}_n"] = [some(total, hi, k) for hi, k in zip(ends, sizes, strict=True)]
+        out[f"{name}_held"] = [some(apart, hi, k) if h else b"" for hi, k, h in zip(ends, sizes, held, strict=True)]
     k = len(chunks)
-    columns = {"chunk": pa.array([*chunks, -1], pa.int64()), "block": pa.array([table["block"][0].as_py()] * (k + 1), pa.int64())}
+    columns = {"chunk": pa.array([*chunks, -1 - table["block"][0].as_py() % PARTS], pa.int64()), "block": pa.array([table["block"][0].as_py()] * (k + 1), pa.int64())}
     columns |= {"tokens": pa.array([0] * k + [tokens], pa.int64()), "types": pa.array([0] * k + [types], pa.int64())}
-    return pa.table(columns | {name: pa.array([*out[name], b""], pa.binary()) for name in ("uni_n", "uni_held", "bi_n", "bi_held")})
+    return pa.table(columns | {c: pa.array([*out[c], b""], pa.binary()) for name in SHIFT for c in (f"{name}_n", f"{name}_held")})
 
 
-def totals(table: pa.Table) -> pa.Table:
-    """Training tokens and types of all blocks, which are the rows of chunk -1."""
-    mine = [table["chunk"][0].as_py()] * (table["chunk"][0].as_py() < 0)
-    return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist()) for _ in mine], pa.int64()), "types": pa.array([sum(table["types"].to_pylist()) for _ in mine], pa.int64())})
-
+def _cell(estimate: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        cell = np.round(np.abs(np.log(estimate)) / STEP) + 1
+    return np.where(estimate > 0, cell.clip(1, CELLS - 1), 0).astype(np.int64)
 
-def _counts(answers: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([exchange.unpack(x) for x in answers[name].to_pylist()])
 
+#: Cells of the histogram that hold all training tokens and types.
+TOKENS, TYPES = -1, -2
+HISTOGRAM = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("tri", pa.float64()), ("bi", pa.float64()), ("uni", pa.float64())])
 
-def bucket(context: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else 1 + log2 of its count."""
-    return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64).clip(0, BUCKETS - 1)
 
+def held_out_histogram(left: pa.Table, right: pa.Table) -> pa.Table:
+    """How many of a held-out chunk's training tokens have which estimates once its documents are deleted. Chunks below 0 give the sums over their blocks."""
+    if not left.num_rows:
+        n = [sum(right[c].to_pylist()) for c in ("tokens", "types")]
+        return pa.table({"cell": [TOKENS, TYPES], "n": n} | {c: [0.0, 0.0] for c in ("tri", "bi", "uni")}, HISTOGRAM)
+    if left["chunk"][0].as_py() % EVERY:
+        return HISTOGRAM.empty_table()
+    chunk, answers = Chunk(left), right.sort_by("block")
+    n = {name: _unpacked(answers[f"{name}_n"]) - _unpacked(answers[f"{name}_held"]) for name in SHIFT}
+    bucket, *found = (x[chunk.train] for x in chunk.estimates(n))
+    code = bucket
+    for x in found:
+        code = code * CELLS + _cell(x)
+    cells, of = np.unique(code, return_inverse=True)
+    sums = {c: np.bincount(of, x, len(cells)) for c, x in zip(("tri", "bi", "uni"), found, strict=True)}
+    return pa.table({"cell": cells, "n": np.bincount(of, minlength=len(cells)).astype(np.int64)} | sums, HISTOGRAM)
 
-def _cell(estimate: np.ndarray, uniform: float) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        cell = np.round(np.log(estimate / uniform) / STEP) + SHIFT
-    return np.where(estimate > 0, cell.clip(1, CELLS - 1), 0).astype(np.int64)
 
+def learn(bucket: np.ndarray, n: np.ndarray, estimate: np.ndarray) -> np.ndarray:
+    """Weights of trigram, bigram, unigram and uniform by bucket, by expectation-maximisation; estimate: a row of the four each."""
 
-def held_out_histogram(left: pa.Table, right: pa.Table) -> pa.Table:
-    """How many of a held-out chunk's training tokens have which estimates once its documents are deleted."""
-    kind = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-    if not left.num_rows or left["chunk"][0].as_py() % EVERY:
-        return kind.empty_table()
-    chunk, answers = Chunk(left), right.sort_by("block")
-    uni_held, bi_held = _counts(answers, "uni_held"), _counts(answers, "bi_held")
-    uni, bi = _counts(answers, "uni_n") - uni_held, _counts(answers, "bi_n") - bi_held
-    tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
-    some = chunk.train
-    context = uni[chunk.context_of[some]]
-    uniform = 1 / (types + 1)
-    p2 = bi[chunk.bi_of[some]] / np.maximum(context, 1) * (context > 0)
-    p1 = uni[chunk.uni_of[some]] / max(tokens, 1)
-    code = (bucket(context) * CELLS + _cell(p2, uniform)) * CELLS + _cell(p1, uniform)
-    cells, n = np.unique(code, return_counts=True)
-    return pa.table({"cell": cells, "n": n.astype(np.int64)}, kind)
-
-
-def learn(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights of bigram, unigram and uniform by context bucket, by expectation-maximisation."""
-    level = lambda c: np.where(c > 0, np.exp((c - SHIFT) * STEP), 0.0)
-    ratio = np.stack([level(cell // CELLS % CELLS), level(cell % CELLS), np.ones(len(cell))], 1)
-    of = cell // CELLS**2
-
-    def run(ratio: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def run(estimate: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
         weight = start
         for _ in range(ROUNDS):
-            share = ratio * weight
+            share = estimate * weight
             share /= share.sum(1, keepdims=True)
             weight = (share * n[:, None]).sum(0) / n.sum()
-        weight = np.maximum(weight, [0, 1e-6, 1e-6])  # unseen words keep a probability
+        weight = np.maximum(weight, [0, 0, 1e-6, 1e-6])  # unseen words keep a probability
         return weight / weight.sum()
 
-    every = run(ratio, n, DEFAULT) if len(n) else DEFAULT
+    every = run(estimate, n, DEFAULT) if len(n) else DEFAULT
     out = np.tile(every, (BUCKETS, 1))
-    for b in np.unique(of):
-        out[b] = run(ratio[of == b], n[of == b], every)
-    out[0, 0] = 0  # an unseen context has no bigrams
-    out[0] = out[0] / out[0].sum()
-    return out
+    for b in np.unique(bucket):
+        out[b] = run(estimate[bucket == b], n[bucket == b], every)
+    # an unseen context has no trigrams, or no bigrams either
+    out[LEVELS:, 0] = out[LEVELS, 1] = 0
+    return out / out.sum(1, keepdims=True)
 
 
 def _weights(table: pa.Table) -> pa.Table:
-    """One row from the whole histogram, which is bounded."""
-    order = np.argsort(table["cell"].to_numpy())
-    cell, n = table["cell"].to_numpy()[order], table["n"].to_numpy()[order]
+    """One row from the whole histogram, which is bounded: the weights, all training tokens and types."""
+    table = table.sort_by("cell")
+    cell, n = table["cell"].to_numpy(), table["n"].to_numpy()
+    tokens, types = (int(n[cell == c].sum()) for c in (TOKENS, TYPES))
     real = cell >= 0
-    return pa.table({"one": pa.array([1], pa.int32()), "weights": pa.array([learn(cell[real], n[real].astype(float)).tobytes()], pa.binary())})
+    mean = np.stack([table[c].to_numpy()[real] / n[real] for c in ("tri", "bi", "uni")] + [np.full(real.sum(), 1 / (types + 1))], 1)
+    mean[:, 2] /= max(tokens, 1)
+    return pa.table({"one": pa.array([1], pa.int32()), "all_tokens": [tokens], "all_types": [types], "weights": pa.array([learn(cell[real] // CELLS**3, n[real].astype(float), mean).tobytes()], pa.binary())})
 
 
 def score(left: pa.Table, right: pa.Table) -> pa.Table:
     """The rows of one chunk; every chunk has asked about the end token, and so has answers."""
     chunk, answers = Chunk(left), right.sort_by("block")
-    uni, bi = _counts(answers, "uni_n"), _counts(answers, "bi_n")
+    n = {name: _unpacked(answers[f"{name}_n"]) for name in SHIFT}
     tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
-    weights = np.frombuffer(answers["weights"][0].as_py()).reshape(BUCKETS, 3)
-    c = uni[chunk.uni_of]
-    base = np.log10(uni + 1) - np.log10(tokens + (types + 1))
+    weights = np.frombuffer(answers["weights"][0].as_py()).reshape(BUCKETS, 4)
+    base = np.log10(n["uni"] + 1) - np.log10(tokens + (types + 1))
+    bucket, three, two, one = chunk.estimates(n)
     if tokens:
-        context = uni[chunk.context_of]
-        w = weights[bucket(context)]
-        p = w[:, 0] * (bi[chunk.bi_of] / np.maximum(context, 1)) + w[:, 1] * (c / tokens) + w[:, 2] / (types + 1)
-        log_p = np.log10(p)
+        w = weights[bucket]
+        log_p = np.log10(w[:, 0] * three + w[:, 1] * two + w[:, 2] * (one / tokens) + w[:, 3] / (types + 1))
     else:
-        log_p = np.zeros(len(c))
+        log_p = np.zeros(len(one))
     first = chunk.first[:-1]
     add = lambda x: np.add.reduceat(x, first)
-    out = {"n_tokens": chunk.count.astype(np.int64), "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(len(first), tokens, np.int64), "base_score": add(base[chunk.uni_of]), "score": add(log_p)}
+    out = {"n_tokens": chunk.count.astype(np.int64), "n_known": add((one > 0).astype(np.int64)), "train_tokens": np.full(len(first), tokens, np.int64), "base_score": add(base[chunk.of["uni"]]), "score": add(log_p)}
     return pa.table({"doc_id": chunk.table["doc_id"], "held_out": chunk.table["held_out"]} | {k: pa.array(v) for k, v in out.items()})
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     out = rows.held_out("doc_id", *HELD_OUT)
     marked = docs.select("doc_id", "text", out.alias("held_out"), (~out).alias("train"))
-    dealt, chunks = exchange.chunked(marked, marked.columns, CHUNK_BYTES, least=2 * EVERY)
-    n, by_chunk = exchange.partitions(spark), dealt.groupBy("chunk")
+    dealt, chunks = exchange.chunked(marked, marked.columns, chunk_bytes, least=2 * EVERY)
+    n, by_chunk = exchange.partitions(spark, chunks), dealt.groupBy("chunk")
     asked = by_chunk.applyInArrow(lambda t: ask(t, chunks), ASKED).repartition(n, "block")
     answers = asked.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk")
-    sums = answers.groupBy("chunk").applyInArrow(totals, "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("all_types")).withColumn("one", F.when(F.col("all_types") >= 0, 1).otherwise(0))
-    informed = answers.withColumn("one", F.when(F.col("chunk") >= 0, 1).otherwise(0)).join(F.broadcast(sums), "one")
-    histogram = by_chunk.cogroup(informed.groupBy("chunk")).applyInArrow(held_out_histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # a row of its own, for a histogram without any
-    always = spark.range(1).select(F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("n"))
-    weights = histogram.unionByName(always).groupBy(F.lit(1).alias("one")).applyInArrow(_weights, "one int, weights binary")
-    informed = informed.join(F.broadcast(weights), "one").drop("one")
+    found = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(held_out_histogram, "cell long, n long, tri double, bi double, uni double")
+    histogram = found.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "tri", "bi", "uni")])
+    weights = histogram.groupBy(F.lit(1).alias("one")).applyInArrow(_weights, "one int, all_tokens long, all_types long, weights binary")
+    informed = answers.withColumn("one", F.when(F.col("chunk") >= 0, 1)).join(F.broadcast(weights), "one").drop("one")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_chunk.cogroup(informed.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

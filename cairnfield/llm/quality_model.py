@@ -4,12 +4,13 @@ A text's terms are hashed n-grams of character classes (how letters are cased, r
 how often its words repeat, and its words themselves, lower-cased, hashed to WORDS cells and weighted by how rare they are in the
 labelled sample. Terms are log-weighted; a truncated
 singular value decomposition of the labelled sample spans the latent space. The labelled vectors (at most SAMPLE, a
-documented bound, chosen by hash from rows that may teach) are broadcast; every text's cosines with all of them are computed exactly,
+documented bound, chosen by hash from the labelled documents that may teach) are broadcast; every text's cosines with all of them are computed exactly,
 a block of texts at a time, and its K nearest neighbours vote with weights of their similarity.
 
 Only the text is looked at when scoring. Null and empty texts score as the plain share of label 1. Where a doc_id has
 several labels, their majority counts (1 on a tie); null labels and labels without a document do not teach; null ids do not match labels.
-With nothing to learn from, every score is 0.5. Repeated rows get equal scores; an empty table gives no rows; further columns are ignored.
+With nothing to learn from, every score is 0.5. Of neighbours with equal cosines (to nine places) those earlier by the hash of their id vote. Very long texts are
+taken whole, their terms counted piece by piece. Repeated rows get equal scores; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEVELS, MARKS = 16, 4
 WORDS, VOCABULARY = 2048, 0.7
 SHAPE = GRAMS + LEVELS * MARKS
 TERMS = SHAPE + WORDS
+#: Bytes whose grams are counted at a time.
+PIECE = 1 << 22
 
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 0x61, 0x41, 0x30, 0x61
@@ -41,18 +44,21 @@ def terms(texts: pa.Array) -> np.ndarray:
     """Log-weighted terms, a row a text: shape of length 1 (or 0 for empty texts), marks, and words, which weighed() scales."""
     w = vec.Words(texts, lower=False)
     n, size = len(texts), np.diff(w.offsets)
-    code = _CLASS[w.data] * np.uint64(0x9E3779B97F4A7C15)
-    owner = np.repeat(np.arange(n), size)
     out = np.zeros((n, TERMS), np.float32)
-    for order in (2, 4):
-        if len(code) < order:
-            continue
-        h = code[: len(code) - order + 1].copy()
-        for i in range(1, order):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + code[i : len(code) - order + 1 + i]
-        cell = ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64) % GRAMS
-        whole = owner[: len(cell)] == owner[order - 1 :]
-        out[:, :GRAMS] += np.bincount(owner[: len(cell)][whole] * GRAMS + cell[whole], minlength=n * GRAMS).reshape(n, GRAMS)
+    for lo in range(0, len(w.data), PIECE):  # grams begin in the piece and may end in the next
+        hi = min(lo + PIECE, len(w.data))
+        code = _CLASS[w.data[lo : hi + 3]] * np.uint64(0x9E3779B97F4A7C15)
+        owner = np.searchsorted(w.offsets, np.arange(lo, lo + len(code)), "right") - 1
+        for order in (2, 4):
+            many = min(hi - lo, len(code) - order + 1)
+            if many <= 0:
+                continue
+            h = code[:many].copy()
+            for i in range(1, order):
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + code[i : many + i]
+            cell = ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64) % GRAMS
+            whole = owner[:many] == owner[order - 1 : order - 1 + many]
+            out[:, :GRAMS] += np.bincount(owner[:many][whole] * GRAMS + cell[whole], minlength=n * GRAMS).reshape(n, GRAMS)
     # shares of one, so that a text's length does not matter
     out[:, :GRAMS] = np.log1p(1000 * out[:, :GRAMS] / np.maximum(size, 1)[:, None])
     norm = np.sqrt((out**2).sum(1, keepdims=True))
@@ -91,7 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     ship(spark)
     taught = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~rows.held_out("doc_id", *HELD_OUT))
     one = taught.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("id"), "label")
+    # only labels of documents that are there may take a place in the sample; ids alone are shuffled
+    there = one.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("id"), "label")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,23 +113,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     got = sample.mapInArrow(run, f"doc_id {kind}, label int, terms binary").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     label = got["label"].to_numpy().astype(np.float64)
     if not len(label):
-        return {"share": 0.5, "space": np.zeros((TERMS, 1), np.float32), "mean": np.zeros(TERMS, np.float32), "idf": np.zeros(WORDS, np.float32), "vectors": np.zeros((0, 1), np.float32), "label": label}
+        return {"share": 0.5, "space": np.zeros((TERMS, 1)), "mean": np.zeros(TERMS, np.float32), "idf": np.zeros(WORDS, np.float32), "vectors": np.zeros((0, 1)), "label": label}
     matrix = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(len(label), TERMS)
     idf = np.log((1 + len(label)) / (1 + (matrix[:, SHAPE:] > 0).sum(0))).astype(np.float32)
     scaled = weighed(matrix, idf)
     mean = scaled.mean(0)
     gram = (scaled - mean).T @ (scaled - mean)
     _, basis = np.linalg.eigh(gram.astype(np.float64))
-    space = np.ascontiguousarray(basis[:, ::-1][:, :RANK], np.float32)
+    space = np.ascontiguousarray(basis[:, ::-1][:, :RANK])
     model = {"share": float(label.mean()), "space": space, "mean": mean, "idf": idf, "label": label}
     return model | {"vectors": latent(matrix, model)}
 
 
 def latent(found: np.ndarray, model: dict) -> np.ndarray:
-    v = (weighed(found, model["idf"]) - model["mean"]) @ model["space"]
+    """Vectors of length 1 in the latent space."""
+    v = (weighed(found, model["idf"]) - model["mean"]).astype(np.float64) @ model["space"]
     return v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-9)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest values of each row; of equal ones the first."""
+    least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+    over, at = cosine > least, cosine == least
+    chosen = over | at & (np.cumsum(at, 1) <= k - over.sum(1, keepdims=True))
+    return np.nonzero(chosen)[1].reshape(-1, k)
+
+
 def vote(texts: pa.Array, model: dict, block: int = 512) -> np.ndarray:
     """Scores of a slice of texts, a block of cosines at a time."""
     found = terms(texts)
@@ -130,9 +147,9 @@ def vote(texts: pa.Array, model: dict, block: int = 512) -> np.ndarray:
     k = min(K, len(model["label"]))
     for lo in range(0, len(some) if k else 0, block):
         at = some[lo : lo + block]
-        cosine = latent(found[at], model) @ model["vectors"].T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = (np.maximum(np.take_along_axis(cosine, near, 1), 0) + 1e-6).astype(np.float64) ** POWER
+        cosine = np.round(latent(found[at], model) @ model["vectors"].T, 9)
+        near = nearest(cosine, k)
+        weight = (np.maximum(np.take_along_axis(cosine, near, 1), 0) + 1e-6) ** POWER
         out[at] = (weight * model["label"][near]).sum(1) / weight.sum(1)
     return np.clip(out, 0, 1)
 

@@ -5,7 +5,9 @@ phrases are a good part (MENTION of the words, or anything if the line is of und
 than MAX_LOST of its word characters is rejected. Before that, whole-text base rules reject texts of under
 MIN_WORDS words and those in which over MAX_REPEAT percent of the words lie in repeated 5-word windows.
 
-Row-local: no shuffle, memory bounded by a slice of texts. Null and empty texts have no words, so they
+Row-local: no shuffle, and a row's result does not depend on the rows around it. Very long texts are judged whole, in about
+twenty bytes of memory a byte. Lines and windows are compared by 64-bit hashes within their text. A line equal to several earlier ones is one
+duplicate; shares exactly at a limit: MAX_LOST and MAX_REPEAT still pass, NAVIGATION, SYMBOLS and SHOUTING too, MENTION fails. Null and empty texts have no words, so they
 fail the base rules and have an empty cleaned text; null ids pass through; repeated rows get equal results; an empty table
 gives no rows; further input columns are ignored by score() and pass through clean(), where the documents' own
 columns win over the measures of the same name.
@@ -34,6 +36,7 @@ BOILERPLATE = re.compile(rb"(?<![\w\x80-\xff])(?:all rights reserved|cookie poli
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+_BAR = np.arange(256) == 0x7C
 _UPPER, _LETTER, _CLOSING = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -46,17 +49,20 @@ _MARKS = sorted({x.encode() for x in CLOSING})
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lost_chars long, kept boolean"
 
 
-def _between(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=total[1:])
-    return total[hi] - total[lo]
+def _phrases(data: np.ndarray, offsets: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Words in boilerplate phrases of each line. Texts are set apart by line breaks, so no phrase, and no look around one, reaches across."""
+    out = np.zeros(len(lo), np.int64)
+    begin = offsets[:-1] + np.arange(len(offsets) - 1)
+    for m in BOILERPLATE.finditer(np.insert(data, offsets[1:-1], 10).tobytes()):
+        text = np.searchsorted(begin, m.start(), "right") - 1
+        out[np.searchsorted(lo, m.start() - text, "right") - 1] += m[0].count(b" ") + 1
+    return out
 
 
 def measure(texts: pa.Array, cleaned: bool = False) -> dict:
     """Base measures, verdicts and, if asked, the cleaned texts of a slice."""
     w = vec.Words(texts)
     data, n = w.data, len(texts)
-    chars = w.inside & ((data & 0xC0) != 0x80)
     # windows that are there twice or more in their text
     at, text, hashes = w.windows(WINDOW)
     again = vec.repeated(vec.keyed(hashes, text))
@@ -77,17 +83,15 @@ def measure(texts: pa.Array, cleaned: bool = False) -> dict:
     first_word = np.searchsorted(w.start, lo)
     words = np.searchsorted(w.start, hi) - first_word
     full = words > 0
-    keys = vec.keyed(w.span(lo, hi), of)
+    keys = vec.keyed(vec.ranges(data, lo, hi), of)
     copy = np.zeros(len(of), bool)
     some = np.flatnonzero(full)
     _, original = np.unique(keys[some], return_index=True)
     copy[some] = True
     copy[some[original]] = False
     # line rules
-    line_chars = _between(chars, lo, hi)
-    bars = _between(data == 0x7C, lo, hi)
-    symbols = _between(_SYMBOL[data], lo, hi)
-    letters, upper = _between(_LETTER[data], lo, hi), _between(_UPPER[data], lo, hi)
+    line_chars = vec.tiled(w.inside & ((data & 0xC0) != 0x80), lo, hi)
+    bars, symbols, letters, upper = (vec.tiled(m[data], lo, hi) for m in (_BAR, _SYMBOL, _LETTER, _UPPER))
     closing = np.zeros(len(of), bool)
     last_byte = np.zeros(len(of), np.int64)
     last_byte[some] = w.end[first_word[some] + words[some] - 1] - 1
@@ -101,9 +105,7 @@ def measure(texts: pa.Array, cleaned: bool = False) -> dict:
         closing[far] |= hit
     fails = (bars > NAVIGATION * words) & (words > 1) | (symbols > SYMBOLS * words) & (symbols > 2) | (upper > SHOUTING * letters) & (words > 3)
     fails |= ~closing & (words <= SHORT) | copy
-    phrases = np.zeros(len(of), np.int64)
-    for m in BOILERPLATE.finditer(data.tobytes()):
-        phrases[np.searchsorted(lo, m.start(), "right") - 1] += m[0].count(b" ") + 1
+    phrases = _phrases(data, w.offsets, lo)
     fails |= (phrases > 0) & ((phrases >= MENTION * words) | (words < MIN_WORDS))
     fails &= full
     word_chars = np.bincount(of, line_chars, n).astype(np.int64)

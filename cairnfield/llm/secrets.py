@@ -1,13 +1,16 @@
 """Operator 5, secret scans: assignment-aware lexing.
 
 Three base patterns are matched leftmost and non-overlapping over whole texts. Beyond them, the texts that
-name anything sensitive are lexed as source or configuration: `name = literal`, `name: literal`,
-`"name" => literal` and the like become name-literal pairs (quoted, or bare values of .env, INI and YAML text), `name = other` propagates the constant last
-bound to `other`, and a literal is scored by what its target names say. A literal that reaches MIN_SCORE is
-added as a span of kind `bound`, unless a base span covers it.
+name anything sensitive are lexed as source or configuration into name-literal pairs: `name = literal`, `name: literal`,
+`"name" => literal`, `<name>literal</name>`, `key="name" value="literal"`; literals are quoted (also by three quotes, or in parts joined by +),
+or bare values of .env, INI, YAML and XML text. `name = other` propagates the constant last bound to `other`, or the one first bound to it
+later on. A literal is scored by what its target names say: whole parts of them, or their endings; names that only say `value` and the
+like by the name they are nested under, in braces or by indentation. A literal that reaches MIN_SCORE is
+added as a span of kind `bound` (from its first part to its last), unless a base span covers it.
 
 Row-local: no shuffle. Spans are half-open ranges of code points. Null and empty texts have no spans;
-null ids pass through; repeated rows get equal results; an empty table gives no rows; further columns are
+null ids pass through; repeated rows get equal results; very long texts are lexed whole, in linear time; spans that start together are ordered
+by kind, then end; an empty table gives no rows; further columns are
 ignored by scan() and kept by redact().
 """
 
@@ -35,11 +38,18 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 3, "
 #: Parts that add one less in the name of something about a secret.
 ABLE = {"pass", "token", "credential", "credentials", "bearer"}
 ABOUT = {"count", "dir", "endpoint", "expires", "expiry", "file", "id", "index", "len", "length", "limit", "max", "min", "name", "path", "rate", "size", "ttl", "type", "uri", "url"}
+#: Endings of a part of a name that count as the part they are.
+ENDINGS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "credential", "credentials")
+#: Names that say nothing themselves: the one that they are nested under does.
+NEUTRAL = {"value", "val", "data", "default", "content", "string", "text", "plain"}
 HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential|auth|bearer")
 #: A name and the separator after it; names and literals are of any length, and every pattern reads its characters a bounded number of times.
 _NAME = r"""["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
 NAME = re.compile(r"(?a)(?<![\w.$-])" + _NAME)
 QUOTED = {q: re.compile(rf"{q}((?:\\.|[^\\\n{q}])*+){q}") for q in "\"'`"}
+JOINED = re.compile(r"\s*+\+\s*+(?=[\"'`])")
+ELEMENT = re.compile(r"(?a)<([A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]*+)?>([^<>\n]*+)</\1[ \t]*+>")
+ATTRIBUTES = re.compile(r"""(?ai)\b(?:key|name)[ \t]*+=[ \t]*+["']([^"'\n<>]*+)["'][ \t]++value[ \t]*+=[ \t]*+["']([^"'\n<>]*+)["']""")
 OTHER = re.compile(r"(?a)([A-Za-z_$][\w.$]*+)(?!\()")
 #: A line of .env, INI or YAML text: its value is the whole word, up to a comment. Elsewhere a bare value ends at the next delimiter.
 LINE = re.compile(rf"(?am)^[ \t]*+(?:(?:export|set|-)[ \t]++)?{_NAME}([^\s\"'`]\S*+)[ \t\r]*+(?:[#;][^\n]*+)?$")
@@ -69,7 +79,8 @@ def name_score(names: set[str]) -> float:
 
 
 def _score(parts: set[str]) -> float:
-    return sum(SENSITIVE.get(p, 0) - (p in ABLE and not parts.isdisjoint(ABOUT)) for p in parts)
+    known = {p: next((e for e in ENDINGS if p.endswith(e)), p) for p in parts}
+    return sum(SENSITIVE.get(known[p], 0) - (known[p] in ABLE and not parts.isdisjoint(ABOUT)) for p in parts)
 
 
 def entropy(literal: str) -> float:
@@ -95,34 +106,117 @@ def bare(text: str, lo: int, line: tuple[int, bool] | None) -> tuple[int, int] |
     return lo, lo + len(word)
 
 
+class _Strings:
+    """Quoted literals of a text."""
+
+    def __init__(self, text: str):
+        self.text, self.open = text, set()
+
+    def at(self, lo: int) -> tuple[int, int, int] | None:
+        """The literal whose quotes begin here, as its inner range and the end of its quotes."""
+        quote = self.text[lo : lo + 1]
+        if quote not in QUOTED:
+            return None
+        if self.text.startswith(quote * 3, lo) and quote not in self.open:
+            end = self.text.find(quote * 3, lo + 3)
+            if end >= 0:
+                return lo + 3, end, end + 3
+            self.open.add(quote)  # and no later one is closed
+        m = QUOTED[quote].match(self.text, lo)
+        return m and (m.start(1), m.end(1), m.end())
+
+    def joined(self, lo: int) -> tuple[tuple[int, int, str], int] | None:
+        """A literal of one part or more, as its range with its value, and where it ends."""
+        part = self.at(lo)
+        if part is None:
+            return None
+        first, last, end = part
+        value = [self.text[first:last]]
+        while (m := JOINED.match(self.text, end)) and (part := self.at(m.end())):
+            value.append(self.text[part[0] : part[1]])
+            _, last, end = part
+        return (first, last, "".join(value)), end
+
+
+class _Nested:
+    """The names that a place of a text is nested under, by braces and by indentation."""
+
+    def __init__(self):
+        self.braces: list[str | None] = []
+        self.lines: list[tuple[int, str]] = []
+
+    def passed(self, gap: str) -> None:
+        for c in re.findall("[{}]", gap):
+            if c == "{":
+                self.braces.append(None)
+            elif self.braces:
+                self.braces.pop()
+
+    def indented(self, indent: int | None) -> None:
+        while indent is not None and self.lines and self.lines[-1][0] >= indent:
+            self.lines.pop()
+
+    def name(self) -> str | None:
+        return self.braces[-1] if self.braces and self.braces[-1] else self.lines[-1][1] if self.lines else None
+
+
 def bound_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that reach a sensitive name, straight or through other names."""
-    value: dict[str, tuple[int, int]] = {}  # name -> literal now bound to it
-    names: dict[tuple[int, int], set[str]] = {}
+    value: dict[str, tuple[int, int, str]] = {}  # name -> literal now bound to it
+    waiting: dict[str, list[str]] = {}  # name not bound so far -> names that it was given to
+    names: dict[tuple[int, int, str], set[str]] = {}
     lines = {m.start(2): (m.end(2), text[m.end(1)] in "=:\"'") for m in LINE.finditer(text)}
-    at = 0
+    strings, nested = _Strings(text), _Nested()
+
+    def bind(name: str, literal: tuple[int, int, str], full: str) -> None:
+        value[name] = literal
+        names.setdefault(literal, set()).add(full)
+        reached = [name]
+        while reached:
+            for later in waiting.pop(reached.pop(), ()):
+                names[literal].add(later)
+                if later not in value:
+                    value[later] = literal
+                    reached.append(later)
+
+    at = done = 0
     while m := NAME.search(text, at):
         name, at = m[1], m.end()
-        if quoted := at < len(text) and text[at] in QUOTED and QUOTED[text[at]].match(text, at):
-            literal, at = quoted.span(1), quoted.end()
+        nested.passed(text[done : m.start()])
+        begin = text.rfind("\n", max(done - 1, 0), m.start()) + 1
+        nested.indented(m.start() - begin if (begin or not done) and not text[begin : m.start()].strip(" \t-") else None)
+        done, above = at, nested.name()
+        full = f"{above}.{name}" if above and name.lower() in NEUTRAL else name
+        if found := strings.joined(at):
+            literal, at = found
+            done = at
+        elif text.startswith("{", at):
+            nested.braces.append(name)
+            done = at = at + 1
+            continue
         else:
             other = OTHER.match(text, at)
-            literal = other and value.get(other[1]) or bare(text, at, lines.get(at))
+            plain = None if other and other[1] in value else bare(text, at, lines.get(at))
+            literal = value[other[1]] if other and other[1] in value else plain and (*plain, text[plain[0] : plain[1]])
             if literal is None:
                 if other:
                     value.pop(name, None)
+                    waiting.setdefault(other[1], []).append(full)
+                elif text[at : at + 1] in ("\n", "\r", ""):
+                    nested.lines.append((m.start() - begin, name))
                 continue
-        value[name] = literal
-        names.setdefault(literal, set()).add(name)
-    out = []
-    for (lo, hi), targets in names.items():
-        if hi - lo < MIN_LENGTH:
+        bind(name, literal, full)
+    for m in [*ELEMENT.finditer(text), *ATTRIBUTES.finditer(text)]:
+        if m[0][0] != "<" or (plain := bare(text, m.start(2), (m.end(2), True))) and plain[1] == m.end(2):
+            names.setdefault((m.start(2), m.end(2), m[2]), set()).add(m[1])
+    out = set()
+    for (lo, hi, literal), targets in names.items():
+        if len(literal) < MIN_LENGTH:
             continue
-        literal = text[lo:hi]
         score = name_score(targets) - (2 if " " in literal else 0)
         if score >= MIN_SCORE and entropy(literal) >= MIN_ENTROPY and re.search(r"[0-9A-Z_\W]", literal):
-            out.append((lo, 3, hi))
-    return out
+            out.add((lo, 3, hi))
+    return sorted(out)
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -144,7 +238,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def fn(texts: pa.Array, _: pa.RecordBatch) -> dict:
         both = [spans(t) for t in texts.to_pylist()]
-        counts = {f"n_{kind}": pa.array([sum(x[1] == k for x in b) for b, _ in both], pa.int64()) for k, kind in enumerate(KINDS)}
+        counts = {f"n_{kind}": pa.array([sum(x[1] == k for x in a) for _, a in both], pa.int64()) for k, kind in enumerate(KINDS)}
         return counts | {"base_sha256": pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in both], pa.string()), "spans": pa.array([written(a) for _, a in both], pa.string())}
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_bound long, base_sha256 string, spans string"

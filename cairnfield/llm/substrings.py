@@ -8,7 +8,9 @@ windows are checked one by one at each factor's end. Together that is every wind
 
 Windows are not all sent: one is asked about only if its anchor (the ANCHOR-word gram of least hash in it, the same in
 all its copies) is there twice, which a first round of questions settles over a fourteenth of the data. See exchange.py
-for the rounds; equality is that of 64 bits for the anchor and 64 independent bits for the window.
+for the rounds. Windows are equal if a 64-bit hash and 32 further bits are, so that among 1e13 different ones less than 1e-3 pairs are expected to be confused.
+Where a window starts at several places elsewhere, its reference is the first of them in the order of chunks, so a factor may end before the longest match
+there is; that changes factors, not what is removed, since windows across their ends are checked.
 
 Null and empty texts have no words; texts of fewer than WINDOW words keep all; a window repeated inside one text counts as elsewhere, as do repeated rows
 (which are removed from one another); null ids are fine; an empty table gives no rows; further columns are ignored by scan(), kept by clean().
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from cairnfield.llm import exchange, rows, vec
 
 WINDOW, ANCHOR = 35, 8
-ASKED = "block long, chunk long, keys binary, places binary"
+ASKED = "block long, chunk long, keys binary, checks binary, places binary"
 ANSWERED = "chunk long, block long, known binary, refs binary"
 
 
@@ -55,24 +58,31 @@ class Chunk:
         if len(hashes) >= WINDOW:
             # all grams, also across texts; a window's own grams are all inside its text
             _, _, grams = vec.windows(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), np.array([0, len(hashes)]), ANCHOR)
+        half = vec.runs(hashes, WINDOW // 2 + 1) if len(hashes) >= WINDOW else np.zeros(0, np.uint64)
+        self.check = (vec.mix(half[self.at] * np.uint64(0x9FB21C651E98DF25) + half[self.at + WINDOW // 2]) >> np.uint64(32)).astype(np.uint32)
         self.anchor = sliding_min(grams, WINDOW - ANCHOR + 1)[self.at]
         self.keys, self.inverse = np.unique(self.anchor, return_inverse=True)
         every, counts = np.unique(grams, return_counts=True)
         self.own = counts[np.searchsorted(every, self.keys)] > 1
 
-    def asked(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows whose anchor is there twice, and their distinct hashes with the first place of each."""
+    def asked(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose anchor is there twice, which distinct hash each has, and the distinct hashes, sorted, with their check bits and first places."""
         some = np.flatnonzero((shared | self.own)[self.inverse])
-        keys, first = np.unique(self.window[some], return_index=True)
-        return some, keys, self.at[some[first]]
+        window, check = self.window[some], self.check[some]
+        order = np.lexsort((check, window))
+        head = np.ones(len(some), bool)
+        head[1:] = (window[order][1:] != window[order][:-1]) | (check[order][1:] != check[order][:-1])
+        index = np.empty(len(some), np.int64)
+        index[order] = np.cumsum(head) - 1
+        first = order[head]
+        return some, index, window[first], check[first], self.at[some[first]]
 
 
-def _rows(chunk: int, blocks: int, keys: np.ndarray, places: np.ndarray | None) -> pa.Table:
-    cut = exchange.borders(keys, blocks)
-    some = np.flatnonzero(cut[1:] > cut[:-1])
-    data = [exchange.pack_keys(keys[cut[b] : cut[b + 1]]) for b in some]
-    spot = [b"" if places is None else places[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in some]
-    return pa.table({"block": pa.array(some, pa.int64()), "chunk": pa.array([chunk] * len(some), pa.int64()), "keys": pa.array(data, pa.binary()), "places": pa.array(spot, pa.binary())})
+def _rows(chunk: int, blocks: int, keys: np.ndarray, checks: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
+    some, cut = exchange.blocks_of(keys, blocks)
+    data = [exchange.pack_keys(keys[a:b]) for a, b in pairwise(cut.tolist())]
+    more = [[b"" if x is None else x[a:b].astype(np.uint32).tobytes() for a, b in pairwise(cut.tolist())] for x in (checks, places)]
+    return pa.table({"block": pa.array(some, pa.int64()), "chunk": pa.array([chunk] * len(some), pa.int64()), "keys": pa.array(data, pa.binary()), "checks": pa.array(more[0], pa.binary()), "places": pa.array(more[1], pa.binary())})
 
 
 def _answers(table: pa.Table) -> pa.Table:
@@ -81,11 +91,14 @@ def _answers(table: pa.Table) -> pa.Table:
     chunks = table["chunk"].to_numpy()
     keys, sizes = exchange.keys_of(table, "keys")
     places, given = exchange.joined(table, "places", 4)
+    checks, _ = exchange.joined(table, "checks", 4)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((checks, keys)) if len(checks) else np.argsort(keys, kind="stable")
     ranked = keys[order]
     head = np.ones(len(keys), bool)
     head[1:] = ranked[1:] != ranked[:-1]
+    if len(checks):
+        head[1:] |= checks[order][1:] != checks[order][:-1]
     start = np.flatnonzero(head)
     group = np.cumsum(head) - 1
     size = np.diff(np.append(start, len(keys)))
@@ -108,8 +121,7 @@ def _answers(table: pa.Table) -> pa.Table:
 def _known(answers: pa.Table, keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The answers to a chunk's sorted keys, as it asked them."""
     answers = answers.sort_by("block")
-    cut = exchange.borders(keys, blocks)
-    sizes = (cut[1:] - cut[:-1])[answers["block"].to_numpy()]
+    sizes = np.diff(exchange.blocks_of(keys, blocks)[1])
     known = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(answers["known"].to_pylist(), sizes, strict=True)]
     return np.concatenate(known) if known else np.zeros(0, bool), np.frombuffer(b"".join(answers["refs"].to_pylist()), np.uint64)
 
@@ -138,10 +150,9 @@ def parse(known: np.ndarray, ref: np.ndarray, n_words: int, n: int = WINDOW) ->
     return factors, checked
 
 
-def _finish(chunk: Chunk, some: np.ndarray, keys: np.ndarray, known: np.ndarray, refs: np.ndarray, with_text: bool, carry: list[str], number: int) -> pa.Table:
-    window, at = chunk.window[some], chunk.at[some]
-    index = np.searchsorted(keys, window)
-    reference = np.zeros(len(keys), np.uint64)
+def _finish(chunk: Chunk, some: np.ndarray, index: np.ndarray, known: np.ndarray, refs: np.ndarray, with_text: bool, carry: list[str], number: int) -> pa.Table:
+    at = chunk.at[some]
+    reference = np.zeros(len(known), np.uint64)
     reference[known] = refs
     # inside the chunk, the first copy refers to the second and the others to the first
     order = np.argsort(index, kind="stable")
@@ -185,31 +196,31 @@ def _finish(chunk: Chunk, some: np.ndarray, keys: np.ndarray, known: np.ndarray,
     return pa.table(out | ({"kept_text": pa.array(kept_texts, pa.string())} if with_text else {}))
 
 
-def parsed(docs: DataFrame, carry: Iterable[str], with_text: bool = False) -> DataFrame:
+def parsed(docs: DataFrame, carry: Iterable[str], with_text: bool = False, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
     """The carried columns (under in_<name>), n_words, n_removed, n_factors, kept_sha256 and, if asked, kept_text of every row."""
     carry = list(carry)
     inputs = [F.col(c).alias(f"in_{c}") for c in carry]
     named = docs.select("doc_id", "text", *inputs)
-    dealt, chunks = exchange.chunked(named, named.columns)
-    n, blocks = exchange.partitions(docs.sparkSession), chunks
+    dealt, chunks = exchange.chunked(named, named.columns, chunk_bytes)
+    n, blocks = exchange.partitions(docs.sparkSession, chunks), chunks
 
     def ask(table: pa.Table) -> pa.Table:
-        return _rows(table["chunk"][0].as_py(), blocks, Chunk(table).keys, None)
+        return _rows(table["chunk"][0].as_py(), blocks, Chunk(table).keys)
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows(0, blocks, np.zeros(0, np.uint64), None)
+            return _rows(0, blocks, np.zeros(0, np.uint64))
         chunk = Chunk(left)
-        _, keys, places = chunk.asked(_known(right, chunk.keys, blocks)[0])
-        return _rows(left["chunk"][0].as_py(), blocks, keys, places)
+        _, _, *asked = chunk.asked(_known(right, chunk.keys, blocks)[0])
+        return _rows(left["chunk"][0].as_py(), blocks, *asked)
 
     def finish(left: pa.Table, both: pa.Table) -> pa.Table:
         kinds = both["kind"].to_numpy()
         anchors, windows = both.filter(pa.array(kinds == 1)), both.filter(pa.array(kinds == 2))
         chunk = Chunk(left)
-        some, keys, _ = chunk.asked(_known(anchors, chunk.keys, blocks)[0])
+        some, index, keys, *_ = chunk.asked(_known(anchors, chunk.keys, blocks)[0])
         known, refs = _known(windows, keys, blocks)
-        return _finish(chunk, some, keys, known, refs, with_text, [f"in_{c}" for c in carry], left["chunk"][0].as_py())
+        return _finish(chunk, some, index, known, refs, with_text, [f"in_{c}" for c in carry], left["chunk"][0].as_py())
 
     by_chunk = dealt.groupBy("chunk")
     anchors = by_chunk.applyInArrow(ask, ASKED).repartition(n, "block").groupBy("block").applyInArrow(_answers, ANSWERED).repartition(n, "chunk")
@@ -222,9 +233,9 @@ def parsed(docs: DataFrame, carry: Iterable[str], with_text: bool = False) -> Da
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, n_factors, kept_sha256 of every row."""
-    return parsed(docs, ["doc_id"]).withColumnRenamed("in_doc_id", "doc_id")
+    return parsed(docs, ["doc_id"], chunk_bytes=chunk_bytes).withColumnRenamed("in_doc_id", "doc_id")
 
 
 def clean(docs: DataFrame) -> DataFrame:

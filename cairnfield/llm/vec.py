@@ -1,12 +1,16 @@
 """Vectorised text kernels over Arrow string buffers.
 
 Every kernel works on a *slice* of a batch (a few MB of UTF-8), so memory is bounded by the slice
-budget plus the largest single text. Nulls count as empty texts. Hashes are 64-bit and the same in every
-process: polynomials modulo 2**64 over per-byte random values, finished with a murmur-style mixer.
+budget plus the largest single text (about ten bytes a byte of it). Nulls count as empty texts.
+
+Hashes are 64-bit and the same in every process. A byte range is hashed eight bytes at a time, each step mixed before the next
+(words of up to eight bytes and one length never collide); ranges beyond LONG bytes by blake2b. Runs of words are hashed by doubling,
+mixed at every level, so that no algebra of one level (repeats, swaps, Thue-Morse patterns) survives to the next.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +18,10 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+#: Byte ranges longer than this are hashed by blake2b.
+LONG = 256
+_SEED, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: [\x20\x09-\x0D] part words; everything else is in a word.
 SPACE = np.ones(256, bool)
@@ -28,27 +32,36 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse) for i < n, kept between calls."""
-    base = _INVERSE if inverse else _BASE
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _SEED + _LEFT)
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    left, place = size[at], start[at]
+    while len(at):
+        part = eight[place] & _MASK[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ part) * _RIGHT + _SEED) if left.max() > 8 else mix(out[at] ^ part)
+        more = left > 8
+        at, left, place = at[more], left[more] - 8, place[more] + 8
+    raw = memoryview(padded)
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -106,14 +119,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
         if hashed:
-            self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * powers(len(data)), out=self.sums[1:])
-            self.hash = self.span(self.start, self.end)
-
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        back = powers(len(self.data) + 1, inverse=True)
-        return mix((self.sums[end] - self.sums[start]) * back[start])
+            self.hash = ranges(self.data, self.start, self.end)
 
     def text(self) -> np.ndarray:
         """The text number of each word."""
@@ -125,21 +131,44 @@ class Words:
 
     def per_text(self, mask: np.ndarray) -> np.ndarray:
         """Sums of a per-byte mask over each text."""
-        total = np.zeros(len(mask) + 1, np.int64)
-        np.cumsum(mask, out=total[1:])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return tiled(mask, self.offsets[:-1], self.offsets[1:])
+
+
+def tiled(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of a mask over ranges that follow one another, with nothing but zeros between them."""
+    out = np.zeros(len(lo), np.int64)
+    some = hi > lo
+    if some.any():
+        out[some] = np.add.reduceat(mask, lo[some], dtype=np.int64)
+    return out
+
+
+def runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n values in a row."""
+    level, size, out, done = hashes, 1, None, 0
+    while True:
+        if n & size:
+            if out is None:
+                out = mix(level[: len(hashes) - n + 1] + np.uint64(n * int(_SEED) % 2**64))
+            else:
+                out = mix(out * _LEFT + level[done : done + len(out)])
+            done += size
+        if done == n:
+            return out
+        level = mix(level[:-size] * _RIGHT + level[size:])
+        size *= 2
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First value, text number and hash of every window of n values inside one text."""
     count = np.diff(first)
     whole = np.maximum(count - n + 1, 0)
     text = np.repeat(np.arange(len(count)), whole)
+    if not len(text):
+        return text, text, np.zeros(0, np.uint64)
     begun = np.cumsum(whole) - whole
     at = np.arange(len(text)) - begun[text] + first[:-1][text]
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(len(hashes)), out=sums[1:])
-    back = powers(len(hashes) + 1, inverse=True)
-    return at, text, mix((sums[at + n] - sums[at]) * back[at] + np.uint64(n))
+    return at, text, runs(hashes, n)[at]
 
 
 def keyed(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:

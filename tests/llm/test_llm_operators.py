@@ -82,10 +82,9 @@ def test_decontaminate(spark, docs, rows):
 
 
 @pytest.mark.parametrize("bytes_", [1 << 22, 3000])
-def test_substrings(docs, rows, bytes_, monkeypatch):
-    monkeypatch.setattr(substrings.exchange.chunked, "__defaults__", (bytes_, 1))
+def test_substrings(docs, rows, bytes_):
     want = sorted(brute.substrings([(r[0], r[1]) for r in rows]), key=repr)
-    assert got(substrings.scan(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert got(substrings.scan(docs, bytes_), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     out = substrings.clean(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
 
@@ -195,8 +194,9 @@ def test_perplexity_without_training(spark):
 def test_mixture_weights_sum_and_unseen_words():
     import numpy as np
 
-    w = perplexity.learn(np.array([(3 * 256 + 80) * 256 + 70, (3 * 256 + 0) * 256 + 70]), np.array([5.0, 5.0]))
-    assert np.allclose(w.sum(1), 1) and (w[:, 2] > 0).all() and w[0, 0] == 0
+    b, low = 3, perplexity.LEVELS
+    w = perplexity.learn(np.array([b, b, low]), np.array([5.0, 5.0, 1.0]), np.array([[0.5, 0.2, 0.1, 0.01], [0.0, 0.0, 0.1, 0.01], [0.0, 0.0, 0.1, 0.01]]))
+    assert np.allclose(w.sum(1), 1) and (w[:, 3] > 0).all() and w[low, 0] == w[low, 1] == 0 and (w[low:, 0] == 0).all() and w[b, 0] > 0.3
 
 
 def test_mix(docs, rows, empty):
