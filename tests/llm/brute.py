@@ -58,7 +58,7 @@ def substrings(docs, n=35):
     return out
 
 
-def near(docs):
+def near(docs, percent=85):
     sets = []
     for _, text in docs:
         w = words(text, True)
@@ -72,7 +72,7 @@ def near(docs):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(docs)):

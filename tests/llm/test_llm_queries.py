@@ -2,6 +2,7 @@
 
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
 from cairnfield.llm.registry import ORACLES, QUERIES
 
@@ -36,7 +37,7 @@ def test_pipeline(spark, sf):
     one = cut(quality(spark, docs, sf))
     assert one.columns == columns and not any(brute.quality(t)[5] for _, t in rows(docs) if (_, t) in set(rows(one)))
     two = cut(near(spark, one, sf))
-    assert two.columns == columns and sorted(d for d, _ in rows(two)) == sorted(x[0] for x in brute.near(rows(one)) if x[3])
+    assert two.columns == columns and sorted(d for d, _ in rows(two)) == sorted(x[0] for x in brute.near(rows(one), 80) if x[3])
     three = cut(leaks(spark, two, sf))
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     assert three.columns == columns and sorted(d for d, _ in rows(three)) == sorted(x[0] for x in brute.decontaminate(rows(two), items) if not x[5])
@@ -46,3 +47,17 @@ def test_pipeline(spark, sf):
     assert five.filter("taken > 2 * size or taken <> copies * size").count() == 0
     whole = p.run(spark, sf)
     assert sorted(map(tuple, whole.select("doc_id", "copies").collect())) == sorted(map(tuple, five.select("doc_id", "copies").collect()))
+
+
+def test_pipeline_of_odd_tables(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = lambda k: " ".join(f"word{k}x{i}" for i in range(30)) + "."
+    rows = [(None, None, None, None, None), (1, "", None, "a", 0), (2, prose(2), None, None, 1), (2, prose(2), None, None, 1), (3, prose(2), "en", "b", None), (None, prose(4), "en", "b", 5), (5, prose(5) + " " + "x" * 300_000, None, "a", 1), (6, "few words", "en", "a", 9)]
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some, want in ((rows, [(2, 1), (5, 1), (None, 1)]), ([], [])):
+        spark.createDataFrame(some, schema).withColumns({"size": F.lit("clash"), "node": F.lit(1)}).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        out = p.run(spark, str(tmp_path))
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "copies", "taken"]
+        assert sorted(((r["doc_id"], 1) for r in out.collect()), key=repr) == want
