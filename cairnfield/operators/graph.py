@@ -6,6 +6,8 @@ and a lost executor costs a round at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,15 +102,32 @@ def farthest_pair(edges: DataFrame, start: str) -> tuple[str, str, float]:
     return one, two, dist
 
 
+def paths(reached: DataFrame, pairs: DataFrame) -> DataFrame:
+    """source, target, back (0 at the target), node, via of the way to each target (pairs: source, target), from `shortest`'s rows: a join a step,
+    all ways at once. Targets that were not reached have no rows."""
+    steps = cut(reached.select("source", "node", "prev", "via"))
+    here, out, back = pairs.select("source", "target", F.col("target").alias("node")), [], 0
+    while True:
+        here = cut(here.join(steps, ["source", "node"]).withColumn("back", F.lit(back)))
+        out.append(here.select("source", "target", "back", "node", "via"))
+        here = here.filter("prev is not null").select("source", "target", F.col("prev").alias("node"))
+        if here.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        back += 1
+
+
 def path(reached: DataFrame, source: str, target: str) -> list[tuple[str, object]]:
-    """(node, edge before it) from the source to one target, walked back over `shortest`'s rows of that source."""
-    steps = {r["node"]: (r["prev"], r["via"]) for r in reached.filter(F.col("source") == source).select("node", "prev", "via").toLocalIterator()}
-    out, at = [], target
-    while at is not None and at in steps:
-        prev, via = steps[at]
-        out.append((at, via))
-        at = prev
-    return out[::-1]
+    """(node, edge before it) from the source to one target."""
+    pair = reached.sparkSession.createDataFrame([(source, target)], "source string, target string")
+    return [(r["node"], r["via"]) for r in paths(reached, pair).orderBy(F.desc("back")).collect()]
+
+
+def exported(edges: DataFrame) -> DataFrame:
+    """id, kind, line, properties: nodes (with their degree) and edges (with name and metres) of a graph (eid, line, a, b, len, name) as features to write."""
+    at = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), geo.start(F.col("line")).alias("p")), F.struct(F.col("b").alias("node"), geo.end(F.col("line")).alias("p")))).alias("e")).select("e.*").groupBy("node").agg(F.min("p").alias("p"))
+    nodes = at.join(degrees(edges), "node").select(F.col("node").alias("id"), F.lit("node").alias("kind"), F.array("p").alias("line"), F.to_json(F.struct("degree", F.col("kind").alias("class"))).alias("properties"))
+    lines = edges.select(F.col("eid").cast("string").alias("id"), F.lit("edge").alias("kind"), "line", F.to_json(F.struct("a", "b", "name", F.round("len", 1).alias("len_m"))).alias("properties"))
+    return nodes.unionByName(lines)
 
 
 def legs(steps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import geo
 from cairnfield.operators import elevation, graph, loops
 from cairnfield.plans import views as v
+from cairnfield.session import cut
 
 
 def trail_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,53 +119,66 @@ def route_legs(spark: SparkSession, sf: str) -> DataFrame:
     return legs.select("route", "leg", "name", F.round("miles", 4).alias("miles"))
 
 
-def _loop_graph(spark: SparkSession) -> DataFrame:
-    """A grid town of 5 x 5 blocks with a spur, for the searches that need a small planar graph."""
-    n = 6
-    i = spark.range(n * n).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("j"))
-    key = lambda a, b: F.concat_ws(",", a.cast("string"), b.cast("string"))
-    right = i.filter(F.col("i") < n - 1).select(key(F.col("i"), F.col("j")).alias("a"), key(F.col("i") + 1, F.col("j")).alias("b"), F.lit("Row Trail").alias("name"), F.col("j").alias("k"), F.col("i").alias("l"), F.lit(0).alias("t"))
-    up = i.filter(F.col("j") < n - 1).select(key(F.col("i"), F.col("j")).alias("a"), key(F.col("i"), F.col("j") + 1).alias("b"), F.lit("Column Trail").alias("name"), F.col("i").alias("k"), F.col("j").alias("l"), F.lit(1).alias("t"))
-    both = right.unionByName(up)
-    eid = F.col("t") * 100 + F.col("k") * 10 + F.col("l")
-    return both.select(eid.cast("long").alias("eid"), "a", "b", (F.lit(900.0) + F.col("k") * 40 + F.col("l") * 10).alias("len"), F.concat_ws(" ", "name", F.col("k").cast("string")).alias("name"), (F.col("k") == 5).alias("road"))
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    return loops.enumerate_loops(v.streets(spark, sf))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Loops under ids of their own: the rank among the distinct ones."""
+    return cut(loops.distinct_loops(found).withColumnRenamed("rank", "id"))
+
+
+def _with_nodes(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, edges, dist of loops with their nodes, and the metres that are road."""
+    facts = found.select("id", F.explode("edges").alias("eid")).join(edges.select("eid", "a", "b", F.when(F.col("road"), F.col("len")).otherwise(0.0).alias("metres")), "eid")
+    sums = facts.groupBy("id").agg(F.sum("metres").alias("road"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("nodes"))
+    return found.select("id", "edges", "dist").join(sums, "id")
 
 
 def loops_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    found = loops.enumerate_loops(_loop_graph(spark), 2.0, 5.0, legs=8)
+    """All loops of the streets' graph, under the search's own limits."""
+    return _found(spark, sf).select(F.array_join(F.array_sort("edges"), ",").alias("loop"), F.round("dist", 1).alias("dist"), "capped")
+
+
+def loops_anchored(spark: SparkSession, sf: str) -> DataFrame:
+    """Loops that pass within 150 m of a lot."""
+    edges = v.streets(spark, sf)
+    found = loops.enumerate_loops(edges, anchors=loops.near_lots(edges, v.street_lots(spark, sf)))
     return found.select(F.array_join(F.array_sort("edges"), ",").alias("loop"), F.round("dist", 1).alias("dist"))
 
 
+def streets_near_lots(spark: SparkSession, sf: str) -> DataFrame:
+    return loops.near_lots(v.streets(spark, sf), v.street_lots(spark, sf))
+
+
 def loops_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    found = loops.distinct_loops(loops.enumerate_loops(_loop_graph(spark), 2.0, 5.0, legs=8))
+    """The first loops by length of which none is like one before, one for each set of names."""
+    edges = v.streets(spark, sf)
+    found = loops.distinct_loops(loops.shortest_of_names(_found(spark, sf), edges))
     return found.select("rank", F.array_join(F.array_sort("edges"), ",").alias("loop"), F.round("dist", 1).alias("dist"))
 
 
 def loops_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    found = loops.atoms(loops.enumerate_loops(_loop_graph(spark), 0.5, 4.0, legs=loops.ATOM_LEGS))
+    found = loops.atoms(loops.enumerate_loops(v.streets(spark, sf), 0.0, loops.ATOM_MI, legs=loops.ATOM_LEGS))
     return found.select(F.array_join(F.array_sort("edges"), ",").alias("loop"), F.round("dist", 1).alias("dist"))
 
 
 def loops_composed(spark: SparkSession, sf: str) -> DataFrame:
-    edges = {r["eid"]: (r["a"], r["b"], r["len"], r["road"]) for r in _loop_graph(spark).collect()}
-    base = []
-    for r in loops.atoms(loops.enumerate_loops(_loop_graph(spark), 0.5, 4.0, legs=loops.ATOM_LEGS)).orderBy("dist", F.array_join(F.array_sort("edges"), ",")).collect():
-        ids = set(r["edges"])
-        base.append({"edges": ids, "nodes": {n for e in ids for n in edges[e][:2]}, "dist": r["dist"], "road": sum(edges[e][2] for e in ids if edges[e][3])})
-    routes = loops.compose(base, edges, combine=4, beam=40)
-    rows = [(",".join(map(str, r["loops"])), r["type"], round(r["dist"], 1), len(r["steps"])) for r in routes]
-    return spark.createDataFrame(rows, "loops string, type string, dist double, n_steps int")
+    """Routes of edge-disjoint loops that touch, without those that retrace their ground."""
+    edges = cut(v.streets(spark, sf))
+    base = _with_nodes(_numbered(loops.enumerate_loops(edges, 0.5)), edges)
+    made = cut(loops.compose(base).withColumn("id", F.array_join("loops", "+")))
+    routes = loops.unretraced(loops.coordinates(loops.routed(made, edges), edges))
+    return routes.select(F.col("id").alias("route"), "type", F.round("dist", 1).alias("dist"), F.size("edges").alias("n_steps"), F.size("line").alias("n_points"))
 
 
 def loop_parking_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Loops to lots at the town's corners, over the network."""
-    town = _loop_graph(spark)
-    lots = spark.createDataFrame([("p1", "0,0", 120.0, "point"), ("p2", "5,5", 80.0, "polygon"), ("p3", "0,5", 10.0, "point")], "source string, node string, dist0 double, kind string")
-    reached = graph.shortest(town, lots.select("source", "node", "dist0"), cap=loops.NETWORK_MI * geo.MILE_METRES)
-    found = loops.distinct_loops(loops.enumerate_loops(town, 2.0, 4.0, legs=8))
-    nodes = found.select(F.col("rank").alias("route"), F.explode("edges").alias("eid")).join(town.select("eid", "a", "b"), "eid").groupBy("route").agg(F.collect_set("a").alias("x"), F.collect_set("b").alias("y"))
-    routes = nodes.select("route", F.array_union("x", "y").alias("nodes"))
-    return loops.link_parking(routes, lots.select(F.col("source").alias("lot"), "kind"), reached)
+    """Loops to the lots snapped to the graph, over the network."""
+    edges = cut(v.streets(spark, sf))
+    lots = v.street_lots(spark, sf)
+    reached = graph.shortest(edges, loops.snap_lots(lots.select("lot", "x", "y"), edges), cap=loops.NETWORK_MI * geo.MILE_METRES)
+    routes = _with_nodes(_numbered(loops.enumerate_loops(edges)), edges).select(F.col("id").alias("route"), "nodes")
+    return loops.link_parking(routes, lots.select("lot", "kind"), reached)
 
 
 def lots_snapped(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,18 +189,36 @@ def lots_snapped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loop_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Town loops with their lines closed, and how round they are."""
-    town = _loop_graph(spark)
-    at = lambda c: geo.point(F.split(c, ",")[0].cast("double"), F.split(c, ",")[1].cast("double"))
-    lines = town.select("eid", F.array(at(F.col("a")), at(F.col("b"))).alias("line"))
-    found = loops.distinct_loops(loops.enumerate_loops(town, 2.0, 4.0, legs=8)).withColumnRenamed("rank", "id")
-    out = loops.coordinates(found, lines)
+    """Distinct loops that enclose ground, with their lines closed, and how round they are."""
+    edges = cut(v.streets(spark, sf))
+    out = loops.round_enough(loops.coordinates(_numbered(loops.enumerate_loops(edges)), edges))
     return out.select("id", F.size("line").alias("n"), (geo.start(F.col("line")) == geo.end(F.col("line"))).alias("closed"), F.round(geo.compactness(F.col("line")), 4).alias("compactness"))
 
 
+def line_union_length(spark: SparkSession, sf: str) -> DataFrame:
+    """Trails followed there and back: the ground is half of it."""
+    t = v.trails(spark, sf).select("id", F.transform(F.concat("line", F.reverse("line")), lambda p: geo.utm(p["x"], p["y"])).alias("line"))
+    return loops.union_length(t).select("id", F.round(F.col("total") / 2, 1).alias("half"), F.round("union", 1).alias("union"))
+
+
+def graph_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes and edges of the trails' graph as features."""
+    e = graph.exported(v.trail_edges(spark, sf))
+    return e.select("id", "kind", F.size("line").alias("n"), F.get_json_object("properties", "$.degree").cast("long").alias("degree"), F.get_json_object("properties", "$.name").alias("name"))
+
+
+def graph_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The lengths of the ways back from all nodes reached are their distances."""
+    edges = v.edges(spark, sf)
+    sources = spark.createDataFrame([("s1", "c1", 0.0), ("s2", "c2", 0.0)], "source string, node string, dist0 double")
+    reached = graph.shortest(edges, sources, cap=400.0)
+    ways = graph.paths(reached, reached.select("source", F.col("node").alias("target")))
+    return ways.join(edges.select(F.col("eid").alias("via"), "len"), "via", "left").groupBy("source", "target").agg(F.round(F.coalesce(F.sum("len"), F.lit(0.0)), 2).alias("dist"))
+
+
 QUERIES = {f.__name__: f for f in (
     trail_lengths, trail_endpoints, trail_near, trail_translate, ring_compactness, elevation_gain_loss, smooth_series, profile_resample, gap_fill, trail_stamp, dem_profile, stitched_profiles, graph_degrees, graph_components, graph_stats,
-    graph_two_core, graph_shortest_paths, trail_graph, route_legs, loops_bounded, loops_distinct, loops_atoms, loops_composed, loop_parking_links, lots_snapped, loop_lines,
+    graph_two_core, graph_shortest_paths, trail_graph, route_legs, loops_bounded, loops_anchored, streets_near_lots, loops_distinct, loops_atoms, loops_composed, loop_parking_links, lots_snapped, loop_lines, line_union_length, graph_export, graph_paths,
 )}
 
 _STEP = f"(SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))"
@@ -199,7 +231,21 @@ _BOTH = f"(SELECT a, b FROM {v.EDGES} UNION SELECT b, a FROM {v.EDGES})"
 _REACH = f"reach(node, other) AS (SELECT a, a FROM both_ UNION SELECT node, b FROM reach JOIN both_ ON other = a)"
 _DEGREE = f"(SELECT node, count(*) AS degree FROM (SELECT a AS node FROM {v.EDGES} UNION ALL SELECT b FROM {v.EDGES}) GROUP BY node)"
 _CORE = "CASE WHEN key IS NULL THEN '#' || id ELSE lower(key) END"
+_EDGE = f"""(SELECT f.id AS eid, {_NODE.format('x0', 'y0')} AS a, {_NODE.format('x1', 'y1')} AS b, len, o_orderpriority AS name, f.id % 5 = 0 AS road, n, x0, y0, x1, y1 FROM {_FIRST} AS f JOIN (SELECT id, coalesce(sum({_LEN} ORDER BY pos) FILTER (px IS NOT NULL), 0) AS len FROM {_STEP} GROUP BY id) AS l ON f.id = l.id
+  JOIN orders ON o_orderkey = f.id WHERE n > 1)"""
+_MOST, _LEAST = loops.MAX_MI * geo.MILE_METRES, loops.MIN_MI * geo.MILE_METRES
+#: Simple cycles from their least node, each in the direction that begins with the lesser edge.
+_CYCLES = f"""RECURSIVE e AS MATERIALIZED (SELECT * FROM {v.STREETS} WHERE a <> b AND len <= {_MOST}), d AS MATERIALIZED (SELECT eid, a, b, len FROM e UNION ALL SELECT eid, b, a, len FROM e),
+  p(start, here, eids, nodes, dist) AS (SELECT a, b, [eid], [b], len FROM d WHERE b > a UNION ALL SELECT start, d.b, list_append(eids, d.eid), list_append(nodes, d.b), dist + d.len FROM p JOIN d ON here = d.a
+    WHERE here <> start AND NOT list_contains(eids, d.eid) AND dist + d.len <= {_MOST} AND (d.b = start OR d.b > start AND NOT list_contains(nodes, d.b))),
+  c AS (SELECT list_sort(eids) AS eids, any_value(dist) AS dist FROM p WHERE here = start AND dist >= {_LEAST} AND eids[1] < eids[-1] GROUP BY ALL),
+  m AS (SELECT eids, any_value(dist) AS dist, count(DISTINCT name) AS names, sum(len) FILTER (road) AS road FROM (SELECT eids, dist, unnest(eids) AS eid FROM c) AS u JOIN e ON u.eid = e.eid GROUP BY eids HAVING count(DISTINCT name) <= {loops.MAX_NAMES} AND coalesce(sum(len) FILTER (road), 0) <= {loops.ROAD_SHARE} * any_value(dist))"""
 ORACLES = {
+    "loops_bounded": f"WITH {_CYCLES} SELECT array_to_string(eids, ',') AS loop, round(dist, 1) AS dist, false AS capped FROM m",
+    "graph_export": f"SELECT eid::VARCHAR AS id, 'edge' AS kind, n::INTEGER AS n, NULL::BIGINT AS degree, name FROM {_EDGE} UNION ALL SELECT node, 'node', 1, count(*), NULL FROM (SELECT a AS node FROM {_EDGE} UNION ALL SELECT b FROM {_EDGE}) GROUP BY node",
+    "graph_paths": f"""WITH RECURSIVE e AS (SELECT a, b, min(len) AS len FROM (SELECT a, b, len FROM {v.EDGES} UNION ALL SELECT b, a, len FROM {v.EDGES}) GROUP BY a, b), p(source, node, dist, hops) AS (SELECT * FROM (VALUES ('s1', 'c1', 0.0::DOUBLE, 0), ('s2', 'c2', 0.0::DOUBLE, 0))
+      UNION ALL (SELECT source, node, min(dist), hops FROM (SELECT source, b AS node, dist + len AS dist, hops + 1 AS hops FROM p JOIN e ON node = a WHERE dist + len <= 400 AND hops < 60) GROUP BY source, node, hops))
+      SELECT source, node AS target, round(min(dist), 2) AS dist FROM p GROUP BY source, node""",
     "trail_lengths": f"SELECT id, count(*)::INTEGER AS n, round(coalesce(sum({_LEN} ORDER BY pos) FILTER (px IS NOT NULL), 0), 1) AS metres FROM {_STEP} GROUP BY id",
     "trail_endpoints": f"SELECT id, 'start' AS side, round(x0, 6) AS x, round(y0, 6) AS y FROM {_FIRST} UNION ALL SELECT id, 'end', round(x1, 6), round(y1, 6) FROM {_FIRST}",
     "trail_near": f"SELECT DISTINCT id FROM {v.VERTICES} JOIN orders ON o_orderkey = id WHERE o_orderpriority NOT LIKE '1-%' AND {v.sql_haversine('x', 'y', '-89.73::DOUBLE', '43.42::DOUBLE', geo.EARTH_MILES)} <= 0.5",

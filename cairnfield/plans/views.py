@@ -6,10 +6,13 @@ elevation series are a user's event values, nights are a user's days, climbs are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.functions import geo
+from cairnfield.operators import graph
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -124,13 +127,59 @@ SITE_NIGHTS = """(SELECT site, night, CASE kind WHEN 'view' THEN 'available' WHE
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """eid, a, b, len, name, road: a sparse graph over customers, an edge an urgent order that is neither open nor filled."""
-    o = table(spark, sf, "orders").filter("o_orderstatus not in ('F', 'O') and o_orderpriority like '1%'")
-    b = (F.col("o_orderkey") * 7919) % 1499 + 1
+    """eid, a, b, len, name, road: a graph over all customers, an edge an order from its customer to another."""
+    o, customers = table(spark, sf, "orders"), table(spark, sf, "customer").count()
+    b = (F.col("o_orderkey") * 7919) % max(customers, 1) + 1
     return o.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), b.cast("string")).alias("b"), F.round(F.col("o_totalprice") / 1000, 2).alias("len"), F.concat(F.lit("Way "), (F.col("o_orderkey") % 9).cast("string")).alias("name"), (F.col("o_orderkey") % 5 == 0).alias("road"))
 
 
-EDGES = "(SELECT o_orderkey AS eid, 'c' || o_custkey AS a, 'c' || (o_orderkey * 7919 % 1499 + 1) AS b, round(o_totalprice / 1000, 2) AS len, 'Way ' || o_orderkey % 9 AS name, o_orderkey % 5 = 0 AS road FROM orders WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderpriority LIKE '1%')"
+EDGES = "(SELECT o_orderkey AS eid, 'c' || o_custkey AS a, 'c' || (o_orderkey * 7919 % (SELECT count(*) FROM customer) + 1) AS b, round(o_totalprice / 1000, 2) AS len, 'Way ' || o_orderkey % 9 AS name, o_orderkey % 5 = 0 AS road FROM orders)"
+
+
+def trail_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """eid, line, a, b, len, name, road: the graph of all trails, an edge a trail; every fifth is a road."""
+    lines = trails(spark, sf).select(F.col("id").alias("eid"), "line", "name", (F.col("id") % 5 == 0).alias("road"))
+    return graph.build(lines)
+
+
+def _corner(k: Column, wide: Column) -> tuple[Column, Column]:
+    """Where a customer's street corner is, in a town as wide as it is high."""
+    turn = lambda m: (k * m % 101).cast("double") / F.lit(101.0)
+    return F.lit(-89.95) + F.lit(0.07) * (k % wide).cast("double") + F.lit(0.012) * turn(7919), F.lit(43.3) + F.lit(0.05) * F.floor(k / wide).cast("double") + F.lit(0.012) * turn(5101)
+
+
+def _wide(spark: SparkSession, sf: str) -> Column:
+    return F.lit(max(math.ceil(math.sqrt(table(spark, sf, "customer").count())), 1)).cast("long")
+
+
+def streets(spark: SparkSession, sf: str) -> DataFrame:
+    """eid, line, a, b, len, name, road: a town with a corner a customer, some three miles apart, and streets to the next ones east (but
+    for customers in debt) and north. Streets of the building segment are roads."""
+    c, wide = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal", "c_mktsegment"), _wide(spark, sf)
+    here, there = [dict(zip("xy", _corner(F.col(k), wide), strict=True)) for k in ("k", "t")]
+    middle = geo.point((here["x"] + there["x"]) / 2 + F.lit(0.002), (here["y"] + there["y"]) / 2 + F.lit(0.001))
+    east = c.filter((F.col("c_acctbal") >= 0) & ((F.col("k") + 1) % wide > 0)).withColumns({"t": F.col("k") + 1, "eid": F.col("k") * 2, "name": F.concat(F.lit("Row Trail "), F.floor(F.col("k") / wide).cast("string"))})
+    north = c.withColumns({"t": F.col("k") + wide, "eid": F.col("k") * 2 + 1, "name": F.concat(F.lit("Column Trail "), (F.col("k") % wide).cast("string"))})
+    both = east.unionByName(north).join(c.select(F.col("k").alias("t")), "t")
+    return graph.build(both.select("eid", F.array(geo.point(here["x"], here["y"]), middle, geo.point(there["x"], there["y"])).alias("line"), "name", (F.col("c_mktsegment") == "BUILDING").alias("road")))
+
+
+def street_lots(spark: SparkSession, sf: str) -> DataFrame:
+    """lot, name, kind, x, y: a lot a supplier, near a corner."""
+    customers = table(spark, sf, "customer").count()
+    x, y = _corner((F.col("s_suppkey") * 13) % max(customers, 1), _wide(spark, sf))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "polygon").otherwise("point")
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("lot"), F.col("s_name").alias("name"), kind.alias("kind"), (x + F.lit(0.0011)).alias("x"), (y + F.lit(0.0007)).alias("y"))
+
+
+_WIDE = "(SELECT greatest(ceil(sqrt(count(*))), 1)::BIGINT FROM customer)"
+_SQL_X, _SQL_Y = (f"({at}::DOUBLE + {step}::DOUBLE * ({cell})::DOUBLE + 0.012::DOUBLE * (({{0}}) * {m} % 101)::DOUBLE / 101.0::DOUBLE)" for at, step, cell, m in ((-89.95, 0.07, "({0}) % {1}", 7919), (43.3, 0.05, "floor(({0})::DOUBLE / {1})", 5101)))
+CORNER_X, CORNER_Y = (lambda k: _SQL_X.format(k, _WIDE)), (lambda k: _SQL_Y.format(k, _WIDE))
+_TO = "(SELECT c.c_custkey AS k, c.c_custkey + 1 AS t, c.c_custkey * 2 AS eid, 'Row Trail ' || floor(c.c_custkey / " + _WIDE + ")::BIGINT AS name, c.c_mktsegment AS seg FROM customer AS c WHERE c.c_acctbal >= 0 AND (c.c_custkey + 1) % " + _WIDE + " > 0 UNION ALL SELECT c_custkey, c_custkey + " + _WIDE + ", c_custkey * 2 + 1, 'Column Trail ' || c_custkey % " + _WIDE + ", c_mktsegment FROM customer)"
+_MX, _MY = f"(({CORNER_X('k')} + {CORNER_X('t')}) / 2 + 0.002::DOUBLE)", f"(({CORNER_Y('k')} + {CORNER_Y('t')}) / 2 + 0.001::DOUBLE)"
+_KEY = "printf('%.6f', round_even({0}, 6)) || ',' || printf('%.6f', round_even({1}, 6))"
+STREETS = f"""(SELECT eid, {_KEY.format(CORNER_X('k'), CORNER_Y('k'))} AS a, {_KEY.format(CORNER_X('t'), CORNER_Y('t'))} AS b, {sql_haversine(CORNER_X('k'), CORNER_Y('k'), _MX, _MY)} + {sql_haversine(_MX, _MY, CORNER_X('t'), CORNER_Y('t'))} AS len, name, seg = 'BUILDING' AS road
+  FROM {_TO} AS s JOIN customer AS o ON s.t = o.c_custkey)"""
 
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:

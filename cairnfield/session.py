@@ -42,10 +42,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none."""
+    """The folder that all executors share, named by spark.checkpoint.dir; a temporary one in local mode only, where all run on one machine."""
     context = spark.sparkContext
     if not (found := context.getCheckpointDir()):
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnfield-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnfield-"))
         found = context.getCheckpointDir()
     return found
 

@@ -167,7 +167,7 @@ def test_distinct_loops_are_greedy(spark):
     assert sorted(sorted(r["edges"]) for r in loops.distinct_loops(df).collect()) == [[1, 2, 3, 4], [1, 2, 3, 5], [9]]
 
 
-def test_figure_eight():
+def test_figure_eight(spark):
     edge = {k: ab for k, ab in enumerate([("o", "a"), ("a", "b"), ("b", "o"), ("o", "c"), ("c", "d"), ("d", "o")])}
     walk = loops.eulerian(range(6), edge)
     assert len(walk) == 6 and {e for e, _ in walk} == set(range(6))
@@ -175,8 +175,161 @@ def test_figure_eight():
     assert all(x[1] == y[0] for x, y in zip(ends, ends[1:], strict=False)) and ends[0][0] == ends[-1][1]
     assert loops.eulerian([0, 1], edge) is None
     mile = geo.MILE_METRES
-    base = [{"edges": {0, 1, 2}, "nodes": {"o", "a", "b"}, "dist": 3 * mile, "road": 0.0}, {"edges": {3, 4, 5}, "nodes": {"o", "c", "d"}, "dist": 3 * mile, "road": 0.0}]
-    assert [(r["type"], r["dist"]) for r in loops.compose(base, edge)] == [("figure8", 6 * mile)]
+    base = spark.createDataFrame([(1, [0, 1, 2], ["o", "a", "b"], 3 * mile, 0.0), (2, [3, 4, 5], ["o", "c", "d"], 3 * mile, 0.0)], "id int, edges array<long>, nodes array<string>, dist double, road double")
+    made = loops.compose(base)
+    assert [(r["loops"], r["type"], r["dist"]) for r in made.collect()] == [([1, 2], "figure8", 6 * mile)]
+    ends_ = spark.createDataFrame([(k, a, b) for k, (a, b) in edge.items()], "eid long, a string, b string")
+    walked = loops.routed(made.withColumn("id", F.lit(7)), ends_).first()
+    assert sorted(walked["edges"]) == list(range(6)) and len(walked["forward"]) == 6
+
+
+def test_composition_is_brute_force(spark):
+    """All unions of edge-disjoint loops that hang together, within the limits, where the beam holds all."""
+    rng = random.Random(3)
+    base = [(i, sorted(rng.sample(range(30), 3)), sorted(rng.sample([f"n{k}" for k in range(9)], 3)), rng.uniform(2, 9) * geo.MILE_METRES, rng.choice([0.0, 3000.0])) for i in range(9)]
+    touch = lambda x, y: not set(x[1]) & set(y[1]) and bool(set(x[2]) & set(y[2]))
+    want, front = {}, [(frozenset([b[0]]), [b]) for b in base]
+    for size in range(2, 6):
+        grown = {}
+        for key, members in front:
+            for b in base:
+                if b[0] not in key and any(touch(m, b) for m in members) and all(not set(m[1]) & set(b[1]) for m in members) and sum(m[3] for m in [*members, b]) <= 30 * geo.MILE_METRES:
+                    grown[key | {b[0]}] = [*members, b]
+        front = list(grown.items())
+        for key, members in front:
+            d, road = sum(m[3] for m in members), sum(m[4] for m in members)
+            if d >= 4 * geo.MILE_METRES and road <= 0.4 * d:
+                want[tuple(sorted(key))] = ("figure8" if size == 2 else "composite", round(d, 6))
+    got = loops.compose(spark.createDataFrame(base, "id int, edges array<long>, nodes array<string>, dist double, road double"), combine=5, beam=10_000)
+    assert {tuple(r["loops"]): (r["type"], round(r["dist"], 6)) for r in got.collect()} == want and want
+
+
+def test_super_edges(spark):
+    """A chain between junctions, one from a junction to itself, a ring of its own, parallel edges."""
+    e = town(spark, [("j", "x"), ("x", "y"), ("y", "k"), ("j", "k"), ("j", "k"), ("k", "p"), ("p", "q"), ("q", "k"), ("r", "s"), ("s", "t"), ("t", "r"), ("u", "v"), ("u", "v")])
+    got = {tuple(r["edges"]): (r["a"], r["b"], r["len"]) for r in loops.super_edges(e).collect()}
+    assert got == {(0, 1, 2): ("j", "k", 3000.0), (3,): ("j", "k", 1000.0), (4,): ("j", "k", 1000.0), (5, 6, 7): ("k", "k", 3000.0), (8, 9, 10): (None, None, 3000.0), (11, 12): (None, None, 2000.0)}
+    found = {frozenset(r["edges"]) for r in loops.enumerate_loops(e, 0.1, 30.0).collect()}
+    assert found == {frozenset(x) for x in ([3, 4], [0, 1, 2, 3], [0, 1, 2, 4], [5, 6, 7], [8, 9, 10], [11, 12])}
+
+
+def test_limits_of_loops(spark):
+    pairs = [("j", "k")] * 6
+    e = town(spark, pairs)
+    assert loops.enumerate_loops(e, 0.1, 30.0).filter("capped").count() == 0
+    few = loops.enumerate_loops(e, 0.1, 30.0, per_start=4)
+    assert few.count() == 4 and few.filter("not capped").count() == 0
+    near = spark.createDataFrame([(2,)], "eid long")
+    assert all(2 in r["edges"] for r in loops.enumerate_loops(e, 0.1, 30.0, anchors=near).collect())
+    assert loops.enumerate_loops(e, 0.1, 30.0, anchors=near.limit(0)).count() == 15
+    assert loops.shortest_of_names(loops.enumerate_loops(e, 0.1, 30.0), e).count() == 6
+
+
+def test_unions_of_lines(spark):
+    rows = [(1, [(0, 0), (10, 0), (4, 0)]), (2, [(0, 0), (10, 10), (10, 0)]), (3, [(0, 0), (3, 4), (0, 0), (6, 8)]), (4, [(1, 1)])]
+    got = {r["id"]: (round(r["total"], 6), round(r["union"], 6)) for r in loops.union_length(spark.createDataFrame([(k, [(float(x), float(y)) for x, y in pts]) for k, pts in rows], f"id int, line {geo.LINE}")).collect()}
+    assert got == {1: (16.0, 10.0), 2: (round(200**0.5 + 10, 6),) * 2, 3: (20.0, 10.0)}
+    there = [(0.0, 0.0), (0.0, 0.01)]
+    routes = spark.createDataFrame([(1, [*there, there[0]], 2200.0), (2, [*there, (0.01, 0.0)], 3000.0)], f"id int, line {geo.LINE}, dist double")
+    assert [r["id"] for r in loops.unretraced(routes).collect()] == [2] == [r["id"] for r in loops.round_enough(routes).collect()]
+
+
+def test_parking(spark):
+    g = lambda kind, *pts: (kind, [[(float(x), float(y)) for x, y in pts]], [0])
+    rows = [(1, "a", g("Point", (-89.7, 43.4))), (2, "b", g("Polygon", (-89.7, 43.4), (-89.6, 43.4), (-89.6, 43.5), (-89.7, 43.4))), (3, "c", g("LineString", (-80, 40), (-80, 41))), (4, "d", None)]
+    lots = loops.parking(spark.createDataFrame(rows, f"id int, name string, geometry {geo.GEOMETRY}"))
+    assert sorted((r["lot"], r["kind"]) for r in lots.collect()) == [(1, "point"), (2, "polygon"), (3, "line")]
+    assert loops.parking(spark.createDataFrame(rows, f"id int, name string, geometry {geo.GEOMETRY}"), (-89.7, 43.4), 10.0).count() == 2
+    lines = spark.createDataFrame([(1, [(-89.702, 43.39), (-89.702, 43.41)]), (2, [(-89.69, 43.39), (-89.69, 43.41)])], f"eid long, line {geo.LINE}")
+    assert [r["eid"] for r in loops.near_lots(lines, lots, 200.0).collect()] == [1]
+
+
+def test_start_lots_in_cells(spark, monkeypatch):
+    rng = random.Random(7)
+    lots = [(k, rng.uniform(-90, -89), rng.uniform(43, 44)) for k in range(40)] + [(99, None, 1.0)]
+    routes = [(k, [(rng.uniform(-91, -88), rng.uniform(42, 45)) for _ in range(3)]) for k in range(12)]
+    args = spark.createDataFrame(routes, f"route int, line {geo.LINE}"), spark.createDataFrame(lots, "lot int, x double, y double")
+    want = sorted((r["route"], r["lot"], round(r["miles"], 9)) for r in loops.start_lot(*args).collect())
+    monkeypatch.setattr(loops, "FEW_LOTS", 5)
+    assert sorted((r["route"], r["lot"], round(r["miles"], 9)) for r in loops.start_lot(*args).collect()) == want and len(want) == 12
+
+
+@pytest.mark.parametrize("n", [0, 300])
+def test_nearest_without_coordinates(spark, n):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "lid int, lx double, ly double")
+    none = spark.createDataFrame([(k, None, 1.0) for k in range(n)], "rid int, rx double, ry double")
+    assert spatial.nearest(left, none).count() == 0
+    assert spatial.nearest_on_lines(left, spark.createDataFrame([(k, [(None, 1.0)]) for k in range(n)], f"rid int, line {geo.LINE}")).count() == 0
+    both = spatial.nearest(left, none.unionByName(spark.createDataFrame([(7, 1.0, 1.0), (5, 1.0, 1.0)], "rid int, rx double, ry double")))
+    assert [(r["lid"], r["rid"], r["d2"]) for r in both.collect()] == [(1, 5, 2.0)]
+
+
+def test_nearest_in_a_crowd(spark):
+    """A dense town among far places."""
+    rng = random.Random(2)
+    right = [(k, rng.gauss(0, 1e-4), rng.gauss(0, 1e-4)) for k in range(3000)] + [(5000 + k, rng.uniform(-9, 9), rng.uniform(-9, 9)) for k in range(30)]
+    left = [(k, rng.gauss(0, 1e-4), rng.gauss(0, 1e-4)) for k in range(20)] + [(50 + k, rng.uniform(-20, 20), rng.uniform(-20, 20)) for k in range(20)]
+    got = spatial.nearest(spark.createDataFrame(left, "lid int, lx double, ly double"), spark.createDataFrame(right, "rid int, rx double, ry double"))
+    assert {r["lid"]: r["rid"] for r in got.collect()} == {i: min(right, key=lambda r: ((r[1] - x) ** 2 + (r[2] - y) ** 2, r[0]))[0] for i, x, y in left}
+
+
+def test_lines_within(spark):
+    rng = random.Random(4)
+    points = [(k, rng.uniform(0, 10), rng.uniform(0, 10)) for k in range(80)]
+    lines = [(k, [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(rng.choice([1, 2, 3]))]) for k in range(60)]
+
+    def d2(p, line):
+        best = 1e9
+        for a, b in zip(line, line[1:] or line, strict=False):
+            dx, dy = b[0] - a[0], b[1] - a[1]
+            t = max(0, min(1, ((p[1] - a[0]) * dx + (p[2] - a[1]) * dy) / ((dx * dx + dy * dy) or 1)))
+            best = min(best, (a[0] + t * dx - p[1]) ** 2 + (a[1] + t * dy - p[2]) ** 2)
+        return best
+
+    got = spatial.lines_within(spark.createDataFrame(points, "lid int, lx double, ly double"), spark.createDataFrame(lines, f"rid int, line {geo.LINE}"), 0.4)
+    assert sorted(map(tuple, got.collect())) == sorted((p[0], line[0]) for p in points for line in lines if d2(p, line[1]) <= 0.16)
+
+
+def test_atoms_and_distinct_loops_are_brute_force(spark):
+    rng = random.Random(11)
+    sets = {tuple(sorted(rng.sample(range(12), rng.choice([2, 3, 4, 6, 8])))): round(rng.uniform(100, 9000), 2) for _ in range(120)}
+    df = spark.createDataFrame([(list(e), [True] * len(e), d) for e, d in sets.items()], loops.LOOP)
+    small = [set(e) for e, d in sets.items() if d <= 4 * geo.MILE_METRES]
+    want = sorted(sorted(e) for e in small if not any(x < e for x in small))
+    assert sorted(sorted(r["edges"]) for r in loops.atoms(df).collect()) == want
+    kept = []
+    for e, _ in sorted(sets.items(), key=lambda x: (x[1], ",".join(map(str, x[0])))):
+        if all(len(set(e) & k) / len(set(e) | k) < 0.5 for k in kept):
+            kept.append(set(e))
+    got = loops.distinct_loops(df, jaccard=0.5).orderBy("rank").collect()
+    assert [set(r["edges"]) for r in got] == kept
+
+
+def test_session_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from cairnfield.session import shared_dir
+
+    context = N(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(N(sparkContext=context, conf=N(get=lambda key, default: default)))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_two_core_is_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.choice("abcdefghij"), rng.choice("abcdefghij")) for _ in range(11)]
+    left = dict(enumerate(pairs))
+    while True:
+        degree: dict = {}
+        for a, b in left.values():
+            for v in (a, b):
+                degree[v] = degree.get(v, 0) + 1
+        dead = {k for k, (a, b) in left.items() if degree[a] == 1 or degree[b] == 1}
+        if not dead:
+            break
+        left = {k: v for k, v in left.items() if k not in dead}
+    assert {r["eid"] for r in graph.two_core(town(spark, pairs)).collect()} == set(left)
 
 
 def test_doubled_treads(spark):
