@@ -104,3 +104,13 @@ def contains_object(array: Column, **fields: Column) -> Column:
 def registered(array: Column, key: str, element: Column) -> Column:
     """The array with the element at its end, in place of those with the same key value."""
     return F.concat(F.filter(array, lambda e: ~e[key].eqNullSafe(element[key])), F.array(element))
+
+
+def without_at(array: Column, index: int) -> Column:
+    """The array without its element at an index from 0, or from the end if below."""
+    return F.filter(array, lambda _, i: i != (F.size(array) + index if index < 0 else F.lit(index)))
+
+
+def pretty(document: Column) -> Column:
+    """A document's text over several lines, for people."""
+    return F.to_json(document, {"pretty": "true"})

@@ -78,3 +78,14 @@ def template(source: str, field) -> Column:
     if len(stack) > 1:
         raise ValueError("{{#if}} without {{/if}}")
     return F.concat(*stack[0][1], F.lit(source[at:]))
+
+
+def iso_date(text: Column) -> Column:
+    """A date of the form YYYY-MM-DD; null for other forms and for days that there are not."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def url(base: str, **parameters: Column) -> Column:
+    """An address with parameters in the given order; those without a value are left out."""
+    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string")))) for k, v in parameters.items()]
+    return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *pairs))

@@ -17,6 +17,8 @@ from cairnfield.session import cut
 
 #: Fixed value: decimal places of a node's coordinates.
 SNAP = 6
+#: Edges that a round of the shortest paths goes, between two checkpoints.
+HOPS = 4
 
 
 def node(p: Column) -> Column:
@@ -71,16 +73,19 @@ def two_core(edges: DataFrame) -> DataFrame:
 
 def shortest(edges: DataFrame, sources: DataFrame, cap: float | None = None) -> DataFrame:
     """source, node, dist, prev (node before), via (edge) of all nodes within `cap` of each source (source, node, dist0).
-    Frontier relaxation: only nodes that got nearer relax their edges in the next round."""
+    Frontier relaxation: only nodes that got nearer relax their edges in the next round, which goes HOPS edges far."""
     both = cut(edges.select("eid", "a", "b", "len").unionByName(edges.select("eid", F.col("b").alias("a"), F.col("a").alias("b"), "len")))
     best = cut(sources.select("source", "node", F.col("dist0").cast("double").alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast(edges.schema["eid"].dataType).alias("via")))
+    least = lambda df: df.groupBy("source", "node").agg(F.min(F.struct("dist", "prev", "via")).alias("s")).select("source", "node", "s.*")
     front = best
     while True:
-        step = front.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("dist") + F.col("len")).alias("dist"), F.col("a").alias("prev"), F.col("eid").alias("via"))
-        if cap is not None:
-            step = step.filter(F.col("dist") <= cap)
-        step = step.groupBy("source", "node").agg(F.min(F.struct("dist", "prev", "via")).alias("s")).select("source", "node", F.col("s.dist").alias("new"), F.col("s.prev").alias("new_prev"), F.col("s.via").alias("new_via"))
-        joined = cut(best.join(step, ["source", "node"], "full_outer"))
+        steps = []
+        for _ in range(HOPS):
+            step = front.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("dist") + F.col("len")).alias("dist"), F.col("a").alias("prev"), F.col("eid").alias("via"))
+            front = least(step if cap is None else step.filter(F.col("dist") <= cap))
+            steps.append(front)
+        near = least(reduce(DataFrame.unionByName, steps)).select("source", "node", F.col("dist").alias("new"), F.col("prev").alias("new_prev"), F.col("via").alias("new_via"))
+        joined = cut(best.join(near, ["source", "node"], "full_outer"))
         nearer = F.col("dist").isNull() | (F.coalesce(F.col("new") < F.col("dist") - 1e-9, F.lit(False)))
         front = joined.filter(nearer).select("source", "node", F.col("new").alias("dist"), F.col("new_prev").alias("prev"), F.col("new_via").alias("via"))
         take = lambda old, new: F.when(nearer, F.col(new)).otherwise(F.col(old)).alias(old)  # noqa: E731, B023

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import docs
+from cairnfield.session import cut
 
 
 def _same(keys: Sequence[str], left: str = "was", right: str = "new") -> Column:
@@ -30,17 +31,31 @@ def last_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """The rows with their number from 1 in an order of unique keys: ranges of the order are numbered apart, behind the counts of those before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    # a row a partition: no more than their number
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("_part").count().select(F.col("_part").alias("_of"), before.alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of")).withColumn(name, number).drop("_part", "_of", "_before")
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], replace: bool = True, action: str | None = None) -> DataFrame:
     """Keyed merge. Rows whose key is in the table overwrite its columns they have (all rows of that key), unless `replace` is
-    off; others, and those with a null or empty key, are added. `action` names a column with updated, inserted or kept."""
+    off; others, and those with a null or empty key, are added. `action` names a column with updated, inserted or kept. Of several rows of one key in a
+    batch one counts, the greatest as JSON text; last_of() chooses by another order before."""
     columns = table.columns
     given = [c for c in rows.columns if c in columns and c not in keys]
     usable = reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys])
-    new = rows.filter(usable).withColumn("_there", F.lit(True))
+    unkeyed = rows.filter(~usable | usable.isNull())
+    rows = last_of(rows.filter(usable), keys, [F.to_json(F.struct(*rows.columns))])
+    new = rows.withColumn("_there", F.lit(True))
     joined = table.alias("was").join(new.alias("new"), _same(keys), "left")
     hit = F.col("new._there").isNotNull()
     updated = joined.select(*[F.when(hit, F.col(f"new.{c}")).otherwise(F.col(f"was.{c}")).alias(c) if replace and c in given else F.col(f"was.{c}").alias(c) for c in columns], F.when(hit & F.lit(replace), "updated").otherwise("kept").alias("_action"))
-    added = rows.filter(usable).alias("new").join(table.select(*keys).distinct().alias("was"), _same(keys), "left_anti").unionByName(rows.filter(~usable | usable.isNull()))
+    added = rows.alias("new").join(table.select(*keys).distinct().alias("was"), _same(keys), "left_anti").unionByName(unkeyed)
     added = added.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns], F.lit("inserted").alias("_action"))
     out = updated.unionByName(added)
     return out.withColumnRenamed("_action", action) if action else out.drop("_action")
@@ -70,8 +85,7 @@ def upsert_drawn(table: DataFrame, drawn: DataFrame) -> tuple[DataFrame, DataFra
     done = updated.filter("_hit is not null").select(F.col("_in").alias("source"), F.col("_hit").alias("_draw")).distinct()
     added = fresh.join(done, ["source", "_draw"], "left_anti")
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("source", "_draw"))
-    inserted = added.withColumn("id", number).join(F.broadcast(top), F.lit(True)).withColumn("id", (F.col("id") + F.col("top")).cast("long"))
+    inserted = numbered(added, "id", "source", "_draw").join(F.broadcast(top), F.lit(True)).withColumn("id", (F.col("id") + F.col("top")).cast("long"))
     inserted = inserted.select(*[F.coalesce(F.col(c), F.lit("{}")).alias(c) if c == "custom_data" else F.col(c) if c in inserted.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns], "_draw")
     audit = done.select(F.lit("update").alias("action"), "source", F.col("_draw").alias("entity_id")).unionByName(inserted.select(F.lit("insert").alias("action"), "source", F.col("_draw").alias("entity_id")))
     return updated.drop("_hit", "_in").unionByName(inserted.drop("_draw")), audit
@@ -87,6 +101,24 @@ def write_layer(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
+def rebuild(table: DataFrame, source: str, derived: DataFrame) -> DataFrame:
+    """A derived layer made anew: its old rows go, the derived ones come; twice is once."""
+    return append(delete(table, F.col("source") == source), derived.withColumn("source", F.lit(source)))
+
+
+def batches(statements: DataFrame, size: int = 30) -> DataFrame:
+    """batch, n, script of statements (pos, kind, sql) put together `size` at a time in the order of pos: a delete ends the batch before it, and is one of
+    its own, so that it is applied on what came before."""
+    w = Window.partitionBy("layer").orderBy("pos")
+    flush = (F.col("kind") == "delete") | F.coalesce(F.lag("kind").over(w) == "delete", F.lit(False))
+    run = statements.withColumn("_run", F.sum(F.when(flush, 1).otherwise(0)).over(w))
+    placed = run.withColumn("_at", F.row_number().over(Window.partitionBy("layer", "_run").orderBy("pos")) - 1)
+    grouped = placed.groupBy("layer", "_run", F.floor(F.col("_at") / size).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("pos", "sql"))).alias("s"))
+    script = F.array_join(F.transform("s", lambda x: x["sql"]), "\n")
+    number = F.row_number().over(Window.partitionBy("layer").orderBy("_run", "_part"))
+    return grouped.select("layer", number.alias("batch"), F.size("s").alias("n"), script.alias("script"))
+
+
 def delete(table: DataFrame, where: Column) -> DataFrame:
     """All but the rows where the predicate is true; where it is null they stay."""
     return table.filter(~F.coalesce(where, F.lit(False)))

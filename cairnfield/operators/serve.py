@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.functions import docs, geo
+from cairnfield.functions import docs, geo, texts
 
 #: Layers of the radius search, its radius in metres and its number of rows; nights of a stay; days until data is stale.
 SEARCHED = ["campsites", "campsite_sites", "climbing_areas", "climbing_routes", "climbing_boulders"]
@@ -90,3 +90,40 @@ def availability(site_nights: DataFrame, start: str, end: str) -> DataFrame:
     stay = nights(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
     grouped = site_nights.withColumn("_in", F.array_contains(stay, F.col("night"))).groupBy("site").agg(F.map_from_entries(F.collect_list(F.when(F.col("_in"), F.struct("night", "status")))).alias("m"))
     return grouped.select("site", roll_up(F.transform(stay, lambda n: F.coalesce(F.col("m").getItem(n), F.lit("unknown")))).alias("status"))
+
+
+def latest(audit: DataFrame, limit: int = FOUND) -> DataFrame:
+    """The last audit rows, newest first, ties by entity."""
+    return audit.orderBy(F.desc("occurred_at"), "entity_id").limit(limit)
+
+
+def longest(rows: DataFrame, length: str, key: str, limit: int) -> DataFrame:
+    """The longest rows, ties by key (a report)."""
+    return rows.orderBy(F.desc(length), key).limit(limit)
+
+
+def ordered_layers(rows: DataFrame, primary: str) -> DataFrame:
+    """Rows (source, through, pos): of the primary layer first, through-trails last, each in the order that they came in."""
+    return rows.orderBy((F.col("source") != primary).cast("int"), F.col("through").cast("int"), "pos")
+
+
+def upper_median(values: Column) -> Column:
+    """The middle value of an array, of two the larger; null for none. Nulls do not count."""
+    known = F.array_sort(F.array_compact(values))
+    return F.get(known, F.floor(F.size(known) / 2).cast("int"))
+
+
+def availability_response(request: DataFrame, site_nights: DataFrame) -> DataFrame:
+    """request, status code, body of availability requests (request, campgrounds array, start, end as texts) over site_nights (campground, site, night, status):
+    400 for dates that are none or stays that end before they start, else the sites' roll-ups as JSON."""
+    start, end = texts.iso_date(F.col("start")), texts.iso_date(F.col("end"))
+    asked = request.withColumns({"_from": start, "_to": end})
+    good = asked.filter((F.col("_from") <= F.col("_to")) & (F.size("campgrounds") > 0))
+    stays = good.select("request", nights(F.col("_from"), F.col("_to")).alias("stay"), F.explode("campgrounds").alias("campground"))
+    sites = site_nights.select("campground", "site").distinct()
+    each = stays.join(sites, "campground").select("request", "campground", "site", F.explode("stay").alias("night"))
+    known = each.join(site_nights, ["campground", "site", "night"], "left").groupBy("request", "campground", "site").agg(F.collect_list(F.coalesce("status", F.lit("unknown"))).alias("s"))
+    rolled = known.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("site", roll_up(F.col("s")).alias("status")))).alias("sites"))
+    joined = asked.select("request", F.coalesce((F.col("_from") <= F.col("_to")) & (F.size("campgrounds") > 0), F.lit(False)).alias("_good")).join(rolled, "request", "left")
+    none = F.array().cast("array<struct<site:" + site_nights.schema["site"].dataType.simpleString() + ",status:string>>")
+    return joined.select("request", F.when(F.col("_good"), 200).otherwise(400).alias("code"), F.when(F.col("_good"), F.to_json(F.struct(F.coalesce("sites", none).alias("sites")))).alias("body"))

@@ -125,3 +125,18 @@ def hit(points: DataFrame, x: float, y: float, reach: float) -> DataFrame:
     """The point nearest to a click, within reach."""
     d2 = (F.col("px") - x) * (F.col("px") - x) + (F.col("py") - y) * (F.col("py") - y)
     return points.withColumn("d2", d2).filter(F.col("d2") <= reach * reach).orderBy("d2", "id").limit(1)
+
+
+def tile_grid(images: DataFrame, tile: tuple[int, int], step: tuple[int, int]) -> DataFrame:
+    """image, x0, y0, x1, y1 of overlapping windows over images (image, width, height), the last ones flush with the edges."""
+    starts = lambda size, t, s: F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), F.greatest(size - t, F.lit(0)), F.lit(s)), lambda v: v < F.greatest(size - t, F.lit(0))), F.array(F.greatest(size - t, F.lit(0)).cast("int"))))
+    w, h = F.col("width").cast("int"), F.col("height").cast("int")
+    at = images.withColumn("x0", F.explode(starts(w, tile[0], step[0]))).withColumn("y0", F.explode(starts(h, tile[1], step[1])))
+    return at.select("image", "x0", "y0", F.least(F.col("x0") + tile[0], w).alias("x1"), F.least(F.col("y0") + tile[1], h).alias("y1"))
+
+
+def fit_errors(points: DataFrame, coefficients: np.ndarray, latitude: float) -> DataFrame:
+    """One row, mean and greatest distance in metres between control points (px, py, lon, lat) and where the fit puts them."""
+    at = georeference(F.col("px"), F.col("py"), coefficients)
+    d = F.hypot((at["lon"] - F.col("lon")) * float(111_320.0 * np.cos(np.radians(latitude))), (at["lat"] - F.col("lat")) * 111_320.0)
+    return points.agg(F.avg(d).alias("mean_m"), F.max(d).alias("max_m"))

@@ -159,7 +159,9 @@ def loops_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loops_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    found = loops.atoms(loops.enumerate_loops(v.streets(spark, sf), 0.0, loops.ATOM_MI, legs=loops.ATOM_LEGS))
+    """Minimal loops of a town whose blocks are longer than trails' are: of up to five times the usual length."""
+    most = 5 * loops.ATOM_MI
+    found = loops.atoms(loops.enumerate_loops(v.streets(spark, sf), 0.0, most, legs=loops.ATOM_LEGS), most)
     return found.select(F.array_join(F.array_sort("edges"), ",").alias("loop"), F.round("dist", 1).alias("dist"))
 
 
@@ -233,15 +235,29 @@ _DEGREE = f"(SELECT node, count(*) AS degree FROM (SELECT a AS node FROM {v.EDGE
 _CORE = "CASE WHEN key IS NULL THEN '#' || id ELSE lower(key) END"
 _EDGE = f"""(SELECT f.id AS eid, {_NODE.format('x0', 'y0')} AS a, {_NODE.format('x1', 'y1')} AS b, len, o_orderpriority AS name, f.id % 5 = 0 AS road, n, x0, y0, x1, y1 FROM {_FIRST} AS f JOIN (SELECT id, coalesce(sum({_LEN} ORDER BY pos) FILTER (px IS NOT NULL), 0) AS len FROM {_STEP} GROUP BY id) AS l ON f.id = l.id
   JOIN orders ON o_orderkey = f.id WHERE n > 1)"""
-_MOST, _LEAST = loops.MAX_MI * geo.MILE_METRES, loops.MIN_MI * geo.MILE_METRES
-#: Simple cycles from their least node, each in the direction that begins with the lesser edge.
-_CYCLES = f"""RECURSIVE e AS MATERIALIZED (SELECT * FROM {v.STREETS} WHERE a <> b AND len <= {_MOST}), d AS MATERIALIZED (SELECT eid, a, b, len FROM e UNION ALL SELECT eid, b, a, len FROM e),
+
+
+def _cycles(least_mi: float, most_mi: float) -> str:
+    """Simple cycles from their least node, each in the direction that begins with the lesser edge, under the limits of names and roads."""
+    most, least = most_mi * geo.MILE_METRES, least_mi * geo.MILE_METRES
+    return f"""RECURSIVE e AS MATERIALIZED (SELECT * FROM {v.STREETS} WHERE a <> b AND len <= {most}), d AS MATERIALIZED (SELECT eid, a, b, len FROM e UNION ALL SELECT eid, b, a, len FROM e),
   p(start, here, eids, nodes, dist) AS (SELECT a, b, [eid], [b], len FROM d WHERE b > a UNION ALL SELECT start, d.b, list_append(eids, d.eid), list_append(nodes, d.b), dist + d.len FROM p JOIN d ON here = d.a
-    WHERE here <> start AND NOT list_contains(eids, d.eid) AND dist + d.len <= {_MOST} AND (d.b = start OR d.b > start AND NOT list_contains(nodes, d.b))),
-  c AS (SELECT list_sort(eids) AS eids, any_value(dist) AS dist FROM p WHERE here = start AND dist >= {_LEAST} AND eids[1] < eids[-1] GROUP BY ALL),
+    WHERE here <> start AND NOT list_contains(eids, d.eid) AND dist + d.len <= {most} AND (d.b = start OR d.b > start AND NOT list_contains(nodes, d.b))),
+  c AS (SELECT list_sort(eids) AS eids, any_value(dist) AS dist FROM p WHERE here = start AND dist >= {least} AND eids[1] < eids[-1] GROUP BY ALL),
   m AS (SELECT eids, any_value(dist) AS dist, count(DISTINCT name) AS names, sum(len) FILTER (road) AS road FROM (SELECT eids, dist, unnest(eids) AS eid FROM c) AS u JOIN e ON u.eid = e.eid GROUP BY eids HAVING count(DISTINCT name) <= {loops.MAX_NAMES} AND coalesce(sum(len) FILTER (road), 0) <= {loops.ROAD_SHARE} * any_value(dist))"""
+_NEAR = f"""(SELECT DISTINCT eid FROM (SELECT p.eid, least(greatest(((l.ux - ax) * (bx - ax) + (l.uy - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0), 1) AS t, ax, ay, bx, by_, l.ux, l.uy FROM {v.sql_utm(v.STREET_LOTS, 'lot')} AS l,
+  (SELECT a.eid, a.part, a.ux AS ax, a.uy AS ay, b.ux AS bx, b.uy AS by_ FROM {v.sql_utm('(SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY ax, ay) AS part, ax AS x, ay AS y FROM ' + v.STREET_PARTS + ')', 'eid, part')} AS a JOIN {v.sql_utm('(SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY ax, ay) AS part, bx AS x, by_ AS y FROM ' + v.STREET_PARTS + ')', 'eid, part')} AS b ON a.eid = b.eid AND a.part = b.part) AS p)
+  WHERE pow(ax + t * (bx - ax) - ux, 2) + pow(ay + t * (by_ - ay) - uy, 2) <= {loops.ANCHOR_M**2})"""
+_KEY = "array_to_string(eids, ',') AS loop, round(dist, 1) AS dist"
 ORACLES = {
-    "loops_bounded": f"WITH {_CYCLES} SELECT array_to_string(eids, ',') AS loop, round(dist, 1) AS dist, false AS capped FROM m",
+    "loops_anchored": f"WITH {_cycles(loops.MIN_MI, loops.MAX_MI)}, near AS MATERIALIZED {_NEAR} SELECT {_KEY} FROM m WHERE list_has_any(eids, (SELECT list(eid) FROM near))",
+    "streets_near_lots": f"SELECT eid FROM {_NEAR}",
+    "loops_atoms": f"WITH {_cycles(0.0, 5 * loops.ATOM_MI)} SELECT {_KEY} FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE len(o.eids) < len(m.eids) AND list_has_all(m.eids, o.eids))",
+    "line_union_length": f"""WITH u AS MATERIALIZED {v.sql_utm(v.VERTICES, 'id, pos')}, s AS (SELECT id, sqrt(pow(ux - px, 2) + pow(uy - py, 2)) AS l, least(px || ',' || py, ux || ',' || uy) AS one, greatest(px || ',' || py, ux || ',' || uy) AS two FROM (SELECT *, lag(ux) OVER w AS px, lag(uy) OVER w AS py FROM u WINDOW w AS (PARTITION BY id ORDER BY pos)) WHERE px IS NOT NULL AND (px <> ux OR py <> uy))
+      SELECT a.id, round(m, 1) AS half, round(g, 1) AS "union" FROM (SELECT id, sum(l) AS m FROM s GROUP BY id) AS a JOIN (SELECT id, sum(l) AS g FROM (SELECT DISTINCT id, one, two, first(l) OVER (PARTITION BY id, one, two) AS l FROM s) GROUP BY id) AS b ON a.id = b.id""",
+    "lots_snapped": f"""WITH n AS (SELECT {_NODE.format('x', 'y')} AS node, any_value(x) AS x, any_value(y) AS y FROM (SELECT x0 AS x, y0 AS y FROM {_FIRST} UNION ALL SELECT x1, y1 FROM {_FIRST}) GROUP BY 1), u AS MATERIALIZED {v.sql_utm('n', 'node')}, l AS MATERIALIZED {v.sql_utm(v.LOTS, 'id')}
+      SELECT id AS source, node, round(sqrt(d2), 1) AS dist0 FROM (SELECT l.id, u.node, pow(l.ux - u.ux, 2) + pow(l.uy - u.uy, 2) AS d2 FROM l, u QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY pow(l.ux - u.ux, 2) + pow(l.uy - u.uy, 2), u.node) = 1) WHERE d2 <= {loops.LOT_SNAP_M**2}""",
+    "loops_bounded": f"WITH {_cycles(loops.MIN_MI, loops.MAX_MI)} SELECT array_to_string(eids, ',') AS loop, round(dist, 1) AS dist, false AS capped FROM m",
     "graph_export": f"SELECT eid::VARCHAR AS id, 'edge' AS kind, n::INTEGER AS n, NULL::BIGINT AS degree, name FROM {_EDGE} UNION ALL SELECT node, 'node', 1, count(*), NULL FROM (SELECT a AS node FROM {_EDGE} UNION ALL SELECT b FROM {_EDGE}) GROUP BY node",
     "graph_paths": f"""WITH RECURSIVE e AS (SELECT a, b, min(len) AS len FROM (SELECT a, b, len FROM {v.EDGES} UNION ALL SELECT b, a, len FROM {v.EDGES}) GROUP BY a, b), p(source, node, dist, hops) AS (SELECT * FROM (VALUES ('s1', 'c1', 0.0::DOUBLE, 0), ('s2', 'c2', 0.0::DOUBLE, 0))
       UNION ALL (SELECT source, node, min(dist), hops FROM (SELECT source, b AS node, dist + len AS dist, hops + 1 AS hops FROM p JOIN e ON node = a WHERE dist + len <= 400 AND hops < 60) GROUP BY source, node, hops))

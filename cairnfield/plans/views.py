@@ -39,6 +39,18 @@ def sql_haversine(x1: str, y1: str, x2: str, y2: str, radius: float = geo.EARTH_
     return f"(2 * {radius}::DOUBLE * asin(sqrt(least(pow(sin((radians({y2}) - radians({y1})) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians(({x2}) - ({x1})) / 2), 2), 1.0::DOUBLE))))"
 
 
+def sql_utm(rows: str, keep: str, x: str = "x", y: str = "y") -> str:
+    """Rows with their kept columns and their place in zone 16 (ux, uy), by the series of geo.utm() from its definition."""
+    n = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+    radius, e = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * n**0.5 / (1 + n)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    f = lambda v: f"{v!r}::DOUBLE"
+    east = " + ".join(f"{f(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    north = " + ".join(f"{f(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    t = f"(SELECT {keep}, radians({x} + 87) AS d_, sinh(atanh(sin(radians({y}))) - {f(e)} * atanh({f(e)} * sin(radians({y})))) AS t_ FROM {rows})"
+    return f"(SELECT {keep}, 500000 + {f(0.9996 * radius)} * (eta + {east}) AS ux, {f(0.9996 * radius)} * (xi + {north}) AS uy FROM (SELECT {keep}, atan2(t_, cos(d_)) AS xi, atanh(sin(d_) / sqrt(1 + t_ * t_)) AS eta FROM {t}))"
+
+
 def campgrounds(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), lon(F.col("c_custkey")).alias("x"), lat(F.col("c_custkey")).alias("y"))
@@ -130,10 +142,10 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     """eid, a, b, len, name, road: a graph over all customers, an edge an order from its customer to another."""
     o, customers = table(spark, sf, "orders"), table(spark, sf, "customer").count()
     b = (F.col("o_orderkey") * 7919) % max(customers, 1) + 1
-    return o.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), b.cast("string")).alias("b"), F.round(F.col("o_totalprice") / 1000, 2).alias("len"), F.concat(F.lit("Way "), (F.col("o_orderkey") % 9).cast("string")).alias("name"), (F.col("o_orderkey") % 5 == 0).alias("road"))
+    return o.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("c"), b.cast("string")).alias("b"), (F.floor(F.col("o_totalprice") / 10) / 100).alias("len"), F.concat(F.lit("Way "), (F.col("o_orderkey") % 9).cast("string")).alias("name"), (F.col("o_orderkey") % 5 == 0).alias("road"))
 
 
-EDGES = "(SELECT o_orderkey AS eid, 'c' || o_custkey AS a, 'c' || (o_orderkey * 7919 % (SELECT count(*) FROM customer) + 1) AS b, round(o_totalprice / 1000, 2) AS len, 'Way ' || o_orderkey % 9 AS name, o_orderkey % 5 = 0 AS road FROM orders)"
+EDGES = "(SELECT o_orderkey AS eid, 'c' || o_custkey AS a, 'c' || (o_orderkey * 7919 % (SELECT count(*) FROM customer) + 1) AS b, floor(o_totalprice / 10) / 100 AS len, 'Way ' || o_orderkey % 9 AS name, o_orderkey % 5 = 0 AS road FROM orders)"
 
 
 def trail_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +190,10 @@ CORNER_X, CORNER_Y = (lambda k: _SQL_X.format(k, _WIDE)), (lambda k: _SQL_Y.form
 _TO = "(SELECT c.c_custkey AS k, c.c_custkey + 1 AS t, c.c_custkey * 2 AS eid, 'Row Trail ' || floor(c.c_custkey / " + _WIDE + ")::BIGINT AS name, c.c_mktsegment AS seg FROM customer AS c WHERE c.c_acctbal >= 0 AND (c.c_custkey + 1) % " + _WIDE + " > 0 UNION ALL SELECT c_custkey, c_custkey + " + _WIDE + ", c_custkey * 2 + 1, 'Column Trail ' || c_custkey % " + _WIDE + ", c_mktsegment FROM customer)"
 _MX, _MY = f"(({CORNER_X('k')} + {CORNER_X('t')}) / 2 + 0.002::DOUBLE)", f"(({CORNER_Y('k')} + {CORNER_Y('t')}) / 2 + 0.001::DOUBLE)"
 _KEY = "printf('%.6f', round_even({0}, 6)) || ',' || printf('%.6f', round_even({1}, 6))"
+#: Segments of the streets, and the lots.
+STREET_PARTS = f"(SELECT eid, {CORNER_X('k')} AS ax, {CORNER_Y('k')} AS ay, {_MX} AS bx, {_MY} AS by_ FROM {_TO} AS s JOIN customer AS o ON s.t = o.c_custkey UNION ALL SELECT eid, {_MX}, {_MY}, {CORNER_X('t')}, {CORNER_Y('t')} FROM {_TO} AS s JOIN customer AS o ON s.t = o.c_custkey)"
+_AT = "(s_suppkey * 13 % (SELECT greatest(count(*), 1) FROM customer))"
+STREET_LOTS = f"(SELECT s_suppkey AS lot, {CORNER_X(_AT)} + 0.0011::DOUBLE AS x, {CORNER_Y(_AT)} + 0.0007::DOUBLE AS y FROM supplier)"
 STREETS = f"""(SELECT eid, {_KEY.format(CORNER_X('k'), CORNER_Y('k'))} AS a, {_KEY.format(CORNER_X('t'), CORNER_Y('t'))} AS b, {sql_haversine(CORNER_X('k'), CORNER_Y('k'), _MX, _MY)} + {sql_haversine(_MX, _MY, CORNER_X('t'), CORNER_Y('t'))} AS len, name, seg = 'BUILDING' AS road
   FROM {_TO} AS s JOIN customer AS o ON s.t = o.c_custkey)"""
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.plans import changes, documents, hierarchies, matching, serving, spaces, trails
+from cairnfield.plans import changes, documents, feeds, hierarchies, matching, serving, spaces, trails
 
-_PLANS = (serving, documents, changes, spaces, hierarchies, trails, matching)
+_PLANS = (serving, documents, changes, spaces, hierarchies, trails, matching, feeds)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for plan in _PLANS for k, f in plan.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for plan in _PLANS for k, sql in plan.ORACLES.items()}

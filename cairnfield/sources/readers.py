@@ -173,3 +173,25 @@ def statements(spark: SparkSession, paths: str | list[str], table: str) -> DataF
 def status_of(status: Column) -> Column:
     """An imagery lookup's status: ok, none, or null for what should be asked again."""
     return F.when(status == "OK", "ok").when(status.isin("ZERO_RESULTS", "NOT_FOUND"), "none")
+
+
+def feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source (a partition folder), geometry, properties of line-delimited features, as writers.geojson_lines() leaves them."""
+    read = spark.read.schema("geometry string, properties string, source string").json(path)
+    return read.select("source", geojson_geometry(F.col("geometry")).alias("geometry"), F.coalesce("properties", F.lit("{}")).alias("properties"))
+
+
+def dem_tiles(boxes: DataFrame, have: DataFrame, misses: DataFrame) -> DataFrame:
+    """tile, state (cached, none or fetch) of the height windows asked for (x0, y0, x1, y1, width, height): a tile's name is the digest of its box and size, so
+    windows asked for twice are one; those known to have no coverage are not asked for again."""
+    box = F.concat_ws(",", *[F.format_string("%.6f", c) for c in ("x0", "y0", "x1", "y1")], F.col("width").cast("string"), F.col("height").cast("string"))
+    named = boxes.select(F.md5(box).alias("tile")).distinct()
+    known = have.select("tile", F.lit("cached").alias("state")).unionByName(misses.select("tile", F.lit("none").alias("state"))).groupBy("tile").agg(F.min("state").alias("state"))
+    return named.join(known, "tile", "left").select("tile", F.coalesce("state", F.lit("fetch")).alias("state"))
+
+
+def within_budget(calls: DataFrame, most: int) -> DataFrame:
+    """The calls of an outside service, if they are no more than the budget; none is made beyond it."""
+    if (n := calls.count()) > most:
+        raise ValueError(f"{n} calls are over the budget of {most}")
+    return calls

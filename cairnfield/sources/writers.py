@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.sources import readers
@@ -31,3 +31,14 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     joined = digest(before, "was").join(digest(after, "will"), key, "full_outer")
     change = F.when(F.col("was").isNull(), "insert").when(F.col("will").isNull(), "delete").when(F.col("was") != F.col("will"), "update")
     return joined.select(key, change.alias("change")).filter("change is not null")
+
+
+def quoted(text: Column) -> Column:
+    """A text as a SQL literal: quotes doubled; null is null."""
+    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit("'"), F.regexp_replace(text, "'", "''"), F.lit("'")))
+
+
+def insert_statements(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """statement: one insert a row, for a script instead of a write; readers.statements() reads documents back from it."""
+    names = ", ".join(columns)
+    return rows.select(F.concat(F.lit(f"insert into {table} ({names}) values ("), F.concat_ws(", ", *[quoted(F.col(c).cast("string")) for c in columns]), F.lit(");")).alias("statement"))
