@@ -6,6 +6,8 @@ JSON types. Merging needs spark.sql.mapKeyDedupPolicy=LAST_WIN, which session()
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,3 +116,15 @@ def without_at(array: Column, index: int) -> Column:
 def pretty(document: Column) -> Column:
     """A document's text over several lines, for people."""
     return F.to_json(document, {"pretty": "true"})
+
+
+def patched(array: Column, where: Callable[[Column], Column], **fields: Column) -> Column:
+    """The array with fields of its structs set where the test of the element is true."""
+
+    def one(e: Column) -> Column:
+        changed = e
+        for k, x in fields.items():
+            changed = changed.withField(k, x)
+        return F.when(F.coalesce(where(e), F.lit(False)), changed).otherwise(e)
+
+    return F.transform(array, one)

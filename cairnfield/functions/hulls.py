@@ -1,4 +1,5 @@
-"""Hulls, buffers and simplification in numpy, for Arrow-batched group functions. Groups are thousands of points at most."""
+"""Hulls, buffers and simplification in numpy, for Arrow-batched group functions. Convex hulls come with groups of any size reduced to corners
+before; concave ones need a group's points together: thousands of them, as a triangle search is a vector operation for each point."""
 
 from __future__ import annotations
 
@@ -42,20 +43,17 @@ def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
     low, high = points.min(0), points.max(0)
     mid, span = (low + high) / 2, max(float((high - low).max()), 1e-9) * 1000
     pts = np.vstack([points, mid + [-span, -span / 2], mid + [span, -span / 2], mid + [0, span]])
-    triangles = {(n, n + 1, n + 2): _circle(pts, (n, n + 1, n + 2))}
+    corners, circle = np.array([[n, n + 1, n + 2]]), np.array([_circle(pts, (n, n + 1, n + 2))])
     for i in np.lexsort((points[:, 1], points[:, 0])):
-        bad = [t for t, (cx, cy, r2) in triangles.items() if (pts[i, 0] - cx) ** 2 + (pts[i, 1] - cy) ** 2 < r2 * (1 + 1e-12)]
-        edges: dict[tuple[int, int], int] = {}
-        for a, b, c in bad:
-            del triangles[a, b, c]
-            for e in ((a, b), (b, c), (c, a)):
-                key = (min(e), max(e))
-                edges[key] = edges.get(key, 0) + 1
-        for (a, b), times in edges.items():
-            if times == 1 and abs(_turn(pts[a], pts[b], pts[i])) > 0:
-                t = (a, b, int(i))
-                triangles[t] = _circle(pts, t)
-    return [t for t in triangles if max(t) < n]
+        inside = (pts[i, 0] - circle[:, 0]) ** 2 + (pts[i, 1] - circle[:, 1]) ** 2 < circle[:, 2] * (1 + 1e-12)
+        bad = corners[inside]
+        # sides of one bad triangle only are the border of the hole
+        sides = np.sort(bad[:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), 1)
+        border, times = np.unique(sides, axis=0, return_counts=True)
+        made = [(a, b, int(i)) for a, b in border[times == 1].tolist() if abs(_turn(pts[a], pts[b], pts[i])) > 0]
+        corners = np.vstack([corners[~inside], np.array(made).reshape(-1, 3)]).astype(int)
+        circle = np.vstack([circle[~inside], np.array([_circle(pts, t) for t in made]).reshape(-1, 3)])
+    return [tuple(t) for t in corners.tolist() if max(t) < n]
 
 
 def _circle(pts: np.ndarray, t: tuple[int, int, int]) -> tuple[float, float, float]:

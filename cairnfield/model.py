@@ -30,7 +30,7 @@ def struct(ddl: str) -> StructType:
 def broken_layers(layers: DataFrame, experiences: DataFrame, templates: DataFrame) -> DataFrame:
     """id, problem: what foreign keys and checks would refuse."""
     e, t = experiences.select(F.col("id").alias("_e")), templates.select(F.col("slug").alias("_t"), "geom_type")
-    joined = layers.join(F.broadcast(e), F.col("experience_id") == F.col("_e"), "left").join(F.broadcast(t), F.col("template_slug") == F.col("_t"), "left")
+    joined = layers.join(e, F.col("experience_id") == F.col("_e"), "left").join(t, F.col("template_slug") == F.col("_t"), "left")
     problem = (
         F.when(F.col("_e").isNull(), "no such experience").when(F.col("_t").isNull(), "no such template").when(~F.col("instance_type").isin("live", "static"), "unknown instance type")
         .when((F.col("instance_type") == "static") & F.col("static_source").isNull(), "static without source").when(~F.col("geom_type").isin(GEOMETRY_TYPES), "unknown geometry type")

@@ -5,7 +5,7 @@ An area's path leaves the area itself out; a climb's path ends with its area.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -134,20 +134,56 @@ def split_walls(areas: DataFrame, climbs: DataFrame) -> tuple[DataFrame, DataFra
     return kept.select(*columns).unionByName(twin.select(*columns)), out.select(*climbs.columns)
 
 
+#: Points of one group in a batch beyond which only their corners go on.
+CORNERS = 32
+
+
+def _corners(points: DataFrame, key: str) -> DataFrame:
+    """The points (key, x, y, n) with those left out that are inside the convex hull of others of their group and batch; what is left
+    carries the counts, the number and the latitudes of all."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            code = table[key].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            xy = np.stack([table["x"].to_numpy(), table["y"].to_numpy()], 1)
+            n, m, sy, keep = table["n"].to_numpy().copy(), np.ones(len(code), np.int64), xy[:, 1].copy(), np.ones(len(code), bool)
+            order = np.argsort(code, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                if len(rows) <= CORNERS:
+                    continue
+                outline = {tuple(p) for p in hulls.convex(xy[rows]).tolist()}
+                on = np.array([tuple(p) in outline for p in xy[rows].tolist()])
+                inner, first = rows[~on], rows[on][0]
+                for column in (n, m, sy):
+                    column[first] += column[inner].sum()
+                keep[inner] = False
+            left = table.filter(pa.array(keep)).select([key, "x", "y"])
+            for name, column in (("n", n), ("m", m), ("sy", sy)):
+                left = left.append_column(name, pa.array(column[keep]))
+            yield from left.to_batches()
+
+    return points.mapInArrow(run, f"{key} {kind}, x double, y double, n long, m long, sy double")
+
+
 def hull_of_groups(points: DataFrame, key: str, metres: float, shape: str = "convex", **options) -> DataFrame:
-    """key, ring, n_points: a footprint around each group's points (x, y). Distinct corners are made before the shuffle; rows without
+    """key, ring, n_points: a footprint around each group's points (x, y). Distinct corners are made before the shuffle, and for convex
+    footprints points inside of others are left out before it, so a group of all points is no more than some corners a batch; rows without
     coordinates are left out."""
     ship(points.sparkSession)
     kind = points.schema[key].dataType.simpleString()
-    distinct = points.filter("x is not null and y is not null").groupBy(key, "x", "y").agg(F.count("*").alias("n"))
+    distinct = points.filter("x is not null and y is not null").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(key, "x", "y").agg(F.count("*").alias("n"))
+    few = _corners(distinct, key) if shape == "convex" else distinct.withColumns({"m": F.lit(1).cast("long"), "sy": F.col("y")})
 
     def ring(table: pa.Table) -> pa.Table:
         xy = np.stack([table["x"].to_numpy(), table["y"].to_numpy()], 1)
-        outline = hulls.footprint(xy[np.lexsort((xy[:, 1], xy[:, 0]))], metres, shape, **options)
+        mean = float(table["sy"].to_numpy().sum() / table["m"].to_numpy().sum())
+        outline = hulls.footprint(xy[np.lexsort((xy[:, 1], xy[:, 0]))], metres, shape, **({"latitude": mean} | options))
         made = pa.array([[{"x": float(x), "y": float(y)} for x, y in outline]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
         return pa.table({key: table[key].slice(0, 1), "ring": made, "n_points": pa.array([int(np.sum(table["n"].to_numpy()))], pa.int64())})
 
-    return distinct.groupBy(key).applyInArrow(ring, f"{key} {kind}, ring {geo.LINE.replace('<x:', '<x:')}, n_points long")
+    return few.groupBy(key).applyInArrow(ring, f"{key} {kind}, ring {geo.LINE}, n_points long")
 
 
 def area_hulls(areas: DataFrame, climbs: DataFrame, metres: float = 30.0, shape: str = "convex", exclude: Sequence[str] = (), **options) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnfield import model
 from cairnfield.functions import docs, geo, texts
-from cairnfield.operators import enrich, graph, hierarchy, loops, merge, serve, sites
+from cairnfield.operators import elevation, enrich, graph, hierarchy, loops, merge, serve, sites
 from cairnfield.plans import serving
 from cairnfield.plans import views as v
 from cairnfield.session import cut, shared_dir
@@ -268,6 +268,31 @@ def array_without_index(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("l_orderkey", joined(docs.without_at(F.col("l"), 0)).alias("rest"), joined(docs.without_at(F.col("l"), -1)).alias("head"))
 
 
+def array_patched(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of some elements of an array of objects set, the others as they were."""
+    lines = v.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.lit("old").alias("kind")))).alias("l"))
+    new = docs.patched(F.col("l"), lambda e: e["part"] % 3 == 0, kind=F.lit("new"), part=F.lit(-1).cast("long"))
+    return lines.select("l_orderkey", F.array_join(F.transform(new, lambda e: F.concat(e["kind"], e["part"].cast("string"))), ",").alias("kinds"))
+
+
+def like_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Names by their beginning, and by a part in either case."""
+    p = v.table(spark, sf, "part")
+    return p.filter(F.col("p_name").like("s%") | F.col("p_brand").ilike("%BRAND#1%")).select("p_partkey")
+
+
+def loop_elevation(spark: SparkSession, sf: str) -> DataFrame:
+    """Heights around the distinct loops of the town, over a grid made from parts."""
+    edges = cut(v.streets(spark, sf))
+    found = cut(loops.distinct_loops(loops.enumerate_loops(edges)).withColumnRenamed("rank", "id"))
+    lines = loops.coordinates(found, edges).select("id", F.transform("line", lambda p: geo.utm(p["x"], p["y"])).alias("line"))
+    x, y = (F.floor(F.transform("line", lambda p: p[c]).getItem(0) / 2000).cast("long") for c in "xy")
+    cells = lines.select(x.alias("cx"), y.alias("cy")).distinct()
+    dem = cells.select("cx", "cy", F.pmod(F.col("cx") * 7 + F.col("cy") * 13, F.lit(90)).cast("double").alias("z"))
+    m = elevation.measure(elevation.sample(lines, dem, 2000.0).filter("series is not null"))
+    return m.select("id", F.size("series").alias("n"), F.round("gain", 1).alias("gain"), F.round("loss", 1).alias("loss"))
+
+
 def doc_pretty(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for people, which are the same documents."""
     r = v.table(spark, sf, "region").select("r_regionkey", docs.build(name=F.col("r_name"), key=F.col("r_regionkey")).alias("d"))
@@ -374,7 +399,7 @@ def config_json(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     element_features, element_points, rejected_payloads, geojson_written, paged_features, keyed_documents, script_round_trip, statement_batches, tree_areas, tree_climbs, backfilled_ids, imagery_status, dem_tiles, drawn_features, photos_set, pending_images,
-    fields_set, derived_layer, legacy_trails, place_documents, doc_compact, array_without_index, doc_pretty, audit_feed, longest_trails, primary_first, upper_medians, iso_dates, reservation_urls, availability_service, tile_windows, fit_residuals,
+    fields_set, derived_layer, legacy_trails, place_documents, doc_compact, array_without_index, array_patched, like_patterns, loop_elevation, doc_pretty, audit_feed, longest_trails, primary_first, upper_medians, iso_dates, reservation_urls, availability_service, tile_windows, fit_residuals,
     centroids, doubled_treads, farthest_nodes, merged_steps, config_json,
 )}
 
@@ -411,6 +436,8 @@ ORACLES = {
     "place_documents": """SELECT user_id, (user_id % 5)::DOUBLE AS rating, CASE WHEN user_id % 2 = 0 THEN 'Yes' END AS dogs, CASE WHEN user_id % 3 = 0 THEN 'Yes' END AS parking, (list(event_id ORDER BY event_id))[3]::BIGINT AS third, NULL::VARCHAR AS fourth, least(280, 80 * len(first(event_type ORDER BY event_id)))::INTEGER AS chars FROM events GROUP BY user_id""",
     "doc_compact": "SELECT p_partkey, ((p_partkey % 2 = 0)::INTEGER + (p_partkey % 3 <> 0)::INTEGER + 1 + (p_partkey % 7 = 0)::INTEGER)::INTEGER AS n, ((p_partkey % 2 = 0)::INTEGER + (p_partkey % 3 <> 0)::INTEGER + (p_partkey % 5 = 0)::INTEGER + (p_partkey % 7 = 0)::INTEGER)::INTEGER AS n_true FROM part",
     "array_without_index": "SELECT l_orderkey, array_to_string(l[2:], ',') AS rest, array_to_string(l[:-2], ',') AS head FROM (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS l FROM lineitem GROUP BY l_orderkey)",
+    "array_patched": "SELECT l_orderkey, string_agg(CASE WHEN l_partkey % 3 = 0 THEN 'new-1' ELSE 'old' || l_partkey END, ',' ORDER BY l_linenumber, l_partkey) AS kinds FROM lineitem GROUP BY l_orderkey",
+    "like_patterns": "SELECT p_partkey FROM part WHERE p_name LIKE 's%' OR p_brand ILIKE '%BRAND#1%'",
     "doc_pretty": "SELECT r_regionkey, r_name AS name, 4 AS lines FROM region",
     "audit_feed": "SELECT event_id AS entity_id, event_type AS action FROM events ORDER BY ts DESC, event_id LIMIT 20",
     "primary_first": "SELECT row_number() OVER (ORDER BY n_regionkey <> 2, n_nationkey % 3 = 0, n_nationkey) AS place, n_nationkey::BIGINT AS pos FROM nation",

@@ -1,43 +1,58 @@
 """Streaming upkeep: keyed upserts by micro-batch, and availability by event-time windows.
 
-A micro-batch is merged into the next version of a table: versions are folders, a batch id names its version, so a
-replayed batch writes the same folder again and changes nothing else.
+The table is dealt to buckets by key. A micro-batch merges and writes only the buckets that it has keys of, under its own number; then one
+record file names them, which is what makes the batch count. A replayed batch starts from what was there before it and writes the same
+again; readers take the latest recorded version of each bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairnfield.operators import merge
 
 
-def _versions(spark, path: str) -> list[int]:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
+BUCKETS = 64
+RECORD = "number long, bucket int"
+
+
+def _recorded(spark: SparkSession, path: str, before: int | None) -> list[tuple[int, int]]:
+    """Each bucket with its latest version: BUCKETS rows at most."""
+    try:
+        records = spark.read.schema(RECORD).option("recursiveFileLookup", "true").parquet(f"{path}/records")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
-    done = [x.getPath() for x in fs.listStatus(where) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+    some = records if before is None else records.filter(F.col("number") < before)
+    return sorted(map(tuple, some.groupBy("bucket").agg(F.max("number")).collect()))
 
 
-def current(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version, or the newest before a batch."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+def current(spark: SparkSession, path: str, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The table as it is, or as it was before a batch; all of it, or some buckets."""
+    wanted = [f"{path}/data/number={n}/bucket={b}" for b, n in _recorded(spark, path, before) if buckets is None or b in buckets]
+    return spark.read.parquet(*wanted) if wanted else None
 
 
 def upserts(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column], once: bool = True) -> StreamingQuery:
     """Merges a stream of rows into the table at `path`; of a key's rows in one batch the last by `order` counts."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         last = merge.last_of(batch, keys, order)
-        was = current(batch.sparkSession, path, before=number)
+        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        if not touched:
+            return
+        was = current(spark, path, number, touched)
         merged = last if was is None else merge.upsert(was, last, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/number={number}")
+        spark.createDataFrame([(number, b) for b in touched], RECORD).coalesce(1).write.mode("overwrite").parquet(f"{path}/records/{number}")
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -368,3 +368,64 @@ def test_layers_checked(spark):
     t = spark.createDataFrame([("a", "line")], "slug string, geom_type string")
     rows = spark.createDataFrame([(1, 1, "a", "live", None), (2, 2, "a", "live", None), (3, 1, "a", "static", None)], "id long, experience_id long, template_slug string, instance_type string, static_source string")
     assert sorted((r["id"], r["problem"]) for r in model.broken_layers(rows, e, t).collect()) == [(2, "no such experience"), (3, "static without source")]
+
+
+def test_hulls_of_a_crowd(spark):
+    """A group of many points: corners before the shuffle, the same outline after."""
+    import numpy as np
+
+    from cairnfield.functions import hulls
+
+    rng = np.random.default_rng(1)
+    xy = np.round(rng.normal([-89.7, 43.4], 0.01, (3000, 2)), 5)
+    rows = [("a", float(x), float(y)) for x, y in xy] + [("b", -89.0, 43.0), ("b", None, 43.0), (None, -89.0, 43.0)]
+    got = {r["k"]: r for r in hierarchy.hull_of_groups(spark.createDataFrame(rows, "k string, x double, y double").repartition(3), "k", 25.0).collect()}
+    want = hulls.footprint(np.unique(xy, axis=0), 25.0)
+    assert got["a"]["n_points"] == 3000 and got["b"]["n_points"] == 1 and got[None]["n_points"] == 1
+    assert np.allclose([(p["x"], p["y"]) for p in got["a"]["ring"]], want, atol=1e-9)
+
+
+def test_delaunay_is_empty_of_points():
+    import numpy as np
+
+    from cairnfield.functions import hulls
+
+    pts = np.random.default_rng(5).uniform(0, 1, (60, 2))
+    triangles = hulls.delaunay(pts)
+    for t in triangles:
+        cx, cy, r2 = hulls._circle(pts, t)
+        inside = (pts[:, 0] - cx) ** 2 + (pts[:, 1] - cy) ** 2 < r2 * (1 - 1e-9)
+        assert not inside[[k for k in range(60) if k not in t]].any()
+    hull = hulls.convex(pts)
+    assert sum(abs(hulls._turn(*pts[list(t)])) / 2 for t in triangles) == pytest.approx(hulls.area(hull), rel=1e-3)
+
+
+def test_upserts_of_repeated_keys(spark):
+    t = spark.createDataFrame([(1, "k1", "a"), (2, "k2", "b")], "id long, key string, name string")
+    new = spark.createDataFrame([(5, "k1", "A"), (6, "k1", "B"), (7, "k9", "N"), (8, "k9", "M")], "id long, key string, name string")
+    assert sorted(map(tuple, merge.upsert(t, new, ["key"]).collect())) == [(2, "k2", "b"), (6, "k1", "B"), (8, "k9", "M")]
+    many = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
+    assert sorted(map(tuple, merge.numbered(many, "n", "v").collect())) == [(v, k + 1) for k, v in enumerate(sorted(i * 7919 % 1009 for i in range(1000)))]
+
+
+def test_stream_touches_its_buckets_only(spark, tmp_path):
+    from cairnfield.streaming import incremental
+
+    schema = "k string, v int, n int"
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "t")
+    for rows in ([(f"k{i}", i, 1) for i in range(200)], [("k7", -7, 2)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        incremental.upserts(spark.readStream.schema(schema).parquet(inbox), out, str(tmp_path / "cp"), ["k"], [F.col("n")]).awaitTermination()
+    now = {r["k"]: r["v"] for r in incremental.current(spark, out).collect()}
+    assert now == {f"k{i}": i for i in range(200)} | {"k7": -7}
+    assert len(list((tmp_path / "t" / "data" / "number=1").glob("bucket=*"))) == 1
+    assert incremental.current(spark, out, before=1).filter("k = 'k7'").first()["v"] == 7
+
+
+def test_budget_and_scripts(spark):
+    calls = spark.range(5)
+    assert readers.within_budget(calls, 5).count() == 5
+    with pytest.raises(ValueError):
+        readers.within_budget(calls, 4)
+    rows = spark.createDataFrame([(1, "O'Neil", None)], "a int, b string, c string")
+    assert writers.insert_statements(rows, "t", ["a", "b", "c"]).first()[0] == "insert into t (a, b, c) values ('1', 'O''Neil', null);"
