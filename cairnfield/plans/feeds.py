@@ -368,6 +368,17 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("id", F.round(mid["x"], 6).alias("x"), F.round(mid["y"], 6).alias("y"))
 
 
+def parking_lots(spark: SparkSession, sf: str) -> DataFrame:
+    """Parking features within five miles of a place: points, squares and lines by kind, at their centres."""
+    c, k = v.table(spark, sf, "customer"), F.col("c_custkey")
+    x, y = v.lon(k), v.lat(k)
+    at = lambda i, j: geo.point(x + F.lit(i * 0.001), y + F.lit(j * 0.001))
+    square = geo.geometry("Polygon", F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1), at(-1, -1)))
+    shape = F.when(k % 4 == 0, geo.geometry("Point", F.array(at(0, 0)))).when(k % 4 == 1, square).when(k % 4 == 2, geo.geometry("LineString", F.array(at(-1, 0), at(1, 0))))
+    lots = loops.parking(c.select(k.alias("id"), F.col("c_name").alias("name"), shape.alias("geometry")), serving.CENTRE, 5.0)
+    return lots.select("lot", "name", "kind", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 def doubled_treads(spark: SparkSession, sf: str) -> DataFrame:
     """Each street twice, the second five metres beside: one of each stays."""
     s = v.streets(spark, sf).select("eid", F.transform("line", lambda p: geo.utm(p["x"], p["y"])).alias("line"))
@@ -400,7 +411,7 @@ def config_json(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     element_features, element_points, rejected_payloads, geojson_written, paged_features, keyed_documents, script_round_trip, statement_batches, tree_areas, tree_climbs, backfilled_ids, imagery_status, dem_tiles, drawn_features, photos_set, pending_images,
     fields_set, derived_layer, legacy_trails, place_documents, doc_compact, array_without_index, array_patched, like_patterns, loop_elevation, doc_pretty, audit_feed, longest_trails, primary_first, upper_medians, iso_dates, reservation_urls, availability_service, tile_windows, fit_residuals,
-    centroids, doubled_treads, farthest_nodes, merged_steps, config_json,
+    centroids, parking_lots, doubled_treads, farthest_nodes, merged_steps, config_json,
 )}
 
 _K3 = "CASE id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END"
@@ -452,6 +463,7 @@ ORACLES = {
       SELECT image, x0::INTEGER AS x0, y0::INTEGER AS y0, least(x0 + 800, w)::INTEGER AS x1, least(y0 + 600, h)::INTEGER AS y1 FROM i JOIN x USING (image) JOIN y USING (image)""",
     "fit_residuals": "SELECT round(avg(d), 4) AS mean_m, round(max(d), 4) AS max_m FROM (SELECT ((s_suppkey * 7 % 1000) % 3) * 1e-6::DOUBLE * 111320.0::DOUBLE * cos(radians(43.4::DOUBLE)) AS d FROM supplier)",
     "centroids": f"SELECT id, round(CASE WHEN sum(l) > 0 THEN sum((px + x) / 2 * l ORDER BY pos) / sum(l ORDER BY pos) ELSE any_value(x) END, 6) AS x, round(CASE WHEN sum(l) > 0 THEN sum((py + y) / 2 * l ORDER BY pos) / sum(l ORDER BY pos) ELSE any_value(y) END, 6) AS y FROM (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS l FROM (SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))) WHERE px IS NOT NULL GROUP BY id",
+    "parking_lots": f"SELECT id AS lot, name, CASE id % 4 WHEN 0 THEN 'point' WHEN 1 THEN 'polygon' ELSE 'line' END AS kind, round(x, 6) AS x, round(y, 6) AS y FROM {v.CAMPGROUNDS} WHERE id % 4 < 3 AND {v.sql_haversine('x', 'y', f'{serving.CENTRE[0]}::DOUBLE', f'{serving.CENTRE[1]}::DOUBLE', geo.EARTH_MILES)} <= 5",
     "dem_tiles": f"SELECT CASE WHEN tile < '5' THEN 'cached' WHEN tile > 'b' THEN 'none' ELSE 'fetch' END AS state, count(*) AS n FROM (SELECT DISTINCT md5(printf('%.6f,%.6f,%.6f,%.6f,4000,4000', floor(x * 20) / 20, floor(y * 20) / 20, floor(x * 20) / 20 + 0.05::DOUBLE, floor(y * 20) / 20 + 0.05::DOUBLE)) AS tile FROM {v.VERTICES} WHERE pos = 1) GROUP BY 1",
     "longest_trails": f"SELECT id, round(m, 1) AS metres FROM (SELECT id, coalesce(sum(d ORDER BY pos) FILTER (px IS NOT NULL), 0) AS m FROM (SELECT id, pos, px, {v.sql_haversine('px', 'py', 'x', 'y')} AS d FROM (SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))) GROUP BY id) ORDER BY m DESC, id LIMIT 25",
     "doubled_treads": f"SELECT eid FROM {v.STREETS}",

@@ -429,3 +429,62 @@ def test_budget_and_scripts(spark):
         readers.within_budget(calls, 4)
     rows = spark.createDataFrame([(1, "O'Neil", None)], "a int, b string, c string")
     assert writers.insert_statements(rows, "t", ["a", "b", "c"]).first()[0] == "insert into t (a, b, c) values ('1', 'O''Neil', null);"
+
+
+def test_heights_along_lines_are_brute_force(spark):
+    """Samples every ten metres over a grid with holes: the gaps between valid samples are filled linearly, the ends by the nearest."""
+    from cairnfield.operators import elevation
+
+    rng = random.Random(9)
+    grid = {(i, j): float(rng.randint(0, 300)) for i in range(8) for j in range(8) if rng.random() < 0.6}
+    lines = [(k, [(rng.uniform(0, 800), rng.uniform(0, 800)) for _ in range(rng.choice([2, 3, 4]))]) for k in range(10)] + [(99, [(5000.0, 5000.0), (5100.0, 5000.0)])]
+    df = spark.createDataFrame(lines, f"id int, line {geo.LINE}")
+    got = {r["id"]: r["series"] for r in elevation.sample(df, spark.createDataFrame([(i, j, z) for (i, j), z in grid.items()], "cx long, cy long, z double"), 100.0).collect()}
+    points = {r["id"]: [(p["x"], p["y"]) for p in r["p"]] for r in df.select("id", geo.densify(F.col("line"), elevation.EVERY).alias("p")).collect()}
+    for k, pts in points.items():
+        z = [grid.get((int(x // 100), int(y // 100))) for x, y in pts]
+        known = [i for i, v in enumerate(z) if v is not None]
+        if not known:
+            assert got[k] is None
+            continue
+        want = []
+        for i, v in enumerate(z):
+            before, after = [j for j in known if j <= i], [j for j in known if j >= i]
+            if v is not None or not before or not after:
+                want.append(v if v is not None else z[(before or after)[-1 if before else 0]])
+            else:
+                a, b = before[-1], after[0]
+                want.append(z[a] + (z[b] - z[a]) * (i - a) / (b - a))
+        assert got[k] == pytest.approx(want)
+
+
+def test_stitching_is_greedy(spark):
+    from cairnfield.operators import elevation
+
+    rng = random.Random(3)
+    rows = [(t, p, [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(2)], [float(10 * p + k) for k in range(3)]) for t in range(6) for p in range(rng.randint(1, 6))]
+    got = {r["trail"]: r["series"] for r in elevation.stitch(spark.createDataFrame(rows, f"trail int, piece int, line {geo.LINE}, series array<double>")).collect()}
+    for t in range(6):
+        left = {p: (line[0], line[-1], series) for trail, p, line, series in rows if trail == t}
+        ends = [e for a, b, _ in left.values() for e in (a, b)]
+        cx, cy = sum(x for x, _ in ends) / len(ends), sum(y for _, y in ends) / len(ends)
+        d2 = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2
+        both = lambda: [(p, a, b, s) for p, (a, b, s) in left.items()] + [(p, b, a, s[::-1]) for p, (a, b, s) in left.items()]  # noqa: E731, B023
+        p, _, at, series = max(both(), key=lambda q: d2(q[1], (cx, cy)))  # noqa: B023
+        del left[p]
+        while left:
+            p, _, at, more = min(both(), key=lambda q: d2(q[1], at))  # noqa: B023
+            series = series + more
+            del left[p]
+        assert got[t] == series
+
+
+def test_clusters_are_greedy(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["1", "2", "33e"]), rng.uniform(0, 200), rng.uniform(0, 200), round(rng.uniform(20, 99), 3)) for _ in range(300)]
+    kept = {}
+    for label, x, y, conf in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if conf >= 30 and all(abs(x - a) > 20 or abs(y - b) > 20 for a, b in kept.get(label, [])):
+            kept.setdefault(label, []).append((x, y))
+    got = sites.cluster(spark.createDataFrame(rows, "label string, px double, py double, conf double"))
+    assert sorted((r["label"], r["px"], r["py"]) for r in got.collect()) == sorted((k, *p) for k, ps in kept.items() for p in ps)
