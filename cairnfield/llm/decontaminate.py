@@ -31,8 +31,6 @@ WINDOW, BLOCK, SMALL = 10, 100_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before that.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered(text: Column) -> Column:
@@ -112,7 +110,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = spans.select(*row, F.explode("sets").alias("set")).join(_sent(sets, sets.count()), "set").groupBy("hit_doc", "hit_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     named = items.select(F.col("hit_doc").alias("item_doc"), F.col("hit_hash").alias("item_hash"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
     by_doc = spans.select(*row, union["total"].cast("long").alias("n_hit")).join(named, F.col("hit_doc").eqNullSafe(F.col("item_doc")) & (F.col("hit_hash") == F.col("item_hash")))
-    counted = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    counted = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = counted.join(_sent(by_doc, spans.count()), F.col("doc").eqNullSafe(F.col("hit_doc")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     return joined.select(
         F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
