@@ -37,7 +37,7 @@ from cairnfield.session import cut, ship
 
 SHINGLE, PERCENT = 5, 85
 SAMPLES, ROWS, SKETCH, MISSED, DEVIATIONS = 128, 4, 256, 4e-7, 6
-BLOCK, SMALL = 400, 500_000
+BLOCK, SMALL, FEW = 400, 500_000, 100_000
 
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -114,9 +114,9 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))) for k in range(1, SKETCH // 64)), F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Broadcast up to SMALL rows (of some tens of bytes), else shuffled."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def sized(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast up to `most` (SMALL) rows of some tens of bytes, else shuffled."""
+    return F.broadcast(df) if df.count() <= (SMALL if most is None else most) else df
 
 
 def _only(text: str) -> list[str]:
@@ -223,10 +223,10 @@ def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFr
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = at.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("hub")).filter("labels > 1").select("key", "hub")
-    group = cut(at.join(sized(cut(mixed)), "key").select("hub", "node", "label").distinct())
+    group = cut(at.join(sized(cut(mixed), FEW), "key").select("hub", "node", "label").distinct())
     stranger = F.col("label") != F.col("hub")
     sizes = group.groupBy("hub").agg(F.ceil(F.count(F.when(~stranger, 1)) / BLOCK).cast("int").alias("home"), F.ceil(F.count(F.when(stranger, 1)) / BLOCK).cast("int").alias("away"))
-    dealt = group.join(sized(cut(sizes)), "hub").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(stranger, F.col("away")).otherwise(F.col("home"))).cast("int"))
+    dealt = group.join(sized(cut(sizes), FEW), "hub").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(stranger, F.col("away")).otherwise(F.col("home"))).cast("int"))
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     own = F.col("block")
@@ -247,7 +247,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = nodes.select("node", F.explode("bands").alias("key"))
     pivots = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("rank"), "node")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("pivot.node").alias("pivot"))
     # broadcast where few bands are shared: a band of a third of all nodes is then no task of its own
-    members = cut(banded.join(sized(cut(pivots)), "key"))
+    members = cut(banded.join(sized(cut(pivots), FEW), "key"))
     pairs = members.filter(F.col("node") != F.col("pivot")).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
     sketches = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     near = cut(pairs.join(sketches("a"), "a").join(sketches("b"), "b").withColumn("bits", _apart("sketch_a", "sketch_b")).filter(F.col("bits") <= most_bits(percent)).select("a", "b", "node", "bits"))
