@@ -139,3 +139,26 @@ def targets(sizes):
             left -= out[s]
         open_ -= over
     return out
+
+
+def line_verdict(text, marks):
+    """Word characters lost to failing lines, and whether the text is kept, line by line. marks: closing marks beyond ASCII."""
+    seen, lost, total = set(), 0, 0
+    for line in (text or "").split("\n"):
+        w = words(line)
+        if not w:
+            continue
+        chars = sum(map(len, w))
+        total += chars
+        letters = [c for c in line if c.isascii() and c.isalpha()]
+        found = re.findall(r"(?i)(?<![\w])(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe (?:now|to our)|licensed under|sign (?:in|up)|javascript)(?![\w])", line.encode("utf-8").decode("latin-1").translate({k: "z" for k in range(128, 256)}))
+        in_phrases = sum(m.count(" ") + 1 for m in found)
+        fails = line in seen
+        fails |= len(w) > 1 and line.count("|") > 0.25 * len(w)
+        fails |= sum(line.count(c) for c in "#*$%&|<>") > max(2, 0.5 * len(w))
+        fails |= len(w) > 3 and sum(c.isupper() for c in letters) > 0.7 * len(letters)
+        fails |= len(w) <= 3 and w[-1][-1] not in ".!?:;\"')]}" + marks
+        fails |= in_phrases > 0 and (in_phrases >= 0.25 * len(w) or len(w) < 10)
+        seen.add(line)
+        lost += chars if fails else 0
+    return lost, not quality(text)[5] and lost <= 0.5 * total

@@ -334,3 +334,18 @@ def test_repeated_rows_get_equal_results(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     for out in (secrets.scan(df), language.predict(df, language.fit(df)), quality_model.predict(df, quality_model.fit(df, labels))):
         assert out.count() == 4 and out.distinct().count() == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_rules_by_hand(spark, seed):
+    rng = random.Random(seed)
+    parts = ["word", "Word", "ÉTÉ", "LOUD", "|", "###", "$5", "click here", "sign in", "privacy policy", "javascript", "javascripts", "xclick here", "日本語。", "fin.", "end", "a|b", "all rights reserved", "\t", "terms of use,"]
+    line = lambda: " ".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 4, 12, 40])))
+    rows = []
+    for i in range(150):
+        lines = [line() for _ in range(rng.randint(0, 8))]
+        lines += rng.sample(lines, min(len(lines), rng.choice([0, 0, 2]))) + [" ".join(f"x{rng.random()}" for _ in range(rng.choice([0, 30, 60])))]
+        rows.append((i, "\n".join(lines)))
+    out = got(quality_rules.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "lost_chars", "kept")
+    assert out == sorted(((d, *brute.line_verdict(t, quality_rules.CLOSING)) for d, t in rows), key=repr)
+    assert {k for *_, k in out} == {True, False}
