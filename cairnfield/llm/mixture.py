@@ -13,6 +13,7 @@ All sums that steer the iterations are exact integers, and ties are ordered by h
 Targets: sources ordered by code point (null last) weigh WEIGHTS in turn and share TOTAL times all words; no target
 exceeds CAP times its source, and the excess goes to the others by weight: the water level solves that at once.
 
+Sources are taken to be few: one row each passes through one task when they are ordered and their targets levelled. Very long texts are counted whole.
 Null and empty texts have size 0 and are taken once, as no words; null sources are one source; null ids are fine; repeated
 rows are judged one by one (and may differ, as one of two equal rows may be taken more often); an empty table gives no rows; further columns pass through where asked for.
 """
