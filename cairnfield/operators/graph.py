@@ -33,6 +33,12 @@ def build(lines: DataFrame, self_loops: bool = True) -> DataFrame:
     return edges if self_loops else edges.filter("a <> b")
 
 
+def build_segments(lines: DataFrame) -> DataFrame:
+    """Edges between the consecutive points of lines (eid, line, and whatever else): eid and part, the segment's place in its line."""
+    parts = lines.select(*lines.columns, F.posexplode(geo.segments(F.col("line"))).alias("part", "s"))
+    return parts.withColumns({"a": node(F.col("s.a")), "b": node(F.col("s.b")), "len": geo.metres(F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y"))}).drop("s", "line")
+
+
 def ends(edges: DataFrame) -> DataFrame:
     """node, eid of both ends of every edge."""
     return edges.select("eid", F.explode(F.array("a", "b")).alias("node"))
@@ -61,14 +67,18 @@ def stats(edges: DataFrame) -> DataFrame:
 
 
 def two_core(edges: DataFrame) -> DataFrame:
-    """The edges left when dead ends are pruned until there are none. A self-loop counts twice at its node."""
+    """The edges left when dead ends are pruned until there are none. A self-loop counts twice at its node. A round prunes HOPS times."""
     now = cut(edges)
+    before = now.count()
     while True:
-        dead = ends(now).groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node")
-        left = cut(now.join(dead, F.col("a") == dead["node"], "left_anti").join(dead, F.col("b") == dead["node"], "left_anti"))
-        if left.count() == now.count():
-            return left
-        now = left
+        for _ in range(HOPS):
+            dead = ends(now).groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node")
+            now = now.join(dead, F.col("a") == dead["node"], "left_anti").join(dead, F.col("b") == dead["node"], "left_anti")
+        now = cut(now)
+        left = now.count()
+        if left == before:
+            return now
+        before = left
 
 
 def shortest(edges: DataFrame, sources: DataFrame, cap: float | None = None) -> DataFrame:

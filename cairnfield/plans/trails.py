@@ -112,6 +112,14 @@ def trail_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(graph.build(lines, self_loops=False)).groupBy("degree").agg(F.count("*").alias("n"))
 
 
+def vertex_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph of all trails' consecutive points: how often each place is passed, and the metres of the edges there."""
+    lines = v.trails(spark, sf).select(F.col("id").alias("eid"), "line")
+    e = graph.build_segments(lines).filter("a <> b")
+    both = e.select(F.explode(F.array("a", "b")).alias("node"), "len")
+    return both.groupBy("node").agg(F.count("*").alias("degree"), F.round(F.max("len"), 2).alias("longest"))
+
+
 def route_legs(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events in time as steps; runs of one type are legs."""
     e = v.table(spark, sf, "events").select(F.col("user_id").alias("route"), F.struct("ts", "event_id").alias("pos"), F.col("event_type").alias("name"), F.col("value").alias("len"))
@@ -220,7 +228,7 @@ def graph_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     trail_lengths, trail_endpoints, trail_near, trail_translate, ring_compactness, elevation_gain_loss, smooth_series, profile_resample, gap_fill, trail_stamp, dem_profile, stitched_profiles, graph_degrees, graph_components, graph_stats,
-    graph_two_core, graph_shortest_paths, trail_graph, route_legs, loops_bounded, loops_anchored, streets_near_lots, loops_distinct, loops_atoms, loops_composed, loop_parking_links, lots_snapped, loop_lines, line_union_length, graph_export, graph_paths,
+    graph_two_core, graph_shortest_paths, trail_graph, vertex_graph, route_legs, loops_bounded, loops_anchored, streets_near_lots, loops_distinct, loops_atoms, loops_composed, loop_parking_links, lots_snapped, loop_lines, line_union_length, graph_export, graph_paths,
 )}
 
 _STEP = f"(SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))"
@@ -285,5 +293,6 @@ ORACLES = {
       UNION ALL (SELECT source, node, min(dist), hops FROM (SELECT source, b AS node, dist + len AS dist, hops + 1 AS hops FROM p JOIN e ON node = a WHERE dist + len <= 1500 AND hops < 60) GROUP BY source, node, hops))
       SELECT source, node, round(min(dist), 2) AS dist FROM p GROUP BY source, node""",
     "trail_graph": f"""WITH e AS (SELECT {_NODE.format('x0', 'y0')} AS a, {_NODE.format('x1', 'y1')} AS b FROM {_FIRST} WHERE n > 1) SELECT degree, count(*) AS n FROM (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b) GROUP BY node) GROUP BY degree""",
+    "vertex_graph": f"""WITH e AS (SELECT {_NODE.format('px', 'py')} AS a, {_NODE.format('x', 'y')} AS b, {_LEN} AS len FROM {_STEP} WHERE px IS NOT NULL) SELECT node, count(*) AS degree, round(max(len), 2) AS longest FROM (SELECT a AS node, len FROM e WHERE a <> b UNION ALL SELECT b, len FROM e WHERE a <> b) GROUP BY node""",
     "route_legs": "SELECT route, leg::INTEGER AS leg, any_value(event_type) AS name, round(sum(value ORDER BY ts, event_id) / 1609.344, 4) AS miles FROM (SELECT *, sum(fresh) OVER (PARTITION BY route ORDER BY ts, event_id) AS leg FROM (SELECT user_id AS route, ts, event_id, event_type, value, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY route, leg",
 }
