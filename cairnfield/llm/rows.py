@@ -15,7 +15,9 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents; one of so few splits that cores would idle is dealt out first."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
