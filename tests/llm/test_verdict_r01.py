@@ -213,8 +213,8 @@ def test_interpolated_scores_by_hand(spark, monkeypatch):
 
 def test_estimates_of_a_chunk_by_hand():
     rows = pa.table({"doc_id": [1, 2, 3], "text": ["a b a b c", "b a b", None], "train": [True, True, True], "held_out": [False] * 3})
-    chunk = perplexity.Chunk(rows)
-    bucket, three, two, one = chunk.estimates({name: chunk.counts(name) for name in perplexity.SHIFT})
+    chunk = perplexity.Chunk(rows, 1 << 20)
+    bucket, three, two, one = chunk.estimates({name: chunk.counts(name) for name in perplexity.NAMES})
     texts = [[*(t or "").split(), None] for t in ["a b a b c", "b a b", None]]
     grams = [(x, y, z) for t in texts for x, y, z in zip(["s", "s", *t], ["s", *t], t, strict=False)]
     uni, bi, tri = Counter(g[2] for g in grams), Counter(g[1:] for g in grams), Counter(grams)
