@@ -9,7 +9,7 @@ a block of texts at a time, and its K nearest neighbours vote with weights of th
 
 Only the text is looked at when scoring. Null and empty texts score as the plain share of label 1. Where a doc_id has
 several labels, their majority counts (1 on a tie); null labels and labels without a document do not teach; null ids do not match labels.
-With nothing to learn from, every score is 0.5. Of neighbours with equal cosines (to nine places) those earlier by the hash of their id vote. Very long texts are
+With nothing to learn from, every score is 0.5. Of neighbours with equal cosines (in single precision) those earlier by the hash of their id vote. Very long texts are
 taken whole, their terms counted piece by piece. Repeated rows get equal scores; an empty table gives no rows; further columns are ignored.
 """
 
@@ -48,7 +48,8 @@ def terms(texts: pa.Array) -> np.ndarray:
     for lo in range(0, len(w.data), PIECE):  # grams begin in the piece and may end in the next
         hi = min(lo + PIECE, len(w.data))
         code = _CLASS[w.data[lo : hi + 3]] * np.uint64(0x9E3779B97F4A7C15)
-        owner = np.searchsorted(w.offsets, np.arange(lo, lo + len(code)), "right") - 1
+        bounds = np.clip(w.offsets, lo, lo + len(code))
+        owner = np.repeat(np.arange(n), np.diff(bounds))
         for order in (2, 4):
             many = min(hi - lo, len(code) - order + 1)
             if many <= 0:
@@ -133,10 +134,14 @@ def latent(found: np.ndarray, model: dict) -> np.ndarray:
 
 def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
     """The columns of the k largest values of each row; of equal ones the first."""
-    least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
-    over, at = cosine > least, cosine == least
-    chosen = over | at & (np.cumsum(at, 1) <= k - over.sum(1, keepdims=True))
-    return np.nonzero(chosen)[1].reshape(-1, k)
+    near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k :]
+    values = np.take_along_axis(cosine, near, 1)
+    least = values.min(1, keepdims=True)
+    # rows with more of the least value than there was room for
+    for row in np.flatnonzero((cosine == least).sum(1) > (values == least).sum(1)):
+        over = np.flatnonzero(cosine[row] > least[row])
+        near[row] = np.append(over, np.flatnonzero(cosine[row] == least[row])[: k - len(over)])
+    return near
 
 
 def vote(texts: pa.Array, model: dict, block: int = 512) -> np.ndarray:
@@ -147,9 +152,9 @@ def vote(texts: pa.Array, model: dict, block: int = 512) -> np.ndarray:
     k = min(K, len(model["label"]))
     for lo in range(0, len(some) if k else 0, block):
         at = some[lo : lo + block]
-        cosine = np.round(latent(found[at], model) @ model["vectors"].T, 9)
+        cosine = (latent(found[at], model) @ model["vectors"].T).astype(np.float32)
         near = nearest(cosine, k)
-        weight = (np.maximum(np.take_along_axis(cosine, near, 1), 0) + 1e-6) ** POWER
+        weight = (np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) + 1e-6) ** POWER
         out[at] = (weight * model["label"][near]).sum(1) / weight.sum(1)
     return np.clip(out, 0, 1)
 
