@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import decontaminate, language, mixture, near_dups, perplexity, quality_model, quality_rules, secrets, substrings, token_counts
+from cairnfield.llm import byte_bpe, decontaminate, language, mixture, near_dups, perplexity, quality_model, quality_rules, secrets, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": quality_model.query,
     "op9_quality_rules": quality_rules.query,
     "op10_token_counts": token_counts.query,
+    "op13_byte_bpe": byte_bpe.query,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
