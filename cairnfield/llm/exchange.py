@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.llm import vec
@@ -23,15 +23,15 @@ from cairnfield.session import ship
 CHUNK_BYTES, AT_ONCE = 4 << 20, 32
 
 
-def chunked(docs: DataFrame, columns: Iterable[str], chunk_bytes: int = CHUNK_BYTES, least: int = 1) -> tuple[DataFrame, int]:
-    """The columns and `chunk`, dealt out by chunk once for all who read it; and the number of chunks."""
+def chunked(docs: DataFrame, columns: Iterable[str], chunk_bytes: int = CHUNK_BYTES, least: int = 1, deal: Column | None = None) -> tuple[DataFrame, int]:
+    """The columns and `chunk`, dealt out by chunk (a hash of the columns, or `deal`) once for all who read it; and the number of chunks."""
     spark = docs.sparkSession
     ship(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     chunks = max(least, math.ceil(total / chunk_bytes))
     columns = list(columns)
-    chunk = F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("long")
-    return docs.select(*columns).withColumn("chunk", chunk).repartition(partitions(spark, chunks), "chunk"), chunks
+    chunk = F.pmod(F.xxhash64(*columns) if deal is None else deal, F.lit(chunks)).cast("long")
+    return docs.select(*columns, chunk.alias("chunk")).repartition(partitions(spark, chunks), "chunk"), chunks
 
 
 def partitions(spark: SparkSession, chunks: int) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.llm import byte_bpe, decontaminate, language, mixture, near_dups, perplexity, quality_model, quality_rules, ranked_search, secrets, substrings, token_counts
+from cairnfield.llm import byte_bpe, collocations, decontaminate, language, mixture, near_dups, perplexity, quality_model, quality_rules, ranked_search, secrets, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": quality_model.query,
     "op9_quality_rules": quality_rules.query,
     "op10_token_counts": token_counts.query,
+    "op11_collocations": collocations.query,
     "op12_ranked_search": ranked_search.query,
     "op13_byte_bpe": byte_bpe.query,
 }
@@ -26,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_substring_dedup": substrings.ORACLE,
     "op4_near_dups": near_dups.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_ranked_search": ranked_search.ORACLE,
 }
