@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import texts
-from cairnfield.session import ship
+from cairnfield.session import cut
 
 #: Least confidence, merge distance (pixels), the map's dividing line and number ranges, far survivors (pixels).
 CONFIDENCE, MERGE_PX, SPLIT_X, LOW_LAST, HIGH_FIRST, LAST_SITE, FAR_PX = 30.0, 20.0, 470.0, 100, 104, 250, 100.0
@@ -52,25 +52,43 @@ def tiles(width: int, height: int, tile: tuple[int, int], step: tuple[int, int])
     return [(x, y, min(x + tile[0], width), min(y + tile[1], height)) for y in starts(height, tile[1], step[1]) for x in starts(width, tile[0], step[0])]
 
 
+def _near_cells(points: DataFrame, reach: float, columns: Sequence[str]) -> DataFrame:
+    """Points (cx, cy) once for their own cell and each of the eight around it."""
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    spread = points.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    return spread.select(*columns, (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
+
+
+def suppressed(points: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    """Of points (keys, px, py, conf) those that greedy suppression keeps: by falling conf (ties to the lesser px, then py), a point stays if none that stayed
+    before, of its keys, is within `reach` of it each way.
+
+    Nothing is gathered by key. Points are dealt to cells as wide as the reach, so that any two of a cell are in each other's way and only the surest
+    left of each cell can stay next. It does if no surer one is left near it; then what is near it goes. Rounds end when no point
+    is left; each meets every point with at most nine others, however crowded a cell is. Null keys are keys of their own; points without coordinates are left out."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    keyed = points.filter("px is not null and py is not null").distinct().withColumns({"_key": F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "cx": cell("px"), "cy": cell("py")})
+    left, kept = cut(keyed), []
+    at, rank = ["_key", "cx", "cy"], F.struct((-F.col("conf")).alias("order"), F.col("px").alias("x"), F.col("py").alias("y"))
+    close = (F.abs(F.col("px") - F.col("_best.x")) <= reach) & (F.abs(F.col("py") - F.col("_best.y")) <= reach)
+    while not left.isEmpty():
+        tops = left.groupBy(*at).agg(F.min(rank).alias("_best")).withColumn("_id", F.monotonically_increasing_id())
+        tops = cut(tops)
+        beaten = left.join(_near_cells(tops, reach, ["_key", "_best", "_id"]), at).filter(close & (rank < F.col("_best"))).select("_id").distinct()
+        stay = cut(tops.join(beaten, "_id", "left_anti").select(*at, "_best"))
+        same = (F.col("conf") == -F.col("_best.order")) & (F.col("px") == F.col("_best.x")) & (F.col("py") == F.col("_best.y"))
+        kept.append(left.join(stay, at).filter(same).drop("_best"))
+        around = _near_cells(stay, reach, ["_key", "_best"]).withColumnsRenamed({c: f"_{c}" for c in at})
+        left = cut(left.join(around, (F.col("_key") == F.col("__key")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & close, "left_anti"))
+    return reduce(DataFrame.unionByName, kept, keyed.limit(0)).drop(*at)
+
+
 def cluster(detections: DataFrame, merge: float = MERGE_PX, least: float = CONFIDENCE) -> DataFrame:
-    """label, px, py, conf: detections of one label within `merge` pixels (each way) of a surer one are dropped, surest first.
-    The greedy order is within a label; the grid keeps a hot label's cost linear."""
-    ship(detections.sparkSession)
-
-    def greedy(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("conf", "descending"), ("px", "ascending"), ("py", "ascending")])
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = []
-        for x, y in zip(table["px"].to_pylist(), table["py"].to_pylist(), strict=True):
-            i, j = int(x // merge), int(y // merge)
-            near = any(abs(x - a) <= merge and abs(y - b) <= merge for di in (-1, 0, 1) for dj in (-1, 0, 1) for a, b in cells.get((i + di, j + dj), ()))
-            keep.append(not near)
-            if not near:
-                cells.setdefault((i, j), []).append((x, y))
-        return table.filter(pa.array(keep, pa.bool_()))
-
-    sure = detections.filter((F.col("conf") >= least) & texts.is_site_label(F.col("label"))).select("label", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), F.col("conf").cast("double").alias("conf"))
-    return sure.filter("px is not null and py is not null").groupBy("label").applyInArrow(greedy, "label string, px double, py double, conf double")
+    """label, px, py, conf (and map, where there is one): detections of one label on one map within `merge` pixels (each way) of a surer one are dropped, surest first."""
+    keys = [c for c in ("map", "label") if c in detections.columns]
+    number_ = lambda c: F.col(c).cast("double").alias(c)
+    sure = detections.filter((F.col("conf") >= least) & texts.is_site_label(F.col("label")))
+    return suppressed(sure.select(*keys, number_("px"), number_("py"), number_("conf")), keys, merge)
 
 
 def number(label: Column) -> Column:
@@ -85,15 +103,14 @@ def plausible(sites: DataFrame) -> DataFrame:
 
 
 def without_fragments(sites: DataFrame, merge: float = MERGE_PX) -> DataFrame:
-    """Without labels whose digits begin those of a longer label close by; near labels meet over grid cells."""
+    """Without labels whose digits begin those of a longer label close by, on the same map where there is one; near labels meet over grid cells."""
     reach = max(merge * 1.6, 22.0)
     digits = F.regexp_replace("label", "[eE]$", "")
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    own = sites.withColumns({"d": digits, "cx": cell("px"), "cy": cell("py")})
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    spread = own.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(F.col("d").alias("od"), F.col("px").alias("ox"), F.col("py").alias("oy"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
+    own = sites.withColumns({"d": digits, "cx": cell("px"), "cy": cell("py"), "om": F.col("map") if "map" in sites.columns else F.lit(0)})
+    spread = _near_cells(own.select("om", F.col("d").alias("od"), F.col("px").alias("ox"), F.col("py").alias("oy"), "cx", "cy"), reach, ["om", "od", "ox", "oy"])
     shadow = (F.length("od") > F.length("d")) & F.expr("startswith(od, d)") & (F.abs(F.col("px") - F.col("ox")) <= reach) & (F.abs(F.col("py") - F.col("oy")) <= reach)
-    return own.alias("a").join(spread.alias("b"), (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & shadow, "left_anti").select(*sites.columns)
+    return own.alias("a").join(spread.alias("b"), (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & F.col("a.om").eqNullSafe(F.col("b.om")) & shadow, "left_anti").select(*sites.columns)
 
 
 def merge_inventory(inventory: DataFrame, found: DataFrame) -> DataFrame:

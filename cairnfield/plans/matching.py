@@ -64,12 +64,13 @@ def _detections(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     n = F.col("l_partkey") % 260
     label = F.concat(n.cast("string"), F.when(F.col("l_suppkey") % 5 == 0, "e").otherwise(""))
-    return v.table(spark, sf, "lineitem").select(label.alias("label"), ((k * 7919) % 10007 / 10.0).alias("px"), ((k * 104729) % 10009 / 12.5).alias("py"), ((k * 31 % 1000) / 10.0).alias("conf"))
+    return v.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("map"), label.alias("label"), ((k * 7919) % 10007 / 10.0).alias("px"), ((k * 104729) % 10009 / 12.5).alias("py"), ((k * 31 % 1000) / 10.0).alias("conf"))
 
 
 def token_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections on seven maps, each label's near ones merged."""
     c = sites.plausible(sites.cluster(_detections(spark, sf)))
-    return c.select("label", F.round("px", 1).alias("px"), F.round("py", 1).alias("py"), F.round("conf", 1).alias("conf"))
+    return c.select("map", "label", F.round("px", 1).alias("px"), F.round("py", 1).alias("py"), F.round("conf", 1).alias("conf"))
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
