@@ -66,30 +66,38 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(np.int64)
 
 
-def pack_keys(keys: np.ndarray, shift: int = 0) -> bytes:
-    """Sorted keys, without their `shift` lowest bits, as the first one and the gaps after it, in as many bytes each as the widest gap needs."""
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps after it: of each gap as many low bytes as leave the mean one's rest under 32, and the rest in a byte, or
+    in eight more where it is 255 and over."""
     if not len(keys):
         return b""
-    keys = keys >> np.uint64(shift)
     gaps = np.diff(keys)
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    bits = float(np.log2(max(float(keys[-1] - keys[0]) / max(len(gaps), 1), 1.0)))
+    width = min(7, max(0, math.ceil((bits - 5) / 8)))
+    rest = gaps >> np.uint64(8 * width)
+    far = rest >= np.uint64(255)
+    head = bytes([width]) + keys[:1].tobytes() + int(far.sum()).to_bytes(4, "little")
+    return head + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + np.where(far, np.uint64(255), rest).astype(np.uint8).tobytes() + rest[far].tobytes()
 
 
-def unpack_keys(packed: bytes, shift: int = 0) -> np.ndarray:
+def unpack_keys(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, np.uint64)
-    width = packed[0]
-    narrow = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(narrow) + 1, 8), np.uint8)
-    gaps[1:, :width] = narrow
-    gaps[0] = np.frombuffer(packed, np.uint8, count=8, offset=1)
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(shift)
-
-
-def keys_of(table: pa.Table, name: str, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    width, far = packed[0], int.from_bytes(packed[9:13], "little")
+    n = (len(packed) - 13 - 8 * far) // (width + 1)
+    rest = np.frombuffer(packed, np.uint8, n, 13 + n * width).astype(np.uint64)
+    rest[rest == 255] = np.frombuffer(packed, np.uint64, far, 13 + n * (width + 1))
+    gaps = np.zeros((n + 1, 8), np.uint8)
+    gaps[1:, :width] = np.frombuffer(packed, np.uint8, n * width, 13).reshape(n, width)
+    gaps = gaps.view(np.uint64).ravel()
+    gaps[1:] |= rest << np.uint64(8 * width)
+    gaps[0] = np.frombuffer(packed, np.uint64, 1, 1)[0]
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def keys_of(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """All rows' keys as one array, and each row's number of them."""
-    parts = [unpack_keys(p, shift) for p in table[name].to_pylist()]
+    parts = [unpack_keys(p) for p in table[name].to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64)
 
 

@@ -10,8 +10,7 @@ Counts cover the whole corpus and are never collected: chunks ask blocks of a ha
 (see exchange.py) and score their own documents with the answers. Only a histogram of held-out estimates (at most
 BUCKETS x CELLS^3 cells of their logarithms, whatever the input, each with the sums of the estimates in it) is gathered for the expectation-maximisation.
 
-Words are told apart by 64-bit hashes (one of 1e9 different words shares one with probability 5e-11), n-grams of more words by SPARE bits more than number the
-corpus's bytes: whatever its size, less than one n-gram in 2,000 shares its key with another.
+Words and n-grams are told apart by 64-bit hashes, whatever the size of the corpus (one of 1e9 different n-grams shares one with probability 5e-11).
 Null and empty texts are one end token. Null ids train. Repeated rows count each. An empty table gives no rows; with no training
 tokens every token has probability 1 in the base and under the model. Further columns are ignored. There are no ties to break. Very long texts are scored whole, in
 a chunk of their own if need be.
@@ -32,23 +31,18 @@ LEVELS, CELLS, STEP, ROUNDS = 42, 64, 0.5, 60
 BUCKETS, PARTS = 2 * LEVELS, 256
 END, START, STARTS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 DEFAULT = np.array([0.3, 0.3, 0.2, 0.2])
-NAMES, SPARE = ("uni", "bi", "tri"), 10
+NAMES = ("uni", "bi", "tri")
 
 ASKED = "block long, chunk long, " + ", ".join(f"{n} binary, {n}_n binary" for n in NAMES)
 ANSWERED = "chunk long, block long, tokens long, types long, " + ", ".join(f"{n}_n binary, {n}_held binary" for n in NAMES)
 
 
-def shift(name: str, bytes_: int) -> int:
-    """The lowest bits of an n-gram's key that are left out, in a corpus of so many bytes."""
-    return 0 if name == "uni" else 64 - min(64, max(bytes_, 1).bit_length() + SPARE)
-
-
 class Chunk:
     """A chunk's tokens, each with the context before it, and its distinct unigrams and bigrams."""
 
-    def __init__(self, table: pa.Table, bytes_: int):
+    def __init__(self, table: pa.Table, slice_bytes: int = vec.SLICE_BYTES):
         self.table, texts = exchange.ordered(table)
-        parts = [vec.Words(texts.slice(lo, hi - lo), lower=True) for lo, hi in vec.slices(texts)]
+        parts = [vec.Words(texts.slice(lo, hi - lo), lower=True) for lo, hi in vec.slices(texts, slice_bytes)]
         words = np.concatenate([p.count for p in parts])
         hashes = np.concatenate([p.hash for p in parts])
         del parts
@@ -63,8 +57,7 @@ class Chunk:
         three = follows(self._before(pair, STARTS) ^ STARTS, self.token)
         self.keys, self.of = {}, {}
         for name, values in {"uni": self.token, "bi": pair, "tri": three}.items():
-            low = np.uint64(shift(name, bytes_))
-            self.keys[name], self.of[name] = np.unique(values >> low << low, return_inverse=True)
+            self.keys[name], self.of[name] = np.unique(values, return_inverse=True)
         # the start of a text was seen as often as its end
         at = np.arange(len(self.token)) - 1
         at[self.first[:-1]] = self.first[1:] - 1
@@ -95,15 +88,15 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64).clip(0, LEVELS - 1)
 
 
-def ask(table: pa.Table, blocks: int, bytes_: int) -> pa.Table:
-    chunk = Chunk(table, bytes_)
+def ask(table: pa.Table, blocks: int) -> pa.Table:
+    chunk = Chunk(table)
     rows_: dict[int, dict[str, bytes]] = {}
     for name in NAMES:
         keys, n = chunk.keys[name], chunk.counts(name)
         found, cut = exchange.blocks_of(keys, blocks)
         for k, b in enumerate(found.tolist()):
             row = rows_.setdefault(b, dict.fromkeys([*NAMES, *(f"{x}_n" for x in NAMES)], b""))
-            row[name], row[f"{name}_n"] = exchange.pack_keys(keys[cut[k] : cut[k + 1]], shift(name, bytes_)), exchange.pack(n[cut[k] : cut[k + 1]])
+            row[name], row[f"{name}_n"] = exchange.pack_keys(keys[cut[k] : cut[k + 1]]), exchange.pack(n[cut[k] : cut[k + 1]])
     out = {"block": pa.array(list(rows_), pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows_), pa.int64())}
     return pa.table(out | {c: pa.array([r[c] for r in rows_.values()], pa.binary()) for name in NAMES for c in (name, f"{name}_n")})
 
@@ -112,14 +105,14 @@ def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([exchange.unpack(x) for x in column.to_pylist() if x] or [np.zeros(0, np.int64)])
 
 
-def answer(table: pa.Table, bytes_: int) -> pa.Table:
+def answer(table: pa.Table) -> pa.Table:
     """Training counts of every key of every chunk; those of the held-out chunks too, for these; and, in one of the PARTS
     chunks below 0, the block's training tokens and types."""
     chunks = table["chunk"].to_numpy()
     held = chunks % EVERY == 0
     out: dict[str, list] = {}
     for name in NAMES:
-        keys, sizes = exchange.keys_of(table, name, shift(name, bytes_))
+        keys, sizes = exchange.keys_of(table, name)
         n = _unpacked(table[f"{name}_n"])
         distinct, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, n, len(distinct)).astype(np.int64)
@@ -147,14 +140,14 @@ TOKENS, TYPES = -1, -2
 HISTOGRAM = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("tri", pa.float64()), ("bi", pa.float64()), ("uni", pa.float64())])
 
 
-def held_out_histogram(left: pa.Table, right: pa.Table, bytes_: int) -> pa.Table:
+def held_out_histogram(left: pa.Table, right: pa.Table) -> pa.Table:
     """How many of a held-out chunk's training tokens have which estimates once its documents are deleted. Chunks below 0 give the sums over their blocks."""
     if not left.num_rows:
         n = [sum(right[c].to_pylist()) for c in ("tokens", "types")]
         return pa.table({"cell": [TOKENS, TYPES], "n": n} | {c: [0.0, 0.0] for c in ("tri", "bi", "uni")}, HISTOGRAM)
     if left["chunk"][0].as_py() % EVERY:
         return HISTOGRAM.empty_table()
-    chunk, answers = Chunk(left, bytes_), right.sort_by("block")
+    chunk, answers = Chunk(left), right.sort_by("block")
     n = {name: _unpacked(answers[f"{name}_n"]) - _unpacked(answers[f"{name}_held"]) for name in NAMES}
     bucket, *found = (x[chunk.train] for x in chunk.estimates(n))
     code = bucket
@@ -197,9 +190,9 @@ def _weights(table: pa.Table) -> pa.Table:
     return pa.table({"one": pa.array([1], pa.int32()), "all_tokens": [tokens], "all_types": [types], "weights": pa.array([learn(cell[real] // CELLS**3, n[real].astype(float), mean).tobytes()], pa.binary())})
 
 
-def score(left: pa.Table, right: pa.Table, bytes_: int) -> pa.Table:
+def score(left: pa.Table, right: pa.Table) -> pa.Table:
     """The rows of one chunk; every chunk has asked about the end token, and so has answers."""
-    chunk, answers = Chunk(left, bytes_), right.sort_by("block")
+    chunk, answers = Chunk(left), right.sort_by("block")
     n = {name: _unpacked(answers[f"{name}_n"]) for name in NAMES}
     tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
     weights = np.frombuffer(answers["weights"][0].as_py()).reshape(BUCKETS, 4)
@@ -222,15 +215,15 @@ def scan(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     out = rows.held_out("doc_id", *HELD_OUT)
     marked = docs.select("doc_id", "text", out.alias("held_out"), (~out).alias("train"))
     dealt, chunks = exchange.chunked(marked, marked.columns, chunk_bytes, least=2 * EVERY)
-    n, by_chunk, bytes_ = exchange.partitions(spark, chunks), dealt.groupBy("chunk"), chunks * chunk_bytes
-    asked = by_chunk.applyInArrow(lambda t: ask(t, chunks, bytes_), ASKED).repartition(n, "block")
-    answers = asked.groupBy("block").applyInArrow(lambda t: answer(t, bytes_), ANSWERED).repartition(n, "chunk")
-    found = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: held_out_histogram(a, b, bytes_), "cell long, n long, tri double, bi double, uni double")
+    n, by_chunk = exchange.partitions(spark, chunks), dealt.groupBy("chunk")
+    asked = by_chunk.applyInArrow(lambda t: ask(t, chunks), ASKED).repartition(n, "block")
+    answers = asked.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk")
+    found = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(held_out_histogram, "cell long, n long, tri double, bi double, uni double")
     histogram = found.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "tri", "bi", "uni")])
     weights = histogram.groupBy(F.lit(1).alias("one")).applyInArrow(_weights, "one int, all_tokens long, all_types long, weights binary")
     informed = answers.withColumn("one", F.when(F.col("chunk") >= 0, 1).otherwise(0)).join(F.broadcast(weights), "one").drop("one")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_chunk.cogroup(informed.groupBy("chunk")).applyInArrow(lambda a, b: score(a, b, bytes_), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_chunk.cogroup(informed.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
