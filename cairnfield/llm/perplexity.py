@@ -7,7 +7,7 @@ expectation-maximisation on held-out counts: the training documents of every EVE
 (count - their own count), and their tokens' likelihood under what is left is maximised. Scores use all training counts.
 
 Counts cover the whole corpus and are never collected: chunks ask blocks of a hashed index about their distinct n-grams
-(see exchange.py) and score their own documents with the answers. Only a histogram of held-out estimates (at most
+(see exchange.py), first words and bigrams, then the trigrams both of whose bigrams another chunk has too (others occur nowhere else), and score their own documents with the answers. Only a histogram of held-out estimates (at most
 BUCKETS x CELLS^3 cells of their logarithms, whatever the input, each with the sums of the estimates in it) is gathered for the expectation-maximisation.
 
 Words and n-grams are told apart by 64-bit hashes, whatever the size of the corpus (one of 1e9 different n-grams shares one with probability 5e-11).
@@ -34,7 +34,7 @@ DEFAULT = np.array([0.3, 0.3, 0.2, 0.2])
 NAMES = ("uni", "bi", "tri")
 
 ASKED = "block long, chunk long, " + ", ".join(f"{n} binary, {n}_n binary" for n in NAMES)
-ANSWERED = "chunk long, block long, tokens long, types long, " + ", ".join(f"{n}_n binary, {n}_held binary" for n in NAMES)
+ANSWERED = "chunk long, block long, tokens long, types long, bi_shared binary, " + ", ".join(f"{n}_n binary, {n}_held binary" for n in NAMES)
 
 
 class Chunk:
@@ -70,6 +70,22 @@ class Chunk:
         out[self.first[:-1]] = start
         return out
 
+    def answered(self, answers: pa.Table) -> None:
+        """Takes which bigrams other chunks have too; sent: the trigrams both of whose bigrams are such. No other chunk can have the others, whose own counts are all there is."""
+        shared = _unpacked(answers["bi_shared"]) > 0
+        first = np.zeros(len(self.keys["tri"]), np.int64)
+        first[self.of["tri"]] = np.arange(len(self.token))
+        begins = np.zeros(len(self.token), bool)
+        begins[self.begins] = True
+        self.sent = shared[self.of["bi"][first]] & (begins[first] | shared[self.of["bi"][first - 1]])
+
+    def trigrams(self, answers: pa.Table, column: str, own: bool) -> np.ndarray:
+        """Counts of the distinct trigrams: the answered ones, and for the others the chunk's own if it counts."""
+        self.answered(answers)
+        out = self.counts("tri") if own else np.zeros(len(self.keys["tri"]), np.int64)
+        out[self.sent] = _unpacked(answers[column])
+        return out
+
     def counts(self, name: str) -> np.ndarray:
         return np.bincount(self.of[name], self.train, len(self.keys[name])).astype(np.int64)
 
@@ -88,29 +104,43 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64).clip(0, LEVELS - 1)
 
 
-def ask(table: pa.Table, blocks: int) -> pa.Table:
-    chunk = Chunk(table)
+def _asked(number: int, asked: dict[str, tuple[np.ndarray, np.ndarray]], blocks: int) -> pa.Table:
+    """A chunk's keys and their training counts, by block."""
     rows_: dict[int, dict[str, bytes]] = {}
-    for name in NAMES:
-        keys, n = chunk.keys[name], chunk.counts(name)
+    for name, (keys, n) in asked.items():
         found, cut = exchange.blocks_of(keys, blocks)
         for k, b in enumerate(found.tolist()):
             row = rows_.setdefault(b, dict.fromkeys([*NAMES, *(f"{x}_n" for x in NAMES)], b""))
             row[name], row[f"{name}_n"] = exchange.pack_keys(keys[cut[k] : cut[k + 1]]), exchange.pack(n[cut[k] : cut[k + 1]])
-    out = {"block": pa.array(list(rows_), pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows_), pa.int64())}
+    out = {"block": pa.array(list(rows_), pa.int64()), "chunk": pa.array([number] * len(rows_), pa.int64())}
     return pa.table(out | {c: pa.array([r[c] for r in rows_.values()], pa.binary()) for name in NAMES for c in (name, f"{name}_n")})
 
 
+def ask(table: pa.Table, blocks: int) -> pa.Table:
+    chunk = Chunk(table)
+    return _asked(table["chunk"][0].as_py(), {name: (chunk.keys[name], chunk.counts(name)) for name in ("uni", "bi")}, blocks)
+
+
+def ask_shared(left: pa.Table, right: pa.Table, blocks: int) -> pa.Table:
+    """The second round: trigrams that another chunk may have."""
+    if not left.num_rows:
+        return _asked(0, {}, blocks)
+    chunk, answers = Chunk(left), right.sort_by("block")
+    chunk.answered(answers)
+    return _asked(left["chunk"][0].as_py(), {"tri": (chunk.keys["tri"][chunk.sent], chunk.counts("tri")[chunk.sent])}, blocks)
+
+
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([exchange.unpack(x) for x in column.to_pylist() if x] or [np.zeros(0, np.int64)])
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Training counts of every key of every chunk; those of the held-out chunks too, for these; and, in one of the PARTS
+    """Training counts of every key of every chunk; those of the held-out chunks too, for these; which bigrams two chunks or more have; and, in one of the PARTS
     chunks below 0, the block's training tokens and types."""
     chunks = table["chunk"].to_numpy()
     held = chunks % EVERY == 0
-    out: dict[str, list] = {}
+    out: dict[str, list] = {"bi_shared": [b""] * len(chunks)}
+    tokens = types = 0
     for name in NAMES:
         keys, sizes = exchange.keys_of(table, name)
         n = _unpacked(table[f"{name}_n"])
@@ -121,12 +151,15 @@ def answer(table: pa.Table) -> pa.Table:
             tokens, types = int(total.sum()), int((total > 0).sum())
         ends = np.cumsum(sizes)
         some = lambda values, hi, k: exchange.pack(values[of[hi - k : hi]]) if k else b""  # noqa: E731, B023
+        if name == "bi":
+            shared = (np.bincount(of, minlength=len(distinct)) > 1).astype(np.int64)
+            out["bi_shared"] = [some(shared, hi, k) for hi, k in zip(ends, sizes, strict=True)]
         out[f"{name}_n"] = [some(total, hi, k) for hi, k in zip(ends, sizes, strict=True)]
         out[f"{name}_held"] = [some(apart, hi, k) if h else b"" for hi, k, h in zip(ends, sizes, held, strict=True)]
     k = len(chunks)
     columns = {"chunk": pa.array([*chunks, -1 - table["block"][0].as_py() % PARTS], pa.int64()), "block": pa.array([table["block"][0].as_py()] * (k + 1), pa.int64())}
     columns |= {"tokens": pa.array([0] * k + [tokens], pa.int64()), "types": pa.array([0] * k + [types], pa.int64())}
-    return pa.table(columns | {c: pa.array([*out[c], b""], pa.binary()) for name in NAMES for c in (f"{name}_n", f"{name}_held")})
+    return pa.table(columns | {c: pa.array([*out[c], b""], pa.binary()) for c in ("bi_shared", *(f"{name}_{x}" for name in NAMES for x in ("n", "held")))})
 
 
 def _cell(estimate: np.ndarray) -> np.ndarray:
@@ -148,7 +181,9 @@ def held_out_histogram(left: pa.Table, right: pa.Table) -> pa.Table:
     if left["chunk"][0].as_py() % EVERY:
         return HISTOGRAM.empty_table()
     chunk, answers = Chunk(left), right.sort_by("block")
-    n = {name: _unpacked(answers[f"{name}_n"]) - _unpacked(answers[f"{name}_held"]) for name in NAMES}
+    n = {name: _unpacked(answers[f"{name}_n"]) - _unpacked(answers[f"{name}_held"]) for name in ("uni", "bi")}
+    # what only this chunk has is deleted with it
+    n["tri"] = chunk.trigrams(answers, "tri_n", own=False) - chunk.trigrams(answers, "tri_held", own=False)
     bucket, *found = (x[chunk.train] for x in chunk.estimates(n))
     code = bucket
     for x in found:
@@ -193,7 +228,8 @@ def _weights(table: pa.Table) -> pa.Table:
 def score(left: pa.Table, right: pa.Table) -> pa.Table:
     """The rows of one chunk; every chunk has asked about the end token, and so has answers."""
     chunk, answers = Chunk(left), right.sort_by("block")
-    n = {name: _unpacked(answers[f"{name}_n"]) for name in NAMES}
+    n = {name: _unpacked(answers[f"{name}_n"]) for name in ("uni", "bi")}
+    n["tri"] = chunk.trigrams(answers, "tri_n", own=True)
     tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
     weights = np.frombuffer(answers["weights"][0].as_py()).reshape(BUCKETS, 4)
     base = np.log10(n["uni"] + 1) - np.log10(tokens + (types + 1))
@@ -217,7 +253,9 @@ def scan(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     dealt, chunks = exchange.chunked(marked, marked.columns, chunk_bytes, least=2 * EVERY)
     n, by_chunk = exchange.partitions(spark, chunks), dealt.groupBy("chunk")
     asked = by_chunk.applyInArrow(lambda t: ask(t, chunks), ASKED).repartition(n, "block")
-    answers = asked.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk")
+    one = asked.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk")
+    further = by_chunk.cogroup(one.groupBy("chunk")).applyInArrow(lambda a, b: ask_shared(a, b, chunks), ASKED).repartition(n, "block")
+    answers = one.unionByName(further.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk"))
     found = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(held_out_histogram, "cell long, n long, tri double, bi double, uni double")
     histogram = found.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "tri", "bi", "uni")])
     weights = histogram.groupBy(F.lit(1).alias("one")).applyInArrow(_weights, "one int, all_tokens long, all_types long, weights binary")
