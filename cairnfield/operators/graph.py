@@ -118,17 +118,19 @@ def farthest_pair(edges: DataFrame, start: str) -> tuple[str, str, float]:
 
 
 def paths(reached: DataFrame, pairs: DataFrame) -> DataFrame:
-    """source, target, back (0 at the target), node, via of the way to each target (pairs: source, target), from `shortest`'s rows: a join a step,
-    all ways at once. Targets that were not reached have no rows."""
+    """source, target, back (0 at the target), node, via of the way to each target (pairs: source, target), from `shortest`'s rows, all ways at
+    once. Targets that were not reached have no rows. A round knows of every node the one so many steps before it, and doubles both that number and the stretches found, so
+    that rounds follow the logarithm of the longest way."""
     steps = cut(reached.select("source", "node", "prev", "via"))
-    here, out, back = pairs.select("source", "target", F.col("target").alias("node")), [], 0
+    before = steps.filter("prev is not null").select("source", "node", F.col("prev").alias("far"))
+    found, reach = cut(pairs.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back")).join(steps.select("source", "node"), ["source", "node"]).distinct()), 1
     while True:
-        here = cut(here.join(steps, ["source", "node"]).withColumn("back", F.lit(back)))
-        out.append(here.select("source", "target", "back", "node", "via"))
-        here = here.filter("prev is not null").select("source", "target", F.col("prev").alias("node"))
-        if here.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        back += 1
+        more = cut(found.join(before, ["source", "node"]).select("source", "target", F.col("far").alias("node"), (F.col("back") + reach).alias("back")))
+        if more.isEmpty():
+            return found.join(steps, ["source", "node"]).select("source", "target", "back", "node", "via")
+        found = cut(found.unionByName(more.select(*found.columns)))
+        after = before.select("source", F.col("node").alias("far"), F.col("far").alias("next"))
+        before, reach = cut(before.join(after, ["source", "far"]).select("source", "node", F.col("next").alias("far"))), reach * 2
 
 
 def path(reached: DataFrame, source: str, target: str) -> list[tuple[str, object]]:
