@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.llm import exchange, rows, vec
 
-HELD_OUT, EVERY, CHUNK_BYTES = (7, 2), 8, 6 << 20
+HELD_OUT, EVERY, CHUNK_BYTES = (7, 2), 8, 7 << 20
 #: Context-frequency buckets, for contexts of two words and of one; cells of the log of an estimate, 0 for an estimate of 0.
 LEVELS, CELLS, STEP, ROUNDS = 42, 64, 0.5, 60
 BUCKETS, PARTS = 2 * LEVELS, 256
@@ -72,18 +72,20 @@ class Chunk:
 
     def answered(self, answers: pa.Table) -> None:
         """Takes which bigrams other chunks have too; sent: the trigrams both of whose bigrams are such. No other chunk can have the others, whose own counts are all there is."""
-        shared = _unpacked(answers["bi_shared"]) > 0
+        shared = self.shared = _flags(answers["bi_shared"])
         first = np.zeros(len(self.keys["tri"]), np.int64)
         first[self.of["tri"]] = np.arange(len(self.token))
         begins = np.zeros(len(self.token), bool)
         begins[self.begins] = True
         self.sent = shared[self.of["bi"][first]] & (begins[first] | shared[self.of["bi"][first - 1]])
 
-    def trigrams(self, answers: pa.Table, column: str, own: bool) -> np.ndarray:
-        """Counts of the distinct trigrams: the answered ones, and for the others the chunk's own if it counts."""
+    def totals(self, answers: pa.Table, kind: str, own: bool) -> dict[str, np.ndarray]:
+        """Counts of the distinct n-grams, of a kind ("n" or "held"): the answered ones and, for those that no other chunk has, the chunk's own if it counts."""
         self.answered(answers)
-        out = self.counts("tri") if own else np.zeros(len(self.keys["tri"]), np.int64)
-        out[self.sent] = _unpacked(answers[column])
+        out = {"uni": _unpacked(answers[f"uni_{kind}"])}
+        for name, known in (("bi", self.shared), ("tri", self.sent)):
+            out[name] = self.counts(name) if own else np.zeros(len(self.keys[name]), np.int64)
+            out[name][known] = _unpacked(answers[f"{name}_{kind}"])
         return out
 
     def counts(self, name: str) -> np.ndarray:
@@ -134,6 +136,15 @@ def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([exchange.unpack(x) for x in column.to_pylist() if x] or [np.zeros(0, np.int64)])
 
 
+def _packed_flags(flags: np.ndarray) -> bytes:
+    return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
+
+
+def _flags(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=int.from_bytes(x[:4], "little")) for x in column.to_pylist() if x]
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).astype(bool)
+
+
 def answer(table: pa.Table) -> pa.Table:
     """Training counts of every key of every chunk; those of the held-out chunks too, for these; which bigrams two chunks or more have; and, in one of the PARTS
     chunks below 0, the block's training tokens and types."""
@@ -150,10 +161,11 @@ def answer(table: pa.Table) -> pa.Table:
         if name == "uni":
             tokens, types = int(total.sum()), int((total > 0).sum())
         ends = np.cumsum(sizes)
-        some = lambda values, hi, k: exchange.pack(values[of[hi - k : hi]]) if k else b""  # noqa: E731, B023
-        if name == "bi":
-            shared = (np.bincount(of, minlength=len(distinct)) > 1).astype(np.int64)
-            out["bi_shared"] = [some(shared, hi, k) for hi, k in zip(ends, sizes, strict=True)]
+        told = np.ones(len(of), bool)
+        if name == "bi":  # no count is told of a bigram that no other chunk has
+            told = (np.bincount(of, minlength=len(distinct)) > 1)[of]
+            out["bi_shared"] = [_packed_flags(told[hi - k : hi]) if k else b"" for hi, k in zip(ends, sizes, strict=True)]
+        some = lambda values, hi, k: exchange.pack(values[of[hi - k : hi][told[hi - k : hi]]]) if k else b""  # noqa: E731, B023
         out[f"{name}_n"] = [some(total, hi, k) for hi, k in zip(ends, sizes, strict=True)]
         out[f"{name}_held"] = [some(apart, hi, k) if h else b"" for hi, k, h in zip(ends, sizes, held, strict=True)]
     k = len(chunks)
@@ -181,9 +193,9 @@ def held_out_histogram(left: pa.Table, right: pa.Table) -> pa.Table:
     if left["chunk"][0].as_py() % EVERY:
         return HISTOGRAM.empty_table()
     chunk, answers = Chunk(left), right.sort_by("block")
-    n = {name: _unpacked(answers[f"{name}_n"]) - _unpacked(answers[f"{name}_held"]) for name in ("uni", "bi")}
     # what only this chunk has is deleted with it
-    n["tri"] = chunk.trigrams(answers, "tri_n", own=False) - chunk.trigrams(answers, "tri_held", own=False)
+    every, apart = (chunk.totals(answers, kind, own=False) for kind in ("n", "held"))
+    n = {name: every[name] - apart[name] for name in NAMES}
     bucket, *found = (x[chunk.train] for x in chunk.estimates(n))
     code = bucket
     for x in found:
@@ -228,8 +240,7 @@ def _weights(table: pa.Table) -> pa.Table:
 def score(left: pa.Table, right: pa.Table) -> pa.Table:
     """The rows of one chunk; every chunk has asked about the end token, and so has answers."""
     chunk, answers = Chunk(left), right.sort_by("block")
-    n = {name: _unpacked(answers[f"{name}_n"]) for name in ("uni", "bi")}
-    n["tri"] = chunk.trigrams(answers, "tri_n", own=True)
+    n = chunk.totals(answers, "n", own=True)
     tokens, types = answers["all_tokens"][0].as_py(), answers["all_types"][0].as_py()
     weights = np.frombuffer(answers["weights"][0].as_py()).reshape(BUCKETS, 4)
     base = np.log10(n["uni"] + 1) - np.log10(tokens + (types + 1))
