@@ -42,6 +42,12 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of")).withColumn(name, number).drop("_part", "_of", "_before")
 
 
+def numbered_behind(table: DataFrame, rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with new ids behind the table's greatest one, in an order of unique keys."""
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    return numbered(rows, "id", *order).join(F.broadcast(top), F.lit(True)).withColumn("id", (F.col("id") + F.col("_top")).cast("long")).drop("_top")
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], replace: bool = True, action: str | None = None) -> DataFrame:
     """Keyed merge. Rows whose key is in the table overwrite its columns they have (all rows of that key), unless `replace` is
     off; others, and those with a null or empty key, are added. `action` names a column with updated, inserted or kept. Of several rows of one key in a

@@ -102,9 +102,18 @@ def longest(rows: DataFrame, length: str, key: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(length), key).limit(limit)
 
 
+#: The keys by which layer_order() has rows in order.
+LAYER_ORDER = ("other_layer", "through_trail", "pos")
+
+
+def layer_order(rows: DataFrame, primary: str) -> DataFrame:
+    """The rows with their keys LAYER_ORDER: whether they are of another layer than the primary one, whether they are through-trails, and their place."""
+    return rows.withColumns({"other_layer": (F.col("source") != primary).cast("int"), "through_trail": F.col("through").cast("int")})
+
+
 def ordered_layers(rows: DataFrame, primary: str) -> DataFrame:
     """Rows (source, through, pos): of the primary layer first, through-trails last, each in the order that they came in."""
-    return rows.orderBy((F.col("source") != primary).cast("int"), F.col("through").cast("int"), "pos")
+    return layer_order(rows, primary).orderBy(*LAYER_ORDER).select(*rows.columns)
 
 
 def upper_median(values: Column) -> Column:

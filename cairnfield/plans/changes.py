@@ -27,6 +27,14 @@ def _merged(spark: SparkSession, sf: str) -> DataFrame:
     return merge.upsert(_features(spark, sf), rows.select("id", *kept[0:]), ["source", "key"], action="action")
 
 
+def append_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers appended to the customers' features, under new ids behind the greatest one; columns that the batch lacks are null, and a second import appends again."""
+    table, rows = _features(spark, sf), _incoming(spark, sf).drop("id", "balance")
+    once = merge.append(table, merge.numbered_behind(table, rows, "source", "key", "name"))
+    twice = merge.append(once, merge.numbered_behind(once, rows, "source", "key", "name"))
+    return twice.select("id", "source", "key", "name", "balance")
+
+
 def upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf).select("source", "key", "name", "balance")
 
@@ -78,13 +86,15 @@ def layer_changes(spark: SparkSession, sf: str) -> DataFrame:
     return writers.changes(before, after, "id").groupBy("change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_by_key, upsert_actions, insert_if_absent, replace_layer, delete_predicate, delete_using, update_from_values, fork_layer, audit_schema_diff, layer_changes)}
+QUERIES = {f.__name__: f for f in (append_import, upsert_by_key, upsert_actions, insert_if_absent, replace_layer, delete_predicate, delete_using, update_from_values, fork_layer, audit_schema_diff, layer_changes)}
 
 _F = "(SELECT c_custkey AS id, c_mktsegment AS source, 'k' || c_custkey % 1200 AS key, c_name AS name, round(c_acctbal, 2) AS balance FROM customer)"
 _I = "(SELECT s_suppkey + 1000000 AS id, 'BUILDING' AS source, CASE WHEN s_suppkey % 10 > 0 THEN 'k' || s_suppkey * 17 % 2400 ELSE '' END AS key, s_name AS name, round(s_acctbal, 2) AS balance FROM supplier)"
 _L = f"(SELECT * FROM {_I} WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY id DESC) = 1 UNION ALL SELECT * FROM {_I} WHERE key = '')"
 _KEYED = f"(SELECT * FROM {_I} WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY id DESC) = 1)"
 ORACLES = {
+    "append_import": f"""WITH f AS (SELECT * FROM {_F}), i AS (SELECT source, key, name, row_number() OVER (ORDER BY source, key, name) AS k FROM {_I}), m AS (SELECT coalesce(max(id), 0) AS top FROM f), n AS (SELECT count(*) AS n FROM i)
+      SELECT id, source, key, name, balance FROM f UNION ALL SELECT (top + k + n * again)::BIGINT, source, key, name, NULL FROM i, m, n, (VALUES (0), (1)) AS a(again)""",
     "upsert_by_key": f"SELECT f.source, f.key, coalesce(i.name, f.name) AS name, coalesce(i.balance, f.balance) AS balance FROM {_F} AS f LEFT JOIN {_KEYED} AS i ON f.source = i.source AND f.key = i.key UNION ALL SELECT source, key, name, balance FROM {_L} AS l WHERE key = '' OR NOT EXISTS (SELECT 1 FROM {_F} AS f WHERE f.source = l.source AND f.key = l.key)",
     "upsert_actions": f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN i.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM {_F} AS f LEFT JOIN {_KEYED} AS i ON f.source = i.source AND f.key = i.key UNION ALL SELECT 'inserted' FROM {_L} AS l WHERE key = '' OR NOT EXISTS (SELECT 1 FROM {_F} AS f WHERE f.source = l.source AND f.key = l.key)) GROUP BY action",
     "insert_if_absent": f"SELECT source, count(*) AS n, round(sum(balance::DECIMAL(18,2)), 2)::DOUBLE AS balance FROM (SELECT source, balance FROM {_F} UNION ALL SELECT source, balance FROM {_KEYED} AS l WHERE NOT EXISTS (SELECT 1 FROM {_F} AS f WHERE f.source = l.source AND f.key = l.key)) GROUP BY source",

@@ -6,6 +6,7 @@ Payloads are made from the test tables, written as text files, and read through
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,16 @@ def geojson_written(spark: SparkSession, sf: str) -> DataFrame:
     return again.select("source", F.get_json_object("properties", "$.id").cast("long").alias("id"), F.get_json_object("properties", "$.name").alias("name"), F.size(line).alias("n"), F.round(geo.end(line)["y"], 6).alias("y"))
 
 
+def geojson_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Trails written as one file a layer; one layer is skipped, one is asked for alone, and its file is the only one that is opened."""
+    t = v.trails(spark, sf).select(F.col("status").alias("source"), geo.geometry("LineString", F.col("line")).alias("geometry"), F.to_json(F.struct("id", "name")).alias("properties"))
+    path = _folder(spark, "files")
+    writers.geojson_files(t, path)
+    asked = {"all": {}, "skipped": {"skip": ["P"]}, "alone": {"include": ["O"]}}
+    counts = [readers.geojson_folder(spark, path, **how).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.get_json_object("properties", "$.id").cast("long")).alias("ids")).withColumns({"read": F.lit(k), "files": F.lit(len(readers.layer_files(spark, path, **how)))}) for k, how in asked.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def paged_features(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of a feature service, a page a nation: fields renamed, empty ones and features without a place left out."""
     c, k = v.table(spark, sf, "customer"), F.col("c_custkey")
@@ -314,8 +325,8 @@ def longest_trails(spark: SparkSession, sf: str) -> DataFrame:
 def primary_first(spark: SparkSession, sf: str) -> DataFrame:
     """Places of rows in an order of several keys."""
     c = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("pos"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("source"), (F.col("n_nationkey") % 3 == 0).alias("through"))
-    ordered = serve.ordered_layers(c, "r2").coalesce(1)
-    return ordered.select((F.monotonically_increasing_id() + 1).alias("place"), F.col("pos").cast("long").alias("pos"))
+    placed = merge.numbered(serve.layer_order(c, "r2"), "place", *serve.LAYER_ORDER)
+    return placed.select(F.col("place").cast("long").alias("place"), F.col("pos").cast("long").alias("pos"))
 
 
 def upper_medians(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,7 +420,7 @@ def config_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    element_features, element_points, rejected_payloads, geojson_written, paged_features, keyed_documents, script_round_trip, statement_batches, tree_areas, tree_climbs, backfilled_ids, imagery_status, dem_tiles, drawn_features, photos_set, pending_images,
+    element_features, element_points, rejected_payloads, geojson_written, geojson_folders, paged_features, keyed_documents, script_round_trip, statement_batches, tree_areas, tree_climbs, backfilled_ids, imagery_status, dem_tiles, drawn_features, photos_set, pending_images,
     fields_set, derived_layer, legacy_trails, place_documents, doc_compact, array_without_index, array_patched, like_patterns, loop_elevation, doc_pretty, audit_feed, longest_trails, primary_first, upper_medians, iso_dates, reservation_urls, availability_service, tile_windows, fit_residuals,
     centroids, parking_lots, doubled_treads, farthest_nodes, merged_steps, config_json,
 )}
@@ -424,6 +435,8 @@ ORACLES = {
     "element_points": f"SELECT {_K3} || '/' || id AS fid, round({_X}, 6) AS x, round({_Y}, 6) AS y FROM (SELECT p_partkey AS id FROM part)",
     "rejected_payloads": "SELECT 'read' AS state, count(*) AS n, sum(s_suppkey)::BIGINT AS ids FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'rejected', count(*), NULL FROM supplier WHERE s_suppkey % 3 = 0",
     "geojson_written": f"SELECT o_orderstatus AS source, id, o_orderpriority AS name, count(*)::INTEGER AS n, round(last(y ORDER BY pos), 6) AS y FROM {v.VERTICES} JOIN orders ON o_orderkey = id GROUP BY ALL",
+    "geojson_folders": f"""WITH t AS (SELECT DISTINCT o_orderstatus AS source, id FROM {v.VERTICES} JOIN orders ON o_orderkey = id), c AS (SELECT source, count(*) AS n, sum(id)::BIGINT AS ids FROM t GROUP BY source)
+      SELECT c.*, read, (SELECT count(*) FROM c AS o WHERE read = 'all' OR read = 'skipped' AND o.source <> 'P' OR read = 'alone' AND o.source = 'O')::INTEGER AS files FROM c, (VALUES ('all'), ('skipped'), ('alone')) AS r(read) WHERE read = 'all' OR read = 'skipped' AND source <> 'P' OR read = 'alone' AND source = 'O'""",
     "paged_features": "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 <> 0 THEN c_mktsegment END AS trail_type, false AS old FROM customer WHERE c_custkey % 5 > 0",
     "keyed_documents": """SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN -1 ELSE s_suppkey % 50 END::BIGINT AS min_price, s_name AS website, false AS other FROM customer LEFT JOIN supplier ON s_suppkey * 3 = c_custkey
       UNION ALL SELECT s_suppkey * 3, NULL, 'missing', NULL FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT c_custkey FROM customer)""",

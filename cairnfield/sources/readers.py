@@ -6,6 +6,8 @@ fetching belongs in front of these: a payload saved once can be read again by an
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -128,6 +130,23 @@ def geojson(spark: SparkSession, paths: str | list[str], skip: list[str] | None
     return read.select("source", geojson_geometry(F.col("f.geometry")).alias("geometry"), F.coalesce("f.properties", F.lit("{}")).alias("properties"))
 
 
+def layer_files(spark: SparkSession, folder: str, include: list[str] | None = None, skip: list[str] | None = None) -> dict[str, str]:
+    """layer -> path of the GeoJSON files of a folder (a layer is a file's stem), those asked for. Names only are listed, by Hadoop's file system, so that
+    folders in any store can be read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(folder, "*.{geojson,json}")) or []
+    named = {re.sub(r"\.(geo)?json$", "", f.getPath().getName()): f.getPath().toString() for f in found if f.isFile()}
+    return {k: p for k, p in sorted(named.items()) if (not include or k in include) and k not in (skip or ())}
+
+
+def geojson_folder(spark: SparkSession, folder: str, include: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """source (the layer), geometry, properties of the layers of a folder of GeoJSON files; files that are not asked for are not opened."""
+    paths = list(layer_files(spark, folder, include, skip).values())
+    if paths:
+        return geojson(spark, paths)
+    return spark.createDataFrame([], f"source string, geometry {geo.GEOMETRY}, properties string")
+
+
 def pages(spark: SparkSession, paths: str | list[str], rename: dict[str, str]) -> DataFrame:
     """geometry, properties of a paged feature service's saved pages: fields renamed, null and empty ones and features without a geometry dropped."""
     read = _json(spark, paths, PAGE).filter("_bad is null").select(F.explode("features").alias("f")).filter("f.geometry is not null and f.geometry <> 'null'")

@@ -19,6 +19,24 @@ def geojson_lines(features: DataFrame, path: str) -> None:
     feature_lines(features).write.mode("overwrite").partitionBy("source").text(path)
 
 
+def geojson_files(features: DataFrame, folder: str) -> list[str]:
+    """One FeatureCollection file a layer, <layer>.geojson, over those of the same names; the layers written. Each is made in a task, put beside the folder, and renamed into
+    it when all are there, so that readers meet whole files only."""
+    spark = features.sparkSession
+    hadoop, made = spark._jvm.org.apache.hadoop.fs, f"{folder.rstrip('/')}.making"
+    collection(features).repartition("source").write.mode("overwrite").partitionBy("source").text(made)
+    fs = hadoop.Path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+    layers = []
+    for part in fs.globStatus(hadoop.Path(made, "source=*/part-*")):
+        layers.append(part.getPath().getParent().getName().removeprefix("source="))
+        to = hadoop.Path(folder, f"{layers[-1]}.geojson")
+        fs.delete(to, False)
+        fs.rename(part.getPath(), to)
+    fs.delete(hadoop.Path(made), True)
+    return sorted(layers)
+
+
 def collection(features: DataFrame) -> DataFrame:
     """source, collection: a layer as one FeatureCollection text, for layers small enough to serve as one document."""
     return feature_lines(features).groupBy("source").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("collection"))
