@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.operators import merge
 from cairnfield.plans import views as v
-from cairnfield.sources import writers
+from cairnfield.session import shared_dir
+from cairnfield.sources import layers, writers
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +42,16 @@ def upsert_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf).select("source", "key", "name", "balance")
 
 
+def upsert_committed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same upsert on a store of layers, which holds it as a whole: only the layer that it names is read and written."""
+    path, schema = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}", "id long, source string, key string, name string, balance double"
+    features, rows = _features(spark, sf), merge.last_of(_incoming(spark, sf).filter("key <> ''"), ["source", "key"], [F.col("id")]).unionByName(_incoming(spark, sf).filter("key = ''"))
+    names = [r[0] for r in features.select("source").distinct().collect()]  # the layers
+    layers.change(spark, path, schema, names, lambda was: merge.append(was, features))
+    layers.change(spark, path, schema, ["BUILDING"], lambda was: merge.upsert(was, rows, ["source", "key"]))
+    return layers.read(spark, path, schema).select("source", "key", "name", "balance")
+
+
 def upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
 
@@ -86,7 +99,7 @@ def layer_changes(spark: SparkSession, sf: str) -> DataFrame:
     return writers.changes(before, after, "id").groupBy("change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (append_import, upsert_by_key, upsert_actions, insert_if_absent, replace_layer, delete_predicate, delete_using, update_from_values, fork_layer, audit_schema_diff, layer_changes)}
+QUERIES = {f.__name__: f for f in (append_import, upsert_committed, upsert_by_key, upsert_actions, insert_if_absent, replace_layer, delete_predicate, delete_using, update_from_values, fork_layer, audit_schema_diff, layer_changes)}
 
 _F = "(SELECT c_custkey AS id, c_mktsegment AS source, 'k' || c_custkey % 1200 AS key, c_name AS name, round(c_acctbal, 2) AS balance FROM customer)"
 _I = "(SELECT s_suppkey + 1000000 AS id, 'BUILDING' AS source, CASE WHEN s_suppkey % 10 > 0 THEN 'k' || s_suppkey * 17 % 2400 ELSE '' END AS key, s_name AS name, round(s_acctbal, 2) AS balance FROM supplier)"
@@ -106,3 +119,4 @@ ORACLES = {
     "audit_schema_diff": "SELECT p_partkey AS slug, p_brand AS before, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_brand || '+' END AS after FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 5 = 0",
     "layer_changes": f"SELECT change, count(*) AS n FROM (SELECT CASE WHEN id % 50 = 0 THEN 'delete' WHEN id % 7 = 0 AND name <> upper(source) THEN 'update' END AS change FROM {_F} UNION ALL SELECT 'insert' FROM {_I}) WHERE change IS NOT NULL GROUP BY change",
 }
+ORACLES["upsert_committed"] = ORACLES["upsert_by_key"]
