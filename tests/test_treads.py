@@ -39,9 +39,9 @@ def test_treads_of_many_lines(spark):
         x, y, a = rng.uniform(0, 300), rng.uniform(0, 40), rng.uniform(-0.2, 0.2)
         rows.append(("g", rng.randrange(100), k, [(x, y), (x + 60, y + 60 * a), (x + rng.uniform(70, 200), y + 100 * a)]))
     rows += [("h", k, 1000 + k, [(0.0, 3.0 * k), (50.0 + k, 3.0 * k)]) for k in range(14)] + [(None, 1, 2000, [(0.0, 0.0), (9.0, 0.0)]), (None, 2, 2001, [(0.0, 1.0), (9.0, 1.0)]), ("g", 1, 3000, [(5.0, 5.0), (5.0, 5.0)])]
-    got = loops.drop_doubled(spark.createDataFrame(rows, f"g string, pos int, eid long, line {geo.LINE}"), "g")
-    want = greedy(rows)
-    assert sorted(((r["g"], r["eid"]) for r in got.collect()), key=str) == want and 15 < len(want) < 60
+    df, want = spark.createDataFrame(rows, f"g string, pos int, eid long, line {geo.LINE}"), greedy(rows)
+    for few in (0, 60, 10**6):  # all groups over the grid, some, none
+        assert sorted(((r["g"], r["eid"]) for r in loops.drop_doubled(df, "g", few).collect()), key=str) == want and 15 < len(want) < 60
 
 
 def test_long_ways(spark):
