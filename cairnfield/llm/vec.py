@@ -55,7 +55,7 @@ def ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     left, place = size[at], start[at]
     while len(at):
         part = eight[place] & _MASK[np.minimum(left, 8)]
-        out[at] = mix((out[at] ^ part) * _RIGHT + _SEED) if left.max() > 8 else mix(out[at] ^ part)
+        out[at] = mix((out[at] ^ part) * _RIGHT + _SEED)
         more = left > 8
         at, left, place = at[more], left[more] - 8, place[more] + 8
     raw = memoryview(padded)
