@@ -2,11 +2,12 @@
 
 Three base patterns are matched leftmost and non-overlapping over whole texts. Beyond them, the texts that
 name anything sensitive are lexed as source or configuration into name-literal pairs: `name = literal`, `name: literal`,
-`"name" => literal`, `<name>literal</name>`, `key="name" value="literal"`; literals are quoted (also by three quotes, or in parts joined by +),
-or bare values of .env, INI, YAML and XML text. `name = other` propagates the constant last bound to `other`, or the one first bound to it
-later on. A literal is scored by what its target names say: whole parts of them, or their endings; names that only say `value` and the
-like by the name they are nested under, in braces or by indentation. A literal that reaches MIN_SCORE is
-added as a span of kind `bound` (from its first part to its last), unless a base span covers it.
+`"name" => literal`, `x["name"] = literal`, `<name>literal</name>`, `key="name" value="literal"`; literals are quoted (also by three quotes, or in parts joined by +),
+bare values of .env, INI, YAML and XML text, or block scalars of YAML under a sensitive name. `name = other` propagates the constant last bound to `other`, or the one
+first bound to it later on; so do sums, lists and arguments of calls, to all constants and literals in them. A literal is scored by the best name that it reaches: by whole
+parts of it, or their endings; names that only say `value` and the like by the name they are nested under, in braces or by indentation, and so are those nested under a
+sensitive name that do not say something public. Literals in lists, calls and nested so must look random (a digit, no identifier, address or path). A literal that reaches
+MIN_SCORE is added as a span of kind `bound` (from its first part to its last), unless a base span covers it; parts of a sum may be short, if the sum is not.
 
 Row-local: no shuffle. Spans are half-open ranges of code points. Null and empty texts have no spans;
 null ids pass through; repeated rows get equal results; very long texts are lexed whole, in linear time; spans that start together are ordered
@@ -40,17 +41,24 @@ ABLE = {"pass", "token", "credential", "credentials", "bearer"}
 ABOUT = {"count", "dir", "endpoint", "expires", "expiry", "file", "id", "index", "len", "length", "limit", "max", "min", "name", "path", "rate", "size", "ttl", "type", "uri", "url"}
 #: Endings of a part of a name that count as the part they are.
 ENDINGS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "credential", "credentials")
+#: Parts of names that are public though they are nested under a sensitive one.
+PUBLIC = ABOUT | {"account", "alg", "algorithm", "arn", "bucket", "comment", "date", "description", "domain", "email", "env", "environment", "format", "host", "issuer", "kind", "label", "login", "mode", "owner", "port", "provider", "region", "role", "scope", "server", "source", "status", "time", "title", "updated", "created", "user", "username", "version"}
 #: Names that say nothing themselves: the one that they are nested under does.
 NEUTRAL = {"value", "val", "data", "default", "content", "string", "text", "plain"}
 HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential|auth|bearer")
 #: A name and the separator after it; names and literals are of any length, and every pattern reads its characters a bounded number of times.
-_NAME = r"""["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
+_NAME = r"""["']?([A-Za-z_$][\w.$-]*+)["']?(?:[ \t]*+\])?[ \t]*+(?::=|=>|[=:])[ \t]*+"""
 NAME = re.compile(r"(?a)(?<![\w.$-])" + _NAME)
 QUOTED = {q: re.compile(rf"{q}((?:\\.|[^\\\n{q}])*+){q}") for q in "\"'`"}
 JOINED = re.compile(r"\s*+\+\s*+(?=[\"'`])")
 ELEMENT = re.compile(r"(?a)<([A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]*+)?>([^<>\n]*+)</\1[ \t]*+>")
 ATTRIBUTES = re.compile(r"""(?ai)\b(?:key|name)[ \t]*+=[ \t]*+["']([^"'\n<>]*+)["'][ \t]++value[ \t]*+=[ \t]*+["']([^"'\n<>]*+)["']""")
 OTHER = re.compile(r"(?a)([A-Za-z_$][\w.$]*+)(?!\()")
+#: What opens a list or the arguments of a call, what comes before a further operand, and a call on a value.
+OPENING = re.compile(r"(?a)(?:(?:await|new)[ \t]++)?[A-Za-z_$][\w.$]*+\(|[\[(]")
+METHOD = re.compile(r"(?a)\s*+\.[ \t]*+[A-Za-z_$][\w.$]*+\(")
+SUM, SPACE, NUMBER = re.compile(r"\s*+\+(?![+=])\s*+"), re.compile(r"\s*+"), re.compile(r"(?a)-?[0-9][\w.]*+")
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t\r]*+(?:#[^\n]*+)?\n")
 #: A line of .env, INI or YAML text: its value is the whole word, up to a comment. Elsewhere a bare value ends at the next delimiter.
 LINE = re.compile(rf"(?am)^[ \t]*+(?:(?:export|set|-)[ \t]++)?{_NAME}([^\s\"'`]\S*+)[ \t\r]*+(?:[#;][^\n]*+)?$")
 BARE = re.compile(r"[^\s\"'`,;&=:(){}\[\]<>|]++={0,2}")
@@ -74,11 +82,11 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, in
     return sorted(found)
 
 
-def name_score(names: set[str]) -> float:
-    return max((_score({p.lower() for p in PARTS.findall(n)}) for n in names), default=0)
-
-
-def _score(parts: set[str]) -> float:
+def name_score(name: str, many: bool = False) -> float:
+    """What a target name says; `many`: of several values, so that parts may be plurals."""
+    parts = {p.lower() for p in PARTS.findall(name)}
+    if many:
+        parts = {p[:-1] if p.endswith("s") and (p[:-1] in SENSITIVE or p[:-1].endswith(ENDINGS)) else p for p in parts}
     known = {p: next((e for e in ENDINGS if p.endswith(e)), p) for p in parts}
     return sum(SENSITIVE.get(known[p], 0) - (known[p] in ABLE and not parts.isdisjoint(ABOUT)) for p in parts)
 
@@ -160,61 +168,175 @@ class _Nested:
         return self.braces[-1] if self.braces and self.braces[-1] else self.lines[-1][1] if self.lines else None
 
 
+class _Bindings:
+    """Constants and the names that they reach: a node for each literal and each binding, with what it is made of."""
+
+    def __init__(self):
+        self.score: list[float] = []
+        self.parts: list[list[int]] = []
+        self.length: list[int] = []
+        self.literal: dict[int, tuple[int, int, str]] = {}
+        self.random: set[int] = set()  # literals that must look so
+        self.bound: dict[str, int] = {}
+        self.waiting: dict[str, list[int]] = {}  # name not bound so far -> bindings made of it
+
+    def _node(self, score: float, parts: list[int], length: int) -> int:
+        self.score.append(score)
+        self.parts.append(parts)
+        self.length.append(min(length, MIN_LENGTH))
+        return len(self.score) - 1
+
+    def leaf(self, literal: tuple[int, int, str], random: bool) -> int:
+        node = self._node(0, [], len(literal[2]))
+        self.literal[node] = literal
+        if random:
+            self.random.add(node)
+        return node
+
+    def known(self, name: str) -> bool:
+        return name in self.bound and self.length[self.bound[name]] > 0
+
+    def bind(self, name: str, score: float, operands: list[int | str]) -> None:
+        parts = [self.bound.get(x, x) if isinstance(x, str) else x for x in operands]
+        here = [x for x in parts if not isinstance(x, str)]
+        node = self._node(score, here, sum(self.length[x] for x in here))
+        for x in parts:
+            if isinstance(x, str):
+                self.waiting.setdefault(x, []).append(node)
+        self.bound[name] = node
+        for later in self.waiting.pop(name, ()):
+            if later != node:
+                self.parts[later].append(node)
+                self.length[later] = min(self.length[later] + self.length[node], MIN_LENGTH)
+
+    def reached(self) -> dict[int, tuple[float, int]]:
+        """Of each literal, the best score of a name that it reaches, and the length of the whole there (up to MIN_LENGTH). Best names first, so each node is met once."""
+        best: dict[int, tuple[float, int]] = {}
+        for root in sorted(range(len(self.score)), key=lambda i: (-self.score[i], -self.length[i])):
+            if self.score[root] <= 0:
+                break
+            open_ = [root]
+            while open_:
+                if (node := open_.pop()) not in best:
+                    best[node] = (self.score[root], self.length[root])
+                    open_ += self.parts[node]
+        return {k: best[k] for k in self.literal if k in best}
+
+
+def operands(text: str, at: int, strings: _Strings, bindings: _Bindings, random: bool) -> tuple[list[int | str], int]:
+    """The literals (as nodes) and names that a value is made of, by sums, lists and calls, and where the lexing goes on: before a name that may be a target itself."""
+    found: list[int | str] = []
+    depth = 0
+    while True:
+        if depth:
+            at = SPACE.match(text, at).end()
+        if part := strings.joined(at):
+            literal, at = part
+            found.append(bindings.leaf(literal, random or depth > 0))
+        elif m := OPENING.match(text, at):
+            depth, at = depth + 1, m.end()
+            continue
+        elif m := OTHER.match(text, at):
+            end = SPACE.match(text, m.end()).end()
+            if depth and text[end : end + 1] in ("=", ":"):
+                return found, at
+            found.append(m[1])
+            if not depth and not SUM.match(text, m.end()):
+                return found, at
+            at = m.end()
+        elif m := NUMBER.match(text, at):
+            at = m.end()
+        elif not depth or text[at : at + 1] not in (")", "]"):
+            return found, at
+        while True:  # after an operand
+            if m := METHOD.match(text, at):
+                depth, at = depth + 1, m.end()
+                break
+            if m := SUM.match(text, at):
+                at = m.end()
+                break
+            end = SPACE.match(text, at).end()
+            if not depth or text[end : end + 1] not in (",", ")", "]"):
+                return found, at
+            at = end + 1
+            if text[end] == ",":
+                break
+            depth -= 1
+
+
+def block_scalar(text: str, begin: int, at: int) -> tuple[int, int, str] | None:
+    """The lines after `at` that are indented deeper than the line that begins at `begin`."""
+    indent = len(text[begin:at]) - len(text[begin:at].lstrip(" "))
+    first = last = at
+    lines = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end].strip()
+        if line:
+            lead = len(text[at:end]) - len(text[at:end].lstrip())
+            if lead <= indent:
+                break
+            first = first if lines else at + lead
+            last = at + lead + len(line)
+            lines.append(line)
+        at = end + 1
+    return (first, last, "\n".join(lines)) if lines else None
+
+
+def looks_random(literal: str) -> bool:
+    return bool(re.search("[0-9]", literal)) and not (WORDY.fullmatch(literal) or DOTTED.fullmatch(literal) or ELSEWHERE.match(literal))
+
+
 def bound_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that reach a sensitive name, straight or through other names."""
-    value: dict[str, tuple[int, int, str]] = {}  # name -> literal now bound to it
-    waiting: dict[str, list[str]] = {}  # name not bound so far -> names that it was given to
-    names: dict[tuple[int, int, str], set[str]] = {}
     lines = {m.start(2): (m.end(2), text[m.end(1)] in "=:\"'") for m in LINE.finditer(text)}
-    strings, nested = _Strings(text), _Nested()
-
-    def bind(name: str, literal: tuple[int, int, str], full: str) -> None:
-        value[name] = literal
-        names.setdefault(literal, set()).add(full)
-        reached = [name]
-        while reached:
-            for later in waiting.pop(reached.pop(), ()):
-                names[literal].add(later)
-                if later not in value:
-                    value[later] = literal
-                    reached.append(later)
-
+    strings, nested, bindings = _Strings(text), _Nested(), _Bindings()
     at = done = 0
     while m := NAME.search(text, at):
         name, at = m[1], m.end()
         nested.passed(text[done : m.start()])
         begin = text.rfind("\n", max(done - 1, 0), m.start()) + 1
-        nested.indented(m.start() - begin if (begin or not done) and not text[begin : m.start()].strip(" \t-") else None)
+        starts = (begin or not done) and not text[begin : m.start()].strip(" \t-")
+        nested.indented(m.start() - begin if starts else None)
         done, above = at, nested.name()
-        full = f"{above}.{name}" if above and name.lower() in NEUTRAL else name
-        if found := strings.joined(at):
-            literal, at = found
-            done = at
-        elif text.startswith("{", at):
-            nested.braces.append(name)
+        full, own = name, name_score(name)
+        under = False
+        if above and name.lower() in NEUTRAL:
+            full = f"{above}.{name}"
+            own = name_score(full)
+        elif above and own < MIN_SCORE and name_score(above, True) >= MIN_SCORE and PUBLIC.isdisjoint(p.lower() for p in PARTS.findall(name)):
+            under, own = True, name_score(above, True)
+        if text.startswith("{", at):
+            nested.braces.append(full)
             done = at = at + 1
             continue
-        else:
-            other = OTHER.match(text, at)
-            plain = None if other and other[1] in value else bare(text, at, lines.get(at))
-            literal = value[other[1]] if other and other[1] in value else plain and (*plain, text[plain[0] : plain[1]])
-            if literal is None:
-                if other:
-                    value.pop(name, None)
-                    waiting.setdefault(other[1], []).append(full)
-                elif text[at : at + 1] in ("\n", "\r", ""):
-                    nested.lines.append((m.start() - begin, name))
-                continue
-        bind(name, literal, full)
+        if own >= MIN_SCORE and starts and (head := BLOCK.match(text, at)) and (literal := block_scalar(text, begin, head.end())):
+            bindings.bind(name, own, [bindings.leaf(literal, under)])
+            done = at = literal[1]
+            continue
+        other = OTHER.match(text, at)
+        plain = None if text[at : at + 1] in QUOTED or other and bindings.known(other[1]) else bare(text, at, lines.get(at))
+        if plain:
+            bindings.bind(name, own, [bindings.leaf((*plain, text[plain[0] : plain[1]]), under)])
+            continue
+        opening = OPENING.match(text, at)
+        found, at = operands(text, at, strings, bindings, under)
+        done = at
+        if found:
+            bindings.bind(name, max(own, name_score(full, True)) if opening else own, found)
+        elif text[at : at + 1] in ("\n", "\r", ""):
+            nested.lines.append((m.start() - begin, full))
     for m in [*ELEMENT.finditer(text), *ATTRIBUTES.finditer(text)]:
         if m[0][0] != "<" or (plain := bare(text, m.start(2), (m.end(2), True))) and plain[1] == m.end(2):
-            names.setdefault((m.start(2), m.end(2), m[2]), set()).add(m[1])
+            bindings.bind("", name_score(m[1]), [bindings.leaf((m.start(2), m.end(2), m[2]), False)])
     out = set()
-    for (lo, hi, literal), targets in names.items():
-        if len(literal) < MIN_LENGTH:
+    for node, (score, length) in bindings.reached().items():
+        lo, hi, literal = bindings.literal[node]
+        if not literal or max(0 if node in bindings.random else length, len(literal)) < MIN_LENGTH or node in bindings.random and not looks_random(literal):
             continue
-        score = name_score(targets) - (2 if " " in literal else 0)
-        if score >= MIN_SCORE and entropy(literal) >= MIN_ENTROPY and re.search(r"[0-9A-Z_\W]", literal):
+        enough = MIN_ENTROPY if len(literal) >= MIN_LENGTH else min(MIN_ENTROPY, 0.8 * math.log2(len(literal)))
+        if score - (2 if " " in literal else 0) >= MIN_SCORE and entropy(literal) >= enough and re.search(r"[0-9A-Z_\W]", literal):
             out.add((lo, 3, hi))
     return sorted(out)
 
