@@ -159,7 +159,7 @@ def frequent(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES
     """The graph of phrases of at least so many occurrences, as SPELLED: words (kind 1), pairs (2: word1, word2), edges (3: also their nodes, first and last), and
     every chunk's words by language (0)."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "doc_id", "text").filter(F.octet_length("text") > 0)
-    dealt, chunks = exchange.chunked(texts, ["lang", "text"], chunk_bytes, deal=F.xxhash64("lang", "doc_id", "text", F.spark_partition_id()))
+    dealt, chunks = exchange.chunked(texts, ["lang", "text"], chunk_bytes, same=("lang", "doc_id", "text"))
     n, by_chunk = exchange.partitions(docs.sparkSession, chunks), dealt.groupBy("chunk")
     asked = by_chunk.applyInArrow(lambda t: ask(t, chunks), ASKED).repartition(n, "block")
     settled = asked.groupBy("block").applyInArrow(lambda t: settle(t, least), ASKED)

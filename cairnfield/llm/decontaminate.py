@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cairnfield.llm import rows
 from cairnfield.session import cut
 
-WINDOW, BLOCK, SMALL = 10, 100_000, 500_000
+WINDOW, BLOCK, SMALL, MOST_BYTES = 10, 100_000, 500_000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,6 +57,12 @@ def _sent(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= SMALL else df
 
 
+def _sent_sets(sets: DataFrame) -> DataFrame:
+    """Sets of items, broadcast if all their ids take at most MOST_BYTES."""
+    taken = sets.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(",", "items")).cast("long") + 40 * F.size("items") + 100), F.lit(0))).first()[0]
+    return F.broadcast(sets) if taken <= MOST_BYTES else sets
+
+
 def prefixed(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """win, n, set, token (its rarest word), at (its place in the window) of the windows whose words documents have."""
     tokens = cut(wins.select(F.explode("win").alias("token")).distinct())
@@ -100,16 +106,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row, and text_hash."""
     found, sets = occurrences(docs, benchmark)
-    spans = cut(found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.collect_set("set").alias("sets")))
+    spans = cut(found.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("set")).alias("sets")))
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["total"] + F.greatest(x["end"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("total"), F.greatest(x["end"], a["end"]).alias("end")),
     )
     row = [F.col("doc").alias("hit_doc"), F.col("text_hash").alias("hit_hash")]
-    items = spans.select(*row, F.explode("sets").alias("set")).join(_sent(sets, sets.count()), "set").groupBy("hit_doc", "hit_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    named = items.select(F.col("hit_doc").alias("item_doc"), F.col("hit_hash").alias("item_hash"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
-    by_doc = spans.select(*row, union["total"].cast("long").alias("n_hit")).join(named, F.col("hit_doc").eqNullSafe(F.col("item_doc")) & (F.col("hit_hash") == F.col("item_hash")))
+    # documents of the same sets share their list of items: it is made once, however many they are
+    listed = spans.select(F.col("sets").alias("of_sets")).distinct().select("of_sets", F.explode("of_sets").alias("set")).join(_sent_sets(sets), "set")
+    items = listed.groupBy("of_sets").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    named = items.select("of_sets", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+    by_doc = spans.select(*row, "sets", union["total"].cast("long").alias("n_hit")).join(named, F.col("sets") == F.col("of_sets")).drop("sets", "of_sets")
     counted = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = counted.join(_sent(by_doc, spans.count()), F.col("doc").eqNullSafe(F.col("hit_doc")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     return joined.select(

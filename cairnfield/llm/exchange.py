@@ -3,7 +3,8 @@
 Documents are dealt to chunks of a few MB by hash. A chunk asks about its distinct 64-bit keys: they are
 sorted, cut at the blocks' borders (a block is a range of keys) and sent as packed arrays, a row a block. A block
 meets the keys of all chunks and answers each chunk in the order it asked. So a key that millions of documents
-share is sent once a chunk, and a task's text follows from the size of chunks and AT_ONCE, not from the data. What a block meets of one key is a row a
+share is sent once a chunk, and a task's text follows from the size of chunks and AT_ONCE, not from the data. Rows that are equal in all columns are dealt
+apart by the part of the table that they are read from. What a block meets of one key is a row a
 chunk: at 100 TB chunks of some 100 MB (a parameter of the operators) keep that to a million short rows, and rows to a few dozen keys.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.llm import vec
@@ -23,14 +24,19 @@ from cairnfield.session import ship
 CHUNK_BYTES, AT_ONCE = 4 << 20, 32
 
 
-def chunked(docs: DataFrame, columns: Iterable[str], chunk_bytes: int = CHUNK_BYTES, least: int = 1, deal: Column | None = None) -> tuple[DataFrame, int]:
-    """The columns and `chunk`, dealt out by chunk (a hash of the columns, or `deal`) once for all who read it; and the number of chunks."""
+def chunked(docs: DataFrame, columns: Iterable[str], chunk_bytes: int = CHUNK_BYTES, least: int = 1, classes: int = 1, same: Iterable[str] = ()) -> tuple[DataFrame, int]:
+    """The columns and `chunk`, dealt out by chunk once for all who read it; and the number of chunks. A chunk is a hash of the columns (or of some of them, `same`) and
+    of the part that a row is read from, so equal rows are no crowd. Their number is a multiple of `classes` (a power of two): which of those a chunk is of is said by the columns alone."""
     spark = docs.sparkSession
     ship(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    chunks = max(least, math.ceil(total / chunk_bytes))
+    chunks = max(least, classes, math.ceil(total / chunk_bytes) // classes * classes)
     columns = list(columns)
-    chunk = F.pmod(F.xxhash64(*columns) if deal is None else deal, F.lit(chunks)).cast("long")
+    of = list(same) or columns
+    apart = F.xxhash64(*of, F.spark_partition_id())
+    if classes > 1:
+        apart = F.shiftleft(apart, classes.bit_length() - 1) + F.pmod(F.xxhash64(*of), F.lit(classes))
+    chunk = F.pmod(apart, F.lit(chunks)).cast("long")
     return docs.select(*columns, chunk.alias("chunk")).repartition(partitions(spark, chunks), "chunk"), chunks
 
 

@@ -6,7 +6,8 @@ source. The multipliers solve the convex dual; distributed Newton iterations, sa
 over a histogram of sizes by source. Rates are rounded to copies on the same histogram, by carrying the error of a whole source
 from size to size, largest first: it never exceeds half the largest document, and ends within a fraction of the small documents
 where they have room. A size's extra copies are spread evenly over its documents in the order of hashed groups of about GROUP
-documents, so hot sizes are split and no task holds a source's documents.
+documents (by id, size and text), so hot sizes are split and no task holds a source's documents. Sizes whose documents all get the same copies, empty ones among them, need
+no order and are dealt anyhow.
 
 Newton steps halve their bracket where they would leave it; sources still open after STEPS of them raise an error.
 All sums that steer the iterations are exact integers, and ties are ordered by hash and id, so reruns agree.
@@ -35,10 +36,10 @@ STEPS, NEAR, UNIT, SMALL = 60, 1e-6, 10**9, 100_000
 
 
 def sized(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
-    """doc_id, source, carried columns (under a prefix) and mix_size of every row."""
+    """doc_id, source, text_hash, carried columns (under a prefix) and mix_size of every row."""
     carry = [c for c in carry if c not in ("doc_id", "source")]
     others = [F.col(c).alias(f"in_{c}") for c in carry if c != "text"]
-    plain = docs.select("doc_id", "source", F.col("text").alias("in_text"), *others)
+    plain = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.col("text").alias("in_text"), *others)
     dropped = [] if "text" in carry else ["in_text"]
     kept = [c for c in plain.columns if c not in dropped]
     schema = plain.drop(*dropped).schema.add("mix_size", "long")
@@ -120,7 +121,7 @@ def _allot(table: pa.Table) -> pa.Table:
 def mix(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     """doc_id, source, carried columns, size, source_size, target, rate, copies, taken of every row."""
     carry = [c for c in carry if c not in ("doc_id", "source")]
-    base = sized(docs, carry).withColumn("_tie", F.xxhash64("doc_id", "mix_size"))
+    base = sized(docs, carry).withColumn("_tie", F.xxhash64("doc_id", "mix_size", "text_hash")).drop("text_hash")
     light = cut(base.select("source", "mix_size", "_tie"))
     sizes = cut(light.groupBy("source", "mix_size").agg(F.count("*").alias("n")))
     solved = solve(sizes, targets(sizes))
@@ -130,15 +131,18 @@ def mix(docs: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     of = lambda df, *names: df.select(F.col("source").alias("of"), F.col("mix_size").alias("of_size"), *names)
     same = F.col("of").eqNullSafe(F.col("source")) & (F.col("of_size") == F.col("mix_size"))
     group = F.pmod(F.xxhash64("_tie"), F.ceil(F.col("n") / GROUP)).cast("long").alias("_group")
-    # documents of a size that come in the groups before
-    counted = light.join(sent(of(allot.filter(F.col("n") > GROUP), "n")), same).select("source", "mix_size", group).groupBy("source", "mix_size", "_group").agg(F.count("*").alias("here"))
+    # documents of a size that come in the groups before; where all of a size get the same, there is no order to keep
+    in_order = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    counted = light.join(sent(of(allot.filter(in_order & (F.col("n") > GROUP)), "n")), same).select("source", "mix_size", group).groupBy("source", "mix_size", "_group").agg(F.count("*").alias("here"))
     before = Window.partitionBy("source", "mix_size").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(counted.withColumn("start", F.coalesce(F.sum("here").over(before), F.lit(0))))
     joined = base.join(sent(of(allot, "n", "source_size", "target", "rate", "low", "extra")), same).select(*base.columns, "n", "source_size", "target", "rate", "low", "extra", group)
     placed = joined.join(sent(of(starts, F.col("_group").alias("of_group"), "start")), same & (F.col("of_group") == F.col("_group")), "left")
     number = F.row_number().over(Window.partitionBy("source", "mix_size", "_group").orderBy("_tie", "doc_id"))
-    numbered = placed.withColumn("_at", number + F.coalesce("start", F.lit(0)))
-    out = numbered.withColumn("copies", F.expr("low + (_at * extra) div n - ((_at - 1) * extra) div n").cast("long")).withColumn("taken", F.col("copies") * F.col("mix_size"))
+    # documents that need no number have groups by the part that they are read from
+    dealt = placed.withColumn("_group", F.when(in_order, F.col("_group")).otherwise(-1 - F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n") / GROUP))))
+    numbered = dealt.withColumn("_at", F.when(in_order, number + F.coalesce("start", F.lit(0))).otherwise(1))
+    out = numbered.withColumn("copies", F.expr("if(extra >= n, low + if(extra > 0, 1, 0), low + (_at * extra) div n - ((_at - 1) * extra) div n)").cast("long")).withColumn("taken", F.col("copies") * F.col("mix_size"))
     return out.select("doc_id", "source", *[F.col(f"in_{c}").alias(c) for c in carry], F.col("mix_size").alias("size"), "source_size", "target", "rate", "copies", "taken")
 
 

@@ -261,7 +261,7 @@ def scan(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     spark = docs.sparkSession
     out = rows.held_out("doc_id", *HELD_OUT)
     marked = docs.select("doc_id", "text", out.alias("held_out"), (~out).alias("train"))
-    dealt, chunks = exchange.chunked(marked, marked.columns, chunk_bytes, least=2 * EVERY)
+    dealt, chunks = exchange.chunked(marked, marked.columns, chunk_bytes, least=2 * EVERY, classes=EVERY)
     n, by_chunk = exchange.partitions(spark, chunks), dealt.groupBy("chunk")
     asked = by_chunk.applyInArrow(lambda t: ask(t, chunks), ASKED).repartition(n, "block")
     one = asked.groupBy("block").applyInArrow(answer, ANSWERED).repartition(n, "chunk")
