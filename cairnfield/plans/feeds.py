@@ -17,7 +17,7 @@ from cairnfield.operators import elevation, enrich, graph, hierarchy, loops, mer
 from cairnfield.plans import serving
 from cairnfield.plans import views as v
 from cairnfield.session import cut, shared_dir
-from cairnfield.sources import readers, writers
+from cairnfield.sources import rasters, readers, writers
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -192,6 +192,22 @@ def dem_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return readers.dem_tiles(boxes, every.filter("tile < '5'"), every.filter("tile > 'b'")).groupBy("state").agg(F.count("*").alias("n"))
 
 
+def raster_heights(spark: SparkSession, sf: str) -> DataFrame:
+    """Heights under the items of orders, from files of 16 x 16 cells: a window in five was never fetched, another in five has no coverage."""
+    size, side = 16, 64
+    place = lambda k: ((k % side).cast("long").alias("cx"), F.floor(k / side).cast("long").alias("cy"))
+    rolled = F.pmod(F.col("x0") / size * 3 + F.col("y0") / size, F.lit(5))
+    heights = v.table(spark, sf, "part").select(*place(F.col("p_partkey")), F.col("p_retailprice").cast("double").alias("z"))
+    windows = rasters.windows_of(heights, size).filter(rolled != 0)
+    kept = heights.withColumns({"x0": rasters.window_of(F.col("cx"), size), "y0": rasters.window_of(F.col("cy"), size)}).filter(rolled > 1)
+    folder = _folder(spark, "rasters")
+    rasters.write(windows, kept, folder, size, 30.0)
+    at = v.table(spark, sf, "lineitem").select(*place(F.col("l_partkey"))).withColumns({"x0": rasters.window_of(F.col("cx"), size), "y0": rasters.window_of(F.col("cy"), size)})
+    asked = cut(at.groupBy("x0", "y0", "cx", "cy").agg(F.count("*").alias("n")))
+    found = asked.join(rasters.cells(spark, folder, asked), ["cx", "cy"], "left").groupBy("x0", "y0").agg(F.sum("n").alias("points"), F.coalesce(F.sum(F.when(F.col("z").isNotNull(), F.col("n"))), F.lit(0)).alias("valid"), F.round(F.max("z"), 2).alias("top"))
+    return rasters.states(spark, folder, asked).join(found, ["x0", "y0"])
+
+
 def _drawn_table(spark: SparkSession, sf: str) -> DataFrame:
     c, k = v.table(spark, sf, "customer"), F.col("c_custkey")
     return c.select(
@@ -420,7 +436,7 @@ def config_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    element_features, element_points, rejected_payloads, geojson_written, geojson_folders, paged_features, keyed_documents, script_round_trip, statement_batches, tree_areas, tree_climbs, backfilled_ids, imagery_status, dem_tiles, drawn_features, photos_set, pending_images,
+    element_features, element_points, rejected_payloads, geojson_written, geojson_folders, paged_features, keyed_documents, script_round_trip, statement_batches, tree_areas, tree_climbs, backfilled_ids, imagery_status, dem_tiles, raster_heights, drawn_features, photos_set, pending_images,
     fields_set, derived_layer, legacy_trails, place_documents, doc_compact, array_without_index, array_patched, like_patterns, loop_elevation, doc_pretty, audit_feed, longest_trails, primary_first, upper_medians, iso_dates, reservation_urls, availability_service, tile_windows, fit_residuals,
     centroids, parking_lots, doubled_treads, farthest_nodes, merged_steps, config_json,
 )}
@@ -477,6 +493,8 @@ ORACLES = {
     "fit_residuals": "SELECT round(avg(d), 4) AS mean_m, round(max(d), 4) AS max_m FROM (SELECT ((s_suppkey * 7 % 1000) % 3) * 1e-6::DOUBLE * 111320.0::DOUBLE * cos(radians(43.4::DOUBLE)) AS d FROM supplier)",
     "centroids": f"SELECT id, round(CASE WHEN sum(l) > 0 THEN sum((px + x) / 2 * l ORDER BY pos) / sum(l ORDER BY pos) ELSE any_value(x) END, 6) AS x, round(CASE WHEN sum(l) > 0 THEN sum((py + y) / 2 * l ORDER BY pos) / sum(l ORDER BY pos) ELSE any_value(y) END, 6) AS y FROM (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS l FROM (SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))) WHERE px IS NOT NULL GROUP BY id",
     "parking_lots": f"SELECT id AS lot, name, CASE id % 4 WHEN 0 THEN 'point' WHEN 1 THEN 'polygon' ELSE 'line' END AS kind, round(x, 6) AS x, round(y, 6) AS y FROM {v.CAMPGROUNDS} WHERE id % 4 < 3 AND {v.sql_haversine('x', 'y', f'{serving.CENTRE[0]}::DOUBLE', f'{serving.CENTRE[1]}::DOUBLE', geo.EARTH_MILES)} <= 5",
+    "raster_heights": """SELECT x0, y0, CASE WHEN roll = 0 THEN 'fetch' WHEN roll = 1 THEN 'none' ELSE 'cached' END AS state, count(*) AS points, CAST(count(CASE WHEN roll > 1 THEN z END) AS BIGINT) AS valid, round(max(CASE WHEN roll > 1 THEN z END), 2) AS top
+      FROM (SELECT cx // 16 * 16 AS x0, cy // 16 * 16 AS y0, (cx // 16 * 3 + cy // 16) % 5 AS roll, z FROM (SELECT CAST(l_partkey % 64 AS BIGINT) AS cx, CAST(l_partkey // 64 AS BIGINT) AS cy, CAST(p_retailprice AS DOUBLE) AS z FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)) GROUP BY ALL""",
     "dem_tiles": f"SELECT CASE WHEN tile < '5' THEN 'cached' WHEN tile > 'b' THEN 'none' ELSE 'fetch' END AS state, count(*) AS n FROM (SELECT DISTINCT md5(printf('%.6f,%.6f,%.6f,%.6f,4000,4000', floor(x * 20) / 20, floor(y * 20) / 20, floor(x * 20) / 20 + 0.05::DOUBLE, floor(y * 20) / 20 + 0.05::DOUBLE)) AS tile FROM {v.VERTICES} WHERE pos = 1) GROUP BY 1",
     "longest_trails": f"SELECT id, round(m, 1) AS metres FROM (SELECT id, coalesce(sum(d ORDER BY pos) FILTER (px IS NOT NULL), 0) AS m FROM (SELECT id, pos, px, {v.sql_haversine('px', 'py', 'x', 'y')} AS d FROM (SELECT id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v.VERTICES} WINDOW w AS (PARTITION BY id ORDER BY pos))) GROUP BY id) ORDER BY m DESC, id LIMIT 25",
     "doubled_treads": f"SELECT eid FROM {v.STREETS}",
