@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -52,9 +53,9 @@ def tiles(width: int, height: int, tile: tuple[int, int], step: tuple[int, int])
     return [(x, y, min(x + tile[0], width), min(y + tile[1], height)) for y in starts(height, tile[1], step[1]) for x in starts(width, tile[0], step[0])]
 
 
-def _near_cells(points: DataFrame, reach: float, columns: Sequence[str]) -> DataFrame:
-    """Points (cx, cy) once for their own cell and each of the eight around it."""
-    steps = F.sequence(F.lit(-1), F.lit(1))
+def _near_cells(points: DataFrame, reach: float, columns: Sequence[str | Column], rings: int = 1) -> DataFrame:
+    """Points (cx, cy) once for their own cell and each of the cells around it, so many rings of them."""
+    steps = F.sequence(F.lit(-rings), F.lit(rings))
     spread = points.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
     return spread.select(*columns, (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
 
@@ -103,14 +104,35 @@ def plausible(sites: DataFrame) -> DataFrame:
 
 
 def without_fragments(sites: DataFrame, merge: float = MERGE_PX) -> DataFrame:
-    """Without labels whose digits begin those of a longer label close by, on the same map where there is one; near labels meet over grid cells."""
+    """Without labels whose digits begin those of a longer label close by, on the same map where there is one.
+
+    Every label is listed under each beginning of its digits, in cells of a power of two at most as wide as the reach. Whatever cell a shorter label asks, its square holds all of
+    that cell or begins at the side or corner towards it, so of each beginning and cell only the points that no other one beats towards some corner can be needed: `_outermost`
+    leaves those few, however crowded the cell is."""
     reach = max(merge * 1.6, 22.0)
+    wide = 2.0 ** math.floor(math.log2(reach))
     digits = F.regexp_replace("label", "[eE]$", "")
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    cell = lambda c: F.floor(F.col(c) / wide).cast("long")
     own = sites.withColumns({"d": digits, "cx": cell("px"), "cy": cell("py"), "om": F.col("map") if "map" in sites.columns else F.lit(0)})
-    spread = _near_cells(own.select("om", F.col("d").alias("od"), F.col("px").alias("ox"), F.col("py").alias("oy"), "cx", "cy"), reach, ["om", "od", "ox", "oy"])
-    shadow = (F.length("od") > F.length("d")) & F.expr("startswith(od, d)") & (F.abs(F.col("px") - F.col("ox")) <= reach) & (F.abs(F.col("py") - F.col("oy")) <= reach)
-    return own.alias("a").join(spread.alias("b"), (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & F.col("a.om").eqNullSafe(F.col("b.om")) & shadow, "left_anti").select(*sites.columns)
+    begins = F.transform(F.sequence(F.lit(0), F.length("d") - 1), lambda k: F.substring(F.col("d"), F.lit(1), k))
+    longer = own.filter((F.length("d") > 0) & ~F.isnan("px") & ~F.isnan("py")).select("om", F.explode(begins).alias("d"), "px", "py", "cx", "cy")
+    spread = _near_cells(_outermost(longer, ["om", "d", "cx", "cy"]), reach, ["om", "d", F.col("px").alias("ox"), F.col("py").alias("oy")], math.ceil(reach / wide))
+    close = (F.abs(F.col("px") - F.col("ox")) <= reach) & (F.abs(F.col("py") - F.col("oy")) <= reach)
+    # never broadcast: by the size of its file a table of keys looks much smaller than its rows are
+    met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("d", "cx", "cy")]
+    return own.alias("a").join(spread.hint("merge").alias("b"), reduce(Column.__and__, met) & F.col("a.om").eqNullSafe(F.col("b.om")) & close, "left_anti").select(*sites.columns)
+
+
+def _outermost(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the points (keys, px, py) of each key those that no other one beats towards some corner: none is both as far that way in px and farther in py."""
+    rows = points.groupBy(*keys, "px").agg(F.min("py").alias("low"), F.max("py").alias("high"))
+    earlier = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sides = [earlier(F.asc("px")), earlier(F.desc("px"))]
+    marked = rows.withColumns({f"{f.__name__}{k}": f(c).over(w) for k, w in enumerate(sides) for f, c in ((F.min, "low"), (F.max, "high"))})
+    beyond = lambda test: test("min0", "max0") | test("min1", "max1")
+    low = F.when(beyond(lambda least, _: F.col(least).isNull() | (F.col("low") < F.col(least))), F.col("low"))
+    high = F.when(beyond(lambda _, most: F.col(most).isNull() | (F.col("high") > F.col(most))), F.col("high"))
+    return marked.select(*keys, "px", F.explode(F.array_distinct(F.array_compact(F.array(low, high)))).alias("py"))
 
 
 def merge_inventory(inventory: DataFrame, found: DataFrame) -> DataFrame:

@@ -48,3 +48,30 @@ def test_crowd(spark):
 def test_nothing(spark):
     assert found(spark, [("A", "1", None, 3.0, 50.0)]) == []
     assert sites.cluster(spark.createDataFrame([("A", "x", 1.0, 1.0, 90.0)], COLUMNS)).count() == 0
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [name for name in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "SortMergeJoin") if name in plan]
+
+
+@pytest.mark.parametrize(("merge", "wide"), [(20.0, 400), (20.0, 60), (13.0, 300), (27.3, 300)])
+def test_fragments(spark, merge, wide):
+    """Crowded and sparse maps, reaches that are no power of two, null and empty digits; nothing is broadcast."""
+    rng, reach = random.Random(wide), max(merge * 1.6, 22.0)
+    rows = [(rng.choice(["A", "B", None]), rng.choice(["1", "12", "12e", "123", "2", "23", "e", "", None]), float(rng.randrange(-50, wide)), rng.randrange(wide * 4) / 4, 50.0) for _ in range(700)]
+    rows += [("A", "1", None, 5.0, 1.0), ("A", "12", None, 5.0, 1.0), ("B", "1", float("nan"), 5.0, 1.0), ("B", "12", float("nan"), 5.0, 1.0)]
+    bare = lambda label: None if label is None else label.removesuffix("e")
+    near = lambda a, b: None not in (a[2], b[2]) and abs(a[2] - b[2]) <= reach and abs(a[3] - b[3]) <= reach
+    hidden = lambda a: any(a[0] == b[0] and None not in (a[1], b[1]) and len(bare(b[1])) > len(bare(a[1])) and bare(b[1]).startswith(bare(a[1])) and near(a, b) for b in rows)
+    out = sites.without_fragments(spark.createDataFrame(rows, COLUMNS), merge)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr(r) for r in rows if not hidden(r))
+    assert joins(out) == ["SortMergeJoin"]
+
+
+def test_fragments_of_a_crowd(spark):
+    """Of a crowded cell only its outermost points are met."""
+    rng = random.Random(4)
+    rows = [("A", "12", 500 + rng.random(), 500 + rng.random()) for _ in range(3000)]
+    left = sites._outermost(spark.createDataFrame(rows, "m string, d string, px double, py double"), ["m", "d"])
+    assert 4 <= left.count() < 100
