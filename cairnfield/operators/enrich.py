@@ -27,10 +27,10 @@ def unmatched(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def first_match(wanted: DataFrame, hits: DataFrame, top: int = 5) -> DataFrame:
-    """id, hit_id of wanted (id, name): the first of the top hits (id, hit_id, pos, hit_name) whose name fits."""
+    """id, hit_id of wanted (id, name): the first of the top hits (id, hit_id, pos, hit_name) whose name fits. Neither side is broadcast: packed files look much smaller than their rows are."""
     w = Window.partitionBy("id").orderBy("pos", "hit_id")
     ranked = hits.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= top)
-    fits = wanted.join(ranked, "id").filter(texts.same_place(F.col("name"), F.col("hit_name")))
+    fits = wanted.hint("merge").join(ranked, "id").filter(texts.same_place(F.col("name"), F.col("hit_name")))
     return fits.groupBy("id").agg(F.min_by("hit_id", "_rank").alias("hit_id"))
 
 

@@ -35,7 +35,7 @@ def fuzzy_name_match(spark: SparkSession, sf: str) -> DataFrame:
     """Each part's hits are the parts whose keys follow; the first of five that shares a distinctive word."""
     p = v.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     steps = p.select("id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("pos")).withColumn("hit_id", F.col("id") + F.col("pos"))
-    hits = steps.join(p.select(F.col("id").alias("hit_id"), F.col("name").alias("hit_name")), "hit_id")
+    hits = steps.hint("merge").join(p.select(F.col("id").alias("hit_id"), F.col("name").alias("hit_name")), "hit_id")
     return enrich.first_match(p, hits, 5)
 
 
