@@ -3,6 +3,7 @@
 import pytest
 from test_clusters import joins
 
+from cairnfield.operators import loops, spatial
 from cairnfield.queries import QUERIES
 
 
@@ -10,3 +11,14 @@ from cairnfield.queries import QUERIES
 def test_nothing_is_broadcast(spark, sf, name):
     """Files of keys look small to the optimizer, whatever their rows come to."""
     assert not [j for j in joins(QUERIES[name](spark, sf)) if j.startswith("Broadcast")]
+
+
+def test_a_vertex_meets_few_lots(spark, monkeypatch):
+    """A town of 900 lots: no vertex is met with all of them, and the nearest is found."""
+    met, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: met.append(within(*a)) or met[-1])
+    lots = spark.createDataFrame([(i, -89.9 + i % 30 * 0.01, 43.3 + i // 30 * 0.01) for i in range(900)], "lot long, x double, y double")
+    routes = spark.createDataFrame([(r, [(-89.9 + r * 0.00307, 43.3 + r * 0.00283)]) for r in range(80)], "route long, line array<struct<x:double,y:double>>")
+    got = {r["route"]: r["lot"] for r in loops.start_lot(routes, lots).collect()}
+    assert got == {r: round(r * 0.283) * 30 + round(r * 0.307) for r in range(80)}
+    assert 0 < sum(m.count() for m in met) < 80 * 20
