@@ -21,22 +21,22 @@ FEATURES = "features array<struct<type:string,geometry:string,properties:string>
 PAGE = FEATURES
 
 
-def _json(spark: SparkSession, paths: str | list[str], schema: str | StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
+def _json(spark: SparkSession, paths: str | list[str], schema: str | StructType, lines: bool = False) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
 
 
 def _line(coords: Column) -> Column:
     return F.transform(coords, lambda c: geo.point(c["lon"], c["lat"]))
 
 
-def elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row an element of saved map responses."""
-    return _json(spark, paths, ELEMENTS).filter("_bad is null").select(F.explode("elements").alias("e")).select("e.*")
+def elements(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """One row an element of saved map responses, each a file or, if asked, a line."""
+    return _json(spark, paths, ELEMENTS, lines).filter("_bad is null").select(F.explode("elements").alias("e")).select("e.*")
 
 
-def rejected(spark: SparkSession, paths: str | list[str], schema: str = ELEMENTS) -> DataFrame:
-    """path, record of files that did not parse."""
-    text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+def rejected(spark: SparkSession, paths: str | list[str], schema: str = ELEMENTS, lines: bool = False) -> DataFrame:
+    """path, record of files (or lines, if asked) that did not parse."""
+    text = spark.read.text(paths, wholetext=not lines).select(F.input_file_name().alias("path"), "value")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return text.filter(parsed["_bad"].isNotNull()).select("path", F.col("value").alias("record"))
 

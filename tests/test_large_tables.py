@@ -46,3 +46,12 @@ def test_no_document_grows_with_the_table(spark, sf, monkeypatch, query, per):
     monkeypatch.setattr(feeds, per, 1)
     again, part = longest(spark, monkeypatch, query, sf)
     assert rows == again and part * 2 < whole
+
+
+def test_no_file_a_payload(spark, sf, monkeypatch):
+    """Small payloads are lines of files, not files."""
+    paths, saved = [], feeds._saved
+    monkeypatch.setattr(feeds, "_saved", lambda *a, **k: paths.append(saved(*a, **k)) or paths[-1])
+    state = {r["state"]: r["n"] for r in feeds.rejected_payloads(spark, sf).collect()}
+    text = spark.read.text(paths[0])
+    assert text.count() == sum(state.values()) > text.select(F.input_file_name()).distinct().count()
