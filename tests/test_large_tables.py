@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_clusters import joins
 
-from cairnfield.operators import loops, spatial
+from cairnfield.operators import elevation, loops, spatial
 from cairnfield.plans import feeds
 from cairnfield.queries import QUERIES
 
@@ -65,3 +65,14 @@ def test_no_file_a_response(spark, sf, monkeypatch):
     assert feeds.element_points(spark, sf).count() == feeds.element_points(spark, sf).select("fid").distinct().count() > 0
     text = spark.read.text(paths[0])
     assert text.count() > 2 * text.select(F.input_file_name()).distinct().count()
+
+
+def test_a_long_trail_is_stitched(spark):
+    """1,500 pieces of one trail, in a row: the work of a step does not grow with the square of what is left."""
+    from time import monotonic
+
+    rows = [(1, i * 7 % 1500, [(float(i), 0.0), (i + 0.5, 0.0)], [float(i)]) for i in range(1500)]
+    began = monotonic()
+    got = elevation.stitch(spark.createDataFrame(rows, "trail int, piece int, line array<struct<x:double,y:double>>, series array<double>")).first()["series"]
+    assert got in ([float(i) for i in range(1500)], [float(i) for i in range(1499, -1, -1)])
+    assert monotonic() - began < 20
