@@ -1,5 +1,8 @@
 """Steps that failed, or grew too fast, on tables sixty times as large: what their plans and rows must keep to."""
 
+import random
+from time import monotonic
+
 import pytest
 from pyspark.sql import functions as F
 from test_clusters import joins
@@ -69,10 +72,35 @@ def test_no_file_a_response(spark, sf, monkeypatch):
 
 def test_a_long_trail_is_stitched(spark):
     """1,500 pieces of one trail, in a row: the work of a step does not grow with the square of what is left."""
-    from time import monotonic
-
     rows = [(1, i * 7 % 1500, [(float(i), 0.0), (i + 0.5, 0.0)], [float(i)]) for i in range(1500)]
     began = monotonic()
     got = elevation.stitch(spark.createDataFrame(rows, "trail int, piece int, line array<struct<x:double,y:double>>, series array<double>")).first()["series"]
     assert got in ([float(i) for i in range(1500)], [float(i) for i in range(1499, -1, -1)])
     assert monotonic() - began < 20
+
+
+def crossing(spark, n, places, seed=5):
+    """Lines that cross the whole of a square, every third of them twice, and points in it, a few of them far outside."""
+    rng = random.Random(seed)
+    ends = [(k, [(rng.random(), rng.random()), (rng.random(), rng.random())]) for k in range(n)]
+    lines = ends + [(k + n, line) for k, line in ends[::3]]
+    at = [(i, rng.random() * (1 if i % 50 else 40), rng.random()) for i in range(places)]
+    return lines, at, spark.createDataFrame(lines, "rid long, line array<struct<x:double,y:double>>"), spark.createDataFrame(at, "lid long, lx double, ly double")
+
+
+@pytest.mark.parametrize(("n", "block"), [(400, 1), (400, 30), (40_000, spatial.BLOCK)])
+def test_points_meet_few_of_many_long_lines(spark, monkeypatch, n, block):
+    """Blocks of any size give what all pairs give. Long lines that cross each other are not laid out cell by cell: the 40,000 took hundreds of millions of cells."""
+    import numpy as np
+
+    monkeypatch.setattr(spatial, "BLOCK", block)
+    lines, at, df, points = crossing(spark, n, 300)
+    began = monotonic()
+    got = {r["lid"]: (r["rid"], r["d2"]) for r in spatial.nearest_on_lines(points, df).collect()}
+    assert monotonic() - began < 40
+    s = np.array([[*a, *b] for _, (a, b) in lines]).T
+    want = {}
+    for lid, x, y in at:
+        d2 = spatial._on_segments(s, np.array([x]), np.array([y]))[0][0]
+        want[lid] = (int(d2.argmin()), d2.min())
+    assert got == want
