@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_clusters import joins
 
-from cairnfield.operators import elevation, loops, spatial
+from cairnfield.operators import elevation, graph, loops, spatial
 from cairnfield.plans import feeds
 from cairnfield.queries import QUERIES
 
@@ -104,3 +104,13 @@ def test_points_meet_few_of_many_long_lines(spark, monkeypatch, n, block):
         d2 = spatial._on_segments(s, np.array([x]), np.array([y]))[0][0]
         want[lid] = (int(d2.argmin()), d2.min())
     assert got == want
+
+
+def test_a_hop_goes_on_with_nearer_nodes_only(spark):
+    """Nodes known to be nearer are not walked from again: a dense graph was relaxed whole with every hop."""
+    both = spark.createDataFrame([(1, "a", "b", 1.0), (1, "b", "a", 1.0), (2, "b", "c", 1.0), (2, "c", "b", 1.0), (3, "b", "d", 1.0)], "eid long, a string, b string, len double")
+    kind = "source string, node string, dist double, prev string, via long"
+    best = spark.createDataFrame([("s", "a", 0.0, None, None), ("s", "b", 1.0, "a", 1), ("s", "d", 9.0, "a", 4)], kind)
+    front = best.filter("node = 'b'")
+    assert sorted((r["node"], r["dist"], r["prev"]) for r in graph._hop(front, both, best, None).collect()) == [("c", 2.0, "b"), ("d", 2.0, "b")]
+    assert [r["node"] for r in graph._hop(front, both, best, 1.5).collect()] == []
