@@ -7,6 +7,7 @@ fetching belongs in front of these: a payload saved once can be read again by an
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,9 +121,10 @@ def to_geojson(g: Column) -> Column:
     return F.when(g["type"] == "Point", body(F.get(first, F.lit(0)))).when(g["type"].isin("LineString", "MultiPoint"), body(first)).when(g["type"] == "MultiPolygon", body(polygons)).when(g.isNotNull(), body(lines))
 
 
-def geojson(spark: SparkSession, paths: str | list[str], skip: list[str] | None = None, include: list[str] | None = None) -> DataFrame:
-    """source (the file's stem), geometry, properties of every feature of GeoJSON files; rows without a geometry stay."""
-    read = _json(spark, paths, FEATURES).filter("_bad is null").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.(?:geo)?json$", 1).alias("source"), F.explode("features").alias("f"))
+def geojson(spark: SparkSession, paths: str | list[str], skip: list[str] | None = None, include: list[str] | None = None, lines: bool = False) -> DataFrame:
+    """source (the stem of the file, or of the folder that it is a part of), geometry, properties of every feature of GeoJSON files, each a collection or, if asked, a line; rows
+    without a geometry stay."""
+    read = _json(spark, paths, FEATURES, lines).filter("_bad is null").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.(?:geo)?json(?:/[^/]*)?$", 1).alias("source"), F.explode("features").alias("f"))
     if skip:
         read = read.filter(~F.col("source").isin(skip))
     if include:
@@ -131,19 +133,25 @@ def geojson(spark: SparkSession, paths: str | list[str], skip: list[str] | None
 
 
 def layer_files(spark: SparkSession, folder: str, include: list[str] | None = None, skip: list[str] | None = None) -> dict[str, str]:
-    """layer -> path of the GeoJSON files of a folder (a layer is a file's stem), those asked for. Names only are listed, by Hadoop's file system, so that
-    folders in any store can be read."""
+    """layer -> path of the GeoJSON files of a folder (a layer is a file's stem), those asked for; a layer that was written in parts is a folder. Names only are listed, by Hadoop's
+    file system, so that folders in any store can be read."""
+    return {k: path for k, (path, _) in _layers(spark, folder, include, skip).items()}
+
+
+def _layers(spark: SparkSession, folder: str, include: list[str] | None, skip: list[str] | None) -> dict[str, tuple[str, bool]]:
+    """layer -> path of its file, and whether that is a folder of parts."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     found = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(folder, "*.{geojson,json}")) or []
-    named = {re.sub(r"\.(geo)?json$", "", f.getPath().getName()): f.getPath().toString() for f in found if f.isFile()}
+    named = {re.sub(r"\.(geo)?json$", "", f.getPath().getName()): (f.getPath().toString(), f.isDirectory()) for f in found}
     return {k: p for k, p in sorted(named.items()) if (not include or k in include) and k not in (skip or ())}
 
 
 def geojson_folder(spark: SparkSession, folder: str, include: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
     """source (the layer), geometry, properties of the layers of a folder of GeoJSON files; files that are not asked for are not opened."""
-    paths = list(layer_files(spark, folder, include, skip).values())
-    if paths:
-        return geojson(spark, paths)
+    found = _layers(spark, folder, include, skip).values()
+    read = [geojson(spark, paths, lines=parts) for parts in (False, True) if (paths := [p for p, in_parts in found if in_parts == parts])]
+    if read:
+        return reduce(DataFrame.unionByName, read)
     return spark.createDataFrame([], f"source string, geometry {geo.GEOMETRY}, properties string")
 
 

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_clusters import joins
 
+from cairnfield.functions import geo
 from cairnfield.operators import elevation, graph, loops, spatial
 from cairnfield.plans import feeds
 from cairnfield.queries import QUERIES
+from cairnfield.sources import readers, writers
 
 
 @pytest.mark.parametrize("name", ["fuzzy_name_match"])
@@ -114,3 +116,16 @@ def test_a_hop_goes_on_with_nearer_nodes_only(spark):
     front = best.filter("node = 'b'")
     assert sorted((r["node"], r["dist"], r["prev"]) for r in graph._hop(front, both, best, None).collect()) == [("c", 2.0, "b"), ("d", 2.0, "b")]
     assert [r["node"] for r in graph._hop(front, both, best, 1.5).collect()] == []
+
+
+def test_no_collection_grows_with_its_layer(spark, tmp_path):
+    """A layer of many features is written as many collections, in parts; files of one collection beside them are read too."""
+    rows = spark.range(9000).select(F.when(F.col("id") % 9 == 0, "few").otherwise("many").alias("source"), geo.geometry("Point", F.array(geo.point(F.col("id") / 100, F.lit(1.0)))).alias("geometry"), F.to_json(F.struct("id")).alias("properties"))
+    for _ in range(2):
+        assert writers.geojson_files(rows, str(tmp_path / "layers")) == ["few", "many"]
+    (tmp_path / "layers" / "other.json").write_text('{"type": "FeatureCollection",\n "features": [{"type": "Feature", "geometry": null, "properties": {"id": 1}}]}')
+    assert spark.read.text(str(tmp_path / "layers" / "many.geojson")).agg(F.max(F.length("value"))).first()[0] < 300_000
+    ids = F.sum(F.get_json_object("properties", "$.id").cast("long"))
+    count = lambda **how: {r[0]: tuple(r[1:]) for r in readers.geojson_folder(spark, str(tmp_path / "layers"), **how).groupBy("source").agg(F.count("*"), ids, F.max(F.get(geo.start(F.col("geometry.parts")), F.lit(0))["x"])).collect()}
+    assert count() == {"few": (1000, sum(range(0, 9000, 9)), 89.91), "many": (8000, sum(i for i in range(9000) if i % 9), 89.99), "other": (1, 1, None)}
+    assert list(count(include=["other", "few"], skip=["few"])) == ["other"]
