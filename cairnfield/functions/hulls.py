@@ -3,6 +3,7 @@ before; concave ones need a group's points together: thousands of them, as a tri
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -38,32 +39,43 @@ def area(ring: np.ndarray) -> float:
 
 
 def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles of distinct points by insertion."""
+    """Delaunay triangles of distinct points by insertion from the least x on. Triangles whose circle ends before the next point are done and not looked at
+    again, so a point meets about as many as lie in its column."""
     n = len(points)
     low, high = points.min(0), points.max(0)
     mid, span = (low + high) / 2, max(float((high - low).max()), 1e-9) * 1000
     pts = np.vstack([points, mid + [-span, -span / 2], mid + [span, -span / 2], mid + [0, span]])
-    corners, circle = np.array([[n, n + 1, n + 2]]), np.array([_circle(pts, (n, n + 1, n + 2))])
-    for i in np.lexsort((points[:, 1], points[:, 0])):
+    corners = np.array([[n, n + 1, n + 2]])
+    circle = _circles(pts, corners)
+    done: list[np.ndarray] = []
+    for k, i in enumerate(np.lexsort((points[:, 1], points[:, 0]))):
+        if k % 64 == 0:
+            over = pts[i, 0] - circle[:, 0] > np.sqrt(circle[:, 2]) * (1 + 1e-9)
+            done.append(corners[over])
+            corners, circle = corners[~over], circle[~over]
         inside = (pts[i, 0] - circle[:, 0]) ** 2 + (pts[i, 1] - circle[:, 1]) ** 2 < circle[:, 2] * (1 + 1e-12)
         bad = corners[inside]
         # sides of one bad triangle only are the border of the hole
-        sides = np.sort(bad[:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), 1)
-        border, times = np.unique(sides, axis=0, return_counts=True)
-        made = [(a, b, int(i)) for a, b in border[times == 1].tolist() if abs(_turn(pts[a], pts[b], pts[i])) > 0]
-        corners = np.vstack([corners[~inside], np.array(made).reshape(-1, 3)]).astype(int)
-        circle = np.vstack([circle[~inside], np.array([_circle(pts, t) for t in made]).reshape(-1, 3)])
-    return [tuple(t) for t in corners.tolist() if max(t) < n]
-
-
-def _circle(pts: np.ndarray, t: tuple[int, int, int]) -> tuple[float, float, float]:
-    (ax, ay), (bx, by), (cx, cy) = pts[list(t)] - pts[t[0]]
+        times: dict[tuple[int, int], int] = {}
+        for a, b, c in np.sort(bad, 1).tolist():
+            for side in ((a, b), (b, c), (a, c)):
+                times[side] = times.get(side, 0) + 1
+        made = np.array([(*side, i) for side, t in sorted(times.items()) if t == 1], int).reshape(-1, 3)
+        made = made[_turn(*pts[made].transpose(1, 2, 0)) != 0]
+        corners, circle = np.vstack([corners[~inside], made]), np.vstack([circle[~inside], _circles(pts, made)])
+    return [tuple(t) for t in np.vstack([*done, corners]).tolist() if max(t) < n]
+
+
+def _circles(pts: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+    """Centre and squared radius of the circle through each triangle's corners; endless for corners in a line."""
+    at = pts[triangles]
+    (bx, by), (cx, cy) = (at[:, 1] - at[:, 0]).T, (at[:, 2] - at[:, 0]).T
     d = 2 * (bx * cy - by * cx)
-    if d == 0:
-        return (0.0, 0.0, math.inf)
     b2, c2 = bx * bx + by * by, cx * cx + cy * cy
+    flat = d == 0
+    d = np.where(flat, 1.0, d)
     ux, uy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
-    return (ux + pts[t[0], 0], uy + pts[t[0], 1], ux * ux + uy * uy)
+    return np.where(flat[:, None], [0.0, 0.0, math.inf], np.stack([ux + at[:, 0, 0], uy + at[:, 0, 1], ux * ux + uy * uy], 1))
 
 
 def concave(points: np.ndarray, ratio: float = 0.45) -> np.ndarray:
@@ -83,18 +95,23 @@ def concave(points: np.ndarray, ratio: float = 0.45) -> np.ndarray:
     limit = min(size.values()) + ratio * (max(size.values()) - min(size.values()))
     border = {e for e, ts in of.items() if len(ts) == 1}
     on = {v for e in border for v in e}
-    while True:
-        removable = [e for e in border if size[e] > limit and (third := next(iter(set(next(iter(of[e]))) - set(e)))) not in on]
-        if not removable:
-            break
-        e = max(removable, key=lambda x: (size[x], x))
+    # an edge whose triangle has its third corner on the border stays, as that corner does
+    open_ = [(-size[e], -e[0], -e[1]) for e in border if size[e] > limit]
+    heapq.heapify(open_)
+    while open_:
+        _, a, b = heapq.heappop(open_)
+        e = (-a, -b)
         t = next(iter(of[e]))
         third = next(iter(set(t) - set(e)))
+        if third in on:
+            continue
         border.discard(e)
         for f in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
             of[f].discard(t)
             if f != e:
                 border.add(f)
+                if size[f] > limit:
+                    heapq.heappush(open_, (-size[f], -f[0], -f[1]))
         on.add(third)
     after: dict[int, list[int]] = {}
     for a, b in border:

@@ -129,3 +129,19 @@ def test_no_collection_grows_with_its_layer(spark, tmp_path):
     count = lambda **how: {r[0]: tuple(r[1:]) for r in readers.geojson_folder(spark, str(tmp_path / "layers"), **how).groupBy("source").agg(F.count("*"), ids, F.max(F.get(geo.start(F.col("geometry.parts")), F.lit(0))["x"])).collect()}
     assert count() == {"few": (1000, sum(range(0, 9000, 9)), 89.91), "many": (8000, sum(i for i in range(9000) if i % 9), 89.99), "other": (1, 1, None)}
     assert list(count(include=["other", "few"], skip=["few"])) == ["other"]
+
+
+def test_a_concave_hull_of_many_points():
+    """12,000 points with a notch: a point meets the triangles of its column, not all of them, which took half a minute."""
+    import numpy as np
+
+    from cairnfield.functions import hulls
+
+    at = np.random.default_rng(3).random((14_000, 2)) * 1000
+    at = at[~((abs(at[:, 0] - 500) < 100) & (at[:, 1] > 300))][:12_000]
+    began = monotonic()
+    ring = hulls.concave(at, 0.02)
+    assert monotonic() - began < 12
+    assert hulls.area(ring) < hulls.area(hulls.convex(at)) - 100_000
+    inside = hulls.contains(ring, at)
+    assert inside.sum() + len(ring) - 1 >= len(at)
