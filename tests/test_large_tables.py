@@ -145,3 +145,16 @@ def test_a_concave_hull_of_many_points():
     assert hulls.area(ring) < hulls.area(hulls.convex(at)) - 100_000
     inside = hulls.contains(ring, at)
     assert inside.sum() + len(ring) - 1 >= len(at)
+
+
+def test_a_long_line_is_sampled(spark):
+    """A line of 6,000 segments: a mark meets its own segment, not all of them, and stretches are as one series."""
+    at = [(float(i * 7), float(i % 2)) for i in range(6001)]
+    line = spark.createDataFrame([(1, at)], f"id int, line {geo.LINE}")
+    dem = spark.createDataFrame([(i, 0, float(i)) for i in range(0, 43_000 // 100, 90)], "cx long, cy long, z double")
+    began = monotonic()
+    got = elevation.sample(line, dem, 100.0).first()["series"]
+    assert monotonic() - began < 20
+    length = 6000 * (49 + 1) ** 0.5
+    assert len(got) == int(length / 10) + 2 and got == sorted(got) and (got[0], got[-1]) == (0.0, 360.0)
+    assert max(b - a for a, b in zip(got, got[1:], strict=False)) < 1
