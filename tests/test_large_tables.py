@@ -158,3 +158,17 @@ def test_a_long_line_is_sampled(spark):
     length = 6000 * (49 + 1) ** 0.5
     assert len(got) == int(length / 10) + 2 and got == sorted(got) and (got[0], got[-1]) == (0.0, 360.0)
     assert max(b - a for a, b in zip(got, got[1:], strict=False)) < 1
+
+
+def test_candidates_of_a_point_are_not_sorted(spark, monkeypatch):
+    """Even targets come to a point as one row: no aggregate over all pairs, which sorted 36 rows a point in one task."""
+    seen, cut = [], spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: seen.append(df) or cut(df))
+    rng = random.Random(4)
+    targets = [(i, i % 30 / 7, i // 30 / 7) for i in range(900)]
+    at = [(i, rng.random() * 4.2 if i % 40 else 50.0, rng.random() * 4.2) for i in range(400)] + [(400, 1 / 14, 1 / 14)]
+    got = spatial.nearest(spark.createDataFrame(at, "lid long, lx double, ly double"), spark.createDataFrame(targets, "rid long, rx double, ry double")).collect()
+    want = {lid: min(((x - a) * (x - a) + (y - b) * (y - b), rid) for rid, a, b in targets) for lid, x, y in at}
+    assert {r["lid"]: (r["d2"], r["rid"]) for r in got} == want and len(got) == len(at)
+    rounds = [df for df in seen if "_best" in df.columns]
+    assert len(rounds) > 1 and "SortAggregate" not in rounds[0]._jdf.queryExecution().executedPlan().toString()
