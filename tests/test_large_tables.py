@@ -172,3 +172,16 @@ def test_candidates_of_a_point_are_not_sorted(spark, monkeypatch):
     assert {r["lid"]: (r["d2"], r["rid"]) for r in got} == want and len(got) == len(at)
     rounds = [df for df in seen if "_best" in df.columns]
     assert len(rounds) > 1 and "SortAggregate" not in rounds[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_cells_are_parted(spark, monkeypatch):
+    """Pairs of one crowded cell are tried in several tasks, and each pair is found once; points in one place are dealt apart too."""
+    monkeypatch.setattr(spatial, "PAIRS", 50)
+    rng = random.Random(8)
+    left = [(i, rng.choice([0.0, 0.001, 0.5]), rng.random() / 1000) for i in range(300)]
+    right = [(i, 0.0, rng.random() / 1000) for i in range(40)]
+    near = spatial.within(spark.createDataFrame(left, "id long, lx double, ly double"), spark.createDataFrame(right, "rid long, rx double, ry double"), 5000.0)
+    got = near.select("id", "rid", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["id"], r["rid"]) for r in got) == [(i, j) for i, x, _ in left if x < 0.5 for j in range(40)]
+    assert len({r["task"] for r in got}) > 1
+    assert len({r["task"] for r in got if left[r["id"]][1] == 0.0}) > 1
