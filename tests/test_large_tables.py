@@ -1,6 +1,8 @@
 """Steps that failed, or grew too fast, on tables sixty times as large: what their plans and rows must keep to."""
 
+import json
 import random
+import re
 from time import monotonic
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from test_clusters import joins
 
 from cairnfield.functions import geo
-from cairnfield.operators import elevation, graph, loops, spatial
+from cairnfield.operators import elevation, graph, loops, merge, spatial
 from cairnfield.plans import feeds
 from cairnfield.queries import QUERIES
 from cairnfield.sources import readers, writers
@@ -185,3 +187,25 @@ def test_crowded_cells_are_parted(spark, monkeypatch):
     assert sorted((r["id"], r["rid"]) for r in got) == [(i, j) for i, x, _ in left if x < 0.5 for j in range(40)]
     assert len({r["task"] for r in got}) > 1
     assert len({r["task"] for r in got if left[r["id"]][1] == 0.0}) > 1
+
+
+def test_drawn_of_one_layer(spark):
+    """Drawn features meet the table by id or by drawing id, as a loop over all pairs finds them; no join is on the layer alone."""
+    rng = random.Random(26)
+    text = lambda d: "{}" if d is None else json.dumps({"_draw_id": d})
+    rows = [(k, rng.choice("st"), f"n{k}", rng.choice([None, f"d{rng.randrange(12)}", str(rng.randrange(40))])) for k in range(40)]
+    drawn = [(rng.choice("st"), rng.choice([None, rng.randrange(60)]), f"m{k}", rng.choice([None, f"d{rng.randrange(20)}"])) for k in range(40)]
+    drawn = [(s, k, n, d or f"e{n}") for s, k, n, d in drawn]
+    table = spark.createDataFrame([(k, s, n, text(d), "{}") for k, s, n, d in rows], "id long, source string, name string, properties string, custom_data string")
+    after, audit = merge.upsert_drawn(table, spark.createDataFrame([(s, k, n, text(d), None) for s, k, n, d in drawn], "source string, id long, name string, properties string, custom_data string"))
+    known = {(s, k) for k, s, *_ in rows}
+    fits = lambda r, d: r[1] == d[0] and (r[0] == d[1] if (d[0], d[1]) in known else r[3] == d[3])
+    shown = lambda d: str(d[1]) if (d[0], d[1]) in known else d[3]
+    want = [(r[0], r[1], d[2], shown(d)) for r in rows for d in drawn if fits(r, d)] + [r for r in rows if not any(fits(r, d) for d in drawn)]
+    done = {(d[0], shown(d)) for r in rows for d in drawn if fits(r, d)}
+    want += [(None, d[0], d[2], shown(d)) for d in drawn if (d[0], shown(d)) not in done]
+    got = [(r["id"] if r["id"] < 40 else None, r["source"], r["name"], json.loads(r["properties"]).get("_draw_id")) for r in after.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(done) > 5
+    assert {(r["source"], r["entity_id"]) for r in audit.filter("action = 'update'").collect()} == done
+    keys = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", after._jdf.queryExecution().sparkPlan().toString())
+    assert keys and all("," in k for k in keys if "_part" not in k)
