@@ -41,9 +41,10 @@ def inside_first(hits: DataFrame, inside: Column) -> DataFrame:
 
 def by_map_id(places: DataFrame, catalogue: DataFrame) -> DataFrame:
     """id, their_id: the place (id, url) whose URL holds the catalogue's (their_id, map_id, pos) map id; the first of several."""
-    found = places.withColumn("map_id", F.regexp_extract("url", r"[?&]mapId=(-?\d+)", 1)).filter("map_id <> ''")
-    joined = found.join(catalogue.withColumn("map_id", F.col("map_id").cast("string")), "map_id")
-    return joined.groupBy("id").agg(F.min_by("their_id", F.struct("pos", "their_id")).alias("their_id"))
+    found = places.select("id", F.regexp_extract("url", r"[?&]mapId=(-?\d+)", 1).alias("map_id")).filter("map_id <> ''")
+    # one row a map: places and entries of one map are not multiplied
+    firsts = catalogue.groupBy(F.col("map_id").cast("string").alias("map_id")).agg(F.min(F.struct("pos", "their_id")).alias("first"))
+    return found.join(firsts, "map_id").groupBy("id").agg(F.min("first").alias("first")).select("id", "first.their_id")
 
 
 def patch_by_id(features: DataFrame, values: DataFrame, allowed: list[str]) -> tuple[DataFrame, DataFrame]:

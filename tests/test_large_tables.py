@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_clusters import joins
 
 from cairnfield.functions import geo
-from cairnfield.operators import elevation, graph, loops, merge, spatial
+from cairnfield.operators import elevation, enrich, graph, loops, merge, spatial
 from cairnfield.plans import feeds
 from cairnfield.queries import QUERIES
 from cairnfield.sources import readers, writers
@@ -209,3 +209,14 @@ def test_drawn_of_one_layer(spark):
     assert {(r["source"], r["entity_id"]) for r in audit.filter("action = 'update'").collect()} == done
     keys = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", after._jdf.queryExecution().sparkPlan().toString())
     assert keys and all("," in k for k in keys if "_part" not in k)
+
+
+def test_map_ids_of_many_entries(spark):
+    """Places and entries of one map meet once a place, not in all pairs; the first entry wins."""
+    places = spark.range(3000).select("id", F.concat(F.lit("u?mapId=-"), (F.col("id") % 3).cast("string")).alias("url"))
+    catalogue = spark.range(3000).select(F.col("id").alias("their_id"), (-(F.col("id") % 2)).alias("map_id"), (-F.floor(F.col("id") / 10)).alias("pos"))
+    out = enrich.by_map_id(places, catalogue.repartition(2))
+    assert {(r["id"] % 3, r["their_id"]) for r in out.collect()} == {(1, 2991)} and out.count() == 1000
+    # the catalogue is grouped below the join
+    join = re.search(r"Join[^\n]*\n(.*)", out._jdf.queryExecution().optimizedPlan().toString(), re.S).group(1)
+    assert "Aggregate" in join
