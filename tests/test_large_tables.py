@@ -220,3 +220,14 @@ def test_map_ids_of_many_entries(spark):
     # the catalogue is grouped below the join
     join = re.search(r"Join[^\n]*\n(.*)", out._jdf.queryExecution().optimizedPlan().toString(), re.S).group(1)
     assert "Aggregate" in join
+
+
+def test_utm_of_lines(spark):
+    """A line in metres is utm() of its points, and each step's value is worked out once a point."""
+    line = [(-89.9 + 0.01 * k, 43.3 + 0.003 * k) for k in range(30)]
+    df = spark.createDataFrame([(line,)], f"line {geo.LINE}")
+    apart = df.select(F.explode("line").alias("p")).select(geo.utm(F.col("p.x"), F.col("p.y")).alias("u"))
+    whole = df.select(F.explode(geo.utm_line(F.col("line"))).alias("u"))
+    assert whole.collect() == apart.collect()
+    plan = loops.near_lots(df.select(F.lit(1).alias("eid"), "line"), df.select(F.lit(-89.9).alias("x"), F.lit(43.3).alias("y")).limit(1))._jdf.queryExecution().analyzed().toString()
+    assert all(step.count("ATANH") < 4 for step in plan.split("\n") if "transform(" in step)
