@@ -231,3 +231,13 @@ def test_utm_of_lines(spark):
     assert whole.collect() == apart.collect()
     plan = loops.near_lots(df.select(F.lit(1).alias("eid"), "line"), df.select(F.lit(-89.9).alias("x"), F.lit(43.3).alias("y")).limit(1))._jdf.queryExecution().analyzed().toString()
     assert all(step.count("ATANH") < 4 for step in plan.split("\n") if "transform(" in step)
+
+
+def test_pieces_without_points_are_not_met(spark, monkeypatch):
+    """A long line is cut to the cells of its width only where points are near."""
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (30_000.0, 20_000.0)])], f"rid int, line {geo.LINE}")
+    points = spark.createDataFrame([(1, 15_000.0, 10_005.0), (2, 15_000.0, 10_900.0)], "lid int, lx double, ly double")
+    dealt, passed = [], spatial._passed
+    monkeypatch.setattr(spatial, "_passed", lambda segs, size: dealt.append(passed(segs, size)) or dealt[-1])
+    assert [tuple(r) for r in spatial.lines_within(points, lines, 10.0).collect()] == [(1, 1)]
+    assert dealt[0].count() < 100
