@@ -241,3 +241,11 @@ def test_pieces_without_points_are_not_met(spark, monkeypatch):
     monkeypatch.setattr(spatial, "_passed", lambda segs, size: dealt.append(passed(segs, size)) or dealt[-1])
     assert [tuple(r) for r in spatial.lines_within(points, lines, 10.0).collect()] == [(1, 1)]
     assert dealt[0].count() < 100
+
+
+def test_small_groups_share_calls(spark):
+    """Groups of few lines are worked on many a call, and stay apart from each other."""
+    rows = [(g, p, 2 * g + p, [(float(g), 3.0 * p), (g + 40.0, 3.0 * p)]) for g in range(300) for p in range(2)]
+    out = loops.drop_doubled(spark.createDataFrame(rows, f"g long, pos int, eid long, line {geo.LINE}"), "g")
+    assert sorted(r["eid"] for r in out.collect()) == [2 * g for g in range(300)]
+    assert re.search(r"FlatMapGroupsInArrow \[call", out._jdf.queryExecution().optimizedPlan().toString())
