@@ -249,3 +249,15 @@ def test_small_groups_share_calls(spark):
     out = loops.drop_doubled(spark.createDataFrame(rows, f"g long, pos int, eid long, line {geo.LINE}"), "g")
     assert sorted(r["eid"] for r in out.collect()) == [2 * g for g in range(300)]
     assert re.search(r"FlatMapGroupsInArrow \[call", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_two_core_moves_keys_only(spark, monkeypatch):
+    """What edges carry is not dealt about while dead ends are pruned, and a graph without any is not gone through."""
+    ring = [(k, f"n{k}", f"n{(k + 1) % 9}", "x" * 50) for k in range(9)]
+    tail = [(9, "n0", "t0", "y"), (10, "t0", "t1", "y"), (11, "z0", "z1", "y"), (12, "s", "s", "loop"), (12, "n0", "n4", "same id")]
+    made, through = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(df.columns) or through(df))
+    of = lambda rows: sorted(map(tuple, graph.two_core(spark.createDataFrame(rows, "eid long, a string, b string, name string")).collect()))
+    assert of(ring) == ring and made == [["eid", "a", "b", "name"]]
+    assert of(ring + tail) == sorted(ring + tail[3:])
+    assert made[1:] == [["eid", "a", "b", "name"], ["eid", "a", "b"]]
