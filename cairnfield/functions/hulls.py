@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import pairwise
 
 import numpy as np
 
@@ -39,43 +40,84 @@ def area(ring: np.ndarray) -> float:
 
 
 def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles of distinct points by insertion from the least x on. Triangles whose circle ends before the next point are done and not looked at
-    again, so a point meets about as many as lie in its column."""
-    n = len(points)
-    low, high = points.min(0), points.max(0)
-    mid, span = (low + high) / 2, max(float((high - low).max()), 1e-9) * 1000
-    pts = np.vstack([points, mid + [-span, -span / 2], mid + [span, -span / 2], mid + [0, span]])
-    corners = np.array([[n, n + 1, n + 2]])
-    circle = _circles(pts, corners)
-    done: list[np.ndarray] = []
-    for k, i in enumerate(np.lexsort((points[:, 1], points[:, 0]))):
-        if k % 64 == 0:
-            over = pts[i, 0] - circle[:, 0] > np.sqrt(circle[:, 2]) * (1 + 1e-9)
-            done.append(corners[over])
-            corners, circle = corners[~over], circle[~over]
-        inside = (pts[i, 0] - circle[:, 0]) ** 2 + (pts[i, 1] - circle[:, 1]) ** 2 < circle[:, 2] * (1 + 1e-12)
-        bad = corners[inside]
-        # sides of one bad triangle only are the border of the hole
-        times: dict[tuple[int, int], int] = {}
-        for a, b, c in np.sort(bad, 1).tolist():
-            for side in ((a, b), (b, c), (a, c)):
-                times[side] = times.get(side, 0) + 1
-        made = np.array([(*side, i) for side, t in sorted(times.items()) if t == 1], int).reshape(-1, 3)
-        made = made[_turn(*pts[made].transpose(1, 2, 0)) != 0]
-        corners, circle = np.vstack([corners[~inside], made]), np.vstack([circle[~inside], _circles(pts, made)])
-    return [tuple(t) for t in np.vstack([*done, corners]).tolist() if max(t) < n]
-
-
-def _circles(pts: np.ndarray, triangles: np.ndarray) -> np.ndarray:
-    """Centre and squared radius of the circle through each triangle's corners; endless for corners in a line."""
-    at = pts[triangles]
-    (bx, by), (cx, cy) = (at[:, 1] - at[:, 0]).T, (at[:, 2] - at[:, 0]).T
+    """Delaunay triangles of distinct points, which cover their convex hull whole, by insertion from the least x on. Each point is outside of the hull of those before: the triangles whose circle it is in are
+    met over the hull's sides that it sees. Signs that rounding leaves open are worked out in integers, so points in a line or on a circle make no hole and no fold."""
+    xy = [(float(x), float(y)) for x, y in points]
+    parts = [(x.as_integer_ratio(), y.as_integer_ratio()) for x, y in xy]
+    unit = max((d for p in parts for _, d in p), default=1)
+    whole = [(m * (unit // d), n * (unit // e)) for (m, d), (n, e) in parts]
+
+    def turn(a: int, b: int, c: int) -> float:
+        (ax, ay), (bx, by), (cx, cy) = xy[a], xy[b], xy[c]
+        left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+        if abs(left - right) > 4e-16 * (abs(left) + abs(right)):
+            return left - right
+        return _turn(whole[a], whole[b], whole[c])
+
+    def within(a: int, b: int, c: int, p: int) -> bool:
+        det, size = _in_circle(xy[a], xy[b], xy[c], xy[p])
+        return det > 0 if abs(det) > 2e-15 * size else _in_circle(whole[a], whole[b], whole[c], whole[p])[0] > 0
+
+    order = sorted(range(len(xy)), key=xy.__getitem__)
+    line = 2
+    while line < len(order) and turn(order[0], order[1], order[line]) == 0:
+        line += 1
+    if line >= len(order):
+        return []
+    # third: of the triangle on the left of a side; after, before: along the hull, counter-clockwise
+    third: dict[tuple[int, int], int] = {}
+
+    def add(a: int, b: int, c: int) -> None:
+        third[a, b], third[b, c], third[c, a] = c, a, b
+
+    first, last = order[:line], order[line]
+    if turn(first[0], first[1], last) < 0:
+        first.reverse()
+    for a, b in pairwise(first):
+        add(a, b, last)
+    ring = [*first, last]
+    after, before = dict(zip(ring, ring[1:] + ring[:1], strict=True)), dict(zip(ring, ring[-1:] + ring[:-1], strict=True))
+    for p in order[line + 1 :]:
+        low = high = last
+        while turn(before[low], low, p) < 0:
+            low = before[low]
+        while turn(high, after[high], p) < 0:
+            high = after[high]
+        sides, u = [], low
+        while u != high:
+            sides.append((u, after[u]))
+            u = after[u]
+        after[low], before[p], after[p], before[high] = p, low, high, p
+        while sides:
+            u, v = sides.pop()
+            w = third.get((u, v))
+            if w is not None and within(u, v, w, p):
+                del third[u, v], third[v, w], third[w, u]
+                sides += [(u, w), (w, v)]
+            else:
+                add(v, u, p)
+        last = p
+    return [(a, b, c) for (a, b), c in third.items() if a < b and a < c]
+
+
+def _in_circle(a: tuple, b: tuple, c: tuple, p: tuple) -> tuple:
+    """A number above zero where p is in the circle through a, b, c (counter-clockwise), and the size of what it is the sum of."""
+    ax, ay, bx, by, cx, cy = a[0] - p[0], a[1] - p[1], b[0] - p[0], b[1] - p[1], c[0] - p[0], c[1] - p[1]
+    a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    bxcy, cxby, cxay, axcy, axby, bxay = bx * cy, cx * by, cx * ay, ax * cy, ax * by, bx * ay
+    size = (abs(bxcy) + abs(cxby)) * a2 + (abs(cxay) + abs(axcy)) * b2 + (abs(axby) + abs(bxay)) * c2
+    return a2 * (bxcy - cxby) + b2 * (cxay - axcy) + c2 * (axby - bxay), size
+
+
+def _circle(pts: np.ndarray, triangle: tuple[int, int, int]) -> tuple[float, float, float]:
+    """Centre and squared radius of the circle through a triangle's corners; endless for corners in a line."""
+    (ax, ay), (bx, by), (cx, cy) = pts[triangle[0]], pts[triangle[1]] - pts[triangle[0]], pts[triangle[2]] - pts[triangle[0]]
     d = 2 * (bx * cy - by * cx)
+    if d == 0:
+        return 0.0, 0.0, math.inf
     b2, c2 = bx * bx + by * by, cx * cx + cy * cy
-    flat = d == 0
-    d = np.where(flat, 1.0, d)
     ux, uy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
-    return np.where(flat[:, None], [0.0, 0.0, math.inf], np.stack([ux + at[:, 0, 0], uy + at[:, 0, 1], ux * ux + uy * uy], 1))
+    return ux + ax, uy + ay, ux * ux + uy * uy
 
 
 def concave(points: np.ndarray, ratio: float = 0.45) -> np.ndarray:
